@@ -13,14 +13,18 @@ def exact_duplicates(df: DataFrame, keys: Sequence[str], id_col: str = "id",
     """Groups of rows equal on ``keys`` seen at least ``min_count`` times,
     with the count and the ids joined in ascending order.
 
-    The aggregation is partial (map-side) for the count; the id list is built
-    per group after the shuffle, sorted so the output is deterministic.
+    Counting runs first as a partial (map-side) aggregation, so the shuffle
+    carries one row per key and map task, not the ids.  Ids are collected
+    only for the keys that really repeat, after a semi join back to the rows.
     """
-    return (df.groupBy(*keys)
-              .agg(F.count(id_col).alias("conteggio"),
-                   F.array_join(F.transform(F.array_sort(F.collect_list(id_col)), lambda x: x.cast("string")), sep)
-                    .alias("stringaid"))
-              .filter(F.col("conteggio") >= min_count))
+    keys = list(keys)
+    counts = (df.groupBy(*keys).agg(F.count(id_col).alias("conteggio"))
+                .filter(F.col("conteggio") >= min_count))
+    rows = df.select(*keys, id_col).join(counts.select(*keys), on=keys, how="left_semi")
+    ids = rows.groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(id_col)), lambda x: x.cast("string")), sep)
+         .alias("stringaid"))
+    return counts.join(ids, on=keys, how="inner")
 
 
 def duplicate_summary(df: DataFrame, key: str | Sequence[str], measures: dict,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binsight.functions.pg import as_ts, interval_seconds, seconds_between
-from binsight.operators.sequence import Sequence
+from binsight.operators.sequence import Lag, Running, Sequence
 
 
 def clock_repair(df: DataFrame, cutoff, keys=("idcomune", "codicestazione"), seq: str = "id",
@@ -55,18 +55,18 @@ def clock_repair(df: DataFrame, cutoff, keys=("idcomune", "codicestazione"), seq
     # 3) one range partitioning in (keys, seq) order serves every remaining window:
     #    the global island counter, per-station lags, per-island lags and sums.
     g = Sequence(c, order=[seq], by=keys)
-    g = g.running("conteggio", F.when(F.col("flag"), F.lit(1)), "count", group=[])
-    g = g.lag({"__pr": "riavvio", "__pts": ts, "__pdelta": "delta_dataora"})
+    g = g.apply([Running("conteggio", F.when(F.col("flag"), F.lit(1)), "count", group=[]),
+                 Lag("__pr", "riavvio"), Lag("__pts", ts), Lag("__pdelta", "delta_dataora")])
     secs = lambda v: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), v)
     gap = interval_seconds(restart_gap_seconds)
     nuova = (F.when((F.col("riavvio") == 1) & (F.col("__pr") == 0), F.col(f"__pts") + gap)
               .when((F.col("riavvio") == 2) & (F.col("__pr") == 1), F.col("__pts") - secs(F.col("__pdelta"))))
     g = g._with(g.df.withColumn("nuovadataora", nuova.cast("timestamp_ntz")))
     island = [*keys, "conteggio"]
-    g = g.lag({"__pnuova": "nuovadataora"}, group=island)
-    g = g.running("__first2", F.when(F.col("riavvio") == 2, F.struct(F.col(seq).alias("s"), F.col("nuovadataora").alias("v"))),
-                  "first_nonnull", group=island)
-    g = g.running("__possum", F.when(F.col("delta_dataora") > 0, F.col("delta_dataora")), "sum", group=island)
+    first2 = F.when(F.col("riavvio") == 2, F.struct(F.col(seq).alias("s"), F.col("nuovadataora").alias("v")))
+    g = g.apply([Lag("__pnuova", "nuovadataora", group=island),
+                 Running("__first2", first2, "first_nonnull", group=island),
+                 Running("__possum", F.when(F.col("delta_dataora") > 0, F.col("delta_dataora")), "sum", group=island)])
     z = g.result()
     nuova2 = (F.when((F.col("riavvio") == 2) & (F.col("__pr") == 1), F.col("__pnuova") + secs(F.col("delta_dataora")))
                .when((F.col("riavvio") == 2) & (F.col("__pr") == 2),

@@ -33,6 +33,33 @@ from pyspark.sql import functions as F
 
 RP = "__rp"  # range partition id
 
+_RUN_LOCAL = {
+    "sum": F.sum,
+    "count": F.count,
+    "first": lambda c: F.first(c, ignorenulls=False),
+    "first_nonnull": lambda c: F.first(c, ignorenulls=True),
+}
+# how the per-range values of earlier ranges combine into an offset
+_RUN_CARRY = {"sum": F.sum, "count": F.sum, "first": _RUN_LOCAL["first"],
+              "first_nonnull": _RUN_LOCAL["first_nonnull"]}
+
+
+class Lag:
+    """Previous-row value of ``expr`` within ``group`` (default: the sequence's ``by``)."""
+
+    def __init__(self, name: str, expr, group=None):
+        self.name, self.expr, self.group = name, expr, group
+
+
+class Running:
+    """Running aggregate of ``expr`` within ``group``; ``how`` in sum, count,
+    first, first_nonnull."""
+
+    def __init__(self, name: str, expr, how: str = "sum", group=None):
+        if how not in _RUN_LOCAL:
+            raise ValueError(how)
+        self.name, self.expr, self.how, self.group = name, expr, how, group
+
 
 def _n_partitions(df: DataFrame, partitions: int | None) -> int:
     if partitions:
@@ -64,41 +91,12 @@ class Sequence:
     def _with(self, df: DataFrame) -> "Sequence":
         return Sequence(df, self.order, self.by, self.n, _ranged=df)
 
-    def _window(self, group: Seq[str]):
-        return Window.partitionBy(RP, *group).orderBy(*[F.col(k).asc_nulls_first() for k in self.keys])
-
-    def _last_per_range(self, df: DataFrame, fields: Seq[str]) -> DataFrame:
-        """One row per range partition: the listed fields of its last row and
-        of its first row (``__last``, ``__first``)."""
-        order_key = F.struct(*[F.col(k) for k in self.keys])
-        payload = F.struct(*[F.col(f) for f in fields])
-        return df.groupBy(RP).agg(F.max_by(payload, order_key).alias("__last"),
-                                  F.min_by(payload, order_key).alias("__first"))
-
-    # -- LAG --------------------------------------------------------------------
+    # -- one step = several window ops sharing one summary and one carry join --
     def lag(self, columns: dict[str, Column | str], group: Seq[str] | None = None) -> "Sequence":
         """Add ``name = value of expr on the previous row of the same group``
         (NULL on the group's first row), for each ``name: expr``."""
-        group = list(self.by if group is None else group)
-        vals = {f"__lv{i}": (F.col(e) if isinstance(e, str) else e) for i, e in enumerate(columns.values())}
-        base = self.df.withColumns(vals).withColumn("__one", F.lit(1))
-        carried = [*vals, *group, "__one"]
-        w = Window.partitionBy(RP).orderBy(*[F.col(k).asc_nulls_first() for k in self.keys])
-        local = base.withColumns({f"__lp_{c}": F.lag(c).over(w) for c in carried})
-        summary = self._last_per_range(base, carried)
-        carry = summary.select(RP, F.lag("__last").over(Window.orderBy(RP)).alias("__carry"))
-        j = local.join(F.broadcast(carry), RP, "left")
-        first_in_range = F.col("__lp___one").isNull()
-
-        def prev(c: str) -> Column:
-            return F.when(first_in_range, F.col("__carry").getField(c)).otherwise(F.col(f"__lp_{c}"))
-
-        has_prev = prev("__one").isNotNull() & _and([prev(g).eqNullSafe(F.col(g)) for g in group])
-        out = j.withColumns({name: F.when(has_prev, prev(v)) for name, v in zip(columns, vals)})
-        drop = [*vals, "__one", "__carry", *[f"__lp_{c}" for c in carried]]
-        return self._with(out.drop(*drop))
-
-    # -- running aggregates -------------------------------------------------------
+        return self.apply([Lag(name, e, group) for name, e in columns.items()])
+
     def running(self, name: str, expr: Column | str, how: str = "sum",
                 group: Seq[str] | None = None) -> "Sequence":
         """Running aggregate from the group's first row up to the current row.
@@ -107,54 +105,81 @@ class Sequence:
         ``count`` (non-NULL values; 0 before the first), ``first`` (value on the
         group's first row), ``first_nonnull`` (first non-NULL value so far).
         """
-        group = list(self.by if group is None else group)
-        e = F.col(expr) if isinstance(expr, str) else expr
-        base = self.df.withColumn("__x", e)
-        w = self._window(group).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        if how == "sum":
-            local_expr = F.sum("__x").over(w)
-        elif how == "count":
-            local_expr = F.count("__x").over(w)
-        elif how == "first":
-            local_expr = F.first("__x", ignorenulls=False).over(w)
-        elif how == "first_nonnull":
-            local_expr = F.first("__x", ignorenulls=True).over(w)
-        else:
-            raise ValueError(how)
-        local = base.withColumn("__loc", local_expr).withColumn("__gk", F.struct(*[F.col(g) for g in group]) if group else F.lit(0))
-        # Per range: group key of the first and last row, local aggregate at the last row.
-        summary = (self._last_per_range(local, ["__gk", "__loc"])
-                   .select(RP, F.col("__first.__gk").alias("F"), F.col("__last.__gk").alias("L"),
-                           F.col("__last.__loc").alias("tot")))
-        # Offsets for the first group of each range = aggregate of the same group
-        # in earlier ranges (groups are contiguous, so these are the ranges whose
-        # last group it is).  n rows only.
-        wl = Window.partitionBy("L").orderBy(RP).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        if how == "sum":
-            cum = F.sum("tot").over(wl)
-        elif how == "count":
-            cum = F.sum("tot").over(wl)
-        elif how == "first":
-            cum = F.first("tot", ignorenulls=False).over(wl)
-        else:
-            cum = F.first("tot", ignorenulls=True).over(wl)
-        s2 = summary.withColumn("cum", cum)
+        return self.apply([Running(name, expr, how, group)])
+
+    def apply(self, ops: Seq["Lag | Running"]) -> "Sequence":
+        """Evaluate independent lag / running ops in one pass: local windows
+        inside each range, one per-range summary (max_by / min_by on the
+        sequence key, no shuffle: the data are already partitioned by range),
+        one small carry table (one row per range), one broadcast join."""
+        keys = [F.col(k).asc_nulls_first() for k in self.keys]
+        order_key = F.struct(*[F.col(k) for k in self.keys])
+        w_rp = Window.partitionBy(RP).orderBy(*keys)
+        df = self.df
+        xs, last_fields, first_fields = {}, [F.lit(1).alias("one")], []
+        local = {"__lp_one": F.lag(F.lit(1)).over(w_rp)}
+        for i, op in enumerate(ops):
+            group = list(self.by if op.group is None else op.group)
+            e = F.col(op.expr) if isinstance(op.expr, str) else op.expr
+            xs[f"__x{i}"] = e
+            xs[f"__g{i}"] = F.struct(*[F.col(g) for g in group]) if group else F.lit(0)
+            if isinstance(op, Lag):
+                local[f"__lx{i}"] = F.lag(f"__x{i}").over(w_rp)
+                local[f"__lg{i}"] = F.lag(f"__g{i}").over(w_rp)
+                last_fields += [F.col(f"__x{i}").alias(f"x{i}"), F.col(f"__g{i}").alias(f"g{i}")]
+            else:
+                w = Window.partitionBy(RP, *group).orderBy(*keys).rowsBetween(Window.unboundedPreceding,
+                                                                               Window.currentRow)
+                local[f"__loc{i}"] = _RUN_LOCAL[op.how](f"__x{i}").over(w)
+                last_fields += [F.col(f"__g{i}").alias(f"g{i}"), F.col(f"__loc{i}").alias(f"t{i}")]
+                first_fields += [F.col(f"__g{i}").alias(f"g{i}")]
+        loc = df.withColumns(xs).withColumns(local)
+        summary = loc.groupBy(RP).agg(
+            F.max_by(F.struct(*last_fields), order_key).alias("L"),
+            F.min_by(F.struct(*(first_fields or [F.lit(0).alias("z")])), order_key).alias("F"))
         wo = Window.orderBy(RP)
-        carry = s2.select(RP, "F", F.lag("L").over(wo).alias("pL"), F.lag("cum").over(wo).alias("pcum"))
-        carry = carry.select(RP, F.when(F.col("pL").eqNullSafe(F.col("F")), F.col("pcum")).alias("__off"),
-                             F.col("pL").eqNullSafe(F.col("F")).alias("__cont"), F.col("F").alias("__F"))
-        j = local.join(F.broadcast(carry), RP, "left")
-        in_first_group = F.coalesce(F.col("__cont"), F.lit(False)) & F.col("__gk").eqNullSafe(F.col("__F"))
-        if how in ("sum", "count"):
-            combined = F.when(in_first_group & F.col("__off").isNotNull(),
-                              F.coalesce(F.col("__loc"), F.lit(0)) + F.col("__off")).otherwise(F.col("__loc"))
-            if how == "count":
-                combined = combined.cast("long")
-        else:
-            combined = F.when(in_first_group, F.col("__off") if how == "first"
-                              else F.coalesce(F.col("__off"), F.col("__loc"))).otherwise(F.col("__loc"))
-        out = j.withColumn(name, combined).drop("__x", "__loc", "__gk", "__off", "__cont", "__F")
-        return self._with(out)
+        cums = {}
+        for i, op in enumerate(ops):
+            if isinstance(op, Running):
+                # groups are contiguous: the first group of a range continues from
+                # earlier ranges iff it equals the previous range's last group
+                wl = Window.partitionBy(F.col(f"L.g{i}")).orderBy(RP).rowsBetween(Window.unboundedPreceding,
+                                                                                   Window.currentRow)
+                cums[f"cum{i}"] = _RUN_CARRY[op.how](f"L.t{i}").over(wl)
+        summary = summary.withColumns(cums) if cums else summary
+        carry_cols = [F.col(RP), F.lag(F.col("L.one")).over(wo).alias("c_one")]
+        for i, op in enumerate(ops):
+            if isinstance(op, Lag):
+                carry_cols += [F.lag(f"L.x{i}").over(wo).alias(f"c_x{i}"), F.lag(f"L.g{i}").over(wo).alias(f"c_g{i}")]
+            else:
+                carry_cols += [F.col(f"F.g{i}").alias(f"c_f{i}"), F.lag(f"L.g{i}").over(wo).alias(f"c_pl{i}"),
+                               F.lag(f"cum{i}").over(wo).alias(f"c_cum{i}")]
+        carry = summary.select(*carry_cols)
+        j = loc.join(F.broadcast(carry), RP, "left")
+        first_in_range = F.col("__lp_one").isNull()
+        out = {}
+        for i, op in enumerate(ops):
+            if isinstance(op, Lag):
+                prev_x = F.when(first_in_range, F.col(f"c_x{i}")).otherwise(F.col(f"__lx{i}"))
+                prev_g = F.when(first_in_range, F.col(f"c_g{i}")).otherwise(F.col(f"__lg{i}"))
+                has_prev = (F.when(first_in_range, F.col("c_one")).otherwise(F.col("__lp_one")).isNotNull()
+                            & prev_g.eqNullSafe(F.col(f"__g{i}")))
+                out[op.name] = F.when(has_prev, prev_x)
+            else:
+                cont = (F.coalesce(F.col(f"c_pl{i}").eqNullSafe(F.col(f"c_f{i}")), F.lit(False))
+                        & F.col(f"__g{i}").eqNullSafe(F.col(f"c_f{i}")))
+                loc_v, off = F.col(f"__loc{i}"), F.col(f"c_cum{i}")
+                if op.how in ("sum", "count"):
+                    v = F.when(cont & off.isNotNull(), F.coalesce(loc_v, F.lit(0)) + off).otherwise(loc_v)
+                    out[op.name] = v.cast("long") if op.how == "count" else v
+                elif op.how == "first":
+                    out[op.name] = F.when(cont, off).otherwise(loc_v)
+                else:
+                    out[op.name] = F.when(cont, F.coalesce(off, loc_v)).otherwise(loc_v)
+        res = j.withColumns(out)
+        drop = [c for c in res.columns if c.startswith("__") and c not in self.df.columns and c not in out] + \
+               [c for c in carry.columns if c != RP]
+        return self._with(res.drop(*drop))
 
     def row_number(self, name: str, group: Seq[str] | None = None) -> "Sequence":
         return self.running(name, F.lit(1), "count", group)

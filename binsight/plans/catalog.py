@@ -84,9 +84,18 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+class _Swapped(Tables):
+    def __init__(self, base: Tables, alias: dict[str, str]):
+        super().__init__()
+        self._base, self._alias = base, alias
+
+    def __missing__(self, name):
+        return self._base[self._alias.get(name, name)]
+
+
 def _deposits_from(t: Tables, name: str) -> Tables:
     """The same tables with ``conferimenti`` taken from another deposit binding."""
-    return Tables({**t, "conferimenti": t[name]})
+    return _Swapped(t, {"conferimenti": name})
 
 
 register("r01_restarts", _sql(["eventi", "infocomune"], f""",

@@ -309,9 +309,45 @@ class Tables(dict):
         return cls({n: spark.table(n) for n in names})
 
 
+_REGISTERED: dict[int, str] = {}
+
+
 def register_driver_tables(spark: SparkSession, sf_dir: str) -> None:
+    """Register the driver parquet files as temp views (once per session and
+    directory)."""
+    key = id(spark)
+    if _REGISTERED.get(key) == sf_dir and all(spark.catalog.tableExists(n) for n in ("lineitem", "events")):
+        return
     for name in DRIVER_TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    _REGISTERED[key] = sf_dir
+
+
+class _LazyTables(Tables):
+    """Domain tables built on first access (only what a report touches is parsed)."""
+
+    def __init__(self, spark: SparkSession, sql: dict[str, str]):
+        super().__init__()
+        self._spark, self._sql = spark, sql
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name not in self._sql:
+            raise KeyError(name)
+        df = self._spark.sql(self._sql[name])
+        self[name] = df
+        return df
+
+    def __iter__(self):
+        return iter(self._sql)
+
+    def keys(self):
+        return self._sql.keys()
+
+    def items(self):
+        return [(n, self[n]) for n in self._sql]
+
+    def __contains__(self, name) -> bool:
+        return name in self._sql
 
 
 def bind_driver_tables(spark: SparkSession, sf_dir: str,
@@ -319,8 +355,9 @@ def bind_driver_tables(spark: SparkSession, sf_dir: str,
     """Domain tables over the driver parquet files (lazy; nothing is read)."""
     register_driver_tables(spark, sf_dir)
     sql = binding_sql("spark")
-    wanted = list(names) if names is not None else list(sql)
-    return Tables({n: spark.sql(sql[n]) for n in wanted})
+    if names is not None:
+        sql = {n: sql[n] for n in names}
+    return _LazyTables(spark, sql)
 
 
 def duckdb_with_clause(names: Iterable[str]) -> str:
