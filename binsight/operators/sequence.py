@@ -31,6 +31,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from binsight.session import checkpoint_dir
+
 RP = "__rp"  # range partition id
 
 _RUN_LOCAL = {
@@ -83,9 +85,17 @@ class Sequence:
         self.keys = [*self.by, *self.order]
         self.n = _n_partitions(df, partitions)
         if _ranged is None:
-            _ranged = (df.repartitionByRange(self.n, *[F.col(k).asc_nulls_first() for k in self.keys])
-                         .withColumn(RP, F.spark_partition_id())
-                         .repartition(self.n, RP))
+            ranged = (df.repartitionByRange(self.n, *[F.col(k).asc_nulls_first() for k in self.keys])
+                        .withColumn(RP, F.spark_partition_id())
+                        .repartition(self.n, RP))
+            # The range id comes from the partition index, which Spark treats as
+            # nondeterministic: two scans of an un-pinned plan may sample
+            # different range bounds.  A reliable checkpoint (shared folder named
+            # by spark.checkpoint.dir) pins one partitioning for every later
+            # window and summary, keeps the hash partitioning on the range id,
+            # and lets a lost executor re-read instead of re-sampling.
+            checkpoint_dir(df.sparkSession)
+            _ranged = ranged.checkpoint(eager=False)
         self.df = _ranged
 
     def _with(self, df: DataFrame) -> "Sequence":
