@@ -1,0 +1,11 @@
+"""Streaming.
+
+The reference has no streaming input, watermark, time window or stateful
+operator: every report is a batch query over stored tables.  Nothing
+stream-specific is built here.
+
+The row-level reports and operators (period filters, format/length checks,
+listings) are plain DataFrame transformations and therefore also accept a
+streaming DataFrame from ``spark.readStream``; the windowed ones (LAG,
+running counts, de-duplication) are batch-only, as in the reference.
+"""
