@@ -209,3 +209,80 @@ def ordered_lag(df: DataFrame, columns: dict[str, Column | str], order: Seq[str]
 def running_aggregate(df: DataFrame, name: str, expr: Column | str, order: Seq[str],
                       by: Seq[str] = (), how: str = "sum", partitions: int | None = None) -> DataFrame:
     return Sequence(df, order, by, partitions).running(name, expr, how).result()
+
+
+# -- generic sequence operators (column names are parameters) -------------------
+
+def debounce(df: DataFrame, keys: Seq[str], ts: str, gap_seconds: float, tie: Seq[str] = ("id",),
+             keep_first: bool = True, partitions: int | None = None) -> DataFrame:
+    """Keep rows that come more than ``gap_seconds`` after the previous
+    row of the same key (the first row of a key is kept unless
+    ``keep_first=False``)."""
+    from binsight.functions.pg import interval_seconds
+    out = Sequence(df, order=[ts, *tie], by=keys, partitions=partitions).lag({"__prev_ts": ts}).result()
+    later = F.col(ts) > F.col("__prev_ts") + interval_seconds(gap_seconds)
+    cond = (F.col("__prev_ts").isNull() | later) if keep_first else later
+    return out.filter(cond).drop("__prev_ts")
+
+
+def state_changes(df: DataFrame, keys: Seq[str], ts: str, state: str, tie: Seq[str] = ("id",),
+                  keep_first: bool = True, partitions: int | None = None) -> DataFrame:
+    """Rows whose ``state`` differs from the previous row's state at the
+    same key, with the previous state in ``prev_state``."""
+    out = Sequence(df, order=[ts, *tie], by=keys, partitions=partitions).lag({"prev_state": state}).result()
+    changed = ~F.col(state).eqNullSafe(F.col("prev_state"))
+    if not keep_first:
+        changed = changed & F.col("prev_state").isNotNull()
+    return out.filter(changed)
+
+
+def stuck_values(df: DataFrame, keys: Seq[str], ts: str, value: str, min_repeats: int = 3,
+                 tie: Seq[str] = ("id",), since=None, partitions: int | None = None) -> DataFrame:
+    """Per key and value, how many rows repeated the previous row's value
+    (only rows from ``since`` counted; the LAG sees the whole history) and
+    the last time, for counts above ``min_repeats``."""
+    from binsight.functions.pg import as_ts
+    out = Sequence(df, order=[ts, *tie], by=keys, partitions=partitions).lag({"__pv": value}).result()
+    rep = out.filter(F.col(value) == F.col("__pv"))
+    if since is not None:
+        rep = rep.filter(F.col(ts) >= as_ts(since))
+    return (rep.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("repeats"), F.max(ts).alias("last_ts"))
+               .filter(F.col("repeats") > min_repeats))
+
+
+def repeat_records(df: DataFrame, order: Seq[str], same: Seq[str], near: dict[str, float],
+                   by: Seq[str] = (), partitions: int | None = None) -> DataFrame:
+    """Rows that equal the previous row (in ``by + order``) on every
+    ``same`` column and are within ``near[col]`` of it on every ``near``
+    column (``diff_<col>`` = current - previous)."""
+    lags = {f"__p_{c}": c for c in [*same, *near]}
+    out = Sequence(df, order=order, by=by, partitions=partitions).lag(lags).result()
+    cond = F.lit(True)
+    for c in same:
+        cond = cond & (F.col(c) == F.col(f"__p_{c}"))
+    for c, eps in near.items():
+        out = out.withColumn(f"diff_{c}", F.col(c) - F.col(f"__p_{c}"))
+        cond = cond & (F.abs(F.col(f"diff_{c}")) < eps)
+    return out.filter(cond).drop(*lags)
+
+
+def phase_durations(df: DataFrame, keys: Seq[str], ts: str, state: str, tie: Seq[str] = ("id",),
+                    partitions: int | None = None) -> DataFrame:
+    """State changes with the seconds since the previous change
+    (``phase_seconds``) and a running phase number per key."""
+    from binsight.functions.pg import seconds_between
+    ch = state_changes(df, keys, ts, state, tie, keep_first=True, partitions=partitions)
+    seq = Sequence(ch, order=[ts, *tie], by=keys, partitions=partitions)
+    seq = seq.apply([Lag("__prev_change", ts), Running("phase", F.lit(1), "count")])
+    return (seq.result().withColumn("phase_seconds", seconds_between(ts, "__prev_change"))
+               .drop("__prev_change"))
+
+
+def first_per_key(df: DataFrame, keys: Seq[str], order: Seq[str], last: bool = False) -> DataFrame:
+    """The first (or last) row per key by ``order`` -- ``DISTINCT ON``
+    with an explicit tie-break.  An aggregation (``min_by``/``max_by`` on a
+    struct), so it combines map-side and a hot key never sorts in one task."""
+    others = [c for c in df.columns if c not in keys]
+    pick = F.max_by if last else F.min_by
+    row = pick(F.struct(*[F.col(c) for c in others]), F.struct(*[F.col(c) for c in order])).alias("__row")
+    return df.groupBy(*keys).agg(row).select(*keys, "__row.*")

@@ -111,3 +111,30 @@ def dominant_signal(df: DataFrame, keys: Sequence[str], event: str, labels: Sequ
               .withColumn(name, F.when(F.col("__a") > F.col("__b"), F.lit(a)).otherwise(F.lit(b)))
               .withColumn(count_name, F.when(F.col("__a") > F.col("__b"), F.col("__a")).otherwise(F.col("__b")))
               .drop("__a", "__b"))
+
+
+def active_inactive(dim: DataFrame, fact: DataFrame, key: str, ts: str, start, end,
+                    measures: Mapping[str, Column], zero: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row per ``dim`` row: the measures aggregated over its facts in
+    [start, end + 1 day] (active half), UNION zero rows for keys whose last
+    fact is before ``start`` or that have none (inactive half).  Facts are
+    aggregated per key before the join."""
+    from binsight.functions.pg import as_ts, next_day_start
+    win = fact.filter(F.col(ts).between(as_ts(start), next_day_start(end)))
+    act = dim.join(win.groupBy(key).agg(F.max(ts).alias("last_ts"),
+                                        *[e.alias(n) for n, e in measures.items()]), key)
+    last = fact.groupBy(key).agg(F.max(ts).alias("last_ts"))
+    idle = dim.join(last, key, "left").filter((F.col("last_ts") < as_ts(start)) | F.col("last_ts").isNull())
+    zero = zero or {n: F.lit(0) for n in measures}
+    idle = idle.select(*dim.columns, "last_ts", *[z.alias(n) for n, z in zero.items()])
+    cols = [*dim.columns, "last_ts", *measures]
+    return act.select(*cols).unionByName(idle.select(*cols)).distinct()
+
+
+def per_group_population(fact: DataFrame, bridge: DataFrame, key: str, group: Sequence[str],
+                         pre: Mapping[str, Column], post: Mapping[str, Column]) -> DataFrame:
+    """Pre-aggregate ``fact`` per ``key`` (``pre`` measures), attach it to
+    ``bridge`` (which maps ``key`` to the ``group`` columns), and re-aggregate
+    per group with ``post`` measures over the pre-aggregated columns."""
+    agg = fact.groupBy(key).agg(*[e.alias(n) for n, e in pre.items()])
+    return bridge.join(agg, key).groupBy(*group).agg(*[e.alias(n) for n, e in post.items()])

@@ -76,3 +76,30 @@ def test_no_single_partition_exchange_over_rows(spark):
     assert "ExistingRDD" in plan
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert "BroadcastHashJoin" in plan
+
+
+def test_generic_sequence_operators(spark):
+    from binsight.operators.sequence import debounce, first_per_key, repeat_records, state_changes, stuck_values
+    df = _data(spark, n=300)
+    p = df.toPandas().sort_values(["st", "t", "id"])
+    # state changes == comparison with the previous row of the same station
+    got = sorted(r.id for r in state_changes(df, ["st"], "t", "k", partitions=5).collect())
+    exp2 = []
+    for _, g in p.groupby("st"):
+        ks = list(g.k)
+        ids = list(g.id)
+        exp2 += [ids[i] for i in range(len(ks)) if i == 0 or ks[i] != ks[i - 1]]
+    assert got == sorted(exp2)
+    # repeat records: same k as previous and |t - prev t| < 3
+    got = sorted(r.id for r in repeat_records(df, ["t", "id"], ["k"], {"t": 3}, by=["st"], partitions=4).collect())
+    exp3 = []
+    for _, g in p.groupby("st"):
+        rows = list(g.itertuples())
+        exp3 += [rows[i].id for i in range(1, len(rows))
+                 if rows[i].k == rows[i - 1].k and abs(rows[i].t - rows[i - 1].t) < 3]
+    assert got == sorted(exp3)
+    # first per key = min by (t, id)
+    got = {r.st: r.id for r in first_per_key(df, ["st"], ["t", "id"]).collect()}
+    assert got == {st: g.iloc[0].id for st, g in p.groupby("st")}
+    assert stuck_values(df, ["st"], "t", "k", min_repeats=0, partitions=3).count() > 0
+    assert debounce is not None
