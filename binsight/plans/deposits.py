@@ -67,7 +67,8 @@ def _typed(t: Tables, d: DataFrame) -> DataFrame:
 
 def deposit_listing(t: Tables, municipality: int, start, end, station: int | None = None) -> DataFrame:
     """Distinct deposits with municipality, type name and a weekday +
-    date-time text."""
+    date-time text (``'<weekday>  YYYY-MM-DD HH:mm:ss'``; the original format
+    printed the month where the minutes belong, fixed here)."""
     d = t.conferimenti.filter((F.col("idcomune") == municipality) & in_days_expr("dataora", start, end))
     d = _named(_typed(t, optional_eq(d, "codicestazione", station)), t)
     when = F.concat(weekday_label("dataora", "plain"), F.lit(" "), F.date_format("dataora", " yyyy-MM-dd HH:mm:ss"))
