@@ -81,5 +81,26 @@ def test_clock_repair_jump_back(spark):
     assert out[3].riavvio == 1 and out[3].flag
     assert out[3].nuovadataora == dt.datetime(2017, 3, 1, 11, 0, 30)      # previous time + 30 s
     assert out[4].riavvio == 2 and out[5].riavvio == 2
-    assert out[4].nuovadataora2 == out[3].nuovadataora + dt.timedelta(minutes=5) or out[4].nuovadataora is not None
+    # class 2 right after the jump: previous time - previous (negative) step
+    assert out[4].nuovadataora == dt.datetime(2017, 3, 1, 11, 0, 0)
+    # carried along the island: jump's rebuilt time + own step (5 min) ...
+    assert out[4].nuovadataora2 == dt.datetime(2017, 3, 1, 11, 5, 30)
+    # ... then first class-2 rebuilt time + running sum of positive steps (5 + 2 min)
+    assert out[5].nuovadataora2 == dt.datetime(2017, 3, 1, 11, 7, 0)
     assert out[3].conteggio == out[4].conteggio == out[5].conteggio
+
+
+def test_sinks_and_crosstab(spark, tmp_path):
+    import json
+
+    from binsight.operators.sink import crosstab, result_envelope, write_rows_json
+    df = spark.createDataFrame([(9, "42.9 , 13.5", None), (3, "x", "y")], "codice int, coordinate string, note string")
+    env = json.loads(result_envelope(df.orderBy("codice"), limit=10).first().json)
+    assert env == {"risultati": [["3", "x", "y"], ["9", "42.9 , 13.5", None]]}
+    path = str(tmp_path / "rows")
+    write_rows_json(df, path)
+    back = sorted(tuple(r.row) for r in spark.read.json(path).collect())
+    assert back == [("3", "x", "y"), ("9", "42.9 , 13.5", None)]
+    x = spark.createDataFrame([(1, 0, 2.0), (1, 1, 3.0), (2, 0, 1.0)], "st int, k int, v double")
+    got = {r.st: (r["0"], r["1"]) for r in crosstab(x, "st", "k", "v", values=[0, 1]).collect()}
+    assert got == {1: (2.0, 3.0), 2: (1.0, None)}
