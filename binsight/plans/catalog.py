@@ -142,6 +142,16 @@ WHERE l.dataora >= TIMESTAMP '1997-12-30 00:00:00' AND l.peso = l.pp
 GROUP BY l.idcomune, i.nome, l.codicestazione, l.peso HAVING count(DISTINCT l.dataora) > 3"""))(
     lambda s, d: D.stuck_weights(_deposits_from(_tables(s, d), "conferimenti_seq"), "1998-01-01"))
 
+register("r05_stuck_weights_literal", _sql(["conferimenti_seq", "infocomune"], """,
+l AS (SELECT idcomune, codicestazione, peso, dataora,
+             lag(peso) OVER (ORDER BY idcomune, codicestazione, dataora, id) AS pp FROM conferimenti_seq)
+SELECT concat(i.nome, ' ', CAST(l.codicestazione AS VARCHAR)) AS identificativo, l.peso,
+       count(DISTINCT l.dataora) AS numeroconferimenti, max(l.dataora) AS ultimodato
+FROM l JOIN infocomune i ON i.id = l.idcomune
+WHERE l.dataora >= TIMESTAMP '1997-12-30 00:00:00' AND l.peso = l.pp
+GROUP BY l.idcomune, i.nome, l.codicestazione, l.peso HAVING count(DISTINCT l.dataora) > 3"""))(
+    lambda s, d: D.stuck_weights(_deposits_from(_tables(s, d), "conferimenti_seq"), "1998-01-01", literal=True))
+
 register("r06_deposit_crosstab", _sql(["conferimenti"], "SELECT idcomune, codicestazione, " + ", ".join(
     f"sum(CASE WHEN tiporifiuto = {k} THEN peso END) AS t{k}" for k in range(7)) +
     " FROM conferimenti GROUP BY idcomune, codicestazione"))(
@@ -172,6 +182,17 @@ SELECT DISTINCT i.nome, l.idstazione AS stazione, l.evento, {WD_ACC('l.dataora')
 FROM l JOIN infocomune i ON i.id = l.idcomune WHERE l.evento <> l.evento2"""))(
     lambda s, d: E.power_changes(_tables(s, d), C, *EV))
 
+register("r08_power_changes_literal", _sql(["eventi", "infostazioni", "infocomune"], f""",
+e AS (SELECT DISTINCT e.idcomune, e.idstazione, e.idevento, e.note, e.dataora FROM eventi e
+      WHERE e.idevento LIKE '%TENSIONE_RETE%' AND e.idcomune = {C} AND {_days('e.dataora', *EV)}
+        AND CAST(e.dataora AS TIME) NOT BETWEEN TIME '02:50:00' AND TIME '03:50:00'
+        AND EXISTS (SELECT 1 FROM infostazioni s WHERE s.idcomune = e.idcomune AND s.codicestazione = e.idstazione)),
+l AS (SELECT *, concat(idevento, ' ', note) AS evento,
+             concat(idevento, ' ', lag(note) OVER (ORDER BY idstazione, dataora, note, idevento)) AS evento2 FROM e)
+SELECT DISTINCT i.nome, l.idstazione AS stazione, l.evento, {WD_ACC('l.dataora')} AS giorno, l.dataora AS orario
+FROM l JOIN infocomune i ON i.id = l.idcomune WHERE l.evento <> l.evento2"""))(
+    lambda s, d: E.power_changes(_tables(s, d), C, *EV, literal=True))
+
 register("r09_power_changes_asof", _sql(["eventi"], f"""
 SELECT a.idevento, a.dataora, a.idstazione, a.note FROM eventi AS a
 WHERE {_days('a.dataora', *EV)} AND a.idevento = 'TENSIONE_RETE' AND a.idcomune = {C}
@@ -277,7 +298,8 @@ register("r18_deposits_with_household_station", _sql(["conferimenti", "inforifiu
          "SELECT c.codicetag, a.codicenucleo, " + _LISTING + f" AND c.codicestazione = {STATION_DEP}"))(
     lambda s, d: D.deposits_with_household(_tables(s, d), C, *DEP, station=STATION_DEP))
 
-R19 = dict(start="2024-01-01", end="2024-01-31", open_before=21600.0, close_after=43200.0, pair_window=43200.0)
+R19 = dict(start="2024-01-01", end="2024-01-31", open_before=86400.0, close_after=172800.0, pair_window=172800.0)
+_OB, _CA = int(R19["open_before"]), int(R19["close_after"])
 _SN = "CASE WHEN strlen({0}) BETWEEN 1 AND 3 THEN {0} END"  # strlen = bytes
 register("r19_wrong_bin", _sql(["conferimenti_evt", "eventi", "infocassonetti", "inforifiuti", "infocomune"], f""",
 dati AS (SELECT DISTINCT d.idcomune, d.codicestazione, d.tiporifiuto, d.codiceanomalia, d.dataora, b.inputplc1 AS input
@@ -294,7 +316,7 @@ op AS (SELECT idcomune AS comune, idstazione AS stazione, idevento, note, dataor
 pairs AS (SELECT DISTINCT op.comune, op.stazione, concat(op.idevento, ' ', {_SN.format('op.note')}) AS evento, op.data, c3.data2,
                  c3.evento2, TRY_CAST({_SN.format('op.note')} AS SMALLINT) AS in1, TRY_CAST(c3.snote2 AS SMALLINT) AS in2
           FROM op JOIN c3 ON c3.idcomune = op.comune AND c3.idstazione = op.stazione
-           AND c3.data2 BETWEEN op.data AND op.data + INTERVAL 43200 SECOND),
+           AND c3.data2 BETWEEN op.data AND op.data + INTERVAL {_CA} SECOND),
 ev2c AS (SELECT p.*, b.inputplc1 FROM pairs p
          JOIN (SELECT DISTINCT idcomune, codicestazione, inputplc1 FROM infocassonetti) b
            ON b.idcomune = p.comune AND b.codicestazione = p.stazione AND (b.inputplc1 = p.in1 OR b.inputplc1 = p.in2)),
@@ -304,8 +326,8 @@ ev2 AS (SELECT comune, stazione, data, data2, min(inputplc1) AS inputplc1, arg_m
 m AS (SELECT d.*, e.data, e.data2, e.in2,
              CASE WHEN coalesce(e.in2 = d.input, false) THEN 'OK' ELSE 'ANOMALIA' END AS anomalia
       FROM dati d JOIN ev2 e ON e.comune = d.idcomune AND e.stazione = d.codicestazione AND e.inputplc1 = d.input
-      WHERE e.data2 BETWEEN d.dataora AND d.dataora + INTERVAL 43200 SECOND
-        AND e.data BETWEEN d.dataora - INTERVAL 21600 SECOND AND d.dataora),
+      WHERE e.data2 BETWEEN d.dataora AND d.dataora + INTERVAL {_CA} SECOND
+        AND e.data BETWEEN d.dataora - INTERVAL {_OB} SECOND AND d.dataora),
 one AS (SELECT idcomune AS comune, codicestazione AS stazione, dataora, tiporifiuto, anomalia FROM m
         QUALIFY row_number() OVER (PARTITION BY idcomune, codicestazione, dataora ORDER BY data, data2, tiporifiuto) = 1)
 SELECT concat(i.nome, ' ', CAST(one.stazione AS VARCHAR)) AS identificativo, concat('Cassonetto ', r.descrizione) AS rifiuto,
@@ -315,6 +337,42 @@ JOIN infocomune i ON i.id = one.comune
 GROUP BY i.nome, one.stazione, r.descrizione HAVING count(CASE WHEN anomalia = 'ANOMALIA' THEN 1 END) <> 0"""))(
     lambda s, d: D.wrong_bin(_tables(s, d), deposits="conferimenti_evt", **R19))
 
+register("r19_wrong_bin_literal", _sql(["conferimenti_evt", "eventi", "infocassonetti", "inforifiuti", "infocomune"], f""",
+dati AS (SELECT DISTINCT d.idcomune, d.codicestazione, d.tiporifiuto, d.codiceanomalia, d.dataora, b.inputplc1 AS input
+         FROM (SELECT DISTINCT idcomune, codicestazione, tiporifiuto, codiceanomalia, dataora FROM conferimenti_evt
+               WHERE {_inst('dataora', '2024-01-01', '2024-01-31')}) d
+         JOIN infocassonetti b ON b.idcomune = d.idcomune AND b.codicestazione = d.codicestazione AND b.tiporifiuto = d.tiporifiuto),
+cl AS (SELECT DISTINCT idcomune, idstazione, idevento, note, dataora FROM eventi WHERE idevento = 'CHIUSURA'),
+c2 AS (SELECT idcomune, idstazione, idevento, lag(dataora) OVER w AS data2, lag({_SN.format('note')}) OVER w AS snote2,
+              lag(note) OVER w AS note2
+       FROM cl WINDOW w AS (PARTITION BY idcomune, idstazione ORDER BY dataora, note)),
+c3 AS (SELECT idcomune, idstazione, data2, snote2, note2, concat(idevento, ' ', snote2) AS evento2 FROM c2 WHERE data2 IS NOT NULL),
+op AS (SELECT idcomune AS comune, idstazione AS stazione, idevento, note, dataora AS data FROM eventi
+       WHERE idevento = 'APERTURA' AND {_days('dataora', '2024-01-01', '2024-01-31')}),
+pairs AS (SELECT DISTINCT op.comune, op.stazione, concat(op.idevento, ' ', {_SN.format('op.note')}) AS evento, op.data, c3.data2,
+                 c3.evento2, TRY_CAST({_SN.format('op.note')} AS SMALLINT) AS in1, TRY_CAST(c3.snote2 AS SMALLINT) AS in2
+          FROM op JOIN c3 ON c3.idcomune = op.comune AND c3.idstazione = op.stazione
+           AND c3.data2 BETWEEN op.data AND op.data + INTERVAL {_CA} SECOND),
+ev2c AS (SELECT p.*, b.inputplc1 FROM pairs p
+         JOIN (SELECT DISTINCT idcomune, codicestazione, inputplc1 FROM infocassonetti) b
+           ON b.idcomune = p.comune AND b.codicestazione = p.stazione AND (b.inputplc1 = p.in1 OR b.inputplc1 = p.in2)),
+ev2 AS (SELECT comune, stazione, data, data2, inputplc1, evento, evento2, in2 FROM ev2c
+        QUALIFY row_number() OVER (PARTITION BY data, data2 ORDER BY comune, stazione, inputplc1) = 1),
+m AS (SELECT d.*, e.data, e.data2, e.in2,
+             CASE WHEN e.evento2 NOT ILIKE '%' || CAST(d.input AS VARCHAR) || '%' THEN 'ANOMALIA' ELSE 'OK' END AS anomalia
+      FROM dati d JOIN ev2 e ON e.comune = d.idcomune AND e.stazione = d.codicestazione AND e.inputplc1 = d.input
+      WHERE e.data2 BETWEEN d.dataora AND d.dataora + INTERVAL {_CA} SECOND
+        AND e.data BETWEEN d.dataora - INTERVAL {_OB} SECOND AND d.dataora),
+one AS (SELECT idcomune AS comune, codicestazione AS stazione, dataora, tiporifiuto, anomalia FROM m
+        QUALIFY row_number() OVER (PARTITION BY dataora ORDER BY idcomune, codicestazione, data, data2, tiporifiuto) = 1)
+SELECT concat(i.nome, ' ', CAST(one.stazione AS VARCHAR)) AS identificativo, concat('Cassonetto ', r.descrizione) AS rifiuto,
+       count(CASE WHEN anomalia = 'ANOMALIA' THEN 1 END) AS numeroanomalie
+FROM one JOIN inforifiuti r ON r.idcomune = one.comune AND r.codicerifiuto = one.tiporifiuto
+JOIN infocomune i ON i.id = one.comune
+GROUP BY i.nome, one.stazione, r.descrizione HAVING count(CASE WHEN anomalia = 'ANOMALIA' THEN 1 END) <> 0"""))(
+    lambda s, d: D.wrong_bin(_tables(s, d), deposits="conferimenti_evt", literal=True, **R19))
+
+
 _R20 = f"count(id) AS numconferimenti, max(dataora) AS ultimaora, {_cat_sums()}, " \
        "sum(CASE WHEN tiporifiuto > 0 THEN peso END) AS diff, sum(peso) AS totpeso FROM conferimenti"
 register("r20_recent_totals", _sql(["conferimenti"], f"""
@@ -673,6 +731,23 @@ WHERE CAST(l.ultimoinvio AS DATE) <> DATE '2024-01-30'
   AND s.idcomune IS NOT NULL AND s.codicestazione IS NOT NULL"""))(
     lambda s, d: D.stale_stations(_tables(s, d), "2024-01-30 12:00:00", deposits="conferimenti_evt"))
 
+register("r53_stale_stations_literal", _sql(["conferimenti_evt", "eventi", "logoperatore", "infostazioni", "infocomune"], """,
+last AS (SELECT DISTINCT c.idcomune, c.codicestazione,
+                CASE WHEN max1 > max2 THEN (CASE WHEN max1 > max3 THEN max1 ELSE max3 END)
+                     ELSE (CASE WHEN max2 > max3 THEN max2 ELSE max3 END) END AS ultimoinvio
+         FROM (SELECT idcomune, codicestazione, max(dataora) AS max1 FROM conferimenti_evt GROUP BY idcomune, codicestazione) c
+         RIGHT JOIN (SELECT idcomune, idstazione, max(dataora) AS max2 FROM eventi GROUP BY idcomune, idstazione) e
+           ON e.idstazione = c.codicestazione AND e.idcomune = c.idcomune
+         RIGHT JOIN (SELECT idcomune, codicestazione, max(dataora) AS max3 FROM logoperatore GROUP BY idcomune, codicestazione) l
+           ON l.codicestazione = e.idstazione AND l.idcomune = e.idcomune)
+SELECT DISTINCT i.nome, s.codicestazione, l.ultimoinvio
+FROM infocomune i JOIN infostazioni s ON s.idcomune = i.id
+JOIN last l ON l.idcomune = s.idcomune AND l.codicestazione = s.codicestazione
+WHERE CAST(l.ultimoinvio AS DATE) <> DATE '2024-01-30'
+  AND l.ultimoinvio NOT BETWEEN TIMESTAMP '2024-01-30 00:00:00' AND TIMESTAMP '2024-01-30 12:00:00'
+  AND s.idcomune IS NOT NULL AND s.codicestazione IS NOT NULL"""))(
+    lambda s, d: D.stale_stations(_tables(s, d), "2024-01-30 12:00:00", deposits="conferimenti_evt", literal=True))
+
 P54 = ("1999-06-01", "2001-12-31")
 register("r54_per_capita_totals", _sql(["associazionenuclei", "conferimenti", "datinuclei"], f""",
 c AS (SELECT a.codicenucleo, max(d.dataora) AS dataora, count(d.id) AS conf

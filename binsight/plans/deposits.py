@@ -38,13 +38,18 @@ def duplicate_deposits(t: Tables, start) -> DataFrame:
                                   F.col("conteggio")).distinct())
 
 
-def stuck_weights(t: Tables, start, min_repeats: int = 3, days_back: int = 2) -> DataFrame:
+def stuck_weights(t: Tables, start, min_repeats: int = 3, days_back: int = 2, literal: bool = False) -> DataFrame:
     """Stuck scale -- a deposit weighing exactly what the previous
     deposit at the same station weighed, more than ``min_repeats`` times for
     that weight since ``start - days_back`` days; the LAG runs over the whole
-    history, the period is applied afterwards."""
+    history, the period is applied afterwards.  ``literal=True`` keeps the
+    original unpartitioned LAG over (municipality, station, time), so a
+    station's first deposit is compared with the previous station's last."""
     d = t.conferimenti.select("id", "idcomune", "codicestazione", "dataora", "peso")
-    seq = Sequence(d, order=["dataora", "id"], by=["idcomune", "codicestazione"]).lag({"__pp": "peso"})
+    if literal:
+        seq = Sequence(d, order=["idcomune", "codicestazione", "dataora", "id"]).lag({"__pp": "peso"})
+    else:
+        seq = Sequence(d, order=["dataora", "id"], by=["idcomune", "codicestazione"]).lag({"__pp": "peso"})
     since = (as_ts(start) - F.expr(f"INTERVAL {int(days_back)} DAY")).cast("timestamp_ntz")
     rep = seq.result().filter((F.col("dataora") >= since) & (F.col("peso") == F.col("__pp")))
     g = (rep.groupBy("idcomune", "codicestazione", "peso")
@@ -188,15 +193,30 @@ def bin_averages(t: Tables) -> DataFrame:
                        extra={"aggiornato": F.max("dataora")})
 
 
-def stale_stations(t: Tables, as_of, within_hours: float = 12.0, deposits: str = "conferimenti") -> DataFrame:
+def stale_stations(t: Tables, as_of, within_hours: float = 12.0, deposits: str = "conferimenti",
+                   literal: bool = False) -> DataFrame:
     """Stations whose newest deposit / event / operator-log time is
     neither on the day of ``as_of`` nor within ``within_hours`` before it.
     Sources are pre-aggregated per station and merged (a station missing
-    from one source still counts)."""
+    from one source still counts).  ``literal=True`` keeps the original
+    right-join chain keyed on the deposit side, which drops every station
+    without deposits, and its NULL-unsafe three-way maximum."""
     dep = t[deposits].select("idcomune", "codicestazione", "dataora")
     ev = t.eventi.select("idcomune", F.col("idstazione").alias("codicestazione"), "dataora")
     log = t.logoperatore.select("idcomune", "codicestazione", "dataora")
-    last = last_seen([dep, ev, log], ["idcomune", "codicestazione"], "dataora", "ultimoinvio")
+    if literal:
+        c = dep.groupBy("idcomune", "codicestazione").agg(F.max("dataora").alias("max1"))
+        e = ev.groupBy(F.col("idcomune").alias("__ec"), F.col("codicestazione").alias("__es")).agg(
+            F.max("dataora").alias("max2"))
+        lg = log.groupBy(F.col("idcomune").alias("__lc"), F.col("codicestazione").alias("__ls")).agg(
+            F.max("dataora").alias("max3"))
+        j = (c.join(e, (e.__es == c.codicestazione) & (e.__ec == c.idcomune), "right")
+              .join(lg, (lg.__ls == e.__es) & (lg.__lc == e.__ec), "right"))
+        m1, m2, m3 = F.col("max1"), F.col("max2"), F.col("max3")
+        top = F.when(m1 > m2, F.when(m1 > m3, m1).otherwise(m3)).otherwise(F.when(m2 > m3, m2).otherwise(m3))
+        last = j.select("idcomune", "codicestazione", top.alias("ultimoinvio")).distinct()
+    else:
+        last = last_seen([dep, ev, log], ["idcomune", "codicestazione"], "dataora", "ultimoinvio")
     last = stale(last, "ultimoinvio", as_of, within_hours)
     st = t.infostazioni.filter(F.col("idcomune").isNotNull() & F.col("codicestazione").isNotNull()) \
                        .select("idcomune", "codicestazione")
@@ -209,13 +229,19 @@ def _short_note(c: str):
 
 
 def wrong_bin(t: Tables, start, end, open_before=10.0, close_after=120.0, pair_window=120.0,
-              deposits: str = "conferimenti") -> DataFrame:
+              deposits: str = "conferimenti", literal: bool = False) -> DataFrame:
     """Deposits whose lid cycle (an opening within ``open_before``
     seconds before the deposit and a closing within ``close_after`` seconds
     after it, at the same station and on the bin expected for the waste type)
     reports a different bin input on the closing; anomalies per station and
     bin.  Stations are part of every de-duplication key, bin inputs are
     compared as integers, and non-numeric notes never break the cast.
+
+    ``literal=True`` keeps the original de-duplication keys (opening/closing
+    times only, then the deposit time only -- simultaneous events at other
+    stations vanish; the row kept is the one of the lowest station) and the
+    substring test of the bin input in the closing text (input 1 matches a
+    note "12").
     """
     dep = t[deposits].filter(in_instants_expr("dataora", start, end)).select(
         "idcomune", "codicestazione", "tiporifiuto", "codiceanomalia", "dataora").distinct()
@@ -241,21 +267,37 @@ def wrong_bin(t: Tables, start, end, open_before=10.0, close_after=120.0, pair_w
     cand = pairs.withColumn("__in", F.explode(F.array_distinct(F.array("__in1", "__in2")))).filter(F.col("__in").isNotNull())
     b = bins.select(F.col("idcomune").alias("__bc"), F.col("codicestazione").alias("__bs"), "inputplc1").distinct()
     ev2 = cand.join(b, (cand.comune == b.__bc) & (cand.stazione == b.__bs) & (cand.__in == b.inputplc1))
-    # DISTINCT ON (station, open, close): keep the smallest matching input
-    ev2 = (ev2.groupBy("comune", "stazione", "data", "data2")
-              .agg(F.min_by(F.struct("evento", "evento2", "__in2"), F.col("inputplc1")).alias("__r"),
-                   F.min("inputplc1").alias("inputplc1"))
-              .select("comune", "stazione", "data", "data2", "inputplc1", "__r.*"))
+    if literal:
+        # DISTINCT ON (open, close): one row across all stations
+        ev2 = (ev2.groupBy("data", "data2")
+                  .agg(F.min_by(F.struct("comune", "stazione", "inputplc1", "evento", "evento2", "__in2"),
+                                F.struct("comune", "stazione", "inputplc1")).alias("__r"))
+                  .select("data", "data2", "__r.*"))
+    else:
+        # DISTINCT ON (station, open, close): keep the smallest matching input
+        ev2 = (ev2.groupBy("comune", "stazione", "data", "data2")
+                  .agg(F.min_by(F.struct("evento", "evento2", "__in2"), F.col("inputplc1")).alias("__r"),
+                       F.min("inputplc1").alias("inputplc1"))
+                  .select("comune", "stazione", "data", "data2", "inputplc1", "__r.*"))
     # deposit <-> lid cycle: close in [dep, dep + close_after], open in [dep - open_before, dep]
     m = interval_match(dati, ev2, ["idcomune", "codicestazione", "input"], ["comune", "stazione", "inputplc1"],
                        "dataora", "data", -float(open_before), 0)
     m = m.filter(F.col("data2").between(F.col("dataora"), F.col("dataora") + interval_seconds(close_after)))
-    m = m.withColumn("anomalia", F.when(F.coalesce(F.col("__in2") == F.col("input"), F.lit(False)), F.lit(OK))
-                                   .otherwise(F.lit(ANOMALY)))
-    # DISTINCT ON (station, deposit time): earliest opening, then closing
-    one = (m.groupBy("comune", "stazione", "dataora")
-            .agg(F.min_by(F.struct("tiporifiuto", "anomalia"), F.struct("data", "data2", "tiporifiuto")).alias("__r"))
-            .select("comune", "stazione", "dataora", "__r.*"))
+    if literal:
+        m = m.withColumn("anomalia", F.when(F.lower("evento2").contains(F.col("input").cast("string")), F.lit(OK))
+                                       .otherwise(F.lit(ANOMALY)))
+        # DISTINCT ON (deposit time): one row across all stations
+        one = (m.groupBy("dataora")
+                .agg(F.min_by(F.struct("comune", "stazione", "tiporifiuto", "anomalia"),
+                              F.struct("comune", "stazione", "data", "data2", "tiporifiuto")).alias("__r"))
+                .select("dataora", "__r.*"))
+    else:
+        m = m.withColumn("anomalia", F.when(F.coalesce(F.col("__in2") == F.col("input"), F.lit(False)), F.lit(OK))
+                                       .otherwise(F.lit(ANOMALY)))
+        # DISTINCT ON (station, deposit time): earliest opening, then closing
+        one = (m.groupBy("comune", "stazione", "dataora")
+                .agg(F.min_by(F.struct("tiporifiuto", "anomalia"), F.struct("data", "data2", "tiporifiuto")).alias("__r"))
+                .select("comune", "stazione", "dataora", "__r.*"))
     rif = t.inforifiuti.select(F.col("idcomune").alias("__rc"), F.col("codicerifiuto").alias("__code"), "descrizione")
     j = one.join(F.broadcast(rif), (one.comune == rif.__rc) & (one.tiporifiuto == rif.__code))
     j = _named(j, t, on="comune")

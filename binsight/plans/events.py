@@ -100,10 +100,14 @@ def label_alarms(t: Tables, start, end, literal: bool = False) -> DataFrame:
         pg_concat(weekday_label(last_day, "accented"), F.lit(" "), last_day.cast("string")).alias("ultimoinvio"))
 
 
-def power_changes(t: Tables, municipality: int, start, end, station: int | None = None) -> DataFrame:
+def power_changes(t: Tables, municipality: int, start, end, station: int | None = None,
+                  literal: bool = False) -> DataFrame:
     """Mains-power state changes per station (night window excluded),
     for stations registered in ``infostazioni``.  The first event of a
-    station counts as a change (its previous state is empty)."""
+    station counts as a change (its previous state is empty).
+    ``literal=True`` keeps the original unpartitioned LAG ordered by station
+    and time, so a station's first event is compared with the previous
+    station's last note."""
     e = t.eventi.filter(F.col("idevento").like(POWER_PATTERN) & (F.col("idcomune") == municipality)
                         & in_days_expr("dataora", start, end))
     e = optional_eq(e, "idstazione", station)
@@ -111,7 +115,10 @@ def power_changes(t: Tables, municipality: int, start, end, station: int | None
     st = t.infostazioni.select(F.col("idcomune").alias("__c"), F.col("codicestazione").alias("__s"))
     e = (e.join(st, (e.idcomune == st.__c) & (e.idstazione == st.__s), "left_semi")
           .select("idcomune", "idstazione", "idevento", "note", "dataora").distinct())
-    seq = Sequence(e, order=["dataora", "note", "idevento"], by=["idcomune", "idstazione"]).lag({"__pnote": "note"})
+    if literal:
+        seq = Sequence(e, order=["idstazione", "dataora", "note", "idevento"]).lag({"__pnote": "note"})
+    else:
+        seq = Sequence(e, order=["dataora", "note", "idevento"], by=["idcomune", "idstazione"]).lag({"__pnote": "note"})
     ch = (seq.result()
              .withColumn("evento", pg_concat("idevento", F.lit(" "), "note"))
              .withColumn("__evento2", pg_concat("idevento", F.lit(" "), "__pnote"))
