@@ -12,7 +12,7 @@ from binsight.operators.sequence import Lag, Running, Sequence
 
 def clock_repair(df: DataFrame, cutoff, keys=("idcomune", "codicestazione"), seq: str = "id",
                  ts: str = "dataora", restart_gap_seconds: float = 30.0, min_id: int | None = None,
-                 valid: "F.Column | None" = None) -> DataFrame:
+                 valid: "F.Column | None" = None, literal: bool = False) -> DataFrame:
     """O20.  Rows in (keys, seq) order, per station:
 
     * class 1 (``flag``): the clock went back (``ts`` < previous ``ts``);
@@ -30,7 +30,16 @@ def clock_repair(df: DataFrame, cutoff, keys=("idcomune", "codicestazione"), seq
     island (after a jump: previous ``nuovadataora`` + step; after another
     class-2 row: the island's first class-2 ``nuovadataora`` + running sum of
     positive steps in the island).
+
+    ``literal=True`` keeps the original construction: the steps are measured
+    by LAGs over the global (keys, seq) order (a station's first row is
+    compared with the previous station's last), the three classes are a
+    UNION, so a record can be emitted twice (class 1 and class 0/2), the island
+    counter includes such twins as peers, and ``nuovadataora`` uses the
+    global LAG.  Twins are ordered by class (the original order is arbitrary).
     """
+    if literal:
+        return _clock_repair_literal(df, cutoff, list(keys), seq, ts, restart_gap_seconds, min_id, valid)
     keys = list(keys)
     x = df
     if valid is not None:
@@ -74,3 +83,47 @@ def clock_repair(df: DataFrame, cutoff, keys=("idcomune", "codicestazione"), seq
     return (z.withColumn("nuovadataora2", nuova2.cast("timestamp_ntz"))
              .withColumn("idn", F.col(seq))
              .drop("__pr", "__pts", "__pdelta", "__pnuova", "__first2", "__possum"))
+
+
+def _clock_repair_literal(df, cutoff, keys, seq, ts, restart_gap_seconds, min_id, valid):
+    x = df if valid is None else df.filter(valid)
+    cut = as_ts(cutoff)
+    x = x.withColumn("__side", F.when(F.col(ts) > cut, 1).when(F.col(ts) < cut, -1).otherwise(0))
+    order = [*keys, seq]
+    base = Sequence(x, order=order).lag({"__prev_ts": ts}).result()                       # global LAG
+    side = Sequence(base, order=order, by=["__side"]).lag({"__prev_side_ts": ts}).result()  # global per side
+    d_all = seconds_between(ts, "__prev_ts")
+    d_side = seconds_between(ts, "__prev_side_ts")
+    rec = (side.withColumn("__d_all", d_all).withColumn("__d_side", d_side)
+               .withColumn("__classes", F.filter(F.array(
+                   F.when(F.col("__d_all") < 0, F.lit(1)),
+                   F.when((F.col("__side") == 1) & (F.col("__d_side") > 0), F.lit(0)),
+                   F.when((F.col("__side") == -1) & (F.col("__d_side") > 0), F.lit(2))), lambda c: c.isNotNull()))
+               .filter(F.size("__classes") > 0))
+    if min_id is not None:
+        rec = rec.filter(F.col(seq) > min_id)
+    # island counter per record = the original running COUNT whose frame
+    # includes a record's twin rows as peers
+    rec = Sequence(rec, order=order).running("conteggio", F.when(F.col("__d_all") < 0, F.lit(1)), "count",
+                                             group=[]).result()
+    rows = (rec.withColumn("riavvio", F.explode("__classes"))
+               .withColumn("delta_dataora", F.when(F.col("riavvio") == 1, F.col("__d_all")).otherwise(F.col("__d_side")))
+               .withColumn("flag", F.col("riavvio") == 1)
+               .drop("__classes", "__d_all", "__d_side", "__prev_ts", "__prev_side_ts", "__side"))
+    g = Sequence(rows, order=[*order, "riavvio"])
+    g = g.apply([Lag("__gpr", "riavvio", group=[]), Lag("__gpts", ts, group=[]),
+                 Lag("__gpdelta", "delta_dataora", group=[]), Lag("__pr", "riavvio", group=keys)])
+    secs = lambda v: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), v)
+    nuova = (F.when((F.col("riavvio") == 1) & (F.col("__gpr") == 0), F.col("__gpts") + interval_seconds(restart_gap_seconds))
+              .when((F.col("riavvio") == 2) & (F.col("__gpr") == 1), F.col("__gpts") - secs(F.col("__gpdelta"))))
+    g = g._with(g.df.withColumn("nuovadataora", nuova.cast("timestamp_ntz")))
+    island = [*keys, "conteggio"]
+    first2 = F.when(F.col("riavvio") == 2, F.struct(F.col(seq).alias("s"), F.col("nuovadataora").alias("v")))
+    g = g.apply([Lag("__pnuova", "nuovadataora", group=island),
+                 Running("__first2", first2, "first_nonnull", group=island),
+                 Running("__possum", F.when(F.col("delta_dataora") > 0, F.col("delta_dataora")), "sum", group=island)])
+    z = g.result()
+    nuova2 = (F.when((F.col("riavvio") == 2) & (F.col("__pr") == 1), F.col("__pnuova") + secs(F.col("delta_dataora")))
+               .when((F.col("riavvio") == 2) & (F.col("__pr") == 2), F.col("__first2.v") + secs(F.col("__possum"))))
+    return (z.withColumn("nuovadataora2", nuova2.cast("timestamp_ntz")).withColumn("idn", F.col(seq))
+             .drop("__gpr", "__gpts", "__gpdelta", "__pr", "__pnuova", "__first2", "__possum"))

@@ -706,6 +706,49 @@ def _r51(s, d):
                       "nuovadataora", "flag", "conteggio", "nuovadataora2")
 
 
+register("r51_clock_repair_literal", _sql(["conferimenti_seq"], """,
+base AS (SELECT idcomune, codicestazione, id, dataora, data FROM conferimenti_seq WHERE idcomune > 1 AND data > DATE '1900-01-01'),
+t1 AS (SELECT id, delta, true AS flag, 1 AS riavvio FROM (
+         SELECT id, date_diff('microsecond', lag(dataora) OVER (ORDER BY idcomune, codicestazione, id), dataora) / 1000000.0 AS delta
+         FROM base) z WHERE delta < 0),
+t2 AS (SELECT id, delta, false AS flag, 0 AS riavvio FROM (
+         SELECT id, date_diff('microsecond', lag(dataora) OVER (ORDER BY idcomune, codicestazione, id), dataora) / 1000000.0 AS delta
+         FROM base WHERE dataora > TIMESTAMP '1998-07-01 00:00:00') z WHERE delta > 0),
+t3 AS (SELECT id, delta, false AS flag, 2 AS riavvio FROM (
+         SELECT id, date_diff('microsecond', lag(dataora) OVER (ORDER BY idcomune, codicestazione, id), dataora) / 1000000.0 AS delta
+         FROM base WHERE dataora < TIMESTAMP '1998-07-01 00:00:00') z WHERE delta > 0),
+tj AS (SELECT * FROM t1 UNION SELECT * FROM t2 UNION SELECT * FROM t3),
+tc AS (SELECT c.idcomune, c.codicestazione, c.codicetag, c.dataora, c.id AS idn, c.data, tj.delta AS delta_dataora, tj.riavvio, tj.flag
+       FROM conferimenti_seq c JOIN tj ON c.id = tj.id),
+w1 AS (SELECT *, count(CASE WHEN flag THEN 1 END) OVER (ORDER BY idcomune, codicestazione, idn) AS conteggio,
+              lag(riavvio) OVER g AS gpr, lag(dataora) OVER g AS gpts, lag(delta_dataora) OVER g AS gpdelta
+       FROM tc WINDOW g AS (ORDER BY idcomune, codicestazione, idn, riavvio)),
+w2 AS (SELECT *, CASE WHEN riavvio = 1 AND gpr = 0 THEN gpts + INTERVAL 30 SECOND
+                      WHEN riavvio = 2 AND gpr = 1 THEN gpts - to_microseconds(CAST(round(gpdelta * 1000000) AS BIGINT)) END AS nuovadataora
+       FROM w1),
+tn AS (SELECT * FROM w2 WHERE idcomune = 2 AND codicestazione = 1),
+w3 AS (SELECT *, lag(riavvio) OVER (PARTITION BY idcomune, codicestazione ORDER BY idn, riavvio) AS pr,
+              lag(nuovadataora) OVER (PARTITION BY idcomune, codicestazione, conteggio ORDER BY idn, riavvio) AS pnuova,
+              first_value(nuovadataora) OVER (PARTITION BY idcomune, codicestazione, riavvio, conteggio ORDER BY idn) AS fv,
+              sum(CASE WHEN delta_dataora > 0 THEN delta_dataora END)
+                OVER (PARTITION BY idcomune, codicestazione, conteggio ORDER BY idn) AS possum
+       FROM tn)
+SELECT idcomune, codicestazione, codicetag, dataora, idn, data, delta_dataora, riavvio, nuovadataora, flag, conteggio,
+       CASE WHEN riavvio = 2 AND pr = 1 THEN pnuova + to_microseconds(CAST(round(delta_dataora * 1000000) AS BIGINT))
+            WHEN riavvio = 2 AND pr = 2 THEN fv + to_microseconds(CAST(round(possum * 1000000) AS BIGINT)) END AS nuovadataora2
+FROM w3"""))
+
+
+@register("r51_clock_repair_literal")
+def _r51_literal(s, d):
+    t = _tables(s, d)
+    out = clock_repair(t.conferimenti_seq, valid=(F.col("idcomune") > 1) & (F.col("data") > F.lit("1900-01-01").cast("date")),
+                       literal=True, **R51)
+    out = out.filter((F.col("idcomune") == 2) & (F.col("codicestazione") == 1))
+    return out.select("idcomune", "codicestazione", "codicetag", "dataora", "idn", "data", "delta_dataora", "riavvio",
+                      "nuovadataora", "flag", "conteggio", "nuovadataora2")
+
+
 register("r52_per_capita_by_type", _sql(["associazionenuclei", "conferimenti", "datinuclei", "inforifiuti"], f""",
 a AS (SELECT * FROM associazionenuclei WHERE idcomune = {C}),
 c AS (SELECT a.codicenucleo, max(d.dataora) AS dataora, count(d.id) AS conf, d.tiporifiuto, sum(d.peso) AS peso
