@@ -1,0 +1,18 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest dimension we broadcast without asking the optimizer (rows).
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows
+    (a bounded count: at most ``max_rows + 1`` rows are read).  Beyond that
+    the plain DataFrame is returned and the join is left to AQE (shuffle
+    join, skew splitting, or a broadcast chosen from runtime sizes)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

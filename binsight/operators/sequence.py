@@ -165,6 +165,7 @@ class Sequence:
                 carry_cols += [F.col(f"F.g{i}").alias(f"c_f{i}"), F.lag(f"L.g{i}").over(wo).alias(f"c_pl{i}"),
                                F.lag(f"cum{i}").over(wo).alias(f"c_cum{i}")]
         carry = summary.select(*carry_cols)
+        # one row per range: bounded by the partition count, never by the data
         j = loc.join(F.broadcast(carry), RP, "left")
         first_in_range = F.col("__lp_one").isNull()
         out = {}

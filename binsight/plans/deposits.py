@@ -14,6 +14,7 @@ from binsight.operators.quality import exact_duplicates
 from binsight.operators.sequence import Sequence
 from binsight.operators.sink import crosstab
 from binsight.operators.totals import CATEGORY_COLUMNS, averages_by, category_totals, roll_counter
+from binsight.operators.joins import broadcast_if_small
 from binsight.sources.bindings import Tables
 
 # --- fixed values -------------------------------------------------------------
@@ -26,7 +27,7 @@ ANOMALY, OK = "ANOMALIA", "OK"
 
 def _named(df: DataFrame, t: Tables, on: str = "idcomune") -> DataFrame:
     com = t.infocomune.select(F.col("id").alias("__cid"), "nome")
-    return df.join(F.broadcast(com), F.col(on) == F.col("__cid")).drop("__cid")
+    return df.join(broadcast_if_small(com), F.col(on) == F.col("__cid")).drop("__cid")
 
 
 def duplicate_deposits(t: Tables, start) -> DataFrame:
@@ -67,7 +68,7 @@ def deposit_crosstab(t: Tables, codes=(0, 1, 2, 3, 4, 5, 6)) -> DataFrame:
 
 def _typed(t: Tables, d: DataFrame) -> DataFrame:
     rif = t.inforifiuti.select(F.col("idcomune").alias("__rc"), F.col("codicerifiuto").alias("__code"), "descrizione")
-    return d.join(F.broadcast(rif), (d.tiporifiuto == rif.__code) & (d.idcomune == rif.__rc)).drop("__rc", "__code")
+    return d.join(broadcast_if_small(rif), (d.tiporifiuto == rif.__code) & (d.idcomune == rif.__rc)).drop("__rc", "__code")
 
 
 def deposit_listing(t: Tables, municipality: int, start, end, station: int | None = None) -> DataFrame:
@@ -129,7 +130,7 @@ def zero_weight_deposits(t: Tables, start, end) -> DataFrame:
     """Deposits weighing 0, with one type name per code (the smallest)."""
     names = t.inforifiuti.groupBy("codicerifiuto").agg(F.min("descrizione").alias("nome"))
     d = t.conferimenti.filter(in_days_expr("dataora", start, end) & (F.col("peso") == 0))
-    j = d.join(F.broadcast(names), d.tiporifiuto == names.codicerifiuto)
+    j = d.join(broadcast_if_small(names), d.tiporifiuto == names.codicerifiuto)
     return j.select("idcomune", "codicestazione", "codicetag", "dataora", "peso", "tiporifiuto", "nome",
                     "codiceanomalia", "data", "componenti")
 
@@ -299,7 +300,7 @@ def wrong_bin(t: Tables, start, end, open_before=10.0, close_after=120.0, pair_w
                 .agg(F.min_by(F.struct("tiporifiuto", "anomalia"), F.struct("data", "data2", "tiporifiuto")).alias("__r"))
                 .select("comune", "stazione", "dataora", "__r.*"))
     rif = t.inforifiuti.select(F.col("idcomune").alias("__rc"), F.col("codicerifiuto").alias("__code"), "descrizione")
-    j = one.join(F.broadcast(rif), (one.comune == rif.__rc) & (one.tiporifiuto == rif.__code))
+    j = one.join(broadcast_if_small(rif), (one.comune == rif.__rc) & (one.tiporifiuto == rif.__code))
     j = _named(j, t, on="comune")
     out = (j.groupBy("nome", "stazione", "descrizione")
             .agg(F.count(F.when(F.col("anomalia") == ANOMALY, 1)).alias("numeroanomalie"))

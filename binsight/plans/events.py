@@ -16,6 +16,7 @@ from binsight.operators.filters import (exclude_time_of_day, in_days_expr, in_in
                                         optional_eq)
 from binsight.operators.presence import absent
 from binsight.operators.sequence import Sequence
+from binsight.operators.joins import broadcast_if_small
 from binsight.sources.bindings import Tables
 
 # --- fixed values -------------------------------------------------------------
@@ -54,7 +55,7 @@ def restarts(t: Tables, municipality: int, start, end, gap_seconds: float = 30.0
         counted = seq.result().withColumn(
             "__ok", F.col("ultimadata").isNull() | (F.col("dataora") > F.col("ultimadata") + interval_seconds(gap_seconds)))
     per_station = counted.groupBy("idcomune", "idstazione").agg(F.count(F.when(F.col("__ok"), 1)).alias("n"))
-    named = per_station.join(F.broadcast(t.infocomune), F.col("idcomune") == F.col("id"))
+    named = per_station.join(broadcast_if_small(t.infocomune), F.col("idcomune") == F.col("id"))
     return (named.groupBy(pg_concat("nome", F.lit(" "), "idstazione").alias("nomestazione"))
                  .agg(F.sum("n").cast("long").alias("riavvii")))
 
@@ -89,7 +90,7 @@ def label_alarms(t: Tables, start, end, literal: bool = False) -> DataFrame:
     per = (lagged.groupBy("idcomune", "idstazione", "ultimadata")
                  .agg(F.count(F.when(F.col("idevento") == LABELS_FINISHED, 1)).alias("terminate"),
                       F.count(F.when(F.col("idevento") == LABELS_JAMMED, 1)).alias("inceppate")))
-    named = per.join(F.broadcast(t.infocomune), F.col("idcomune") == F.col("id"))
+    named = per.join(broadcast_if_small(t.infocomune), F.col("idcomune") == F.col("id"))
     g = named.groupBy("nome", "idstazione")
     st, si = F.sum("terminate"), F.sum("inceppate")
     finished_wins = (F.count("terminate") > F.count("inceppate")) if literal else (st > si)
@@ -123,7 +124,7 @@ def power_changes(t: Tables, municipality: int, start, end, station: int | None
              .withColumn("evento", pg_concat("idevento", F.lit(" "), "note"))
              .withColumn("__evento2", pg_concat("idevento", F.lit(" "), "__pnote"))
              .filter(F.col("evento") != F.col("__evento2")))
-    named = ch.join(F.broadcast(t.infocomune), F.col("idcomune") == F.col("id"))
+    named = ch.join(broadcast_if_small(t.infocomune), F.col("idcomune") == F.col("id"))
     return (named.select("nome", F.col("idstazione").alias("stazione"), "evento",
                          weekday_label("dataora", "accented").alias("giorno"), F.col("dataora").alias("orario"))
                  .distinct())
@@ -188,7 +189,7 @@ def battery_phases(t: Tables, municipality: int, station: int, skip_month: str |
     y = seq2.result()
     hours = F.extract(F.lit("HOUR"), F.col("data") - F.col("__prev"))
     on, off = f"{POWER_EVENT} ON", f"{POWER_EVENT} OFF"
-    named = y.join(F.broadcast(t.infocomune), F.col("idcomune") == F.col("id"))
+    named = y.join(broadcast_if_small(t.infocomune), F.col("idcomune") == F.col("id"))
     return named.select(
         "nome", "idstazione",
         weekday_label("data", "plain").alias("giorno"),
@@ -203,7 +204,7 @@ def _operator_log(t: Tables, municipality: int, start, end, station) -> DataFram
     log = optional_eq(log, "codicestazione", station)
     ops = t.infooperatori.select(F.col("codicetag").alias("__tag"), F.col("nome").alias("operatore"))
     com = t.infocomune.select(F.col("id").alias("__cid"), "nome")
-    j = (log.join(F.broadcast(com), log.idcomune == com.__cid)
+    j = (log.join(broadcast_if_small(com), log.idcomune == com.__cid)
             .join(ops, log.codicetag == ops.__tag, "left"))
     return j.select("nome", F.col("codicestazione").alias("stazione"),
                     weekday_label("dataora", "accented").alias("giorno"), F.col("dataora").alias("data"),
@@ -229,7 +230,7 @@ def failed_reads(t: Tables, municipality: int, start) -> DataFrame:
     f = t.logfalliti.filter((F.col("idcomune") == municipality)
                             & (F.col("dataora") >= as_ts(start)))
     com = t.infocomune.select(F.col("id").alias("__cid"), "nome")
-    j = f.join(F.broadcast(com), f.idcomune == com.__cid, "left")
+    j = f.join(broadcast_if_small(com), f.idcomune == com.__cid, "left")
     return (j.groupBy(F.col("nome").alias("comune"), F.col("idstazione").alias("numerostazione"))
              .agg(F.count("codicetag").alias("numerofallimenti"),
                   F.when(F.count("codicetag") > 0,
@@ -247,7 +248,7 @@ def admin_tester_log(t: Tables, municipality: int, start, end, station: int | No
     log = optional_eq(log, "codicestazione", station)
     com = t.infocomune.select(F.col("id").alias("__cid"), "nome")
     j = (log.join(people, log.codicetag == people.codicetessera)
-            .join(F.broadcast(com), log.idcomune == com.__cid))
+            .join(broadcast_if_small(com), log.idcomune == com.__cid))
     return j.select("nome", "codicestazione", "descrizione", F.col("tipologiautente").alias("tipologia"),
                     F.col("dataora").alias("data"), "codicetessera")
 

@@ -19,6 +19,7 @@ from binsight.functions.pg import (as_ts, blank_sentinel, next_day_start, num_te
 from binsight.operators.filters import in_days_expr, in_instants_expr
 from binsight.operators.presence import absent, absent_in_period
 from binsight.operators.totals import sorted_share
+from binsight.operators.joins import broadcast_if_small
 from binsight.sources.bindings import Tables
 
 # --- fixed values -------------------------------------------------------------
@@ -229,7 +230,7 @@ def annual_sheet_table(t: Tables, start, end, id_below: int | None = None) -> Da
     totals = hh.groupBy("idcomune", "codicenucleo").agg(F.sum("somma").cast("decimal(12,3)").alias("tot"))
     j = hh.join(totals, ["idcomune", "codicenucleo"])
     rif = t.inforifiuti.groupBy("codicerifiuto").agg(F.min("descrizione").alias("rifiuto"))
-    j = j.join(F.broadcast(rif), j.tiporifiuto == rif.codicerifiuto, "left").drop("codicerifiuto")
+    j = j.join(broadcast_if_small(rif), j.tiporifiuto == rif.codicerifiuto, "left").drop("codicerifiuto")
     pct = F.when(F.col("tot") != 0, F.col("somma") / F.col("tot") * 100).cast("decimal(9,4)")
     return j.withColumn("percent", pct)
 
@@ -267,7 +268,7 @@ def annual_sheet(t: Tables, municipality: int, start, end, id_below: int | None
     c = t.inforifiuti.groupBy("codicerifiuto").agg(F.min("descrizione").alias("rifiuto"))
     d = t.associazionenuclei.select(F.col("codicetag").alias("__dtag"), "codicenucleo")
     e = t.datinuclei.select(F.col("codicenucleo").alias("__en"), "nome", "cognome", "indirizzo")
-    j = (a.join(b, "codicetag").join(F.broadcast(c), a.tiporifiuto == c.codicerifiuto)
+    j = (a.join(b, "codicetag").join(broadcast_if_small(c), a.tiporifiuto == c.codicerifiuto)
           .join(d, a.codicetag == d.__dtag).join(e, F.col("codicenucleo") == e.__en))
     rd = (j.groupBy("idcomune", "nome", "cognome", "indirizzo", "codicenucleo", "tiporifiuto", "rifiuto")
            .agg(F.sum("somma").alias("somma"), F.sum("tot").alias("tot"))
@@ -374,7 +375,7 @@ def per_capita_by_type(t: Tables, municipality: int, start, end) -> DataFrame:
     d = t.datinuclei.select(F.col("codicenucleo").alias("__dn"), "ncomponenti")
     rif = t.inforifiuti.select(F.col("idcomune").alias("__rc"), F.col("codicerifiuto").alias("__code"), "descrizione")
     j = (a.join(d, a.codicenucleo == d.__dn).join(c, a.codicenucleo == c.__cn)
-          .join(F.broadcast(rif), (a.idcomune == rif.__rc) & (c.tiporifiuto == rif.__code)))
+          .join(broadcast_if_small(rif), (a.idcomune == rif.__rc) & (c.tiporifiuto == rif.__code)))
     return j.groupBy("idcomune", "tiporifiuto", "descrizione").agg(
         F.count("codicenucleo").alias("nuclei"), F.sum("ncomponenti").alias("componenti"),
         F.sum("__conf").alias("conferimenti"), F.sum("__kg").alias("chili"), F.max("__last").alias("max"))

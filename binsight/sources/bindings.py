@@ -251,8 +251,9 @@ def binding_sql(dialect: str = "spark") -> dict[str, str]:
             SELECT CAST(user_id % 5 + 1 AS INT) AS idcomune, CAST(user_id AS INT) AS codicestazione,
                    CAST(user_id % 40 AS STRING) AS codicetag, event_type AS tipologiautente, ts AS dataora
             FROM events WHERE event_type IN ('signup', 'click')""",
-        "infotesters": "SELECT CAST(s_suppkey AS STRING) AS codicetag, s_name AS nome FROM supplier WHERE s_suppkey % 2 = 0",
-        "infoamministratori": "SELECT CAST(s_suppkey AS STRING) AS codicetag, s_name AS nome FROM supplier WHERE s_suppkey % 2 = 1",
+        "infotesters": "SELECT CAST(s_suppkey AS STRING) AS codicetag, s_name AS nome FROM supplier",
+        # tags 0..24 are both tester and administrator tags (people holding both roles)
+        "infoamministratori": "SELECT CAST(n_nationkey AS STRING) AS codicetag, n_name AS nome FROM nation",
         "cumulopesi": f"""
             SELECT CAST(l_suppkey % 5 + 1 AS INT) AS idcomune,
                    CAST(l_suppkey AS INT) AS codicestazione,
