@@ -14,12 +14,17 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import SparkSession
 
 from binsight.sources.bindings import Tables
+from binsight.sources.schema import check_tables
 
 
-def from_parquet(spark: SparkSession, root: str, names: Iterable[str]) -> Tables:
+def from_parquet(spark: SparkSession, root: str, names: Iterable[str], validate: bool = True) -> Tables:
     """``root/<name>`` (Parquet folder, possibly partitioned by municipality
-    and date so period and municipality filters prune files)."""
-    return Tables({n: spark.read.parquet(f"{root}/{n}") for n in names})
+    and date so period and municipality filters prune files); the schemas are
+    checked against the domain model (metadata only, no data read)."""
+    t = Tables({n: spark.read.parquet(f"{root}/{n}") for n in names})
+    if validate:
+        check_tables(t)
+    return t
 
 
 def from_catalog(spark: SparkSession, names: Iterable[str], database: str | None = None) -> Tables:

@@ -73,3 +73,19 @@ def test_optional_eq_falsy_means_all(spark):
     assert filters.optional_eq(df, "id", 0).count() == 5
     assert filters.optional_eq(df, "id", None).count() == 5
     assert filters.optional_eq(df, "id", 3).count() == 1
+
+
+def test_bindings_satisfy_domain_schemas(spark):
+    import os
+
+    import pytest
+
+    from binsight.sources.bindings import bind_driver_tables
+    from binsight.sources.schema import SCHEMAS, check_table, check_tables
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver test data not present")
+    t = bind_driver_tables(spark, sf)
+    check_tables(t, [n for n in SCHEMAS if n in t and n != "rdannuale"])
+    bad = spark.createDataFrame([(1, "x")], "id string, nome string")
+    assert check_table("infocomune", bad) == ["infocomune.id: string is not int"]
