@@ -46,9 +46,16 @@ def clock_repair(df: DataFrame, cutoff, keys=("idcomune", "codicestazione"), seq
         x = x.filter(valid)
     cut = as_ts(cutoff)
     x = x.withColumn("__side", F.when(F.col(ts) > cut, 1).when(F.col(ts) < cut, -1).otherwise(0))
-    # 1) previous row at the station, 2) previous row on the same side of the cutoff
-    base = Sequence(x, order=[seq], by=keys).lag({"__prev_ts": ts}).result()
-    side = Sequence(base, order=[seq], by=[*keys, "__side"]).lag({"__prev_side_ts": ts}).result()
+    # previous row at the station, and previous row on the same side of the
+    # cutoff (= the last time seen on that side before this row): one pass
+    first = Sequence(x, order=[seq], by=keys).apply([
+        Lag("__prev_ts", ts),
+        Running("__prev_pos", F.when(F.col("__side") == 1, F.col(ts)), "last_nonnull", exclusive=True),
+        Running("__prev_neg", F.when(F.col("__side") == -1, F.col(ts)), "last_nonnull", exclusive=True)])
+    side = (first.result()
+            .withColumn("__prev_side_ts", F.when(F.col("__side") == 1, F.col("__prev_pos"))
+                                           .when(F.col("__side") == -1, F.col("__prev_neg")))
+            .drop("__prev_pos", "__prev_neg"))
     d_all = seconds_between(ts, "__prev_ts")
     d_side = seconds_between(ts, "__prev_side_ts")
     riavvio = (F.when(d_all < 0, 1)
@@ -61,7 +68,7 @@ def clock_repair(df: DataFrame, cutoff, keys=("idcomune", "codicestazione"), seq
              .drop("__prev_ts", "__prev_side_ts", "__side"))
     if min_id is not None:
         c = c.filter(F.col(seq) > min_id)
-    # 3) one range partitioning in (keys, seq) order serves every remaining window:
+    # then one range partitioning in (keys, seq) order serves every remaining window:
     #    the global island counter, per-station lags, per-island lags and sums.
     g = Sequence(c, order=[seq], by=keys)
     g = g.apply([Running("conteggio", F.when(F.col("flag"), F.lit(1)), "count", group=[]),
@@ -90,26 +97,29 @@ def _clock_repair_literal(df, cutoff, keys, seq, ts, restart_gap_seconds, min_id
     cut = as_ts(cutoff)
     x = x.withColumn("__side", F.when(F.col(ts) > cut, 1).when(F.col(ts) < cut, -1).otherwise(0))
     order = [*keys, seq]
-    base = Sequence(x, order=order).lag({"__prev_ts": ts}).result()                       # global LAG
-    side = Sequence(base, order=order, by=["__side"]).lag({"__prev_side_ts": ts}).result()  # global per side
+    # global LAG, global per-side LAG (as last time seen on the side), and the
+    # island counter -- all on one range partitioning in (keys, seq) order
+    g1 = Sequence(x, order=order).apply([
+        Lag("__prev_ts", ts),
+        Running("__prev_pos", F.when(F.col("__side") == 1, F.col(ts)), "last_nonnull", exclusive=True),
+        Running("__prev_neg", F.when(F.col("__side") == -1, F.col(ts)), "last_nonnull", exclusive=True)])
+    prev_side = F.when(F.col("__side") == 1, F.col("__prev_pos")).when(F.col("__side") == -1, F.col("__prev_neg"))
     d_all = seconds_between(ts, "__prev_ts")
-    d_side = seconds_between(ts, "__prev_side_ts")
-    rec = (side.withColumn("__d_all", d_all).withColumn("__d_side", d_side)
+    d_side = seconds_between(F.col(ts), prev_side)
+    in_scope = F.lit(True) if min_id is None else (F.col(seq) > min_id)
+    # island counter per record = the original running COUNT whose frame
+    # includes a record's twin rows as peers
+    g1 = g1.apply([Running("conteggio", F.when((d_all < 0) & in_scope, F.lit(1)), "count")])
+    rec = (g1.result().withColumn("__d_all", d_all).withColumn("__d_side", d_side)
                .withColumn("__classes", F.filter(F.array(
                    F.when(F.col("__d_all") < 0, F.lit(1)),
                    F.when((F.col("__side") == 1) & (F.col("__d_side") > 0), F.lit(0)),
                    F.when((F.col("__side") == -1) & (F.col("__d_side") > 0), F.lit(2))), lambda c: c.isNotNull()))
-               .filter(F.size("__classes") > 0))
-    if min_id is not None:
-        rec = rec.filter(F.col(seq) > min_id)
-    # island counter per record = the original running COUNT whose frame
-    # includes a record's twin rows as peers
-    rec = Sequence(rec, order=order).running("conteggio", F.when(F.col("__d_all") < 0, F.lit(1)), "count",
-                                             group=[]).result()
+               .filter((F.size("__classes") > 0) & in_scope))
     rows = (rec.withColumn("riavvio", F.explode("__classes"))
                .withColumn("delta_dataora", F.when(F.col("riavvio") == 1, F.col("__d_all")).otherwise(F.col("__d_side")))
                .withColumn("flag", F.col("riavvio") == 1)
-               .drop("__classes", "__d_all", "__d_side", "__prev_ts", "__prev_side_ts", "__side"))
+               .drop("__classes", "__d_all", "__d_side", "__prev_ts", "__prev_pos", "__prev_neg", "__side"))
     g = Sequence(rows, order=[*order, "riavvio"])
     g = g.apply([Lag("__gpr", "riavvio", group=[]), Lag("__gpts", ts, group=[]),
                  Lag("__gpdelta", "delta_dataora", group=[]), Lag("__pr", "riavvio", group=keys)])

@@ -40,10 +40,11 @@ _RUN_LOCAL = {
     "count": F.count,
     "first": lambda c: F.first(c, ignorenulls=False),
     "first_nonnull": lambda c: F.first(c, ignorenulls=True),
+    "last_nonnull": lambda c: F.last(c, ignorenulls=True),
 }
 # how the per-range values of earlier ranges combine into an offset
 _RUN_CARRY = {"sum": F.sum, "count": F.sum, "first": _RUN_LOCAL["first"],
-              "first_nonnull": _RUN_LOCAL["first_nonnull"]}
+              "first_nonnull": _RUN_LOCAL["first_nonnull"], "last_nonnull": _RUN_LOCAL["last_nonnull"]}
 
 
 class Lag:
@@ -55,12 +56,17 @@ class Lag:
 
 class Running:
     """Running aggregate of ``expr`` within ``group``; ``how`` in sum, count,
-    first, first_nonnull."""
+    first, first_nonnull, last_nonnull.  ``exclusive=True`` (last_nonnull
+    only) stops at the previous row: the last non-NULL value *before* the
+    current row, e.g. the time of the previous row that satisfies a
+    condition (``when(cond, ts)``)."""
 
-    def __init__(self, name: str, expr, how: str = "sum", group=None):
+    def __init__(self, name: str, expr, how: str = "sum", group=None, exclusive: bool = False):
         if how not in _RUN_LOCAL:
             raise ValueError(how)
-        self.name, self.expr, self.how, self.group = name, expr, how, group
+        if exclusive and how != "last_nonnull":
+            raise ValueError("exclusive is only defined for last_nonnull")
+        self.name, self.expr, self.how, self.group, self.exclusive = name, expr, how, group, exclusive
 
 
 def _n_partitions(df: DataFrame, partitions: int | None) -> int:
@@ -141,6 +147,9 @@ class Sequence:
                 w = Window.partitionBy(RP, *group).orderBy(*keys).rowsBetween(Window.unboundedPreceding,
                                                                                Window.currentRow)
                 local[f"__loc{i}"] = _RUN_LOCAL[op.how](f"__x{i}").over(w)
+                if op.exclusive:
+                    wx = Window.partitionBy(RP, *group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+                    local[f"__lex{i}"] = _RUN_LOCAL[op.how](f"__x{i}").over(wx)
                 last_fields += [F.col(f"__g{i}").alias(f"g{i}"), F.col(f"__loc{i}").alias(f"t{i}")]
                 first_fields += [F.col(f"__g{i}").alias(f"g{i}")]
         loc = df.withColumns(xs).withColumns(local)
@@ -185,8 +194,11 @@ class Sequence:
                     out[op.name] = v.cast("long") if op.how == "count" else v
                 elif op.how == "first":
                     out[op.name] = F.when(cont, off).otherwise(loc_v)
-                else:
+                elif op.how == "first_nonnull":
                     out[op.name] = F.when(cont, F.coalesce(off, loc_v)).otherwise(loc_v)
+                else:  # last_nonnull: the range's own value wins, earlier ranges fill in
+                    own = F.col(f"__lex{i}") if op.exclusive else loc_v
+                    out[op.name] = F.when(cont, F.coalesce(own, off)).otherwise(own)
         res = j.withColumns(out)
         drop = [c for c in res.columns if c.startswith("__") and c not in self.df.columns and c not in out] + \
                [c for c in carry.columns if c != RP]

@@ -15,19 +15,22 @@ rows_strategy = st.lists(
     min_size=1, max_size=60)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(rows=rows_strategy, parts=st.integers(1, 9))
 def test_sequence_matches_plain_windows(spark, rows, parts):
     data = [(i, g, t, v) for i, (g, t, v) in enumerate(rows)]
     df = spark.createDataFrame(data, "id long, g int, t int, v int")
     got = (Sequence(df, order=["t", "id"], by=["g"], partitions=parts)
            .apply([Lag("pv", "v"), Running("sv", "v", "sum"), Running("cv", "v", "count"),
-                   Running("fv", "v", "first_nonnull"), Lag("gpv", "v", group=[])])
+                   Running("fv", "v", "first_nonnull"), Lag("gpv", "v", group=[]),
+                   Running("lv", "v", "last_nonnull"), Running("lvx", "v", "last_nonnull", exclusive=True)])
            .result())
     w = Window.partitionBy("g").orderBy("t", "id")
     wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     exp = df.select("*", F.lag("v").over(w).alias("pv"), F.sum("v").over(wr).alias("sv"),
                     F.count("v").over(wr).alias("cv"), F.first("v", ignorenulls=True).over(wr).alias("fv"),
-                    F.lag("v").over(Window.orderBy(F.col("g").asc_nulls_first(), "t", "id")).alias("gpv"))
-    cols = ["id", "pv", "sv", "cv", "fv", "gpv"]
+                    F.lag("v").over(Window.orderBy(F.col("g").asc_nulls_first(), "t", "id")).alias("gpv"),
+                    F.last("v", ignorenulls=True).over(wr).alias("lv"),
+                    F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("lvx"))
+    cols = ["id", "pv", "sv", "cv", "fv", "gpv", "lv", "lvx"]
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, exp.select(*cols).collect()))
