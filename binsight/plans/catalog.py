@@ -260,6 +260,15 @@ JOIN inforifiuti r ON r.codicerifiuto = c.tiporifiuto AND r.idcomune = c.idcomun
 WHERE c.idcomune = {C} AND {_days('c.dataora', *DEP)}"""))(
     lambda s, d: D.deposit_listing(_tables(s, d), C, *DEP))
 
+register("r15_deposit_listing_literal", _sql(["conferimenti", "infocomune", "inforifiuti"], f"""
+SELECT DISTINCT i.nome AS comune, c.codicestazione AS stazione, c.codicetag,
+       {WD_PLAIN('c.dataora')} || ' ' || strftime(c.dataora, ' %Y-%m-%d %H:%m:%S') AS data,
+       c.peso, c.tiporifiuto, r.descrizione, c.codiceanomalia
+FROM conferimenti c JOIN infocomune i ON i.id = c.idcomune
+JOIN inforifiuti r ON r.codicerifiuto = c.tiporifiuto AND r.idcomune = c.idcomune
+WHERE c.idcomune = {C} AND {_days('c.dataora', *DEP)}"""))(
+    lambda s, d: D.deposit_listing(_tables(s, d), C, *DEP, literal=True))
+
 register("r16_failed_reads", _sql(["logfalliti", "infocomune"], f"""
 SELECT i.nome AS comune, f.idstazione AS numerostazione, count(f.codicetag) AS numerofallimenti,
        string_agg(f.codicetag, ' ' ORDER BY f.codicetag) AS letturefallite, max(f.dataora) AS ultimodatoricevuto

@@ -71,13 +71,16 @@ def _typed(t: Tables, d: DataFrame) -> DataFrame:
     return d.join(broadcast_if_small(rif), (d.tiporifiuto == rif.__code) & (d.idcomune == rif.__rc)).drop("__rc", "__code")
 
 
-def deposit_listing(t: Tables, municipality: int, start, end, station: int | None = None) -> DataFrame:
+def deposit_listing(t: Tables, municipality: int, start, end, station: int | None = None,
+                    literal: bool = False) -> DataFrame:
     """Distinct deposits with municipality, type name and a weekday +
-    date-time text (``'<weekday>  YYYY-MM-DD HH:mm:ss'``; the original format
-    printed the month where the minutes belong, fixed here)."""
+    date-time text (``'<weekday>  YYYY-MM-DD HH:mm:ss'``).  The original
+    format printed the month where the minutes belong; ``literal=True`` keeps
+    that (``HH:MM:ss``)."""
     d = t.conferimenti.filter((F.col("idcomune") == municipality) & in_days_expr("dataora", start, end))
     d = _named(_typed(t, optional_eq(d, "codicestazione", station)), t)
-    when = F.concat(weekday_label("dataora", "plain"), F.lit(" "), F.date_format("dataora", " yyyy-MM-dd HH:mm:ss"))
+    fmt = " yyyy-MM-dd HH:MM:ss" if literal else " yyyy-MM-dd HH:mm:ss"
+    when = F.concat(weekday_label("dataora", "plain"), F.lit(" "), F.date_format("dataora", fmt))
     return d.select(F.col("nome").alias("comune"), F.col("codicestazione").alias("stazione"), "codicetag",
                     when.alias("data"), "peso", "tiporifiuto", "descrizione", "codiceanomalia").distinct()
 

@@ -162,15 +162,16 @@ def silent_stations(t: Tables, start, end, municipalities=range(1, 7)) -> DataFr
 
 
 def battery_phases(t: Tables, municipality: int, station: int, skip_month: str | None = "2016-10",
-                   debounce_seconds: float = 50.0) -> DataFrame:
+                   debounce_seconds: float = 50.0, total_hours: bool = False) -> DataFrame:
     """Battery charge / discharge phases of one station.
 
     Power events that come within ``debounce_seconds`` after the previous
     power-or-start event are dropped (the first event has no previous one and
     is dropped too); a row is a phase change when its (event, note) differs
-    from the previous event's.  For each change: hours (hour field of the
-    interval) since the previous change labelled charge (OFF) or discharge
-    (ON), and a cycle number on ON rows.
+    from the previous event's.  For each change: hours since the previous
+    change labelled charge (OFF) or discharge (ON), and a cycle number on ON
+    rows.  The hours are the interval's hour *field* (days dropped, as the
+    original ``date_part``); ``total_hours=True`` gives whole elapsed hours.
     """
     e = t.eventi.filter((F.col("idcomune") == municipality) & (F.col("idstazione") == station)
                         & (F.col("idevento").like(POWER_PATTERN) | F.col("idevento").like("%AVVIO%")))
@@ -187,7 +188,10 @@ def battery_phases(t: Tables, municipality: int, station: int, skip_month: str |
     seq2 = Sequence(x, order=["data", "evento"], by=["idcomune", "idstazione"]).lag({"__prev": "data"})
     seq2 = seq2.row_number("__rn")
     y = seq2.result()
-    hours = F.extract(F.lit("HOUR"), F.col("data") - F.col("__prev"))
+    if total_hours:
+        hours = F.floor(F.timestamp_diff("SECOND", F.col("__prev"), F.col("data")) / 3600)
+    else:
+        hours = F.extract(F.lit("HOUR"), F.col("data") - F.col("__prev"))
     on, off = f"{POWER_EVENT} ON", f"{POWER_EVENT} OFF"
     named = y.join(broadcast_if_small(t.infocomune), F.col("idcomune") == F.col("id"))
     return named.select(

@@ -103,3 +103,15 @@ def test_label_rolls_and_stale(spark):
     r = D.label_rolls(t, "1997-06-30").collect()
     assert [(x.primasettimana, x.secondasettimana, x.stampate, x.restanti) for x in r] == [(2, 1, 234, 266)]
     assert F is not None
+
+
+def test_battery_phases_hour_field_vs_total(spark):
+    rows = [(1, 1, 5, "TENSIONE_RETE", T(2024, 1, 1, 8), "ON"),
+            (2, 1, 5, "TENSIONE_RETE", T(2024, 1, 2, 9), "OFF"),     # change after 1 day 1 hour
+            (3, 1, 5, "TENSIONE_RETE", T(2024, 1, 4, 12), "ON")]     # change after 2 days 3 hours
+    t = Tables(eventi=_events(spark, rows), infocomune=_comuni(spark))
+    field = {r.data: r.batteria for r in E.battery_phases(t, 1, 5).collect()}
+    total = {r.data: r.batteria for r in E.battery_phases(t, 1, 5, total_hours=True).collect()}
+    # the first event has no previous event and is dropped by the debounce
+    assert field == {dt.date(2024, 1, 2): " ORE DI CARICA", dt.date(2024, 1, 4): "3 ORE DI SCARICA"}
+    assert total == {dt.date(2024, 1, 2): " ORE DI CARICA", dt.date(2024, 1, 4): "51 ORE DI SCARICA"}
