@@ -115,3 +115,101 @@ def test_battery_phases_hour_field_vs_total(spark):
     # the first event has no previous event and is dropped by the debounce
     assert field == {dt.date(2024, 1, 2): " ORE DI CARICA", dt.date(2024, 1, 4): "3 ORE DI SCARICA"}
     assert total == {dt.date(2024, 1, 2): " ORE DI CARICA", dt.date(2024, 1, 4): "51 ORE DI SCARICA"}
+
+
+def _bin_tables(spark, deposits, events, bins):
+    dep = spark.createDataFrame(deposits, "id long, idcomune int, codicestazione int, dataora timestamp_ntz, "
+                                          "peso double, tiporifiuto int, codiceanomalia int")
+    b = spark.createDataFrame(bins, "idcomune int, codicestazione int, tiporifiuto int, inputplc1 smallint")
+    rif = spark.createDataFrame([(1, 3, "PLASTICA"), (1, 4, "ORGANICO")], "idcomune int, codicerifiuto int, descrizione string")
+    return Tables(conferimenti=dep, eventi=_events(spark, events), infocassonetti=b, inforifiuti=rif,
+                  infocomune=_comuni(spark))
+
+
+def test_wrong_bin_tolerance_edges(spark):
+    """Opening at most 10 s before the deposit, closing at most 120 s after it,
+    and the closing at most 120 s after the opening (all inclusive)."""
+    d0 = T(2024, 1, 5, 10, 0, 0)
+    s = dt.timedelta(seconds=1)
+    cases = {4: (-10, 110), 5: (-11, 60), 6: (0, 120), 7: (0, 121)}   # station: (open, close) offsets
+    deposits, events, bins = [], [], []
+    for st, (o, c) in cases.items():
+        deposits.append((st, 1, st, d0, 1.0, 3, 0))
+        events += [(st * 10 + 1, 1, st, "CHIUSURA", d0 - 3600 * s, "9"),
+                   (st * 10 + 2, 1, st, "APERTURA", d0 + o * s, "2"),
+                   (st * 10 + 3, 1, st, "CHIUSURA", d0 + c * s, "7"),       # wrong bin reported
+                   (st * 10 + 4, 1, st, "CHIUSURA", d0 + 3600 * s, "2")]
+        bins.append((1, st, 3, 2))
+    got = sorted(tuple(r) for r in
+                 D.wrong_bin(_bin_tables(spark, deposits, events, bins), "2024-01-05", "2024-01-06").collect())
+    assert got == [("Alfa 4", "Cassonetto PLASTICA", 1), ("Alfa 6", "Cassonetto PLASTICA", 1)]
+
+
+def test_wrong_bin_integer_vs_substring_and_bad_notes(spark):
+    d0 = T(2024, 1, 5, 10, 0, 0)
+    s = dt.timedelta(seconds=1)
+    deposits = [(1, 1, 4, d0, 1.0, 3, 0)]
+    bins = [(1, 4, 3, 1)]
+    events = [(1, 1, 4, "CHIUSURA", d0 - 3600 * s, "0"),
+              (2, 1, 4, "APERTURA", d0 - 5 * s, "1"), (3, 1, 4, "CHIUSURA", d0 + 30 * s, "12"),
+              (4, 1, 4, "CHIUSURA", d0 + 3600 * s, "1")]
+    t = _bin_tables(spark, deposits, events, bins)
+    # closing note "12" is another bin: an anomaly when compared as integers, "OK" as a substring
+    assert [r.numeroanomalie for r in D.wrong_bin(t, "2024-01-05", "2024-01-06").collect()] == [1]
+    assert D.wrong_bin(t, "2024-01-05", "2024-01-06", literal=True).count() == 0
+    # a 4-byte and a non-numeric note never break the cast; they just do not match a bin
+    bad = [e if e[0] != 3 else (3, 1, 4, "CHIUSURA", d0 + 30 * s, "1234") for e in events]
+    bad += [(5, 1, 4, "APERTURA", d0 - 2 * s, "x1")]
+    got = D.wrong_bin(_bin_tables(spark, deposits, bad, bins), "2024-01-05", "2024-01-06").collect()
+    assert [r.numeroanomalie for r in got] == [1]
+
+
+def test_wrong_bin_simultaneous_deposits_at_two_stations(spark):
+    d0 = T(2024, 1, 5, 10, 0, 0)
+    s = dt.timedelta(seconds=1)
+    deposits = [(1, 1, 4, d0, 1.0, 3, 0), (2, 1, 6, d0, 1.0, 3, 0)]
+    events = []
+    for st, eid in ((4, 0), (6, 10)):
+        events += [(eid + 1, 1, st, "CHIUSURA", d0 - 3600 * s, "9"),
+                   (eid + 2, 1, st, "APERTURA", d0 - 5 * s, "2"), (eid + 3, 1, st, "CHIUSURA", d0 + 30 * s, "7"),
+                   (eid + 4, 1, st, "CHIUSURA", d0 + 3600 * s, "2")]
+    bins = [(1, 4, 3, 2), (1, 6, 3, 2)]
+    t = _bin_tables(spark, deposits, events, bins)
+    fixed = sorted(r.identificativo for r in D.wrong_bin(t, "2024-01-05", "2024-01-06").collect())
+    literal = sorted(r.identificativo for r in D.wrong_bin(t, "2024-01-05", "2024-01-06", literal=True).collect())
+    assert fixed == ["Alfa 4", "Alfa 6"]
+    assert literal == ["Alfa 4"]            # DISTINCT ON without the station keeps one of the two
+
+
+def test_repeat_deposits_weight_difference_edge(spark):
+    rows = [(1, 1, 2, "T1", T(2024, 1, 5, 8, 0), 10.0, 3, 0), (2, 1, 2, "T1", T(2024, 1, 5, 8, 1), 10.999, 3, 0),
+            (3, 1, 2, "T1", T(2024, 1, 5, 8, 2), 11.999, 3, 0), (4, 1, 3, "T2", T(2024, 1, 5, 8, 3), 5.0, 3, 0),
+            (5, 1, 2, "T1", T(2024, 1, 5, 8, 4), 5.5, 3, 0)]       # previous (globally) is T2: not a repeat
+    dep = spark.createDataFrame(rows, "id long, idcomune int, codicestazione int, codicetag string, "
+                                      "dataora timestamp_ntz, peso double, tiporifiuto int, codiceanomalia int")
+    got = [(r.ora, round(r.diffpeso, 3)) for r in
+           D.repeat_deposits(Tables(conferimenti=dep), 1, "2024-01-05", "2024-01-05", since="2020-01-01").collect()]
+    assert got == [("08:01:00", 0.999)]    # 0.999 apart counts, 1.000 does not
+
+
+def test_idle_households_before_inside_after(spark):
+    a = spark.createDataFrame([(1, "H1", "A"), (1, "H1", "B"), (1, "H2", "C"), (1, "H3", "D"), (2, "H4", "E")],
+                              "idcomune int, codicenucleo string, codicetag string")
+    dep = spark.createDataFrame([("A", T(2024, 1, 3)), ("C", T(2024, 1, 10)), ("D", T(2024, 1, 31, 23, 59, 59)),
+                                 ("B", T(2024, 2, 1))], "codicetag string, dataora timestamp_ntz")
+    t = Tables(associazionenuclei=a, conferimenti=dep)
+    got = {r.codicenucleo: r.codicitag for r in H.idle_households(t, 1, "2024-01-05", "2024-01-31").collect()}
+    # H1: deposits only before (A) and after (B) the period -> idle; H2, H3: inside (last second counts)
+    assert got == {"H1": "A, B"}
+
+
+def test_clock_repair_station_change_fixed_vs_literal(spark):
+    from binsight.operators.repair import clock_repair
+    d = dt.date(2017, 1, 1)
+    rows = [(1, 2, 1, T(2017, 3, 1, 10), d), (2, 2, 1, T(2017, 3, 1, 11), d),
+            (3, 2, 2, T(2017, 2, 1, 9), d), (4, 2, 2, T(2017, 2, 1, 10), d)]   # station 2 starts earlier
+    df = spark.createDataFrame(rows, "id long, idcomune int, codicestazione int, dataora timestamp_ntz, data date")
+    fixed = {r.idn: r.riavvio for r in clock_repair(df, cutoff="2016-12-31").collect()}
+    literal = {(r.idn, r.riavvio) for r in clock_repair(df, cutoff="2016-12-31", literal=True).collect()}
+    assert 3 not in fixed                  # first row of a station has no previous row there
+    assert (3, 1) in literal               # globally it follows station 1's last row: a jump back
