@@ -8,33 +8,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _null_patterns(cols):
+    from itertools import combinations
+    for r in range(len(cols) + 1):
+        yield from (list(c) for c in combinations(cols, r))
+
+
+def _exactly_null(df: DataFrame, cols, nulls):
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & (F.col(c).isNull() if c in nulls else F.col(c).isNotNull())
+    return df.filter(cond)
+
+
 def absent(df: DataFrame, other: DataFrame, keys: Sequence[str] | str,
            other_keys: Sequence[str] | str | None = None, null_aware: bool = True) -> DataFrame:
     """Rows of ``df`` whose key is not in ``other``.
 
-    ``null_aware=True`` is SQL ``NOT IN``: if ``other`` holds a NULL key the
-    result is empty, and a NULL key in ``df`` never qualifies.  It is
-    expressed as a plain ``left_anti`` join plus a one-row existence check of
-    NULL keys in ``other`` (an aggregate, broadcast: one row), which keeps the
-    anti join a hash join instead of the nested-loop join Spark picks for a
-    multi-column ``NOT IN``.  ``null_aware=False`` is ``NOT EXISTS``.
+    ``null_aware=True`` is SQL ``[NOT] IN`` with three-valued logic: a row is
+    kept only if, for every row of ``other``, some key column is non-NULL on
+    both sides and different.  So a NULL on the excluded side removes every
+    row that agrees with it on the remaining columns (for one column: all
+    rows), a NULL key in ``df`` is removed as soon as ``other`` has a row that
+    does not contradict it, and nothing is removed when ``other`` is empty.
+
+    Evaluated per NULL pattern (which key columns are NULL) of both sides:
+    each pair is a hash ``left_anti`` join on the columns both have, or an
+    ``EXISTS`` subquery when they share none.  The all-non-NULL part is the
+    one plain anti join that carries the data; the other parts are NULL rows
+    only.  Spark's own multi-column ``NOT IN`` would be a nested-loop join.
+    ``null_aware=False`` is ``NOT EXISTS`` (a plain ``left_anti``).
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     okeys = keys if other_keys is None else ([other_keys] if isinstance(other_keys, str) else list(other_keys))
     o = other.select(*[F.col(ok).alias(k) for k, ok in zip(keys, okeys)])
     if not null_aware:
         return df.join(o.distinct(), on=keys, how="left_anti")
-    any_null_in_key = F.lit(False)
-    for k in keys:
-        any_null_in_key = any_null_in_key | F.col(k).isNull()
-    nonnull = o.filter(~any_null_in_key)
-    # Scalar subquery: does the excluding side hold a NULL key?  (one row,
-    # partial aggregation; no join)
-    other_has_null = o.filter(any_null_in_key).agg((F.count(F.lit(1)) > 0).alias("x")).scalar()
-    kept = df.filter(~other_has_null)
-    for k in keys:
-        kept = kept.filter(F.col(k).isNotNull())
-    return kept.join(nonnull, on=keys, how="left_anti")
+    parts = []
+    for left_nulls in _null_patterns(keys):
+        part = _exactly_null(df, keys, left_nulls)
+        for other_nulls in _null_patterns(keys):
+            o_p = _exactly_null(o, keys, other_nulls)
+            cmp = [c for c in keys if c not in left_nulls and c not in other_nulls]
+            if cmp:
+                part = part.join(o_p.select(*cmp).distinct(), on=cmp, how="left_anti")
+            else:
+                part = part.filter(~o_p.exists())
+        parts.append(part)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def absent_in_period(dim: DataFrame, fact: DataFrame, key: str, ts: str, start, end,

@@ -104,3 +104,36 @@ def test_sinks_and_crosstab(spark, tmp_path):
     x = spark.createDataFrame([(1, 0, 2.0), (1, 1, 3.0), (2, 0, 1.0)], "st int, k int, v double")
     got = {r.st: (r["0"], r["1"]) for r in crosstab(x, "st", "k", "v", values=[0, 1]).collect()}
     assert got == {1: (2.0, 3.0), 2: (1.0, None)}
+
+
+def _sql_not_in(left_row, other_rows):
+    """Three-valued ``left_row NOT IN other_rows``: True / False / None."""
+    result = True
+    for o in other_rows:
+        eq = True
+        for a, b in zip(left_row, o):
+            if a is None or b is None:
+                eq = None if eq is not False else False
+            elif a != b:
+                eq = False
+        if eq is True:
+            return False
+        if eq is None:
+            result = None
+    return result
+
+
+def test_absent_matches_three_valued_not_in(spark):
+    rnd = random.Random(11)
+    vals = [None, 1, 2]
+    for k in (1, 2):
+        for trial in range(6):
+            left = [tuple(rnd.choice(vals) for _ in range(k)) for _ in range(rnd.randint(0, 7))]
+            other = [tuple(rnd.choice(vals) for _ in range(k)) for _ in range(rnd.randint(0, 4))]
+            cols = [f"c{i}" for i in range(k)]
+            schema = ", ".join(f"{c} int" for c in cols)
+            L = spark.createDataFrame([(i, *r) for i, r in enumerate(left)], "rid int, " + schema)
+            R = spark.createDataFrame(other, schema)
+            got = sorted(r.rid for r in absent(L, R, cols).collect())
+            exp = sorted(i for i, r in enumerate(left) if _sql_not_in(r, other) is True)
+            assert got == exp, (k, left, other)
