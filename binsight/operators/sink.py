@@ -37,3 +37,9 @@ def result_envelope(df: DataFrame, limit: int, key: str = "risultati") -> DataFr
     Only for results capped by ``limit`` (the whole result goes to one row)."""
     bounded = rows_as_text_arrays(df.limit(limit))
     return bounded.agg(F.to_json(F.struct(F.collect_list("row").alias(key))).alias("json"))
+
+
+def title_columns(df: DataFrame) -> DataFrame:
+    """Column titles with the first letter upper-cased, as the original
+    result tables were headed (a rename: no data is touched)."""
+    return df.toDF(*[c[:1].upper() + c[1:] for c in df.columns])

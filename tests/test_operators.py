@@ -137,3 +137,9 @@ def test_absent_matches_three_valued_not_in(spark):
             got = sorted(r.rid for r in absent(L, R, cols).collect())
             exp = sorted(i for i, r in enumerate(left) if _sql_not_in(r, other) is True)
             assert got == exp, (k, left, other)
+
+
+def test_title_columns(spark):
+    from binsight.operators.sink import title_columns
+    assert title_columns(spark.createDataFrame([(1, 2)], "nomestazione int, riavvii int")).columns == \
+        ["Nomestazione", "Riavvii"]
