@@ -3,7 +3,8 @@ printer alarms, lid openings, operator and access logs, silent stations.
 
 Each report takes a :class:`~binsight.sources.bindings.Tables` mapping and
 plain parameters and returns a lazy DataFrame.  Display ordering is left to
-the caller (``sort=True`` adds the report's ORDER BY).
+the caller: ``binsight.plans.display.sort_like_original`` applies the
+original ORDER BY.
 """
 
 from __future__ import annotations

@@ -143,3 +143,17 @@ def test_title_columns(spark):
     from binsight.operators.sink import title_columns
     assert title_columns(spark.createDataFrame([(1, 2)], "nomestazione int, riavvii int")).columns == \
         ["Nomestazione", "Riavvii"]
+
+
+def test_sort_like_original_pg_null_order(spark):
+    from binsight.plans import display, events
+    df = spark.createDataFrame([(1, None), (2, 5), (None, 3)], "stazione int, orario int")
+    got = [tuple(r) for r in display.sort_like_original(df, "power_changes").collect()]
+    assert got == [(1, None), (2, 5), (None, 3)]          # ASC: NULLs last; DESC: NULLs first
+    got = [tuple(r) for r in display.sort_like_original(df, "power_changes", limit=1).collect()]
+    assert got == [(1, None)]
+    # every ordered report exists
+    from binsight.operators import repair
+    from binsight.plans import deposits, households
+    mods = (events, deposits, households, repair)
+    assert all(any(hasattr(m, name) for m in mods) for name in display.ORDER_BY)
