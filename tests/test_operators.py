@@ -154,6 +154,6 @@ def test_sort_like_original_pg_null_order(spark):
     assert got == [(1, None)]
     # every ordered report exists
     from binsight.operators import repair
-    from binsight.plans import deposits, households
-    mods = (events, deposits, households, repair)
+    from binsight.plans import deposits, households, stations
+    mods = (events, deposits, households, stations, repair)
     assert all(any(hasattr(m, name) for m in mods) for name in display.ORDER_BY)
