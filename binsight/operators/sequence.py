@@ -26,7 +26,6 @@ shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence as Seq
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,10 +75,6 @@ def _n_partitions(df: DataFrame, partitions: int | None) -> int:
     return int(conf.get("spark.sql.shuffle.partitions"))
 
 
-def _and(cols: Seq[Column]) -> Column:
-    return reduce(lambda a, b: a & b, cols, F.lit(True))
-
-
 class Sequence:
     """Rows of ``df`` in the total order ``by + order`` (ties must be broken by
     the caller, e.g. by appending an id)."""
