@@ -123,3 +123,12 @@ def test_chained_sequences_are_repeatable(spark):
                            valid=(F.col("idcomune") > 1)).filter(F.col("idcomune") == 2)
         runs.append(sorted(tuple(str(v) for v in r) for r in out.collect()))
     assert runs[0] == runs[1] == runs[2]
+
+
+def test_sequence_edge_inputs(spark):
+    empty = spark.createDataFrame([], "id long, st int, t int, v double")
+    assert ordered_lag(empty, {"pv": "v"}, order=["t", "id"], by=["st"], partitions=4).count() == 0
+    one = spark.createDataFrame([(1, 0, 5, 2.0)], "id long, st int, t int, v double")
+    r = Sequence(one, order=["t", "id"], by=["st"], partitions=16).apply(
+        [Lag("pv", "v"), Running("s", "v", "sum"), Running("lx", "v", "last_nonnull", exclusive=True)]).result().first()
+    assert r.pv is None and r.s == 2.0 and r.lx is None
