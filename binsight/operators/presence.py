@@ -14,11 +14,15 @@ def _null_patterns(cols):
         yield from (list(c) for c in combinations(cols, r))
 
 
-def _exactly_null(df: DataFrame, cols, nulls):
+def _pattern_cond(cols, nulls):
     cond = F.lit(True)
     for c in cols:
         cond = cond & (F.col(c).isNull() if c in nulls else F.col(c).isNotNull())
-    return df.filter(cond)
+    return cond
+
+
+def _exactly_null(df: DataFrame, cols, nulls):
+    return df.filter(_pattern_cond(cols, nulls))
 
 
 def absent(df: DataFrame, other: DataFrame, keys: Sequence[str] | str,
@@ -32,11 +36,13 @@ def absent(df: DataFrame, other: DataFrame, keys: Sequence[str] | str,
     rows), a NULL key in ``df`` is removed as soon as ``other`` has a row that
     does not contradict it, and nothing is removed when ``other`` is empty.
 
-    Evaluated per NULL pattern (which key columns are NULL) of both sides:
-    each pair is a hash ``left_anti`` join on the columns both have, or an
-    ``EXISTS`` subquery when they share none.  The all-non-NULL part is the
-    one plain anti join that carries the data; the other parts are NULL rows
-    only.  Spark's own multi-column ``NOT IN`` would be a nested-loop join.
+    Evaluated per NULL pattern (which key columns are NULL) of both sides.
+    A one-row aggregate of the excluded side (run when the plan is built)
+    says which patterns it holds; each (row pattern, excluded pattern) pair
+    is a hash ``left_anti`` join on the columns both have, or drops the row
+    pattern outright when they share none.  Without NULL keys this is a
+    single anti join.  Spark's own multi-column ``NOT IN`` would be a
+    nested-loop join.
     ``null_aware=False`` is ``NOT EXISTS`` (a plain ``left_anti``).
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
@@ -44,17 +50,29 @@ def absent(df: DataFrame, other: DataFrame, keys: Sequence[str] | str,
     o = other.select(*[F.col(ok).alias(k) for k, ok in zip(keys, okeys)])
     if not null_aware:
         return df.join(o.distinct(), on=keys, how="left_anti")
+    # One bounded aggregate (a single row) tells which NULL patterns the
+    # excluded side holds; only the branches those patterns need are built.
+    # In the usual case (no NULL keys) this is one hash anti join.
+    patterns = list(_null_patterns(keys))
+    flags = o.agg(*[F.max(F.when(_pattern_cond(keys, p), F.lit(1))).alias(f"p{i}")
+                    for i, p in enumerate(patterns)]).first()
+    present = [p for i, p in enumerate(patterns) if flags[f"p{i}"] == 1]
+    if not present:                     # empty subquery: NOT IN is true for every row
+        return df
     parts = []
-    for left_nulls in _null_patterns(keys):
-        part = _exactly_null(df, keys, left_nulls)
-        for other_nulls in _null_patterns(keys):
-            o_p = _exactly_null(o, keys, other_nulls)
+    for left_nulls in patterns:
+        part, dropped = _exactly_null(df, keys, left_nulls), False
+        for other_nulls in present:
             cmp = [c for c in keys if c not in left_nulls and c not in other_nulls]
-            if cmp:
-                part = part.join(o_p.select(*cmp).distinct(), on=cmp, how="left_anti")
-            else:
-                part = part.filter(~o_p.exists())
-        parts.append(part)
+            if not cmp:                 # an existing row that cannot be told apart
+                dropped = True
+                break
+            o_p = _exactly_null(o, keys, other_nulls).select(*cmp).distinct()
+            part = part.join(o_p, on=cmp, how="left_anti")
+        if not dropped:
+            parts.append(part)
+    if not parts:
+        return df.limit(0)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binsight.functions.pg import (as_ts, blank_sentinel, next_day_start, num_text, pg_concat,
@@ -53,12 +53,6 @@ def households_without_form(t: Tables, municipality: int, form: DataFrame | None
     return absent(hh, f, "codicenucleo", null_aware=True)
 
 
-def _tag_deposit_stats(dep: DataFrame, municipality: int | None = None) -> DataFrame:
-    d = dep if municipality is None else dep.filter(F.col("idcomune") == municipality)
-    return d.groupBy("codicetag").agg(F.count(F.lit(1)).alias("conteggio"), F.min("dataora").alias("primo"),
-                                      F.max("dataora").alias("ultimo"))
-
-
 def idle_tags(t: Tables, municipality: int, start, end, as_of) -> DataFrame:
     """Tags of a municipality with no deposit in the period, grouped by
     household: tag list, first/last deposit ever (in the municipality), days
@@ -72,8 +66,12 @@ def idle_tags(t: Tables, municipality: int, start, end, as_of) -> DataFrame:
     dep = t.conferimenti
     busy = dep.filter((F.col("idcomune") == municipality) & in_days_expr("dataora", start, end)).select("codicetag")
     a = absent(a, busy, "codicetag", null_aware=True)
-    n_all = dep.groupBy("codicetag").agg(F.count("id").alias("__ndep"))
-    j_stats = _tag_deposit_stats(dep, municipality)
+    # one pass over the deposits: all-time count (any municipality) and
+    # first / last deposit in the municipality, per tag
+    in_c = F.col("idcomune") == municipality
+    stats = dep.groupBy("codicetag").agg(F.count("id").alias("__ndep"),
+                                         F.min(F.when(in_c, F.col("dataora"))).alias("primo"),
+                                         F.max(F.when(in_c, F.col("dataora"))).alias("ultimo"))
     i = t.infonuclei.filter(F.col("idcomune") == municipality).select(F.col("codicetag").alias("__itag"),
                                                                       F.col("progressivo").alias("__iprog"))
     u = t.utentiweb.select(F.col("idnucleo").alias("__uid"), "attivato")
@@ -83,9 +81,8 @@ def idle_tags(t: Tables, municipality: int, start, end, as_of) -> DataFrame:
     x = (a.join(i, a.codicetag == i.__itag)
           .join(u, a.id == u.__uid)
           .join(d, (a.codicenucleo == d.__dn) & (a.idcomune == d.__dc))
-          .join(j_stats, "codicetag", "left")
-          .join(df, (a.codicenucleo == df.__fn) & (a.idcomune == df.__fc), "left")
-          .join(n_all, "codicetag", "left"))
+          .join(stats, "codicetag", "left")
+          .join(df, (a.codicenucleo == df.__fn) & (a.idcomune == df.__fc), "left"))
     keys = ["lotto", "codicenucleo", "idcomune", "attivato", "info", "cognome", "nome", "indirizzo", "telefono",
             "cellulare", "mail"]
     g = x.groupBy(*keys).agg(
@@ -187,12 +184,15 @@ def type_variety(t: Tables, municipality: int, since="2017-01-01") -> DataFrame:
     """Per tag of the municipality, the number of distinct waste types
     used and of deposits (any municipality) after ``since``, with household."""
     dep = t.conferimenti.filter(F.col("dataora") > as_ts(since))
-    a = (dep.filter(F.col("idcomune") == municipality).groupBy("codicetag", "idcomune")
-            .agg(F.count_distinct("tiporifiuto").alias("tipi")))
-    n = dep.groupBy("codicetag").agg(F.count(F.lit(1)).alias("num"))
+    in_c = F.col("idcomune") == municipality
+    # one pass: types used in the municipality and deposits anywhere, per tag
+    a = (dep.groupBy("codicetag")
+            .agg(F.count_distinct(F.when(in_c, F.col("tiporifiuto"))).alias("tipi"),
+                 F.count(F.lit(1)).alias("num"), F.count(F.when(in_c, F.lit(1))).alias("__in_c"))
+            .filter(F.col("__in_c") > 0))
     b = t.associazionenuclei.select(F.col("codicetag").alias("__btag"), "codicenucleo")
     c = t.datinuclei.select(F.col("codicenucleo").alias("__cn"), "nome", "cognome", "indirizzo")
-    j = a.join(b, a.codicetag == b.__btag).join(c, F.col("codicenucleo") == c.__cn).join(n, "codicetag")
+    j = a.join(b, a.codicetag == b.__btag).join(c, F.col("codicenucleo") == c.__cn)
     return j.select("codicetag", "tipi", "num", "codicenucleo", F.rtrim("nome").alias("nome"),
                     F.rtrim("cognome").alias("cognome"), F.rtrim("indirizzo").alias("indirizzo"))
 
@@ -262,13 +262,16 @@ def annual_sheet(t: Tables, municipality: int, start, end, id_below: int | None
     dep = t.conferimenti.filter(in_days_expr("dataora", start, end))
     if id_below is not None:
         dep = dep.filter(F.col("id") < id_below)
-    a = (dep.filter(~F.col("tiporifiuto").isin(list(excluded_codes)))
-            .groupBy("idcomune", "codicetag", "tiporifiuto").agg(F.sum("peso").alias("somma")))
-    b = dep.groupBy("codicetag").agg(F.sum("peso").alias("tot"))
+    # one pass over the deposits: per (municipality, tag, type) sums, and the
+    # tag's total over all types and municipalities as a window over those
+    # few aggregated rows per tag; the excluded types go after the window
+    base = dep.groupBy("idcomune", "codicetag", "tiporifiuto").agg(F.sum("peso").alias("somma"))
+    a = (base.withColumn("tot", F.sum("somma").over(Window.partitionBy("codicetag")))
+             .filter(~F.col("tiporifiuto").isin(list(excluded_codes))))
     c = t.inforifiuti.groupBy("codicerifiuto").agg(F.min("descrizione").alias("rifiuto"))
     d = t.associazionenuclei.select(F.col("codicetag").alias("__dtag"), "codicenucleo")
     e = t.datinuclei.select(F.col("codicenucleo").alias("__en"), "nome", "cognome", "indirizzo")
-    j = (a.join(b, "codicetag").join(broadcast_if_small(c), a.tiporifiuto == c.codicerifiuto)
+    j = (a.join(broadcast_if_small(c), a.tiporifiuto == c.codicerifiuto)
           .join(d, a.codicetag == d.__dtag).join(e, F.col("codicenucleo") == e.__en))
     rd = (j.groupBy("idcomune", "nome", "cognome", "indirizzo", "codicenucleo", "tiporifiuto", "rifiuto")
            .agg(F.sum("somma").alias("somma"), F.sum("tot").alias("tot"))
@@ -306,25 +309,33 @@ def _sheet_halves(t: Tables, municipality: int, start, end, inactive_having: boo
     day]) UNION the inactive half (zeros; with ``inactive_having`` only tags
     whose last deposit ever is before ``start`` or that have none)."""
     dep = t.conferimenti
-    win = dep.filter(F.col("dataora").between(as_ts(start), next_day_start(end)))
-    per_tag = win.groupBy(F.col("codicetag").alias("tag")).agg(
-        F.max("dataora").alias("ultimo"), F.count("peso").alias("numero_conferimenti"),
-        *[F.sum(F.when(F.col("tiporifiuto") == code, F.col("peso")).otherwise(F.lit(0.0))).alias(name)
+    win = F.col("dataora").between(as_ts(start), next_day_start(end))
+    # one pass over the deposits per tag: the period's measures (active half)
+    # and the last deposit ever (inactive half)
+    per_tag = dep.groupBy(F.col("codicetag").alias("tag")).agg(
+        F.max("dataora").alias("__last_ever"),
+        F.count(F.when(win, F.lit(1))).alias("__n_win"),
+        F.max(F.when(win, F.col("dataora"))).alias("ultimo"),
+        F.count(F.when(win, F.col("peso"))).alias("numero_conferimenti"),
+        *[F.sum(F.when(win, F.when(F.col("tiporifiuto") == code, F.col("peso")).otherwise(F.lit(0.0)))).alias(name)
           for code, name in SHEET_COLUMNS.items()],
-        F.sum("peso").alias("totale"),
-        _sorted_agg("codicestazione", "|").alias("stazioni"))
+        F.sum(F.when(win, F.col("peso"))).alias("totale"),
+        _sorted_agg(F.when(win, F.col("codicestazione")), "|").alias("stazioni"))
     hh = _household_tags(t, municipality)
-    active = hh.join(per_tag, "tag")  # WHERE on the deposit time makes the outer join inner
-    last_ever = dep.groupBy(F.col("codicetag").alias("tag")).agg(F.max("dataora").alias("ultimo"))
-    inactive = hh.join(last_ever, "tag", "left")
-    if inactive_having:
-        inactive = inactive.filter((F.col("ultimo") < as_ts(start)) | F.col("ultimo").isNull())
-    # a NULL tag has no deposits: the left join leaves ultimo NULL as well
-    zeros = [F.lit(0).cast("long").alias("numero_conferimenti")] + \
-            [F.lit(0.0).alias(n) for n in [*SHEET_COLUMNS.values(), "totale"]] + [F.lit("0").alias("stazioni")]
-    inactive = inactive.select(*HH_KEYS, "ultimo", *zeros)
-    cols = [*HH_KEYS, "ultimo", *NUMERIC, "stazioni"]
-    return active.select(*cols).unionByName(inactive.select(*cols)).distinct()
+    j = hh.join(per_tag, "tag", "left")
+    # both halves from the one joined row: an active row when the tag has
+    # deposits in the period, an inactive (zero) row when its last deposit
+    # ever is before the period or it has none (or always, without the HAVING)
+    measures = ["ultimo", *NUMERIC, "stazioni"]
+    act = F.struct(*[F.col(m).alias(m) for m in measures])
+    zeros = F.struct(F.col("__last_ever").alias("ultimo"), F.lit(0).cast("long").alias("numero_conferimenti"),
+                     *[F.lit(0.0).alias(n) for n in [*SHEET_COLUMNS.values(), "totale"]],
+                     F.lit("0").alias("stazioni"))
+    idle = (F.col("__last_ever") < as_ts(start)) | F.col("__last_ever").isNull() if inactive_having else F.lit(True)
+    halves = F.filter(F.array(F.when(F.coalesce(F.col("__n_win"), F.lit(0)) > 0, act), F.when(idle, zeros)),
+                      lambda x: x.isNotNull())
+    rows = j.select(*HH_KEYS, F.explode(halves).alias("__h")).select(*HH_KEYS, "__h.*")
+    return rows.distinct()
 
 
 def _sheet_output(x: DataFrame, ultimo_col: Column) -> DataFrame:
