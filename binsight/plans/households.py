@@ -227,8 +227,8 @@ def annual_sheet_table(t: Tables, start, end, id_below: int | None = None) -> Da
     hh = (per_tag.join(a, "codicetag").join(d, "codicenucleo")
                  .groupBy("idcomune", "cognome", "nome", "indirizzo", "codicenucleo", "tiporifiuto")
                  .agg(F.sum("__kg").cast("decimal(12,3)").alias("somma")))
-    totals = hh.groupBy("idcomune", "codicenucleo").agg(F.sum("somma").cast("decimal(12,3)").alias("tot"))
-    j = hh.join(totals, ["idcomune", "codicenucleo"])
+    # household total as a window over its few per-type rows (one consumer of hh)
+    j = hh.withColumn("tot", F.sum("somma").over(Window.partitionBy("idcomune", "codicenucleo")).cast("decimal(12,3)"))
     rif = t.inforifiuti.groupBy("codicerifiuto").agg(F.min("descrizione").alias("rifiuto"))
     j = j.join(broadcast_if_small(rif), j.tiporifiuto == rif.codicerifiuto, "left").drop("codicerifiuto")
     pct = F.when(F.col("tot") != 0, F.col("somma") / F.col("tot") * 100).cast("decimal(9,4)")
