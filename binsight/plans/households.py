@@ -310,19 +310,19 @@ def _sheet_halves(t: Tables, municipality: int, start, end, inactive_having: boo
     whose last deposit ever is before ``start`` or that have none)."""
     dep = t.conferimenti
     win = F.col("dataora").between(as_ts(start), next_day_start(end))
-    # one pass over the deposits per tag: the period's measures (active half)
-    # and the last deposit ever (inactive half)
-    per_tag = dep.groupBy(F.col("codicetag").alias("tag")).agg(
-        F.max("dataora").alias("__last_ever"),
-        F.count(F.when(win, F.lit(1))).alias("__n_win"),
-        F.max(F.when(win, F.col("dataora"))).alias("ultimo"),
-        F.count(F.when(win, F.col("peso"))).alias("numero_conferimenti"),
-        *[F.sum(F.when(win, F.when(F.col("tiporifiuto") == code, F.col("peso")).otherwise(F.lit(0.0)))).alias(name)
+    # the period's measures from the period's rows only (a date-partitioned
+    # table prunes this scan), the last deposit ever from a light max
+    per_tag = dep.filter(win).groupBy(F.col("codicetag").alias("tag")).agg(
+        F.count(F.lit(1)).alias("__n_win"),
+        F.max("dataora").alias("ultimo"),
+        F.count("peso").alias("numero_conferimenti"),
+        *[F.sum(F.when(F.col("tiporifiuto") == code, F.col("peso")).otherwise(F.lit(0.0))).alias(name)
           for code, name in SHEET_COLUMNS.items()],
-        F.sum(F.when(win, F.col("peso"))).alias("totale"),
-        _sorted_agg(F.when(win, F.col("codicestazione")), "|").alias("stazioni"))
+        F.sum("peso").alias("totale"),
+        _sorted_agg("codicestazione", "|").alias("stazioni"))
+    last_ever = dep.groupBy(F.col("codicetag").alias("tag")).agg(F.max("dataora").alias("__last_ever"))
     hh = _household_tags(t, municipality)
-    j = hh.join(per_tag, "tag", "left")
+    j = hh.join(per_tag, "tag", "left").join(last_ever, "tag", "left")
     # both halves from the one joined row: an active row when the tag has
     # deposits in the period, an inactive (zero) row when its last deposit
     # ever is before the period or it has none (or always, without the HAVING)
