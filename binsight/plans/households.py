@@ -184,15 +184,14 @@ def type_variety(t: Tables, municipality: int, since="2017-01-01") -> DataFrame:
     """Per tag of the municipality, the number of distinct waste types
     used and of deposits (any municipality) after ``since``, with household."""
     dep = t.conferimenti.filter(F.col("dataora") > as_ts(since))
-    in_c = F.col("idcomune") == municipality
-    # one pass: types used in the municipality and deposits anywhere, per tag
-    a = (dep.groupBy("codicetag")
-            .agg(F.count_distinct(F.when(in_c, F.col("tiporifiuto"))).alias("tipi"),
-                 F.count(F.lit(1)).alias("num"), F.count(F.when(in_c, F.lit(1))).alias("__in_c"))
-            .filter(F.col("__in_c") > 0))
+    # distinct types over the municipality's rows only (a scan that municipality
+    # partitioning prunes); the deposit count per tag is a plain hash aggregate
+    a = (dep.filter(F.col("idcomune") == municipality).groupBy("codicetag")
+            .agg(F.count_distinct("tiporifiuto").alias("tipi")))
+    n = dep.groupBy("codicetag").agg(F.count(F.lit(1)).alias("num"))
     b = t.associazionenuclei.select(F.col("codicetag").alias("__btag"), "codicenucleo")
     c = t.datinuclei.select(F.col("codicenucleo").alias("__cn"), "nome", "cognome", "indirizzo")
-    j = a.join(b, a.codicetag == b.__btag).join(c, F.col("codicenucleo") == c.__cn)
+    j = a.join(b, a.codicetag == b.__btag).join(c, F.col("codicenucleo") == c.__cn).join(n, "codicetag")
     return j.select("codicetag", "tipi", "num", "codicenucleo", F.rtrim("nome").alias("nome"),
                     F.rtrim("cognome").alias("cognome"), F.rtrim("indirizzo").alias("indirizzo"))
 
