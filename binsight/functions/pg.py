@@ -150,7 +150,18 @@ def interval_seconds(seconds: float) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(seconds)))
 
 
+def interval_total_seconds(iv: ColumnOrName) -> Column:
+    """Signed total seconds (double, microsecond precision) of a DAY TO
+    SECOND interval."""
+    iv = col(iv)
+    ex = lambda unit: F.extract(F.lit(unit), iv)
+    return (ex("DAY").cast("double") * 86400 + ex("HOUR").cast("double") * 3600
+            + ex("MINUTE").cast("double") * 60 + ex("SECOND").cast("double"))
+
+
 def seconds_between(later: ColumnOrName, earlier: ColumnOrName) -> Column:
-    """Signed seconds (double, microsecond precision) between two timestamps."""
-    micros = F.timestamp_diff("MICROSECOND", col(earlier), col(later))
-    return micros / F.lit(1_000_000.0)
+    """Signed seconds (double, microsecond precision) between two
+    TIMESTAMP_NTZ values.  Plain NTZ subtraction is zone free; Spark's
+    ``timestamp_diff`` reads NTZ values in the session time zone and is off
+    by the DST shift across a change."""
+    return interval_total_seconds(col(later) - col(earlier))

@@ -18,11 +18,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from binsight.functions.pg import interval_seconds
+from binsight.functions.pg import interval_seconds, seconds_between
 
 def epoch_seconds(ts: Column) -> Column:
-    """Whole seconds since 1970-01-01 for a TIMESTAMP_NTZ (zone independent)."""
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    """Whole seconds since 1970-01-01 for a TIMESTAMP_NTZ (zone independent:
+    NTZ subtraction, never a session-time-zone conversion)."""
+    return F.floor(seconds_between(ts, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))).cast("long")
 
 
 def _secs(x) -> float:

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binsight.functions.pg import as_ts, interval_seconds, next_day_start, pg_concat, weekday_label
+from binsight.functions.pg import (as_ts, interval_seconds, next_day_start, pg_concat, seconds_between,
+                                   weekday_label)
 from binsight.operators.filters import (exclude_time_of_day, in_days_expr, in_instants_expr,
                                         optional_eq)
 from binsight.operators.presence import absent
@@ -190,7 +191,7 @@ def battery_phases(t: Tables, municipality: int, station: int, skip_month: str |
     seq2 = seq2.row_number("__rn")
     y = seq2.result()
     if total_hours:
-        hours = F.floor(F.timestamp_diff("SECOND", F.col("__prev"), F.col("data")) / 3600)
+        hours = F.floor(seconds_between("data", "__prev") / 3600)
     else:
         hours = F.extract(F.lit("HOUR"), F.col("data") - F.col("__prev"))
     on, off = f"{POWER_EVENT} ON", f"{POWER_EVENT} OFF"

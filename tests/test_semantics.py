@@ -89,3 +89,22 @@ def test_bindings_satisfy_domain_schemas(spark):
     check_tables(t, [n for n in SCHEMAS if n in t and n != "rdannuale"])
     bad = spark.createDataFrame([(1, "x")], "id string, nome string")
     assert check_table("infocomune", bad) == ["infocomune.id: string is not int"]
+
+
+def test_ntz_differences_ignore_session_time_zone(spark):
+    """NTZ arithmetic must not see DST: 01:30 -> 03:30 on the US spring-forward
+    day is two hours whatever the session time zone."""
+    from binsight.operators.matching import epoch_seconds
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/New_York", "Europe/Rome"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 1, 30), dt.datetime(2024, 3, 10, 3, 30)),
+                                        (dt.datetime(2024, 10, 27, 3, 30), dt.datetime(2024, 10, 27, 1, 30))],
+                                       "a timestamp_ntz, b timestamp_ntz")
+            got = [r[0] for r in df.select(pg.seconds_between("b", "a")).collect()]
+            assert got == [7200.0, -7200.0], tz
+            e = df.select(epoch_seconds(F.col("a"))).first()[0]
+            assert e == int((dt.datetime(2024, 3, 10, 1, 30) - dt.datetime(1970, 1, 1)).total_seconds()), tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
