@@ -106,6 +106,12 @@ SELECT concat(i.nome, ' ', CAST(l.idstazione AS VARCHAR)) AS nomestazione,
 FROM l JOIN infocomune i ON i.id = l.idcomune GROUP BY 1"""))(
     lambda s, d: E.restarts(_tables(s, d), C, *EV))
 
+register("r01_restarts_literal", _sql(["eventi", "infocomune"], f""",
+ev AS (SELECT * FROM eventi WHERE {RESTART} AND idcomune = {C} AND {_days('dataora', *EV)} AND {NIGHT_R})
+SELECT concat(i.nome, ' ', CAST(ev.idstazione AS VARCHAR)) AS nomestazione, CAST(count(*) AS BIGINT) AS riavvii
+FROM ev JOIN infocomune i ON i.id = ev.idcomune GROUP BY 1"""))(
+    lambda s, d: E.restarts(_tables(s, d), C, *EV, literal=True))
+
 register("r02_station_restart_history", _sql(["eventi"], f"""
 SELECT DISTINCT note AS numeroevento, idevento AS tipoevento, dataora AS data FROM eventi
 WHERE {RESTART} AND idcomune = {C} AND idstazione = {STATION_EV} AND {_days('dataora', *EV)} AND {NIGHT_R}"""))(
@@ -171,6 +177,20 @@ SELECT i.nome, per.idstazione,
 FROM per JOIN infocomune i ON i.id = per.idcomune GROUP BY i.nome, per.idstazione"""))(
     lambda s, d: E.label_alarms(_tables(s, d), *EV))
 
+register("r07_label_alarms_literal", _sql(["eventi", "infocomune"], f""",
+l AS (SELECT *, lag(dataora) OVER (ORDER BY dataora, id) AS ultimadata FROM eventi
+      WHERE idevento LIKE '%ETICHETTE%' AND dataora BETWEEN TIMESTAMP '{EV[0]} 00:00:00' AND TIMESTAMP '2024-01-21 00:00:00'),
+per AS (SELECT idcomune, idstazione, ultimadata,
+               count(CASE WHEN idevento = 'ETICHETTE TERMINATE' THEN 1 END) AS terminate,
+               count(CASE WHEN idevento = 'ETICHETTE INCEPPATE' THEN 1 END) AS inceppate
+        FROM l WHERE ultimadata IS NOT NULL AND idevento ILIKE '%etichette%' GROUP BY idcomune, idstazione, ultimadata)
+SELECT i.nome, per.idstazione,
+       CASE WHEN count(terminate) > count(inceppate) THEN 'ETICHETTE TERMINATE' ELSE 'ETICHETTE INCEPPATE' END AS avviso,
+       CAST(CASE WHEN count(terminate) > count(inceppate) THEN sum(terminate) ELSE sum(inceppate) END AS BIGINT) AS segnalazioni,
+       concat({WD_ACC('max(CAST(ultimadata AS DATE))')}, ' ', CAST(max(CAST(ultimadata AS DATE)) AS VARCHAR)) AS ultimoinvio
+FROM per JOIN infocomune i ON i.id = per.idcomune GROUP BY i.nome, per.idstazione"""))(
+    lambda s, d: E.label_alarms(_tables(s, d), *EV, literal=True))
+
 register("r08_power_changes", _sql(["eventi", "infostazioni", "infocomune"], f""",
 e AS (SELECT DISTINCT e.idcomune, e.idstazione, e.idevento, e.note, e.dataora FROM eventi e
       WHERE e.idevento LIKE '%TENSIONE_RETE%' AND e.idcomune = {C} AND {_days('e.dataora', *EV)}
