@@ -53,6 +53,29 @@ def test_query_matches_oracle(spark, con, name):
     assert _canon(df.columns, rows) == _canon(rel.columns, rel.fetchall())
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert _global_windows_only_over_ranges(plan), name
+
+
+def _global_windows_only_over_ranges(plan: str) -> bool:
+    """Every window without PARTITION BY (its first term is an ORDER BY term)
+    must order by the range id, i.e. run over a sequence's carry table (one
+    row per range) and never over the fact rows."""
+    marker = "windowspecdefinition("
+    i = plan.find(marker)
+    while i >= 0:
+        first = plan[i + len(marker):].split(",", 1)[0]
+        if (" ASC" in first or " DESC" in first) and not first.startswith("__rp"):
+            return False
+        i = plan.find(marker, i + 1)
+    return True
+
+
+def test_plan_rule_detects_a_global_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    df = spark.range(10).withColumn("p", F.lag("id").over(Window.orderBy("id")))
+    df.collect()
+    assert not _global_windows_only_over_ranges(df._jdf.queryExecution().executedPlan().toString())
 
 
 def test_entry_smoke(spark):
