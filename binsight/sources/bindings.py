@@ -16,6 +16,10 @@ Domain model (column names as used by the reports):
   conferimenti       deposits, volume source (lineitem)
   conferimenti_seq   deposits with a unique increasing id (orders x customer)
   conferimenti_evt   deposits at event time (events of type purchase)
+  conferimenti_coarse, conferimenti_seq_fewtags
+                     the same facts with coarse values (few tags, whole days,
+                     rounded weights) so that exact duplicates (R04) and
+                     back-to-back repeats (R17) occur in the test data
   eventi             station events (events)
   infocomune         municipalities (nation)
   infostazioni, datistazione, alimentazione   stations (supplier, region)
