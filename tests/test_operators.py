@@ -126,7 +126,7 @@ def _sql_not_in(left_row, other_rows):
 def test_absent_matches_three_valued_not_in(spark):
     rnd = random.Random(11)
     vals = [None, 1, 2]
-    for k in (1, 2):
+    for k in (1, 2, 3):
         for trial in range(6):
             left = [tuple(rnd.choice(vals) for _ in range(k)) for _ in range(rnd.randint(0, 7))]
             other = [tuple(rnd.choice(vals) for _ in range(k)) for _ in range(rnd.randint(0, 4))]

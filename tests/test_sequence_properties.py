@@ -34,3 +34,23 @@ def test_sequence_matches_plain_windows(spark, rows, parts):
                     F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("lvx"))
     cols = ["id", "pv", "sv", "cv", "fv", "gpv", "lv", "lvx"]
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, exp.select(*cols).collect()))
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(left=st.lists(st.tuples(st.integers(0, 2), st.integers(0, 400)), min_size=1, max_size=25),
+       right=st.lists(st.tuples(st.integers(0, 2), st.integers(0, 400)), min_size=1, max_size=25),
+       lo=st.integers(-90, 60), width=st.integers(0, 120), frac=st.sampled_from([0, 250000]))
+def test_interval_match_equals_naive_join(spark, left, right, lo, width, frac):
+    import datetime as dt
+
+    from binsight.operators.matching import interval_match
+    base = dt.datetime(2024, 1, 1)
+    L = [(i, k, base + dt.timedelta(seconds=s, microseconds=frac)) for i, (k, s) in enumerate(left)]
+    R = [(j, k, base + dt.timedelta(seconds=s)) for j, (k, s) in enumerate(right)]
+    hi = lo + width
+    ldf = spark.createDataFrame(L, "lid int, lk int, lt timestamp_ntz")
+    rdf = spark.createDataFrame(R, "rid int, rk int, rt timestamp_ntz")
+    got = {(r.lid, r.rid) for r in interval_match(ldf, rdf, ["lk"], ["rk"], "lt", "rt", lo, hi).collect()}
+    exp = {(a, b) for a, ka, ta in L for b, kb, tb in R
+           if ka == kb and ta + dt.timedelta(seconds=lo) <= tb <= ta + dt.timedelta(seconds=hi)}
+    assert got == exp
