@@ -15,7 +15,7 @@ rows_strategy = st.lists(
     min_size=1, max_size=60)
 
 
-@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(rows=rows_strategy, parts=st.integers(1, 9))
 def test_sequence_matches_plain_windows(spark, rows, parts):
     data = [(i, g, t, v) for i, (g, t, v) in enumerate(rows)]
@@ -36,7 +36,7 @@ def test_sequence_matches_plain_windows(spark, rows, parts):
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, exp.select(*cols).collect()))
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(left=st.lists(st.tuples(st.integers(0, 2), st.integers(0, 400)), min_size=1, max_size=25),
        right=st.lists(st.tuples(st.integers(0, 2), st.integers(0, 400)), min_size=1, max_size=25),
        lo=st.integers(-90, 60), width=st.integers(0, 120), frac=st.sampled_from([0, 250000]))
