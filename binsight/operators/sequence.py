@@ -69,10 +69,15 @@ class Running:
 
 
 def _n_partitions(df: DataFrame, partitions: int | None) -> int:
+    """Number of ranges: explicit, else spark.sql.shuffle.partitions, else
+    (for a non-numeric setting) the context's default parallelism."""
     if partitions:
         return int(partitions)
-    conf = df.sparkSession.conf
-    return int(conf.get("spark.sql.shuffle.partitions"))
+    value = df.sparkSession.conf.get("spark.sql.shuffle.partitions", None)
+    try:
+        return max(int(value), 1)
+    except (TypeError, ValueError):
+        return max(df.sparkSession.sparkContext.defaultParallelism, 1)
 
 
 class Sequence:
