@@ -46,19 +46,22 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder used to cut lineage (``DataFrame.checkpoint``).
 
-    The cluster names it in ``spark.checkpoint.dir``; we only pick our own
-    (a fresh scratch folder) when that setting is absent, as in local tests.
+    The cluster names it in ``spark.checkpoint.dir`` (Spark then sets it on
+    the context at start-up).  The context's folder is reused once set --
+    every ``setCheckpointDir`` call would open a new sub-folder.  Our own
+    folder is picked only for a local session where nothing is configured.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if conf_dir:
-        spark.sparkContext.setCheckpointDir(conf_dir)
-        return conf_dir
-    current = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if conf_dir:
+        sc.setCheckpointDir(conf_dir)
+        return sc.getCheckpointDir()
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     local = tempfile.mkdtemp(prefix="binsight-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    sc.setCheckpointDir(local)
+    return sc.getCheckpointDir()
