@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from binsight.llm import minmax_dedup, phrase_index, token_counts
+from binsight.llm import curve_packing, minmax_dedup, phrase_index, token_counts
 from binsight.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_curve_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return curve_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op2_token_counts")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
