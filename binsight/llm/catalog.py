@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from binsight.llm import curve_packing, minmax_dedup, phrase_index, token_counts
+from binsight.llm import curve_packing, minmax_dedup, phrase_index, sorted_projections, token_counts
 from binsight.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op6_sorted_projections", """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+    r AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT p.b, r.c FROM r JOIN p ON r.id = p.a AND r.c < p.b),
+    m AS (SELECT id, min(c) AS c FROM r GROUP BY id),
+    n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+    SELECT vec_id, coalesce(n.n, 0) AS n_links, m.c AS component_id, m.c = vec_id AS kept
+    FROM embeddings JOIN m ON m.id = vec_id LEFT JOIN n ON n.a = vec_id
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorted_projections.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
