@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from binsight.llm import curve_packing, minmax_dedup, phrase_index, sorted_projections, token_counts
+from binsight.llm import chat_format, curve_packing, host_reputation, minmax_dedup, phrase_index, sorted_projections, token_counts
 from binsight.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,74 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op3_chat_format", r"""
+    WITH c AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    e AS (
+        SELECT *, len(role) + len(text) + 9 + 7 + 7
+            + len(list_filter(range(1, len(role) + 1), lambda i: role[i] = '\' OR role[i] = '<' AND (i = len(role) OR role[i + 1] IN ('|', '/', 's', 'S', '<'))
+                              OR role[i] = '[' AND (i = len(role) OR role[i + 1] IN ('/', 'I'))))
+            + len(list_filter(range(1, len(text) + 1), lambda i: text[i] = '\' OR text[i] = '<' AND (i = len(text) OR text[i + 1] IN ('|', '/', 's', 'S', '<'))
+                              OR text[i] = '[' AND (i = len(text) OR text[i + 1] IN ('/', 'I')))) AS chars
+        FROM c)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(sum(CASE WHEN role = 'assistant' THEN len(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    messages = turns.unionByName(probe).withColumn("parts", chat_format.text_part(F.col("text")))
+    return chat_format.digests(chat_format.format_conversations(messages))
+
+
+_RULE_SQL = "CASE " + " ".join(
+    f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.text}'"
+    for r in sorted(host_reputation.RULES, key=lambda r: -len(r.text))) + " END"
+_VERDICT_SQL = "CASE rule " + " ".join(f"WHEN '{r.text}' THEN '{r.verdict}'" for r in host_reputation.RULES) + " END"
+
+
+def _strength_sql(groups: str) -> str:
+    """Moment estimate of the prior strength among the rows (n, good) of a table."""
+    return f"""SELECT CASE WHEN k < 2 OR g <= 0 OR g >= n THEN 1000.0 ELSE
+        CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 2.0), 1000.0) ELSE 1000.0 END END FROM (
+        SELECT k, n, g, (gg - n * m * m - (k - 1) * m * (1 - m)) / nullif(m * (1 - m) * (n - nn / n - (k - 1)), 0) AS rho
+        FROM (SELECT *, g / n AS m FROM (SELECT count(*) AS k, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(good) AS DOUBLE) AS g,
+              sum(CAST(n AS DOUBLE) * n) AS nn, sum(CAST(good AS DOUBLE) * good / n) AS gg FROM {groups})))"""
+
+
+@query("op4_host_reputation", rf"""
+    WITH p AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+    o AS (SELECT host, regexp_extract(host, '[^.]*\.?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(*) AS n, sum(quality) AS good
+          FROM p JOIN labels ON doc_id = try_cast(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT) WHERE quality IS NOT NULL GROUP BY ALL),
+    d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM o GROUP BY ALL),
+    s AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY ALL),
+    k AS (SELECT ({_strength_sql('o')}) AS kh, ({_strength_sql('d')}) AS kd, ({_strength_sql('s')}) AS ks,
+                 (SELECT coalesce((sum(good) + 1) / (sum(n) + 1), 1.0) FROM s) AS whole),
+    ms AS (SELECT suffix, (good + ks * whole) / (n + ks) AS m FROM s, k),
+    md AS (SELECT domain, (good + kd * m) / (n + kd) AS m FROM d JOIN ms USING (suffix), k),
+    h AS (SELECT p.*, coalesce(o.n, 0) AS n, coalesce(o.good, 0) AS good, coalesce(md.m, ms.m, whole) AS prior, kh
+          FROM p LEFT JOIN o USING (host) LEFT JOIN md ON md.domain = regexp_extract(p.host, '[^.]*\.?[^.]*$')
+          LEFT JOIN ms ON ms.suffix = regexp_extract(p.host, '[^.]*$'), k),
+    b AS (SELECT *, (good + kh * prior) / (n + kh) AS mean FROM h),
+    r AS (SELECT *, {_RULE_SQL} AS rule, least(1.0, mean + 1.645 * sqrt(mean * (1 - mean) / (n + kh + 1))) AS upper FROM b)
+    SELECT page_id, host, path, rule, coalesce({_VERDICT_SQL}, CASE WHEN upper < 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM r
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: the quality label of the document that a page's path names."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = host_reputation.host_of(F.col("url")), host_reputation.path_of(F.col("url"))
+    named = pages.select(host.alias("host"), F.regexp_extract(path, "/([0-9]+)", 1).try_cast("long").alias("doc_id"))
+    outcomes = named.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good")), "doc_id")
+    return host_reputation.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op6_sorted_projections", """
     WITH RECURSIVE v AS (
         SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
