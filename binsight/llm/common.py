@@ -71,15 +71,21 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20, body: st
 
 # ------------------------------------------------------------ components
 
+def fresh(name: str):
+    """A key column that Catalyst no longer knows to be partitioned: joining on it
+    puts a plain exchange on this side, so that adaptive execution may split a
+    skewed partition of the other side."""
+    return (F.col(name) + F.lit(0)).alias(name)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): every id that occurs in ``edges`` (a, b: longs) with the
     smallest id reachable from it.
 
-    Alternating large-star / small-star rounds: each is two map-side combined
-    ``min`` aggregations and two equi-joins, so a hub with any number of
-    neighbours is only ever summed or split.  The minima are cut before the
-    join, which leaves both join sides plain shuffles that adaptive execution
-    can split.  Null ids and self links are ignored.
+    Alternating large-star / small-star rounds.  A round is two map-side combined
+    ``min`` aggregations and two equi-joins whose skewed partitions can be split,
+    so a hub with any number of neighbours is only ever summed or split.  Null ids
+    and self links are ignored; no edges give no rows.
     """
     def oriented(a, b):
         return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
@@ -92,16 +98,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now[0] == 0 or now == seen:
             break
         seen = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
-        low2 = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = (large.join(low2, "u").where("v <> m").select(*oriented(F.col("v"), F.col("m")))
-                 .unionByName(low2.select("u", F.col("m").alias("v"))))
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(fresh("u"), F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low2 = large.groupBy("u").agg(F.min("v").alias("m")).select(fresh("u"), "m")
+        small = (large.join(low2, "u")
+                 .select(F.explode(F.array(F.struct(*oriented(F.col("v"), F.col("m"))), F.struct("u", F.col("m").alias("v")))).alias("x"))
+                 .select("x.*").where("u <> v"))
         e = cut(small.distinct())
-    return (e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-            .unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))
+    return (e.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("component")),
+                                       F.struct(F.col("v").alias("id"), F.col("v").alias("component")))).alias("x"))
+            .select("x.*").distinct())
 
 
 # ------------------------------------------------------------ hashing

@@ -9,10 +9,10 @@ the confirmed links.
 * Documents with equal shingle sets collapse to one class before any
   comparison, however many copies there are.
 * A bucket never lists its pairs.  First every member meets the bucket's
-  smallest id, then a second, hash-chosen member; buckets whose members
-  already share a component are finished.  What is left joins the members
-  outside a bucket's largest component with the members of other components,
-  so no candidate link between components is skipped.
+  smallest and its largest id; buckets whose members then share a component are
+  finished.  What is left joins the members outside a bucket's largest
+  component with the members of other components, so no candidate link between
+  components is skipped.
 * Defaults: 96 permutations, 192 values in 32 bands of 6.  A pair with
   similarity 0.8 shares no band with probability 6e-5, one with 0.9 below
   1e-10.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binsight.llm.common import ODD, WordHashes, as_bytes, connected_components, cut, mix, shingle_hashes, ship, slices
+from binsight.llm.common import ODD, WordHashes, as_bytes, connected_components, cut, fresh, mix, shingle_hashes, ship, slices
 
 _STEP = 1 << 15          # shingles hashed at a time (stays in cache)
 
@@ -129,16 +129,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Linked: ``100 * |A & B| >= percent * |A | B|`` over sets of ``k``-word shingles.
     """
     sig = cut(signatures(docs, id_col, text_col, k, perms, rows))
-    classes = cut(sig.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
-    reps = cut(sig.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
-               .select("doc_id", "n", "bands"))
-    rows_ = reps.select("doc_id", "n", F.explode("bands").alias("key"))
-    shared = rows_.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n")).alias("p")).where("size > 1")
-    members = cut(rows_.join(cut(shared), "key").select("key", "doc_id", "n", "size", F.col("p.doc_id").alias("p"), F.col("p.n").alias("pn")))
-    ids = members.select("doc_id").distinct()
+    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
+    classes = cut(sig.where(~alone).groupBy("h1", "h2")
+                  .agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min_by("bands", "doc_id").alias("bands")))
+    placed = classes.select(F.col("rep").alias("doc_id"), "n", F.explode("bands").alias("key"))
+    shared = (placed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n")).alias("p"), F.max(F.struct("doc_id", "n")).alias("q"))
+              .where("size > 1").select(fresh("key"), "size", "p", "q"))
+    members = cut(placed.join(shared, "key"))
     # the texts behind a shared band, read once: full sets for every later check
-    ship(docs.sparkSession)
-    sets = cut(as_bytes(docs, id_col, text_col).join(ids, "doc_id", "left_semi")
+    sets = cut(as_bytes(docs, id_col, text_col).join(members.select("doc_id").distinct(), "doc_id", "left_semi")
                .mapInArrow(_set_maker(k), "doc_id long, shingles array<long>"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -146,47 +145,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         return (pairs.join(a, "a").join(b, "b")
-                .where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct())
-
-    def long_enough(x: str, y: str):
-        return (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-
-    def pair(x, y):
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    tested = cut(members.where(F.col("doc_id") != F.col("p")).where(long_enough("n", "pn"))
-                 .select(*pair("doc_id", "p")).distinct())
-    links = cut(confirmed(tested))
-    open_ = members.where("size > 2").select("key", "doc_id", "n")
-    groups = connected_components(links)
-    for turn in ("second", "rest"):
-        groups = cut(groups)
-        named = (open_.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-                 .select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("g")))
-        per = named.groupBy("key", "g").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("doc_id", "key").alias("o"), "doc_id", "n")).alias("q"))
-        split = (per.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "g")).alias("top"), F.min("q").alias("q"))
-                 .where("parts > 1"))
-        named = cut(named.join(cut(split), "key"))
-        open_ = named.select("key", "doc_id", "n")
-        if turn == "second":
-            fresh = named.where("doc_id <> q.doc_id").where(long_enough("n", "q.n")).select(*pair("doc_id", "q.doc_id"))
-        else:
-            outside = named.where("g <> top.g").select("key", F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("g").alias("xg"))
-            fresh = (named.where((F.col("g") == F.col("top.g")) | True)
-                     .select("key", F.col("doc_id").alias("y"), F.col("n").alias("yn"), F.col("g").alias("yg"), F.col("top.g").alias("tg"))
-                     .join(outside, "key").where("xg <> yg and (yg = tg or x < y)").where(long_enough("xn", "yn"))
-                     .select(*pair("x", "y")))
-        fresh = cut(fresh.distinct().join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            continue
-        tested = cut(tested.unionByName(fresh))
-        links = cut(links.unionByName(confirmed(fresh)))
-        groups = connected_components(links)
-    groups = cut(groups)
-    by_class = classes.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
+                .where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+
+    def pairs(frame: DataFrame, x: str, xn: str, y: str, yn: str) -> DataFrame:
+        """Distinct unordered pairs whose set sizes allow the similarity."""
+        return (frame.where(F.col(x) != F.col(y)).where(F.least(xn, yn) * 100 >= F.greatest(xn, yn) * percent)
+                .select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct())
+
+    ends = members.select("doc_id", "n", F.explode(F.array("p", "q")).alias("end"))
+    links = cut(confirmed(pairs(ends, "doc_id", "n", "end.doc_id", "end.n")))
+    groups = cut(connected_components(links))
+    named = (members.where("size > 2").select("key", "doc_id", "n", "p", "q").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+             .withColumn("g", F.coalesce("component", "doc_id")).drop("component"))
+    split = (named.groupBy("key", "g").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "g")).alias("top"))
+             .where("parts > 1").select(fresh("key"), F.col("top.g").alias("top")))
+    named = cut(named.join(split, "key"))
+    outside = named.where("g <> top").select("key", F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("g").alias("xg"))
+    # the two ends of a bucket have met everybody
+    rest = cut(pairs(named.where("doc_id <> p.doc_id and doc_id <> q.doc_id").join(outside, "key")
+                     .where("xg <> g and (g = top or x < doc_id) and x <> p.doc_id and x <> q.doc_id"), "x", "xn", "doc_id", "n"))
+    more = confirmed(rest)
+    # components of components: only links between different groups are left
+    own = groups.select(F.col("id"), F.col("component").alias("g"))
+    joined = (more.join(own.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a", "left").join(own.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b", "left")
+              .select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b")))
+    merged = cut(connected_components(joined))
+    groups = (groups.select("id", F.col("component").alias("g")).join(merged.select(F.col("id").alias("g"), "component"), "g", "left")
+              .select("id", F.coalesce("component", "g").alias("component"))
+              .unionByName(merged).groupBy("id").agg(F.min("component").alias("component")))
+    by_class = classes.select("h1", "h2", "rep").join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "h1", "h2", F.coalesce("component", "rep").alias("component"))
-    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    linked = sig.where(~alone).select("doc_id", "n", "h1", "h2").join(cut(by_class), ["h1", "h2"]).select(
+    linked = sig.where(~alone).select("doc_id", "n", "h1", "h2").join(by_class, ["h1", "h2"]).select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     single = sig.where(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(single).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
