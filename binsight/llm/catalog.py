@@ -8,7 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binsight.llm import chat_format, curve_packing, host_reputation, minmax_dedup, phrase_index, sorted_projections, token_counts
+from binsight.llm import (
+    additive_quality,
+    chat_format,
+    curve_packing,
+    host_reputation,
+    language_codes,
+    license_notices,
+    minmax_dedup,
+    phrase_index,
+    sorted_projections,
+    token_counts,
+)
 from binsight.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +115,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op5_language_codes")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_codes.identify(table(spark, sf_dir, "documents"))
+
+
 @query("op6_sorted_projections", """
     WITH RECURSIVE v AS (
         SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
@@ -121,6 +137,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorted_projections.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query("op7_license_notices")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_notices.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -150,6 +171,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op10_additive_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -154,3 +154,48 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
             acc = acc * ODD + words[i: n - k + 1 + i]
             acc ^= acc >> np.uint64(29)
         return mix(acc + np.uint64(k))
+
+
+def hashed_vectors(bodies: list[bytes], n: int, buckets: int) -> np.ndarray:
+    """(documents, buckets): unit vectors of the square roots of hashed counts of
+    ``n`` consecutive bytes; zero for texts of fewer bytes.  ``buckets``: a power of two."""
+    flat = np.frombuffer(b"".join(bodies), dtype=np.uint8).astype(np.uint32)
+    size = np.array([len(b) for b in bodies], dtype=np.int64)
+    out = np.zeros((len(bodies), buckets))
+    if len(flat) >= n:
+        h = np.zeros(len(flat) - n + 1, dtype=np.uint32)
+        for i in range(n):
+            h *= np.uint32(0x01000193)
+            h ^= flat[i:len(flat) - n + 1 + i]
+        h *= np.uint32(0x9E3779B1)
+        h >>= np.uint32(32 - (buckets.bit_length() - 1))
+        grams = np.maximum(size - n + 1, 0)
+        start = np.cumsum(size) - size
+        place = np.cumsum(grams) - grams
+        at = np.arange(int(grams.sum())) + np.repeat(start - place, grams)     # grams within one document only
+        cell = h[at].astype(np.int64) + np.repeat(np.arange(len(bodies)) * buckets, grams)
+        out = np.sqrt(np.bincount(cell, minlength=len(bodies) * buckets).reshape(len(bodies), buckets))
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=out, where=norm > 0)
+
+
+# ------------------------------------------------------------ classifiers
+
+def held_out(id_col: str):
+    """crc32 of the id as text, modulo 4, is 2 (false for a null id)."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def labelled_sample(rows: DataFrame, id_col: str, label_col: str, per_label: int) -> DataFrame:
+    """(id, label) of at most ``per_label`` rows per label on average and never more
+    than ``per_label`` times the number of labels: the ids with the smallest hashes
+    among the rows outside the held-out part.  Only ids and labels are moved."""
+    known = (rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), held_out(id_col).alias("out"))
+             .where("id is not null and label is not null and not out").drop("out").withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30))))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    if not counts:
+        return known.select("id", "label").limit(0)
+    part = F.lit(False)
+    for label, n in counts.items():
+        part = part | ((F.col("label") == F.lit(label)) & (F.col("h") < int(min(1.0, per_label / n) * (1 << 30))))
+    return known.where(part).distinct().orderBy("h", "id").limit(per_label * len(counts)).select("id", "label")

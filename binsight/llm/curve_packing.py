@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binsight.llm.common import ship, slices
+from binsight.llm.common import hashed_vectors, ship, slices
 
 BUCKETS, DIMS, BITS = 256, 4, 12
 _SEED = 7
@@ -43,30 +43,8 @@ _SEED = 7
 
 # ------------------------------------------------------------ vectors and keys
 
-def hashed_vectors(bodies: list[bytes], n: int = 4) -> np.ndarray:
-    """(documents, BUCKETS): unit vectors of the square roots of hashed byte n-gram counts."""
-    flat = np.frombuffer(b"".join(bodies), dtype=np.uint8).astype(np.uint32)
-    size = np.array([len(b) for b in bodies], dtype=np.int64)
-    out = np.zeros((len(bodies), BUCKETS))
-    if len(flat) >= n:
-        h = np.zeros(len(flat) - n + 1, dtype=np.uint32)
-        for i in range(n):
-            h *= np.uint32(0x01000193)
-            h ^= flat[i:len(flat) - n + 1 + i]
-        h *= np.uint32(0x9E3779B1)
-        h >>= np.uint32(24)
-        grams = np.maximum(size - n + 1, 0)
-        start = np.cumsum(size) - size
-        place = np.cumsum(grams) - grams
-        at = np.arange(int(grams.sum())) + np.repeat(start - place, grams)     # grams within one document only
-        cell = h[at].astype(np.int64) + np.repeat(np.arange(len(bodies)) * BUCKETS, grams)
-        out = np.sqrt(np.bincount(cell, minlength=len(bodies) * BUCKETS).reshape(len(bodies), BUCKETS))
-    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return np.divide(out, norm, out=out, where=norm > 0)
-
-
 def projected(bodies: list[bytes]) -> np.ndarray:
-    return hashed_vectors(bodies) @ np.random.default_rng(_SEED).standard_normal((BUCKETS, DIMS))
+    return hashed_vectors(bodies, 4, BUCKETS) @ np.random.default_rng(_SEED).standard_normal((BUCKETS, DIMS))
 
 
 def hilbert_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
