@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binsight.llm.common import cut, ship, slices
@@ -41,11 +41,17 @@ def words_of(body: bytes) -> list[bytes]:
     return body.translate(WORD_BYTES).split()
 
 
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Key of a row: rows with the same id and text share it."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.xxhash64(F.col(id_col).isNull(), text)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k1, k2, doc_id, body): rows with the same id and text share the key."""
-    text, no = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).isNull()
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k1"), F.xxhash64(no, text).alias("k2"),
-                       F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("body"))
+    """(k1, k2, doc_id, body) of the rows of ``docs``."""
+    k1, k2 = row_key(id_col, text_col)
+    return docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).cast("long").alias("doc_id"),
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
 
 
 class Block:
