@@ -40,6 +40,8 @@ _CHUNK = 4 << 20
 def codewords(n: int, seed: int = 3) -> np.ndarray:
     """(n, bits) of -1 / +1: the exhaustive code up to 7 classes, beyond that the
     random code with the largest smallest distance of 200 draws."""
+    if n == 0:
+        return np.zeros((0, 0))
     if n <= 7:
         bits = [[1 if (c >> i) & 1 == 0 else -1 for i in range(n)] for c in range(1, 1 << max(n - 1, 0))]
         return np.array(bits, dtype=np.float64).T.reshape(n, -1)
