@@ -14,8 +14,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binsight.session import checkpoint_dir
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,6 +40,19 @@ def ship(spark: SparkSession) -> None:
     sc._binsight_shipped = target
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder lineage is cut in: the one the cluster names in
+    ``spark.checkpoint.dir``.  Only a local session where it is unset gets one of
+    its own; on a cluster an unset folder is an error."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="binsight-ckpt-"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage:
     a lost executor re-reads the files instead of recomputing the past."""

@@ -10,9 +10,10 @@ the confirmed links.
   comparison, however many copies there are.
 * A bucket never lists its pairs.  First every member meets the bucket's
   smallest and its largest id; buckets whose members then share a component are
-  finished.  What is left joins the members outside a bucket's largest
-  component with the members of other components, so no candidate link between
-  components is skipped.
+  finished.  In the others, the members outside the bucket's largest component
+  are held against all members of other components, in blocks of bounded size
+  that give out confirmed links only, so no candidate link between components
+  is skipped.
 * Defaults: 96 permutations, 192 values in 32 bands of 6.  A pair with
   similarity 0.8 shares no band with probability 6e-5, one with 0.9 below
   1e-10.
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from binsight.llm.common import ODD, WordHashes, as_bytes, connected_components, cut, fresh, mix, shingle_hashes, ship, slices
 
 _STEP = 1 << 15          # shingles hashed at a time (stays in cache)
+_BLOCK_ROWS, _BLOCK_SHINGLES = 1024, 1 << 20          # of a bucket, held against each other at a time
 
 
 def _doc_sets(batch: pa.RecordBatch, k: int, seen: WordHashes) -> Iterator[np.ndarray]:
@@ -122,6 +124,33 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         _signer(k, perms, rows), "doc_id long, n long, h1 long, h2 long, bands array<long>")
 
 
+def _cross_links(percent: int) -> Callable:
+    """Links between a cell's members of different components, at least one of which
+    is outside the bucket's largest.  A cell holds two blocks of a bucket, or one."""
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        doc, group, own = (cell.column(c).to_numpy() for c in ("doc_id", "g", "own"))
+        sets = cell.column("shingles").combine_chunks()
+        size = np.diff(sets.offsets.to_numpy())
+        names, flat = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        cross = cell.column("i")[0] != cell.column("j")[0]
+        a, b, mark = [], [], np.zeros(len(names), dtype=bool)
+        for x in np.flatnonzero(cell.column("outside").to_numpy(zero_copy_only=False)):
+            at = slice(starts[x], starts[x] + size[x])
+            mark[flat[at]] = True
+            both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[flat[at]] = False
+            linked = (100 * both >= percent * (size + size[x] - both)) & (group != group[x])
+            if cross:
+                linked &= own != own[x]
+            y = np.flatnonzero(linked)
+            a += [doc[x]] * len(y)
+            b += doc[y].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
                     percent: int = 80, perms: int = 96, rows: int = 6) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
@@ -155,16 +184,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = members.select("doc_id", "n", F.explode(F.array("p", "q")).alias("end"))
     links = cut(confirmed(pairs(ends, "doc_id", "n", "end.doc_id", "end.n")))
     groups = cut(connected_components(links))
-    named = (members.where("size > 2").select("key", "doc_id", "n", "p", "q").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    named = (members.where("size > 2").select("key", "doc_id", "n").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
              .withColumn("g", F.coalesce("component", "doc_id")).drop("component"))
-    split = (named.groupBy("key", "g").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "g")).alias("top"))
-             .where("parts > 1").select(fresh("key"), F.col("top.g").alias("top")))
-    named = cut(named.join(split, "key"))
-    outside = named.where("g <> top").select("key", F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("g").alias("xg"))
-    # the two ends of a bucket have met everybody
-    rest = cut(pairs(named.where("doc_id <> p.doc_id and doc_id <> q.doc_id").join(outside, "key")
-                     .where("xg <> g and (g = top or x < doc_id) and x <> p.doc_id and x <> q.doc_id"), "x", "xn", "doc_id", "n"))
-    more = confirmed(rest)
+    split = (named.groupBy("key", "g").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("key")
+             .agg(F.count("*").alias("parts"), F.max(F.struct("c", "g")).alias("top"), F.sum("c").alias("c"), F.sum("n").alias("n"))
+             .where("parts > 1").select(fresh("key"), F.col("top.g").alias("top"),
+                                        F.greatest(F.ceil(F.col("c") / _BLOCK_ROWS), F.ceil(F.col("n") / _BLOCK_SHINGLES)).cast("long").alias("blocks")))
+    cells = (named.join(split, "key").select("key", "doc_id", "n", (F.col("g") != F.col("top")).alias("outside"), "g", "blocks")
+             .withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "outside", "g"))
+    more = (cells.join(sets, "doc_id").groupBy("key", "i", "j").applyInArrow(_cross_links(percent), "a long, b long").distinct())
     # components of components: only links between different groups are left
     own = groups.select(F.col("id"), F.col("component").alias("g"))
     joined = (more.join(own.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a", "left").join(own.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b", "left")
