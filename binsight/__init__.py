@@ -5,6 +5,6 @@ Every public function takes DataFrames (plus plain parameters) and returns a
 lazy DataFrame; nothing is collected to the driver.  See README.md.
 """
 
-from binsight.session import get_spark, checkpoint_dir
+from binsight.session import get_spark
 
-__all__ = ["get_spark", "checkpoint_dir"]
+__all__ = ["get_spark"]

@@ -48,18 +48,29 @@ def pg_concat(*cols: ColumnOrName) -> Column:
     return F.concat_ws("", *[col(c).cast("string") for c in cols])
 
 
-def trunc_toward_zero(x: ColumnOrName, scale: int = 2) -> Column:
-    """``TRUNC(x, scale)``: drop digits toward zero, on the DOUBLE value
-    (``floor(x * 10^scale) / 10^scale`` for x >= 0)."""
-    x = col(x)
-    k = float(10 ** scale)
-    return F.when(x < 0, F.ceil(x * k) / k).otherwise(F.floor(x * k) / k)
+def exact(x: ColumnOrName, scale: int = 6) -> Column:
+    """A number as a decimal with ``scale`` digits (a DOUBLE through its shortest text)."""
+    return col(x).cast(f"decimal(24,{scale})")
+
+
+def truncated_ratio(x: ColumnOrName, y: ColumnOrName, times: int = 1, scale: int = 2) -> Column:
+    """``TRUNC(x / y * times, scale)`` toward zero in whole-number arithmetic;
+    NULL for a zero ``y``."""
+    steps = 10 ** scale
+    whole = F.call_function("div", exact(x) * F.lit(times * steps), F.nullif(exact(y), F.lit(0)))
+    return (whole.cast("decimal(38,0)") / F.lit(steps)).cast(f"decimal(38,{scale})")
 
 
 def num_text(x: ColumnOrName, scale: int = 3) -> Column:
     """Numeric -> text with a fixed number of decimals (via DECIMAL, never the
-    scientific notation a DOUBLE prints with)."""
-    return col(x).cast(f"decimal(38,{scale})").cast("string")
+    scientific notation a DOUBLE prints with); zero prints as ``0``."""
+    x = col(x).cast(f"decimal(38,{scale})")
+    return F.when(x == 0, F.lit("0")).otherwise(x.cast("string"))
+
+
+def time_text(ts: ColumnOrName) -> Column:
+    """``ts::time`` as text: ``HH:MM:SS`` and the fraction, if any, without trailing zeros."""
+    return F.substring(col(ts).cast("string"), 12, 15)
 
 
 def blank_sentinel(c: ColumnOrName, sentinel: str) -> Column:
@@ -68,20 +79,24 @@ def blank_sentinel(c: ColumnOrName, sentinel: str) -> Column:
     return F.when(c == F.lit(sentinel), F.lit("")).otherwise(c)
 
 
-def similar_to_regex(pattern: str) -> str:
+def similar_to_regex(pattern: str, escape: str = "\\") -> str:
     """Translate a SQL ``SIMILAR TO`` pattern into an anchored Java regex.
 
-    In SIMILAR TO ``%`` is any string, ``_`` any character and ``.`` is a
-    literal dot; brackets, braces, ``|``, ``*``, ``+``, ``?`` and groups keep
-    their regex meaning.  The match is against the whole string.
+    In SIMILAR TO ``%`` is any string, ``_`` any character (line feeds
+    included) and ``.`` is a literal dot; brackets, braces, ``|``, ``*``, ``+``,
+    ``?`` and groups keep their regex meaning; ``escape`` makes the next
+    character literal.  The match is against the whole string.
     """
-    out = []
-    in_bracket = False
+    out, in_bracket, literal = [], False, False
     for ch in pattern:
-        if in_bracket:
+        if literal:
+            out.append(re.escape(ch))
+            literal = False
+        elif ch == escape:
+            literal = True
+        elif in_bracket:
             out.append(ch)
-            if ch == "]":
-                in_bracket = False
+            in_bracket = ch != "]"
         elif ch == "[":
             in_bracket = True
             out.append(ch)
@@ -93,7 +108,7 @@ def similar_to_regex(pattern: str) -> str:
             out.append(re.escape(ch))
         else:
             out.append(ch)
-    return "^(?:" + "".join(out) + ")$"
+    return r"\A(?s:" + "".join(out) + r")\z"
 
 
 def similar_to(c: ColumnOrName, pattern: str) -> Column:
@@ -159,6 +174,20 @@ def interval_total_seconds(iv: ColumnOrName) -> Column:
             + ex("MINUTE").cast("double") * 60 + ex("SECOND").cast("double"))
 
 
+def micros_between(later: ColumnOrName, earlier: ColumnOrName) -> Column:
+    """Signed whole microseconds (long) between two TIMESTAMP_NTZ values; zone free."""
+    iv = col(later) - col(earlier)
+    ex = lambda unit: F.extract(F.lit(unit), iv)
+    minutes = (ex("DAY").cast("long") * 24 + ex("HOUR")) * 60 + ex("MINUTE")
+    return (minutes * 60_000_000 + (ex("SECOND") * 1_000_000).cast("long")).cast("long")
+
+
+def interval_micros(micros: ColumnOrName) -> Column:
+    """Whole microseconds as an interval."""
+    m = col(micros)
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (m.cast("decimal(18,0)") / F.lit(1_000_000)).cast("decimal(18,6)"))
+
+
 def seconds_between(later: ColumnOrName, earlier: ColumnOrName) -> Column:
     """Signed seconds (double, microsecond precision) between two
     TIMESTAMP_NTZ values.  Plain NTZ subtraction is zone free; Spark's

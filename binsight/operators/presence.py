@@ -3,30 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _null_patterns(cols):
-    from itertools import combinations
+def _subsets(cols):
     for r in range(len(cols) + 1):
-        yield from (list(c) for c in combinations(cols, r))
-
-
-def _pattern_cond(cols, nulls):
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & (F.col(c).isNull() if c in nulls else F.col(c).isNotNull())
-    return cond
-
-
-def _exactly_null(df: DataFrame, cols, nulls):
-    return df.filter(_pattern_cond(cols, nulls))
+        yield from (frozenset(c) for c in combinations(cols, r))
 
 
 def absent(df: DataFrame, other: DataFrame, keys: Sequence[str] | str,
-           other_keys: Sequence[str] | str | None = None, null_aware: bool = True) -> DataFrame:
+           other_keys: Sequence[str] | str | None = None, null_aware: bool = True,
+           not_null: Sequence[str] = (), other_not_null: Sequence[str] = ()) -> DataFrame:
     """Rows of ``df`` whose key is not in ``other``.
 
     ``null_aware=True`` is SQL ``[NOT] IN`` with three-valued logic: a row is
@@ -36,46 +26,53 @@ def absent(df: DataFrame, other: DataFrame, keys: Sequence[str] | str,
     rows), a NULL key in ``df`` is removed as soon as ``other`` has a row that
     does not contradict it, and nothing is removed when ``other`` is empty.
 
-    Evaluated per NULL pattern (which key columns are NULL) of both sides.
-    A one-row aggregate of the excluded side (run when the plan is built)
-    says which patterns it holds; each (row pattern, excluded pattern) pair
-    is a hash ``left_anti`` join on the columns both have, or drops the row
-    pattern outright when they share none.  Without NULL keys this is a
-    single anti join.  Spark's own multi-column ``NOT IN`` would be a
-    nested-loop join.
-    ``null_aware=False`` is ``NOT EXISTS`` (a plain ``left_anti``).
+    One lazy plan whatever the data hold: for each pattern of NULL columns an
+    excluded row may have, and each set of columns left to compare, a hash
+    ``left_anti`` join; where nothing is left to compare, a scalar subquery
+    says whether such a row exists.  Key columns the caller has filtered to
+    non-NULL are named in ``not_null`` (rows) and ``other_not_null`` (excluded
+    side) and save their patterns.  (Spark's own multi-column ``NOT IN`` would
+    be a nested-loop join.)  ``null_aware=False`` is ``NOT EXISTS``.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     okeys = keys if other_keys is None else ([other_keys] if isinstance(other_keys, str) else list(other_keys))
-    o = other.select(*[F.col(ok).alias(k) for k, ok in zip(keys, okeys)])
+    o = other.select(*[F.col(ok).alias(f"__o{i}") for i, ok in enumerate(okeys)])
+    names = {k: f"__o{i}" for i, k in enumerate(keys)}
     if not null_aware:
-        return df.join(o.distinct(), on=keys, how="left_anti")
-    # One bounded aggregate (a single row) tells which NULL patterns the
-    # excluded side holds; only the branches those patterns need are built.
-    # In the usual case (no NULL keys) this is one hash anti join.
-    patterns = list(_null_patterns(keys))
-    flags = o.agg(*[F.max(F.when(_pattern_cond(keys, p), F.lit(1))).alias(f"p{i}")
-                    for i, p in enumerate(patterns)]).first()
-    present = [p for i, p in enumerate(patterns) if flags[f"p{i}"] == 1]
-    if not present:                     # empty subquery: NOT IN is true for every row
-        return df
-    parts = []
-    for left_nulls in patterns:
-        part, dropped = _exactly_null(df, keys, left_nulls), False
-        for other_nulls in present:
-            cmp = [c for c in keys if c not in left_nulls and c not in other_nulls]
-            if not cmp:                 # an existing row that cannot be told apart
-                dropped = True
-                break
-            o_p = _exactly_null(o, keys, other_nulls).select(*cmp).distinct()
-            part = part.join(o_p, on=cmp, how="left_anti")
-        if not dropped:
-            parts.append(part)
-    if not parts:
-        return df.limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        return df.join(o, [F.col(k) == F.col(n) for k, n in names.items()], "left_anti")
+    o = o.distinct()                 # one exchange, shared by the branches below
+
+    def pattern(cols, nulls, name=lambda k: k):
+        cond = F.lit(True)
+        for c in cols:
+            cond = cond & (F.col(name(c)).isNull() if c in nulls else F.col(name(c)).isNotNull())
+        return cond
+
+    rows = [p for p in _subsets(keys) if not p & set(not_null)]
+    gone = [p for p in _subsets(keys) if not p & set(other_not_null)]
+    # excluded patterns that leave a row pattern nothing to compare
+    present = o.agg(*[F.coalesce(F.bool_or(pattern(keys, p, names.get)), F.lit(False)).alias(f"p{i}") for i, p in enumerate(gone)])
+    flags = present.select(F.struct("*")).scalar()
+    dropped = F.lit(False)
+    out = df.withColumn("__present", flags)
+    for i, p in enumerate(gone):
+        for r in rows:
+            if set(keys) <= p | r:
+                dropped = dropped | (pattern(keys, r) & F.col(f"__present.p{i}"))
+    out = out.filter(~dropped).drop("__present")
+    for p in gone:
+        branch = o.filter(pattern(keys, p, names.get))
+        for compared in {frozenset(keys) - p - r for r in rows} - {frozenset()}:
+            own = [r for r in rows if frozenset(keys) - p - r == compared]
+            # a row takes part if the other columns are NULL in it or in the excluded row
+            fits = F.lit(False)
+            for r in own:
+                fits = fits | pattern(keys, r)
+            some, *rest = sorted(compared)
+            cond = F.when(fits, F.col(some)) == F.col(names[some])
+            for c in rest:
+                cond = cond & (F.col(c) == F.col(names[c]))
+            out = out.join(branch, cond, "left_anti")
     return out
 
 
@@ -85,9 +82,12 @@ def absent_in_period(dim: DataFrame, fact: DataFrame, key: str, ts: str, start,
     day is in [start, end] -- the LEFT JOIN ... HAVING count = 0 pattern, as a
     semi/anti join at group level."""
     from binsight.operators.filters import in_days_expr
-    hits = fact.filter(in_days_expr(ts, start, end)).select(key).distinct()
-    active_groups = dim.join(hits, on=key, how="left_semi").select(*group).distinct()
-    return dim.join(active_groups, on=list(group), how="left_anti")
+    hits = fact.filter(in_days_expr(ts, start, end)).select(key)
+    active = dim.join(hits, on=key, how="left_semi").select(*[F.col(g).alias(f"__a{i}") for i, g in enumerate(group)]).distinct()
+    same = F.lit(True)
+    for i, g in enumerate(group):        # NULL is a group of its own, as in GROUP BY
+        same = same & F.col(g).eqNullSafe(F.col(f"__a{i}"))
+    return dim.join(active, same, "left_anti")
 
 
 def last_seen(sources: Sequence[DataFrame], keys: Sequence[str], ts: str = "dataora",

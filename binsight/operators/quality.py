@@ -13,17 +13,11 @@ def exact_duplicates(df: DataFrame, keys: Sequence[str], id_col: str = "id",
     """Groups of rows equal on ``keys`` seen at least ``min_count`` times,
     with the count and the ids joined in ascending order.
 
-    Counting is a plain hash aggregation with map-side combine (no object
-    buffers over all rows); ids are then gathered only for the keys that
-    repeat, through one inner join that also carries the count (so the
-    counts are computed once).
+    One scan and one shuffle: count and ids come from the same aggregation.
     """
-    keys = list(keys)
-    counts = (df.groupBy(*keys).agg(F.count(id_col).alias("conteggio"))
-                .filter(F.col("conteggio") >= min_count))
-    rows = df.select(*keys, id_col).join(counts, on=keys, how="inner")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(id_col)), lambda x: x.cast("string")), sep)
-    return rows.groupBy(*keys, "conteggio").agg(ids.alias("stringaid"))
+    return (df.groupBy(*keys).agg(F.count(id_col).alias("conteggio"), ids.alias("stringaid"))
+              .filter(F.col("conteggio") >= min_count))
 
 
 def duplicate_summary(df: DataFrame, key: str | Sequence[str], measures: dict,

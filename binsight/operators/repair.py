@@ -3,16 +3,18 @@ the history into islands at each jump and propose rebuilt timestamps."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binsight.functions.pg import as_ts, interval_seconds, seconds_between
+from binsight.functions.pg import as_ts, interval_micros, interval_seconds, micros_between
 from binsight.operators.sequence import Lag, Running, Sequence
 
 
 def clock_repair(df: DataFrame, cutoff, keys=("idcomune", "codicestazione"), seq: str = "id",
                  ts: str = "dataora", restart_gap_seconds: float = 30.0, min_id: int | None = None,
-                 valid: "F.Column | None" = None, literal: bool = False) -> DataFrame:
+                 valid: "F.Column | None" = None, only: Mapping | None = None, literal: bool = False) -> DataFrame:
     """O20.  Rows in (keys, seq) order, per station:
 
     * class 1 (``flag``): the clock went back (``ts`` < previous ``ts``);
@@ -22,8 +24,8 @@ def clock_repair(df: DataFrame, cutoff, keys=("idcomune", "codicestazione"), seq
       previous row that is also before it.
     Class 1 wins over 0/2; steps of 0, rows at exactly the cutoff and first
     rows are not classified (dropped).  ``delta_dataora`` is the step in
-    seconds.  ``conteggio`` numbers the islands (running count of jumps in
-    the global (keys, seq) order).  ``nuovadataora``: a jump right after a
+    seconds (kept in whole microseconds until the output).  ``conteggio``
+    numbers the islands of a station (its running count of jumps).  ``nuovadataora``: a jump right after a
     class-0 row becomes previous time + ``restart_gap_seconds``; a class-2 row
     right after a jump becomes previous time - previous step.
     ``nuovadataora2``: for class-2 rows, the rebuilt time carried along the
@@ -31,17 +33,25 @@ def clock_repair(df: DataFrame, cutoff, keys=("idcomune", "codicestazione"), seq
     class-2 row: the island's first class-2 ``nuovadataora`` + running sum of
     positive steps in the island).
 
+    ``only`` (column: value) keeps one station; it is applied to the input,
+    since nothing crosses stations.
+
     ``literal=True`` keeps the original construction: the steps are measured
     by LAGs over the global (keys, seq) order (a station's first row is
     compared with the previous station's last), the three classes are a
     UNION, so a record can be emitted twice (class 1 and class 0/2), the island
-    counter includes such twins as peers, and ``nuovadataora`` uses the
+    counter runs over all stations and includes such twins as peers, and ``nuovadataora`` uses the
     global LAG.  Twins are ordered by class (the original order is arbitrary).
     """
     if literal:
-        return _clock_repair_literal(df, cutoff, list(keys), seq, ts, restart_gap_seconds, min_id, valid)
+        out = _clock_repair_literal(df, cutoff, list(keys), seq, ts, restart_gap_seconds, min_id, valid)
+        for c, v in (only or {}).items():
+            out = out.filter(F.col(c) == v)
+        return out
     keys = list(keys)
     x = df
+    for c, v in (only or {}).items():
+        x = x.filter(F.col(c) == v)
     if valid is not None:
         x = x.filter(valid)
     cut = as_ts(cutoff)
@@ -56,8 +66,8 @@ def clock_repair(df: DataFrame, cutoff, keys=("idcomune", "codicestazione"), seq
             .withColumn("__prev_side_ts", F.when(F.col("__side") == 1, F.col("__prev_pos"))
                                            .when(F.col("__side") == -1, F.col("__prev_neg")))
             .drop("__prev_pos", "__prev_neg"))
-    d_all = seconds_between(ts, "__prev_ts")
-    d_side = seconds_between(ts, "__prev_side_ts")
+    d_all = micros_between(ts, "__prev_ts")
+    d_side = micros_between(ts, "__prev_side_ts")
     riavvio = (F.when(d_all < 0, 1)
                 .when((F.col("__side") == 1) & (d_side > 0), 0)
                 .when((F.col("__side") == -1) & (d_side > 0), 2))
@@ -69,14 +79,13 @@ def clock_repair(df: DataFrame, cutoff, keys=("idcomune", "codicestazione"), seq
     if min_id is not None:
         c = c.filter(F.col(seq) > min_id)
     # then one range partitioning in (keys, seq) order serves every remaining window:
-    #    the global island counter, per-station lags, per-island lags and sums.
+    #    the island counter, per-station lags, per-island lags and sums.
     g = Sequence(c, order=[seq], by=keys)
-    g = g.apply([Running("conteggio", F.when(F.col("flag"), F.lit(1)), "count", group=[]),
+    g = g.apply([Running("conteggio", F.when(F.col("flag"), F.lit(1)), "count"),
                  Lag("__pr", "riavvio"), Lag("__pts", ts), Lag("__pdelta", "delta_dataora")])
-    secs = lambda v: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), v)
     gap = interval_seconds(restart_gap_seconds)
     nuova = (F.when((F.col("riavvio") == 1) & (F.col("__pr") == 0), F.col(f"__pts") + gap)
-              .when((F.col("riavvio") == 2) & (F.col("__pr") == 1), F.col("__pts") - secs(F.col("__pdelta"))))
+              .when((F.col("riavvio") == 2) & (F.col("__pr") == 1), F.col("__pts") - interval_micros(F.col("__pdelta"))))
     g = g._with(g.df.withColumn("nuovadataora", nuova.cast("timestamp_ntz")))
     island = [*keys, "conteggio"]
     first2 = F.when(F.col("riavvio") == 2, F.struct(F.col(seq).alias("s"), F.col("nuovadataora").alias("v")))
@@ -84,11 +93,11 @@ def clock_repair(df: DataFrame, cutoff, keys=("idcomune", "codicestazione"), seq
                  Running("__first2", first2, "first_nonnull", group=island),
                  Running("__possum", F.when(F.col("delta_dataora") > 0, F.col("delta_dataora")), "sum", group=island)])
     z = g.result()
-    nuova2 = (F.when((F.col("riavvio") == 2) & (F.col("__pr") == 1), F.col("__pnuova") + secs(F.col("delta_dataora")))
+    nuova2 = (F.when((F.col("riavvio") == 2) & (F.col("__pr") == 1), F.col("__pnuova") + interval_micros(F.col("delta_dataora")))
                .when((F.col("riavvio") == 2) & (F.col("__pr") == 2),
-                     F.col("__first2.v") + secs(F.col("__possum"))))
+                     F.col("__first2.v") + interval_micros(F.col("__possum"))))
     return (z.withColumn("nuovadataora2", nuova2.cast("timestamp_ntz"))
-             .withColumn("idn", F.col(seq))
+             .withColumn("idn", F.col(seq)).withColumn("delta_dataora", F.col("delta_dataora") / 1_000_000.0)
              .drop("__pr", "__pts", "__pdelta", "__pnuova", "__first2", "__possum"))
 
 
@@ -104,8 +113,8 @@ def _clock_repair_literal(df, cutoff, keys, seq, ts, restart_gap_seconds, min_id
         Running("__prev_pos", F.when(F.col("__side") == 1, F.col(ts)), "last_nonnull", exclusive=True),
         Running("__prev_neg", F.when(F.col("__side") == -1, F.col(ts)), "last_nonnull", exclusive=True)])
     prev_side = F.when(F.col("__side") == 1, F.col("__prev_pos")).when(F.col("__side") == -1, F.col("__prev_neg"))
-    d_all = seconds_between(ts, "__prev_ts")
-    d_side = seconds_between(F.col(ts), prev_side)
+    d_all = micros_between(ts, "__prev_ts")
+    d_side = micros_between(F.col(ts), prev_side)
     in_scope = F.lit(True) if min_id is None else (F.col(seq) > min_id)
     # island counter per record = the original running COUNT whose frame
     # includes a record's twin rows as peers
@@ -123,9 +132,8 @@ def _clock_repair_literal(df, cutoff, keys, seq, ts, restart_gap_seconds, min_id
     g = Sequence(rows, order=[*order, "riavvio"])
     g = g.apply([Lag("__gpr", "riavvio", group=[]), Lag("__gpts", ts, group=[]),
                  Lag("__gpdelta", "delta_dataora", group=[]), Lag("__pr", "riavvio", group=keys)])
-    secs = lambda v: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), v)
     nuova = (F.when((F.col("riavvio") == 1) & (F.col("__gpr") == 0), F.col("__gpts") + interval_seconds(restart_gap_seconds))
-              .when((F.col("riavvio") == 2) & (F.col("__gpr") == 1), F.col("__gpts") - secs(F.col("__gpdelta"))))
+              .when((F.col("riavvio") == 2) & (F.col("__gpr") == 1), F.col("__gpts") - interval_micros(F.col("__gpdelta"))))
     g = g._with(g.df.withColumn("nuovadataora", nuova.cast("timestamp_ntz")))
     island = [*keys, "conteggio"]
     first2 = F.when(F.col("riavvio") == 2, F.struct(F.col(seq).alias("s"), F.col("nuovadataora").alias("v")))
@@ -133,7 +141,8 @@ def _clock_repair_literal(df, cutoff, keys, seq, ts, restart_gap_seconds, min_id
                  Running("__first2", first2, "first_nonnull", group=island),
                  Running("__possum", F.when(F.col("delta_dataora") > 0, F.col("delta_dataora")), "sum", group=island)])
     z = g.result()
-    nuova2 = (F.when((F.col("riavvio") == 2) & (F.col("__pr") == 1), F.col("__pnuova") + secs(F.col("delta_dataora")))
-               .when((F.col("riavvio") == 2) & (F.col("__pr") == 2), F.col("__first2.v") + secs(F.col("__possum"))))
+    nuova2 = (F.when((F.col("riavvio") == 2) & (F.col("__pr") == 1), F.col("__pnuova") + interval_micros(F.col("delta_dataora")))
+               .when((F.col("riavvio") == 2) & (F.col("__pr") == 2), F.col("__first2.v") + interval_micros(F.col("__possum"))))
     return (z.withColumn("nuovadataora2", nuova2.cast("timestamp_ntz")).withColumn("idn", F.col(seq))
+             .withColumn("delta_dataora", F.col("delta_dataora") / 1_000_000.0)
              .drop("__gpr", "__gpts", "__gpdelta", "__pr", "__pnuova", "__first2", "__possum"))

@@ -7,32 +7,37 @@ one task, and a window with no partition (the global ``LAG(x) OVER (ORDER BY
 ts)`` several reports use) puts the *whole table* into one task.  Neither
 survives a station that holds a third of the rows.
 
-:class:`Sequence` instead range-partitions the rows by ``by + order`` (Spark
-samples the key distribution, so a hot station is spread over many ranges)
-and evaluates every window inside each range.  The only rows that see the
-wrong neighbour are the first rows of each range; they get the missing state
-from a *carry table* with one row per range (so its size is bounded by the
-number of partitions, never by the data) that is built with a tiny window
-over the per-range summaries and broadcast back.
+:class:`Sequence` instead splits the rows into ranges of ``by + order``, so a
+hot station is spread over many ranges, and evaluates every window inside each
+range.  The range of a row is a deterministic expression: the number of range
+bounds that are not above its key.  The bounds are quantiles of the rows with
+the smallest key hashes (a fixed uniform sample, ``SAMPLE_PER_RANGE`` rows per
+range) and come from a scalar subquery, so nothing runs while a report is
+built, and a recomputed task finds the same ranges.  The rows are shuffled
+once, straight to the partition of their range; every later window and
+summary is partitioned by the range id and needs no further shuffle.
+
+The only rows that see the wrong neighbour are the first rows of each range;
+they get the missing state from a *carry table* with one row per range (so its
+size is bounded by the number of ranges, never by the data) that is built with
+a tiny window over the per-range summaries and broadcast back.
 
 The groups given to :meth:`Sequence.lag` / :meth:`Sequence.running` must be
 contiguous in the sequence order (a prefix of ``by + order`` columns, or a
 column that is constant over runs of that order, such as an island id from a
-running count).  The range partitioning is done once per ``Sequence``; every
-later window is partitioned by the range id and therefore needs no further
-shuffle.
+running count).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence as Seq
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from binsight.session import checkpoint_dir
-
 RP = "__rp"  # range partition id
+SAMPLE_PER_RANGE = 64  # rows that decide about the bounds, for each range
 
 _RUN_LOCAL = {
     "sum": F.sum,
@@ -80,6 +85,28 @@ def _n_partitions(df: DataFrame, partitions: int | None) -> int:
         return max(df.sparkSession.sparkContext.defaultParallelism, 1)
 
 
+def _with_range_id(df: DataFrame, keys: Seq[str], n: int) -> DataFrame:
+    """``df`` with the number of each row's range: 0 to ``n - 1``, ascending with
+    the keys (nulls first).  Looked up in two steps of about ``sqrt(n)`` bounds."""
+    key = F.struct(*[F.col(k) for k in keys])
+    if n == 1:
+        return df.withColumn(RP, F.lit(0))
+    step = math.ceil(math.sqrt(n))
+    sample = (df.select(key.alias("k"), F.xxhash64(*keys).alias("h")).orderBy("h").limit(SAMPLE_PER_RANGE * n)
+                .agg(F.array_sort(F.collect_list("k")).alias("s")))
+    bounds = F.transform(F.sequence(F.lit(1), F.lit(n - 1)),
+                         lambda i: F.get("s", F.floor(i * F.size("s") / n).cast("int")))
+    parts = F.sequence(F.lit(0), F.lit((n - 2) // step))
+    lookup = sample.select(bounds.alias("b")).select(F.struct(
+        F.transform(parts, lambda j: F.get("b", j * step)).alias("first"),
+        F.transform(parts, lambda j: F.slice("b", j * step + 1, step)).alias("part")).alias("r"))
+    part = F.size(F.filter("__bounds.first", lambda b: b <= key))
+    within = F.size(F.filter(F.get("__bounds.part", F.col("__part") - 1), lambda b: b <= key))
+    return (df.withColumn("__bounds", lookup.scalar()).withColumn("__part", part)
+              .withColumn(RP, F.when(F.col("__part") == 0, F.lit(0)).otherwise((F.col("__part") - 1) * step + within))
+              .drop("__bounds", "__part"))
+
+
 class Sequence:
     """Rows of ``df`` in the total order ``by + order`` (ties must be broken by
     the caller, e.g. by appending an id)."""
@@ -91,17 +118,7 @@ class Sequence:
         self.keys = [*self.by, *self.order]
         self.n = _n_partitions(df, partitions)
         if _ranged is None:
-            ranged = (df.repartitionByRange(self.n, *[F.col(k).asc_nulls_first() for k in self.keys])
-                        .withColumn(RP, F.spark_partition_id())
-                        .repartition(self.n, RP))
-            # The range id comes from the partition index, which Spark treats as
-            # nondeterministic: two scans of an un-pinned plan may sample
-            # different range bounds.  A reliable checkpoint (shared folder named
-            # by spark.checkpoint.dir) pins one partitioning for every later
-            # window and summary, keeps the hash partitioning on the range id,
-            # and lets a lost executor re-read instead of re-sampling.
-            checkpoint_dir(df.sparkSession)
-            _ranged = ranged.checkpoint(eager=False)
+            _ranged = _with_range_id(df, self.keys, self.n).repartitionById(self.n, RP)
         self.df = _ranged
 
     def _with(self, df: DataFrame) -> "Sequence":
@@ -241,25 +258,28 @@ def debounce(df: DataFrame, keys: Seq[str], ts: str, gap_seconds: float, tie: Se
 def state_changes(df: DataFrame, keys: Seq[str], ts: str, state: str, tie: Seq[str] = ("id",),
                   keep_first: bool = True, partitions: int | None = None) -> DataFrame:
     """Rows whose ``state`` differs from the previous row's state at the
-    same key, with the previous state in ``prev_state``."""
-    out = Sequence(df, order=[ts, *tie], by=keys, partitions=partitions).lag({"prev_state": state}).result()
+    same key (a NULL state is a state of its own), with the previous state in
+    ``prev_state``.  A key's first row counts as a change unless
+    ``keep_first=False``."""
+    out = Sequence(df, order=[ts, *tie], by=keys, partitions=partitions).lag(
+        {"prev_state": state, "__has_prev": F.lit(True)}).result()
+    first = F.col("__has_prev").isNull()
     changed = ~F.col(state).eqNullSafe(F.col("prev_state"))
-    if not keep_first:
-        changed = changed & F.col("prev_state").isNotNull()
-    return out.filter(changed)
+    return out.filter((first | changed) if keep_first else (~first & changed)).drop("__has_prev")
 
 
 def stuck_values(df: DataFrame, keys: Seq[str], ts: str, value: str, min_repeats: int = 3,
-                 tie: Seq[str] = ("id",), since=None, partitions: int | None = None) -> DataFrame:
+                 tie: Seq[str] = ("id",), since=None, distinct_ts: bool = False, partitions: int | None = None) -> DataFrame:
     """Per key and value, how many rows repeated the previous row's value
-    (only rows from ``since`` counted; the LAG sees the whole history) and
-    the last time, for counts above ``min_repeats``."""
+    (only rows from ``since`` counted; the LAG sees all rows given) and the
+    last time, for counts above ``min_repeats``; ``distinct_ts`` counts times."""
     from binsight.functions.pg import as_ts
     out = Sequence(df, order=[ts, *tie], by=keys, partitions=partitions).lag({"__pv": value}).result()
     rep = out.filter(F.col(value) == F.col("__pv"))
     if since is not None:
         rep = rep.filter(F.col(ts) >= as_ts(since))
-    return (rep.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("repeats"), F.max(ts).alias("last_ts"))
+    n = F.count_distinct(ts) if distinct_ts else F.count(F.lit(1))
+    return (rep.groupBy(*keys, value).agg(n.alias("repeats"), F.max(ts).alias("last_ts"))
                .filter(F.col("repeats") > min_repeats))
 
 

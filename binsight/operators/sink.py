@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 
 def crosstab(df: DataFrame, row: str | Sequence[str], column: str, value: str,
-             values: Sequence | None = None, agg: str = "sum") -> DataFrame:
-    """One row per ``row`` key, one column per ``column`` value.
-
-    Pass ``values`` whenever they are known: without them Spark runs an extra
-    job to find the distinct values (and the output schema depends on data).
-    """
+             values: Sequence, other: str, agg=F.sum) -> DataFrame:
+    """One row per ``row`` key, one column per listed ``column`` value (named
+    by its text), and in ``other`` the aggregate over all rows with any other
+    value or none, so no row goes missing.  One pass with map-side combine."""
     rows = [row] if isinstance(row, str) else list(row)
-    g = df.groupBy(*rows).pivot(column, list(values) if values is not None else None)
-    return getattr(g, agg)(value)
+    c, values = F.col(column), list(values)
+    rest = ~F.coalesce(c.isin(values), F.lit(False))
+    return df.groupBy(*rows).agg(*[agg(F.when(c == v, F.col(value))).alias(str(v)) for v in values],
+                                 agg(F.when(rest, F.col(value))).alias(other))
 
 
 def rows_as_text_arrays(df: DataFrame) -> DataFrame:
@@ -32,13 +32,6 @@ def write_rows_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows_as_text_arrays(df).write.mode(mode).json(path)
 
 
-def result_envelope(df: DataFrame, limit: int, key: str = "risultati") -> DataFrame:
-    """O33 for a bounded result: a single JSON document ``{key: [[...], ...]}``.
-    Only for results capped by ``limit`` (the whole result goes to one row)."""
-    bounded = rows_as_text_arrays(df.limit(limit))
-    return bounded.agg(F.to_json(F.struct(F.collect_list("row").alias(key))).alias("json"))
-
-
 def title_columns(df: DataFrame) -> DataFrame:
     """Column titles with the first letter upper-cased, as the original
     result tables were headed (a rename: no data is touched)."""

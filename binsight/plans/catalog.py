@@ -18,6 +18,10 @@ from binsight.plans import deposits as D
 from binsight.plans import events as E
 from binsight.plans import households as H
 from binsight.plans import stations as S
+from binsight.operators import filters as FI
+from binsight.operators import quality as Q
+from binsight.operators import sequence as SQ
+from binsight.operators import totals as T
 from binsight.operators.repair import clock_repair
 from binsight.sources.bindings import Tables, bind_driver_tables, duckdb_with_clause
 
@@ -159,9 +163,10 @@ GROUP BY l.idcomune, i.nome, l.codicestazione, l.peso HAVING count(DISTINCT l.da
     lambda s, d: D.stuck_weights(_deposits_from(_tables(s, d), "conferimenti_seq"), "1998-01-01", literal=True))
 
 register("r06_deposit_crosstab", _sql(["conferimenti"], "SELECT idcomune, codicestazione, " + ", ".join(
-    f"sum(CASE WHEN tiporifiuto = {k} THEN peso END) AS t{k}" for k in range(7)) +
+    f"sum(CASE WHEN tiporifiuto = {k} THEN peso END) AS t{k}" for k in (0, 1, 2, 3, 4, 15, 16, 17)) +
+    ", sum(CASE WHEN coalesce(tiporifiuto IN (0, 1, 2, 3, 4, 15, 16, 17), false) THEN NULL ELSE peso END) AS altri"
     " FROM conferimenti GROUP BY idcomune, codicestazione"))(
-    lambda s, d: D.deposit_crosstab(_tables(s, d)))
+    lambda s, d: D.deposit_crosstab(_tables(s, d), codes=(0, 1, 2, 3, 4, 15, 16, 17)))
 
 register("r07_label_alarms", _sql(["eventi", "infocomune"], f""",
 l AS (SELECT *, lag(dataora) OVER (ORDER BY dataora, id) AS ultimadata FROM eventi
@@ -213,11 +218,12 @@ SELECT DISTINCT i.nome, l.idstazione AS stazione, l.evento, {WD_ACC('l.dataora')
 FROM l JOIN infocomune i ON i.id = l.idcomune WHERE l.evento <> l.evento2"""))(
     lambda s, d: E.power_changes(_tables(s, d), C, *EV, literal=True))
 
-register("r09_power_changes_asof", _sql(["eventi"], f"""
-SELECT a.idevento, a.dataora, a.idstazione, a.note FROM eventi AS a
-WHERE {_days('a.dataora', *EV)} AND a.idevento = 'TENSIONE_RETE' AND a.idcomune = {C}
-  AND a.note <> (SELECT b.note FROM eventi AS b WHERE a.idcomune = b.idcomune AND a.idstazione = b.idstazione
-                 AND a.dataora > b.dataora ORDER BY b.dataora DESC, b.id DESC LIMIT 1)"""))(
+register("r09_power_changes_asof", _sql(["eventi"], f""",
+istanti AS (SELECT idcomune, idstazione, dataora, arg_max(note, id) AS nota FROM eventi WHERE idcomune = {C} GROUP BY ALL),
+precedenti AS (SELECT idcomune, idstazione, dataora, lag(nota) OVER (PARTITION BY idcomune, idstazione ORDER BY dataora) AS prima
+               FROM istanti)
+SELECT idevento, dataora, idstazione, note FROM eventi JOIN precedenti USING (idcomune, idstazione, dataora)
+WHERE idevento = 'TENSIONE_RETE' AND note <> prima AND {_days('dataora', *EV)}"""))(
     lambda s, d: E.power_changes_asof(_tables(s, d), C, *EV))
 
 register("r10_households_without_form", _sql(["datinuclei", "datiform"], f"""
@@ -242,7 +248,7 @@ WHERE idcomune > 0 AND idcomune < 7 AND idevento = 'TENSIONE_RETE'
   AND NOT EXISTS (SELECT 1 FROM eventi b WHERE CAST(b.dataora AS DATE) BETWEEN DATE '2024-01-30' AND DATE '2024-01-30'
                   AND b.idcomune = a.idcomune AND b.idstazione = a.idstazione)
 GROUP BY idcomune, idstazione, note"""))(
-    lambda s, d: E.silent_stations(_tables(s, d), "2024-01-30", "2024-01-30"))
+    lambda s, d: E.silent_stations(_tables(s, d), "2024-01-30", "2024-01-30", municipalities=range(1, 7)))
 
 register("r12_battery_phases", _sql(["eventi", "infocomune"], f""",
 e AS (SELECT * FROM eventi WHERE idcomune = {C} AND idstazione = {STATION_EV}
@@ -258,7 +264,7 @@ SELECT i.nome, y.idstazione, {WD_PLAIN('y.data')} AS giorno,
                      WHEN 'TENSIONE_RETE ON' THEN concat(CAST((date_diff('second', prev, data) // 3600) % 24 AS VARCHAR), ' ORE DI SCARICA') END AS batteria,
        CAST(CASE WHEN y.evento = 'TENSIONE_RETE ON' THEN rn - rn // 2 END AS BIGINT) AS ciclo, CAST(y.data AS DATE) AS data
 FROM y JOIN infocomune i ON i.id = y.idcomune"""))(
-    lambda s, d: E.battery_phases(_tables(s, d), C, STATION_EV))
+    lambda s, d: E.battery_phases(_tables(s, d), C, STATION_EV, skip_month="2016-10"))
 
 _OPLOG = f"""
 SELECT i.nome, l.codicestazione AS stazione, {WD_ACC('l.dataora')} AS giorno, l.dataora AS data, o.codicetag,
@@ -290,17 +296,24 @@ WHERE c.idcomune = {C} AND {_days('c.dataora', *DEP)}"""))(
     lambda s, d: D.deposit_listing(_tables(s, d), C, *DEP, literal=True))
 
 register("r16_failed_reads", _sql(["logfalliti", "infocomune"], f"""
+SELECT i.nome AS comune, f.idstazione AS numerostazione, f.codicetag, count(f.codicetag) AS numerofallimenti,
+       max(f.dataora) AS ultimodatoricevuto
+FROM logfalliti f LEFT JOIN infocomune i ON i.id = f.idcomune
+WHERE f.idcomune = {C} AND f.dataora >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY i.nome, f.idstazione, f.codicetag"""))(
+    lambda s, d: E.failed_reads(_tables(s, d), C, "2024-01-10"))
+
+register("r16_failed_reads_text", _sql(["logfalliti", "infocomune"], f"""
 SELECT i.nome AS comune, f.idstazione AS numerostazione, count(f.codicetag) AS numerofallimenti,
        string_agg(f.codicetag, ' ' ORDER BY f.codicetag) AS letturefallite, max(f.dataora) AS ultimodatoricevuto
 FROM logfalliti f LEFT JOIN infocomune i ON i.id = f.idcomune
 WHERE f.idcomune = {C} AND f.dataora >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY i.nome, f.idstazione"""))(
-    lambda s, d: E.failed_reads(_tables(s, d), C, "2024-01-10"))
+    lambda s, d: E.failed_reads(_tables(s, d), C, "2024-01-10", as_text=True))
 
 register("r17_repeat_deposits", _sql(["conferimenti_seq"], f""",
 l AS (SELECT codicetag, lag(codicetag) OVER w AS codicep, codiceanomalia, dataora, idcomune, codicestazione,
              peso - lag(peso) OVER w AS pesop, tiporifiuto, tiporifiuto - lag(tiporifiuto) OVER w AS flag
       FROM conferimenti_seq WHERE dataora > TIMESTAMP '1995-01-01 00:00:00' WINDOW w AS (ORDER BY dataora, id))
-SELECT codicetag, CAST(dataora AS DATE) AS data, strftime(dataora, '%H:%M:%S') AS ora, tiporifiuto, flag,
+SELECT codicetag, CAST(dataora AS DATE) AS data, CAST(CAST(dataora AS TIME) AS VARCHAR) AS ora, tiporifiuto, flag,
        abs(pesop) AS diffpeso, codiceanomalia, codicestazione
 FROM l WHERE idcomune = {C} AND {_days('dataora', *YEAR)} AND flag = 0 AND codicetag = codicep AND abs(pesop) < 1"""))(
     lambda s, d: D.repeat_deposits(_deposits_from(_tables(s, d), "conferimenti_seq"), C, *YEAR, since="1995-01-01"))
@@ -309,13 +322,13 @@ register("r17_repeat_deposits_fewtags", _sql(["conferimenti_seq_fewtags"], f""",
 l AS (SELECT codicetag, lag(codicetag) OVER w AS codicep, codiceanomalia, dataora, idcomune, codicestazione,
              peso - lag(peso) OVER w AS pesop, tiporifiuto, tiporifiuto - lag(tiporifiuto) OVER w AS flag
       FROM conferimenti_seq_fewtags WHERE dataora > TIMESTAMP '1995-01-01 00:00:00' WINDOW w AS (ORDER BY dataora, id))
-SELECT codicetag, CAST(dataora AS DATE) AS data, strftime(dataora, '%H:%M:%S') AS ora, tiporifiuto, flag,
+SELECT codicetag, CAST(dataora AS DATE) AS data, CAST(CAST(dataora AS TIME) AS VARCHAR) AS ora, tiporifiuto, flag,
        abs(pesop) AS diffpeso, codiceanomalia, codicestazione
 FROM l WHERE idcomune = {C} AND {_days('dataora', *YEAR)} AND flag = 0 AND codicetag = codicep AND abs(pesop) < 1"""))(
     lambda s, d: D.repeat_deposits(_deposits_from(_tables(s, d), "conferimenti_seq_fewtags"), C, *YEAR,
                                    since="1995-01-01"))
 
-_LISTING = f"""{WD_SHORT('c.dataora')} AS gg, CAST(c.dataora AS DATE) AS data, strftime(c.dataora, '%H:%M:%S') AS ora,
+_LISTING = f"""{WD_SHORT('c.dataora')} AS gg, CAST(c.dataora AS DATE) AS data, CAST(CAST(c.dataora AS TIME) AS VARCHAR) AS ora,
        r.descrizione, c.peso, c.tiporifiuto, c.codiceanomalia
 FROM conferimenti c JOIN inforifiuti r ON c.tiporifiuto = r.codicerifiuto AND r.idcomune = c.idcomune
 LEFT JOIN associazionenuclei a ON c.codicetag = a.codicetag
@@ -402,6 +415,22 @@ GROUP BY i.nome, one.stazione, r.descrizione HAVING count(CASE WHEN anomalia = '
     lambda s, d: D.wrong_bin(_tables(s, d), deposits="conferimenti_evt", literal=True, **R19))
 
 
+R19_DENSE = dict(start="2024-01-05", end="2024-01-06")
+ORACLE["r19_wrong_bin_dense"] = (ORACLE["r19_wrong_bin"]
+    .replace("conferimenti_evt", "conferimenti_dense").replace(f"INTERVAL {_CA} SECOND", "INTERVAL 120 SECOND")
+    .replace(f"INTERVAL {_OB} SECOND", "INTERVAL 10 SECOND").replace("2024-01-31", "2024-01-06").replace("2024-01-01", "2024-01-05"))
+ORACLE["r19_wrong_bin_dense"] = _sql(["conferimenti_dense", "eventi_dense", "infocassonetti_dense", "inforifiuti", "infocomune"],
+    ", eventi AS (SELECT * FROM eventi_dense), infocassonetti AS (SELECT * FROM infocassonetti_dense)"
+    + ORACLE["r19_wrong_bin_dense"][ORACLE["r19_wrong_bin_dense"].index(",\ndati AS"):])
+
+
+@register("r19_wrong_bin_dense")
+def _r19_dense(s, d):
+    """The tolerances of the report itself (10 and 120 seconds)."""
+    t = _Swapped(_tables(s, d), {"eventi": "eventi_dense", "infocassonetti": "infocassonetti_dense"})
+    return D.wrong_bin(t, deposits="conferimenti_dense", **R19_DENSE)
+
+
 _R20 = f"count(id) AS numconferimenti, max(dataora) AS ultimaora, {_cat_sums()}, " \
        "sum(CASE WHEN tiporifiuto > 0 THEN peso END) AS diff, sum(peso) AS totpeso FROM conferimenti"
 register("r20_recent_totals", _sql(["conferimenti"], f"""
@@ -464,7 +493,7 @@ WHERE a.idcomune = {C} GROUP BY a.idcomune, a.codicenucleo HAVING coalesce(count
     lambda s, d: H.idle_households(_tables(s, d), C, *JAN97))
 
 register("r27_lid_openings", _sql(["eventi"], f"""
-SELECT idevento, {WD_SHORT('dataora')} AS gg, CAST(dataora AS DATE) AS data, strftime(dataora, '%H:%M:%S') AS ora,
+SELECT idevento, {WD_SHORT('dataora')} AS gg, CAST(dataora AS DATE) AS data, CAST(CAST(dataora AS TIME) AS VARCHAR) AS ora,
        idstazione AS stazione, note
 FROM eventi WHERE idevento = 'APERTURA' AND idcomune = {C} AND {_days('dataora', *EV)}"""))(
     lambda s, d: E.lid_openings(_tables(s, d), C, *EV))
@@ -503,7 +532,7 @@ FROM infostazioni s JOIN alimentazione a ON s.alimentazione = a.id WHERE s.idcom
     lambda s, d: S.station_list(_tables(s, d)))
 
 register("r31_bin_accumulation", _sql(["cumulopesi"], f"""
-SELECT {WD_SHORT('dataora')} AS gg, CAST(dataora AS DATE) AS data, strftime(dataora, '%H:%M:%S') AS ora, codicestazione,
+SELECT {WD_SHORT('dataora')} AS gg, CAST(dataora AS DATE) AS data, CAST(CAST(dataora AS TIME) AS VARCHAR) AS ora, codicestazione,
        idrifiuto, nomerifiuto, peso, numerosacchetti, idbidone
 FROM cumulopesi WHERE idcomune = {C} AND {_days('dataora', *DEP)}"""))(
     lambda s, d: D.bin_accumulation(_tables(s, d), C, *DEP))
@@ -523,21 +552,19 @@ SELECT idcomune, cognome, nome, codicenucleo, telefono, cellulare, mail FROM dat
 WHERE codicenucleo NOT IN (SELECT DISTINCT codicenucleo FROM associazionenuclei)"""))(
     lambda s, d: H.households_without_tag(_tables(s, d)))
 
-register("r35_latest_household", _sql(["datinuclei", "utentiweb"], """
-SELECT t1.id, t1.codicenucleo, t1.cognome, t1.nome, t2.username, t1.idcomune
-FROM (SELECT id, codicenucleo, cognome, nome, idcomune FROM datinuclei
-      WHERE id IN (SELECT max(id) FROM datinuclei WHERE idcomune > 0 GROUP BY idcomune)) t1
-JOIN (SELECT username, idnucleo FROM utentiweb) t2 ON t1.id = t2.idnucleo"""))(
+register("r35_latest_household", _sql(["datinuclei", "utentiweb"], """,
+ultimi AS (SELECT * FROM datinuclei WHERE idcomune > 0 QUALIFY row_number() OVER (PARTITION BY idcomune ORDER BY id DESC) = 1)
+SELECT ultimi.id, codicenucleo, cognome, nome, username, idcomune FROM utentiweb JOIN ultimi ON idnucleo = ultimi.id"""))(
     lambda s, d: H.latest_household(_tables(s, d)))
 
 register("r36_tags_per_municipality", _sql(["infonuclei"], """
 SELECT idcomune, count(*) AS numtag FROM infonuclei WHERE idcomune > 0 GROUP BY idcomune"""))(
     lambda s, d: H.tags_per_municipality(_tables(s, d)))
 
-register("r37_tags_with_households", _sql(["infonuclei", "associazionenuclei", "datinuclei"], """
-SELECT i.idcomune, i.id, i.codicetag, a.codicenucleo, d.cognome, d.nome, i.attivata
-FROM infonuclei i LEFT JOIN associazionenuclei a ON i.codicetag = a.codicetag
-LEFT JOIN datinuclei d ON a.codicenucleo = d.codicenucleo"""))(
+register("r37_tags_with_households", _sql(["infonuclei", "associazionenuclei", "datinuclei"], """,
+titolari AS (SELECT codicetag, codicenucleo, cognome, nome
+             FROM associazionenuclei LEFT JOIN (SELECT codicenucleo, cognome, nome FROM datinuclei) USING (codicenucleo))
+SELECT idcomune, id, codicetag, codicenucleo, cognome, nome, attivata FROM infonuclei LEFT JOIN titolari USING (codicetag)"""))(
     lambda s, d: H.tags_with_households(_tables(s, d)))
 
 register("r38_all_tags", _sql(["infonuclei"], "SELECT codicetag, idcomune, attivata FROM infonuclei"))(
@@ -565,14 +592,11 @@ register("r43_emptying_log", _sql(["cal_logoperatore"], f"""
 SELECT * FROM cal_logoperatore WHERE idcomune = {C} AND {_inst('dataora', *EV)}"""))(
     lambda s, d: E.emptying_log(_tables(s, d), C, *EV))
 
-register("r44_type_variety", _sql(["conferimenti", "associazionenuclei", "datinuclei"], f"""
-SELECT a.codicetag, a.tipi, d.num, b.codicenucleo, rtrim(c.nome) AS nome, rtrim(c.cognome) AS cognome,
-       rtrim(c.indirizzo) AS indirizzo
-FROM (SELECT idcomune, codicetag, count(DISTINCT tiporifiuto) AS tipi FROM conferimenti
-      WHERE idcomune = {C} AND dataora > TIMESTAMP '1999-01-01 00:00:00' GROUP BY codicetag, idcomune) a
-JOIN associazionenuclei b ON a.codicetag = b.codicetag JOIN datinuclei c ON b.codicenucleo = c.codicenucleo
-JOIN (SELECT codicetag, count(*) AS num FROM conferimenti WHERE dataora > TIMESTAMP '1999-01-01 00:00:00'
-      GROUP BY codicetag) d ON a.codicetag = d.codicetag"""))(
+register("r44_type_variety", _sql(["conferimenti", "associazionenuclei", "datinuclei"], f""",
+uso AS (SELECT codicetag, count(*) AS num, count(DISTINCT tiporifiuto) FILTER (idcomune = {C}) AS tipi FROM conferimenti
+        WHERE dataora > TIMESTAMP '1999-01-01 00:00:00' GROUP BY codicetag HAVING count(*) FILTER (idcomune = {C}) > 0)
+SELECT codicetag, tipi, num, codicenucleo, rtrim(nome) AS nome, rtrim(cognome) AS cognome, rtrim(indirizzo) AS indirizzo
+FROM datinuclei JOIN associazionenuclei USING (codicenucleo) JOIN uso USING (codicetag)"""))(
     lambda s, d: H.type_variety(_tables(s, d), C, since="1999-01-01"))
 
 register("r45_bad_household_codes", _sql(["datinuclei"], f"""
@@ -600,7 +624,7 @@ rdannuale AS (SELECT hh.*, tt.tot, rif.rifiuto,
                      CAST(CASE WHEN tt.tot <> 0 THEN hh.somma / tt.tot * 100 END AS DECIMAL(9,4)) AS percent
               FROM hh JOIN tt ON tt.idcomune = hh.idcomune AND tt.codicenucleo = hh.codicenucleo
               LEFT JOIN rif ON rif.codicerifiuto = hh.tiporifiuto)"""
-_ANN = {0: "indifferenziato", 17: "pannolini", 16: "barattolame", 3: "plastica", 1: "carta", 15: "vetro", 4: "organico"}
+_ANN = H.ANNUAL_COLUMNS
 register("r48a_annual_sheet_allowlist", _sql(["conferimenti", "associazionenuclei", "datinuclei", "inforifiuti"], _RD + f"""
 SELECT cognome, nome, indirizzo, codicenucleo, """ + ", ".join(f"CAST(sum({n}) AS DECIMAL(38,3)) AS {n}" for n in _ANN.values()) + f""",
        CAST(sum(CASE WHEN tiporifiuto <> 0 THEN percent END) AS DECIMAL(38,4)) AS rd, count(*) AS coef,
@@ -623,26 +647,20 @@ def _r48a(s, d):
 
 
 register("r48b_annual_sheet", _sql(["conferimenti", "inforifiuti", "associazionenuclei", "datinuclei"], f""",
-a AS (SELECT idcomune, codicetag, sum(peso) AS somma, tiporifiuto FROM conferimenti
-      WHERE {_days('dataora', *YEAR)} AND tiporifiuto <> 9 AND tiporifiuto <> 7 AND tiporifiuto <> 6
-      GROUP BY idcomune, codicetag, tiporifiuto),
-b AS (SELECT sum(peso) AS tot, codicetag FROM conferimenti WHERE {_days('dataora', *YEAR)} GROUP BY codicetag),
-c AS (SELECT codicerifiuto, min(descrizione) AS nome FROM inforifiuti GROUP BY codicerifiuto),
-rd AS (SELECT a.idcomune, rtrim(e.nome) AS nome, rtrim(e.cognome) AS cognome, e.indirizzo, d.codicenucleo,
-              sum(somma) AS somma, a.tiporifiuto, c.nome AS rifiuto, sum(tot) AS tot
-       FROM a JOIN b ON a.codicetag = b.codicetag JOIN c ON a.tiporifiuto = c.codicerifiuto
-       JOIN associazionenuclei d ON d.codicetag = a.codicetag JOIN datinuclei e ON d.codicenucleo = e.codicenucleo
-       GROUP BY a.idcomune, e.nome, e.cognome, e.indirizzo, d.codicenucleo, a.tiporifiuto, c.nome)
-SELECT rd.idcomune, cognome, nome, indirizzo, rd.codicenucleo, """ + ", ".join(
-    f"sum(CASE WHEN tiporifiuto = {k} THEN somma END) AS {n}" for k, n in _ANN.items()) + f""",
+quote AS (SELECT idcomune, codicetag, tiporifiuto, sum(peso) AS kg, sum(sum(peso)) OVER (PARTITION BY codicetag) AS kg_tag
+          FROM conferimenti WHERE {_days('dataora', *YEAR)} GROUP BY idcomune, codicetag, tiporifiuto),
+case_ AS (SELECT quote.idcomune, rtrim(n.nome) AS nome, rtrim(n.cognome) AS cognome, n.indirizzo, codicenucleo, tiporifiuto,
+                 sum(kg) AS kg, sum(kg_tag) AS tot
+          FROM datinuclei n JOIN associazionenuclei USING (codicenucleo) JOIN quote USING (codicetag)
+          WHERE tiporifiuto NOT IN {H.EXCLUDED_ANNUAL_CODES} AND tiporifiuto IN (FROM inforifiuti SELECT codicerifiuto) GROUP BY ALL)
+SELECT c.idcomune, c.cognome, c.nome, c.indirizzo, c.codicenucleo, """ + ", ".join(
+    f"sum(kg) FILTER (tiporifiuto = {k}) AS {n}" for k, n in _ANN.items()) + f""",
        count(*) AS coef, sum(DISTINCT tot) AS tot, telefono, cellulare, mail
-FROM rd JOIN (SELECT codicenucleo, telefono, cellulare, mail FROM datinuclei WHERE idcomune = {C}) dati
-  ON rd.codicenucleo = dati.codicenucleo
-GROUP BY rd.idcomune, cognome, nome, rd.codicenucleo, indirizzo, telefono, cellulare, mail"""))(
+FROM datinuclei n JOIN case_ c ON c.codicenucleo = n.codicenucleo AND n.idcomune = {C}
+GROUP BY c.idcomune, c.cognome, c.nome, c.codicenucleo, c.indirizzo, telefono, cellulare, mail"""))(
     lambda s, d: H.annual_sheet(_tables(s, d), C, *YEAR))
 
-_SHEET = {0: "indifferenziato", 17: "pannolini", 16: "barattolame", 3: "plastica", 1: "carta", 15: "vetro",
-          2: "vetrobarattolame", 4: "organico"}
+_SHEET = H.SHEET_COLUMNS
 _HHC = "tiponucleo, codicenucleo, componenti, tag, nominativo, indirizzoutenza, codicefiscale, telefono, cellulare, mail"
 _HALVES = f""",
 hh AS (SELECT d.tiponucleo, d.codicenucleo, d.ncomponenti AS componenti, i.codicetag AS tag,
@@ -667,14 +685,17 @@ u AS (SELECT * FROM act UNION SELECT * FROM inact)"""
 
 
 def _sheet_select(src: str) -> str:
-    kg = ", ".join(f"concat(CAST(CAST({n} AS DECIMAL(38,3)) AS VARCHAR), ' kg') AS {n}" for n in _SHEET.values())
-    pct = ("concat(CAST(CAST(CASE WHEN totale - indifferenziato = 0 THEN 0 ELSE "
-           "(CASE WHEN (totale - indifferenziato) / totale * 100 < 0 THEN ceil((totale - indifferenziato) / totale * 100 * 100.0) / 100.0 "
-           "ELSE floor((totale - indifferenziato) / totale * 100 * 100.0) / 100.0 END) END AS DECIMAL(38,2)) AS VARCHAR), ' %')")
+    """Weights are multiples of a thousandth: shares are computed on whole numbers."""
+    text = lambda n: f"CASE WHEN {n} = 0 THEN '0' ELSE CAST(CAST({n} AS DECIMAL(38,3)) AS VARCHAR) END"
+    kg = ", ".join(f"concat({text(n)}, ' kg') AS {n}" for n in _SHEET.values())
+    whole = lambda n: f"CAST(round({n} * 1000) AS BIGINT)"
+    rest = f"({whole('totale')} - {whole('indifferenziato')})"
+    pct = (f"concat(CASE WHEN {rest} = 0 OR {rest} * 10000 // {whole('totale')} = 0 THEN '0' "
+           f"ELSE CAST(CAST({rest} * 10000 // {whole('totale')} AS DECIMAL(18,2)) / 100 AS DECIMAL(38,2))::VARCHAR END, ' %')")
     return f"""
 SELECT tiponucleo, CAST(codicenucleo AS VARCHAR) AS codicenucleo, tag, componenti, max(ultimo) AS ultimoconferimento,
        nominativo, indirizzoutenza, codicefiscale, CAST(telefono AS VARCHAR) AS telefono, cellulare, mail, {kg},
-       concat(CAST(CAST(totale AS DECIMAL(38,3)) AS VARCHAR), ' kg') AS totalerifiuti, {pct} AS percentualedifferenziata,
+       concat({text('totale')}, ' kg') AS totalerifiuti, {pct} AS percentualedifferenziata,
        max(stazioni) AS stazioni
 FROM {src}
 GROUP BY tiponucleo, codicenucleo, tag, nominativo, indirizzoutenza, codicefiscale, telefono, cellulare, mail, componenti,
@@ -697,6 +718,7 @@ t AS (SELECT tiponucleo, codicenucleo, componenti, string_agg(DISTINCT tag, ' |
     lambda s, d: H.household_sheet_rollup(_tables(s, d), C, *DEP))
 
 R51 = dict(cutoff="1998-07-01")
+R51_STATION = {"idcomune": 2, "codicestazione": 1}
 register("r51_clock_repair", _sql(["conferimenti_seq"], """,
 x AS (SELECT *, CASE WHEN dataora > TIMESTAMP '1998-07-01 00:00:00' THEN 1
                      WHEN dataora < TIMESTAMP '1998-07-01 00:00:00' THEN -1 ELSE 0 END AS side
@@ -709,7 +731,7 @@ cl AS (SELECT *, CASE WHEN dall < 0 THEN 1 WHEN side = 1 AND dside > 0 THEN 0 WH
 c AS (SELECT idcomune, codicestazione, codicetag, dataora, id, data, riavvio,
              CASE WHEN riavvio = 1 THEN dall ELSE dside END AS delta_dataora, riavvio = 1 AS flag
       FROM cl WHERE riavvio IS NOT NULL),
-g AS (SELECT *, count(CASE WHEN flag THEN 1 END) OVER (ORDER BY idcomune, codicestazione, id) AS conteggio,
+g AS (SELECT *, count(CASE WHEN flag THEN 1 END) OVER (PARTITION BY idcomune, codicestazione ORDER BY id) AS conteggio,
              lag(riavvio) OVER w AS pr, lag(dataora) OVER w AS pts2, lag(delta_dataora) OVER w AS pdelta
       FROM c WINDOW w AS (PARTITION BY idcomune, codicestazione ORDER BY id)),
 n AS (SELECT *, CASE WHEN riavvio = 1 AND pr = 0 THEN pts2 + INTERVAL 30 SECOND
@@ -729,65 +751,58 @@ FROM m WHERE idcomune = 2 AND codicestazione = 1"""))
 def _r51(s, d):
     t = _tables(s, d)
     out = clock_repair(t.conferimenti_seq, valid=(F.col("idcomune") > 1) & (F.col("data") > F.lit("1900-01-01").cast("date")),
-                       **R51)
-    out = out.filter((F.col("idcomune") == 2) & (F.col("codicestazione") == 1))
+                       only=R51_STATION, **R51)
     return out.select("idcomune", "codicestazione", "codicetag", "dataora", "idn", "data", "delta_dataora", "riavvio",
                       "nuovadataora", "flag", "conteggio", "nuovadataora2")
 
 
 register("r51_clock_repair_literal", _sql(["conferimenti_seq"], """,
-base AS (SELECT idcomune, codicestazione, id, dataora, data FROM conferimenti_seq WHERE idcomune > 1 AND data > DATE '1900-01-01'),
-t1 AS (SELECT id, delta, true AS flag, 1 AS riavvio FROM (
-         SELECT id, date_diff('microsecond', lag(dataora) OVER (ORDER BY idcomune, codicestazione, id), dataora) / 1000000.0 AS delta
-         FROM base) z WHERE delta < 0),
-t2 AS (SELECT id, delta, false AS flag, 0 AS riavvio FROM (
-         SELECT id, date_diff('microsecond', lag(dataora) OVER (ORDER BY idcomune, codicestazione, id), dataora) / 1000000.0 AS delta
-         FROM base WHERE dataora > TIMESTAMP '1998-07-01 00:00:00') z WHERE delta > 0),
-t3 AS (SELECT id, delta, false AS flag, 2 AS riavvio FROM (
-         SELECT id, date_diff('microsecond', lag(dataora) OVER (ORDER BY idcomune, codicestazione, id), dataora) / 1000000.0 AS delta
-         FROM base WHERE dataora < TIMESTAMP '1998-07-01 00:00:00') z WHERE delta > 0),
-tj AS (SELECT * FROM t1 UNION SELECT * FROM t2 UNION SELECT * FROM t3),
-tc AS (SELECT c.idcomune, c.codicestazione, c.codicetag, c.dataora, c.id AS idn, c.data, tj.delta AS delta_dataora, tj.riavvio, tj.flag
-       FROM conferimenti_seq c JOIN tj ON c.id = tj.id),
-w1 AS (SELECT *, count(CASE WHEN flag THEN 1 END) OVER (ORDER BY idcomune, codicestazione, idn) AS conteggio,
-              lag(riavvio) OVER g AS gpr, lag(dataora) OVER g AS gpts, lag(delta_dataora) OVER g AS gpdelta
-       FROM tc WINDOW g AS (ORDER BY idcomune, codicestazione, idn, riavvio)),
-w2 AS (SELECT *, CASE WHEN riavvio = 1 AND gpr = 0 THEN gpts + INTERVAL 30 SECOND
-                      WHEN riavvio = 2 AND gpr = 1 THEN gpts - to_microseconds(CAST(round(gpdelta * 1000000) AS BIGINT)) END AS nuovadataora
-       FROM w1),
-tn AS (SELECT * FROM w2 WHERE idcomune = 2 AND codicestazione = 1),
-w3 AS (SELECT *, lag(riavvio) OVER (PARTITION BY idcomune, codicestazione ORDER BY idn, riavvio) AS pr,
-              lag(nuovadataora) OVER (PARTITION BY idcomune, codicestazione, conteggio ORDER BY idn, riavvio) AS pnuova,
-              first_value(nuovadataora) OVER (PARTITION BY idcomune, codicestazione, riavvio, conteggio ORDER BY idn) AS fv,
-              sum(CASE WHEN delta_dataora > 0 THEN delta_dataora END)
-                OVER (PARTITION BY idcomune, codicestazione, conteggio ORDER BY idn) AS possum
-       FROM tn)
-SELECT idcomune, codicestazione, codicetag, dataora, idn, data, delta_dataora, riavvio, nuovadataora, flag, conteggio,
-       CASE WHEN riavvio = 2 AND pr = 1 THEN pnuova + to_microseconds(CAST(round(delta_dataora * 1000000) AS BIGINT))
-            WHEN riavvio = 2 AND pr = 2 THEN fv + to_microseconds(CAST(round(possum * 1000000) AS BIGINT)) END AS nuovadataora2
-FROM w3"""))
+letti AS (SELECT *, CASE WHEN dataora > TIMESTAMP '1998-07-01 00:00:00' THEN 1
+                         WHEN dataora < TIMESTAMP '1998-07-01 00:00:00' THEN -1 END AS lato
+          FROM conferimenti_seq WHERE idcomune > 1 AND data > DATE '1900-01-01'),
+passi AS (SELECT *, date_diff('microsecond', lag(dataora) OVER tutti, dataora) AS passo,
+                 date_diff('microsecond', lag(dataora) OVER (PARTITION BY lato ORDER BY idcomune, codicestazione, id), dataora) AS passo_lato
+          FROM letti WINDOW tutti AS (ORDER BY idcomune, codicestazione, id)),
+casi AS (SELECT *, unnest(list_filter([CASE WHEN passo < 0 THEN 1 END, CASE WHEN lato = 1 AND passo_lato > 0 THEN 0 END,
+                                       CASE WHEN lato = -1 AND passo_lato > 0 THEN 2 END], lambda c: c IS NOT NULL)) AS riavvio
+         FROM passi),
+misurati AS (SELECT *, CASE riavvio WHEN 1 THEN passo ELSE passo_lato END AS us FROM casi),
+isole AS (SELECT *, count(*) FILTER (riavvio = 1) OVER (ORDER BY idcomune, codicestazione, id) AS conteggio,
+                 lag(riavvio) OVER fila AS caso_prima, lag(dataora) OVER fila AS ora_prima, lag(us) OVER fila AS us_prima
+          FROM misurati WINDOW fila AS (ORDER BY idcomune, codicestazione, id, riavvio)),
+rifatti AS (SELECT *, CASE WHEN riavvio = 1 AND caso_prima = 0 THEN ora_prima + INTERVAL 30 SECOND
+                           WHEN riavvio = 2 AND caso_prima = 1 THEN ora_prima - to_microseconds(us_prima) END AS nuovadataora
+            FROM isole WHERE idcomune = 2 AND codicestazione = 1),
+stazione AS (SELECT *, lag(riavvio) OVER (ORDER BY id, riavvio) AS caso, lag(nuovadataora) OVER (PARTITION BY conteggio ORDER BY id, riavvio) AS nuova_prima,
+                    first_value(nuovadataora) OVER (PARTITION BY riavvio, conteggio ORDER BY id) AS nuova_isola,
+                    sum(greatest(us, 0)) FILTER (us > 0) OVER (PARTITION BY conteggio ORDER BY id) AS us_isola
+             FROM rifatti)
+SELECT idcomune, codicestazione, codicetag, dataora, id AS idn, data, us / 1000000.0 AS delta_dataora, riavvio, nuovadataora, riavvio = 1 AS flag,
+       conteggio, CASE WHEN riavvio = 2 AND caso = 1 THEN nuova_prima + to_microseconds(us)
+                       WHEN riavvio = 2 AND caso = 2 THEN nuova_isola + to_microseconds(CAST(us_isola AS BIGINT)) END AS nuovadataora2
+FROM stazione"""))
 
 
 @register("r51_clock_repair_literal")
 def _r51_literal(s, d):
     t = _tables(s, d)
     out = clock_repair(t.conferimenti_seq, valid=(F.col("idcomune") > 1) & (F.col("data") > F.lit("1900-01-01").cast("date")),
-                       literal=True, **R51)
-    out = out.filter((F.col("idcomune") == 2) & (F.col("codicestazione") == 1))
+                       only=R51_STATION, literal=True, **R51)
     return out.select("idcomune", "codicestazione", "codicetag", "dataora", "idn", "data", "delta_dataora", "riavvio",
                       "nuovadataora", "flag", "conteggio", "nuovadataora2")
 
 
 register("r52_per_capita_by_type", _sql(["associazionenuclei", "conferimenti", "datinuclei", "inforifiuti"], f""",
-a AS (SELECT * FROM associazionenuclei WHERE idcomune = {C}),
-c AS (SELECT a.codicenucleo, max(d.dataora) AS dataora, count(d.id) AS conf, d.tiporifiuto, sum(d.peso) AS peso
-      FROM conferimenti d JOIN a ON d.codicetag = a.codicetag WHERE {_inst('d.dataora', *DEP)}
-      GROUP BY a.codicenucleo, d.tiporifiuto)
-SELECT a.idcomune, c.tiporifiuto, i.descrizione, count(a.codicenucleo) AS nuclei, CAST(sum(dn.ncomponenti) AS BIGINT) AS componenti,
-       CAST(sum(c.conf) AS BIGINT) AS conferimenti, sum(c.peso) AS chili, max(c.dataora) AS "max"
-FROM a JOIN datinuclei dn ON dn.codicenucleo = a.codicenucleo JOIN c ON c.codicenucleo = a.codicenucleo
-JOIN inforifiuti i ON a.idcomune = i.idcomune AND c.tiporifiuto = i.codicerifiuto
-WHERE {_inst('c.dataora', *DEP)} GROUP BY a.idcomune, c.tiporifiuto, i.descrizione"""))(
+per_tag AS (SELECT codicetag, tiporifiuto, max(dataora) AS ultimo, count(id) AS n, sum(peso) AS kg FROM conferimenti
+            WHERE {_inst('dataora', *DEP)} GROUP BY ALL),
+soci AS (SELECT idcomune, codicetag, codicenucleo FROM associazionenuclei WHERE idcomune = {C}),
+famiglie AS (SELECT codicenucleo, tiporifiuto, max(ultimo) AS ultimo, sum(n) AS n, sum(kg) AS kg
+             FROM soci JOIN per_tag USING (codicetag) GROUP BY ALL)
+SELECT soci.idcomune, f.tiporifiuto, r.descrizione, count(*) AS nuclei, CAST(sum(h.ncomponenti) AS BIGINT) AS componenti,
+       CAST(sum(f.n) AS BIGINT) AS conferimenti, sum(f.kg) AS chili, max(f.ultimo) AS "max"
+FROM famiglie f JOIN inforifiuti r ON r.codicerifiuto = f.tiporifiuto AND r.idcomune = {C}
+JOIN datinuclei h ON h.codicenucleo = f.codicenucleo JOIN soci ON soci.codicenucleo = f.codicenucleo
+GROUP BY soci.idcomune, f.tiporifiuto, r.descrizione"""))(
     lambda s, d: H.per_capita_by_type(_tables(s, d), C, *DEP))
 
 register("r53_stale_stations", _sql(["conferimenti_evt", "eventi", "logoperatore", "infostazioni", "infocomune"], """,
@@ -804,30 +819,29 @@ WHERE CAST(l.ultimoinvio AS DATE) <> DATE '2024-01-30'
     lambda s, d: D.stale_stations(_tables(s, d), "2024-01-30 12:00:00", deposits="conferimenti_evt"))
 
 register("r53_stale_stations_literal", _sql(["conferimenti_evt", "eventi", "logoperatore", "infostazioni", "infocomune"], """,
-last AS (SELECT DISTINCT c.idcomune, c.codicestazione,
-                CASE WHEN max1 > max2 THEN (CASE WHEN max1 > max3 THEN max1 ELSE max3 END)
-                     ELSE (CASE WHEN max2 > max3 THEN max2 ELSE max3 END) END AS ultimoinvio
-         FROM (SELECT idcomune, codicestazione, max(dataora) AS max1 FROM conferimenti_evt GROUP BY idcomune, codicestazione) c
-         RIGHT JOIN (SELECT idcomune, idstazione, max(dataora) AS max2 FROM eventi GROUP BY idcomune, idstazione) e
-           ON e.idstazione = c.codicestazione AND e.idcomune = c.idcomune
-         RIGHT JOIN (SELECT idcomune, codicestazione, max(dataora) AS max3 FROM logoperatore GROUP BY idcomune, codicestazione) l
-           ON l.codicestazione = e.idstazione AND l.idcomune = e.idcomune)
-SELECT DISTINCT i.nome, s.codicestazione, l.ultimoinvio
-FROM infocomune i JOIN infostazioni s ON s.idcomune = i.id
-JOIN last l ON l.idcomune = s.idcomune AND l.codicestazione = s.codicestazione
-WHERE CAST(l.ultimoinvio AS DATE) <> DATE '2024-01-30'
-  AND l.ultimoinvio NOT BETWEEN TIMESTAMP '2024-01-30 00:00:00' AND TIMESTAMP '2024-01-30 12:00:00'
-  AND s.idcomune IS NOT NULL AND s.codicestazione IS NOT NULL"""))(
+dep AS (SELECT idcomune, codicestazione, max(dataora) AS t FROM conferimenti_evt GROUP BY ALL),
+evt AS (SELECT idcomune, idstazione AS codicestazione, max(dataora) AS t FROM eventi GROUP BY ALL),
+ops AS (SELECT idcomune, codicestazione, max(dataora) AS t FROM logoperatore GROUP BY ALL),
+visti AS (SELECT dep.idcomune, dep.codicestazione, dep.t AS a, evt.t AS b, ops.t AS c
+          FROM ops LEFT JOIN evt USING (idcomune, codicestazione)
+          LEFT JOIN dep ON dep.idcomune = evt.idcomune AND dep.codicestazione = evt.codicestazione),
+invii AS (SELECT idcomune, codicestazione, if(a > b, if(a > c, a, c), if(b > c, b, c)) AS ultimoinvio FROM visti)
+SELECT DISTINCT nome, codicestazione, ultimoinvio
+FROM (SELECT idcomune, codicestazione FROM infostazioni) JOIN invii USING (idcomune, codicestazione)
+JOIN (SELECT id AS idcomune, nome FROM infocomune) USING (idcomune)
+WHERE ultimoinvio::DATE <> DATE '2024-01-30'
+  AND NOT (ultimoinvio >= TIMESTAMP '2024-01-30 00:00:00' AND ultimoinvio <= TIMESTAMP '2024-01-30 12:00:00')"""))(
     lambda s, d: D.stale_stations(_tables(s, d), "2024-01-30 12:00:00", deposits="conferimenti_evt", literal=True))
 
 P54 = ("1999-06-01", "2001-12-31")
 register("r54_per_capita_totals", _sql(["associazionenuclei", "conferimenti", "datinuclei"], f""",
-c AS (SELECT a.codicenucleo, max(d.dataora) AS dataora, count(d.id) AS conf
-      FROM conferimenti d JOIN associazionenuclei a ON d.codicetag = a.codicetag GROUP BY a.codicenucleo)
-SELECT a.idcomune, count(a.codicenucleo) AS nuclei, CAST(sum(dn.ncomponenti) AS BIGINT) AS componenti,
-       CAST(sum(c.conf) AS BIGINT) AS conferimenti, max(c.dataora) AS "max"
-FROM associazionenuclei a JOIN datinuclei dn ON dn.codicenucleo = a.codicenucleo JOIN c ON c.codicenucleo = a.codicenucleo
-WHERE {_inst('c.dataora', *P54)} AND a.idcomune = {C} GROUP BY a.idcomune"""))(
+per_tag AS (SELECT codicetag, max(dataora) AS ultimo, count(id) AS n FROM conferimenti GROUP BY ALL),
+famiglie AS (SELECT codicenucleo, max(ultimo) AS ultimo, sum(n) AS n FROM per_tag JOIN associazionenuclei USING (codicetag)
+             GROUP BY codicenucleo HAVING {_inst('max(ultimo)', *P54)})
+SELECT s.idcomune, count(*) AS nuclei, CAST(sum(ncomponenti) AS BIGINT) AS componenti, CAST(sum(n) AS BIGINT) AS conferimenti,
+       max(ultimo) AS "max"
+FROM famiglie JOIN datinuclei USING (codicenucleo) JOIN associazionenuclei s USING (codicenucleo)
+WHERE s.idcomune = {C} GROUP BY s.idcomune"""))(
     lambda s, d: H.per_capita_totals(_tables(s, d), C, *P54))
 
 _R55 = f"""
@@ -846,6 +860,97 @@ register("r55_maintenance_tickets_open", _sql(_R55T, _R55 + " AND st.stato NOT L
     lambda s, d: S.maintenance_tickets(_tables(s, d), C, hide_closed=True))
 
 
+# ---------------------------------------------------------------------------------------------
+# The generic operators that no report's query shows on its own.
+_ST = ["idcomune", "idstazione"]
+
+register("o06_debounce", _sql(["eventi"], """,
+l AS (SELECT id, dataora, lag(dataora) OVER (PARTITION BY idcomune, idstazione ORDER BY dataora, id) AS prima FROM eventi)
+SELECT id, dataora FROM l WHERE prima IS NULL OR dataora > prima + INTERVAL 3600 SECOND"""))(
+    lambda s, d: SQ.debounce(_tables(s, d).eventi, _ST, "dataora", 3600).select("id", "dataora"))
+
+register("o07_state_changes", _sql(["eventi"], """,
+l AS (SELECT id, note, lag(note) OVER w AS prev_state, row_number() OVER w AS n FROM eventi WHERE idevento = 'TENSIONE_RETE'
+      WINDOW w AS (PARTITION BY idcomune, idstazione ORDER BY dataora, id))
+SELECT id, note, prev_state FROM l WHERE n = 1 OR note IS DISTINCT FROM prev_state"""))(
+    lambda s, d: SQ.state_changes(_tables(s, d).eventi.filter(F.col("idevento") == "TENSIONE_RETE"), _ST, "dataora", "note")
+    .select("id", "note", "prev_state"))
+
+register("o08_stuck_values", _sql(["conferimenti_seq"], """,
+l AS (SELECT *, lag(peso) OVER (PARTITION BY idcomune, codicestazione ORDER BY dataora, id) AS prima FROM conferimenti_seq)
+SELECT idcomune, codicestazione, peso, count(*) AS repeats, max(dataora) AS last_ts FROM l
+WHERE peso = prima AND dataora >= TIMESTAMP '1998-01-01 00:00:00' GROUP BY ALL HAVING count(*) > 1"""))(
+    lambda s, d: SQ.stuck_values(_tables(s, d).conferimenti_seq, ["idcomune", "codicestazione"], "dataora", "peso", 1, since="1998-01-01"))
+
+register("o09_repeat_records", _sql(["conferimenti_seq_fewtags"], """,
+l AS (SELECT *, lag(codicetag) OVER w AS tag, peso - lag(peso) OVER w AS diff_peso FROM conferimenti_seq_fewtags
+      WINDOW w AS (PARTITION BY idcomune ORDER BY dataora, id))
+SELECT id, diff_peso FROM l WHERE codicetag = tag AND abs(diff_peso) < 1"""))(
+    lambda s, d: SQ.repeat_records(_tables(s, d).conferimenti_seq_fewtags, ["dataora", "id"], ["codicetag"], {"peso": 1.0}, by=["idcomune"])
+    .select("id", "diff_peso"))
+
+register("o13_pct_of_total", _sql(["conferimenti"], """,
+k AS (SELECT idcomune, tiporifiuto, CAST(sum(peso) AS DECIMAL(12,3)) AS kg FROM conferimenti GROUP BY ALL)
+SELECT idcomune, tiporifiuto, kg, CAST(sum(kg) OVER (PARTITION BY idcomune) AS DECIMAL(12,3)) AS tot,
+       CAST(kg / sum(kg) OVER (PARTITION BY idcomune) * 100 AS DECIMAL(9,4)) AS percent FROM k"""))(
+    lambda s, d: T.pct_of_total(_tables(s, d).conferimenti.groupBy("idcomune", "tiporifiuto").agg(F.sum("peso").cast("decimal(12,3)").alias("kg")),
+                                ["idcomune"], "kg", type_="decimal(12,3)").withColumn("percent", F.col("percent").cast("decimal(9,4)")))
+
+register("o19_phase_durations", _sql(["eventi"], """,
+l AS (SELECT *, lag(note) OVER w AS prima, row_number() OVER w AS n FROM eventi WHERE idevento = 'TENSIONE_RETE'
+      WINDOW w AS (PARTITION BY idcomune, idstazione ORDER BY dataora, id)),
+c AS (SELECT * FROM l WHERE n = 1 OR note IS DISTINCT FROM prima)
+SELECT id, row_number() OVER v AS phase, date_diff('microsecond', lag(dataora) OVER v, dataora) / 1000000.0 AS phase_seconds
+FROM c WINDOW v AS (PARTITION BY idcomune, idstazione ORDER BY dataora, id)"""))(
+    lambda s, d: SQ.phase_durations(_tables(s, d).eventi.filter(F.col("idevento") == "TENSIONE_RETE"), _ST, "dataora", "note")
+    .select("id", "phase", "phase_seconds"))
+
+register("o21_first_per_key", _sql(["eventi"], """
+SELECT idcomune, idstazione, id, idevento, dataora FROM eventi
+QUALIFY row_number() OVER (PARTITION BY idcomune, idstazione ORDER BY dataora, id) = 1"""))(
+    lambda s, d: SQ.first_per_key(_tables(s, d).eventi.select(*_ST, "id", "idevento", "dataora"), _ST, ["dataora", "id"]))
+
+register("o23_period_counts", _sql(["eventi"], f"""
+SELECT idcomune, idstazione, count(note) FILTER ({_days('dataora', '2024-01-05', '2024-01-09')}) AS prima,
+       count(note) FILTER ({_days('dataora', '2024-01-09', '2024-01-14')}) AS dopo
+FROM eventi WHERE {_days('dataora', '2024-01-05', '2024-01-14')} GROUP BY idcomune, idstazione"""))(
+    lambda s, d: T.period_counts(_tables(s, d).eventi, _ST, "dataora", {"prima": ("2024-01-05", "2024-01-09"), "dopo": ("2024-01-09", "2024-01-14")}, "note"))
+
+register("o24_bad_format", _sql(["infonuclei"], "SELECT id, codicetag FROM infonuclei WHERE NOT regexp_full_match(codicetag, '0+[1-9][0-9]*')"))(
+    lambda s, d: FI.bad_format(_tables(s, d).infonuclei, "codicetag", "0+[1-9][0-9]*").select("id", "codicetag"))
+register("o24_bad_length", _sql(["infonuclei"], "SELECT id, codicetag FROM infonuclei WHERE length(codicetag) <> 8"))(
+    lambda s, d: FI.bad_length(_tables(s, d).infonuclei, "codicetag", 8).select("id", "codicetag"))
+
+register("o25_duplicate_summary", _sql(["conferimenti"], """
+SELECT codicetag, tiporifiuto, count(*) AS n, min(dataora) AS primo, max(peso) AS massimo FROM conferimenti
+GROUP BY codicetag, tiporifiuto HAVING count(*) >= 4"""))(
+    lambda s, d: Q.duplicate_summary(_tables(s, d).conferimenti, ["codicetag", "tiporifiuto"], {"primo": F.min("dataora"), "massimo": F.max("peso")}, min_count=4))
+
+register("o26_active_inactive", _sql(["infonuclei", "conferimenti"], f""",
+dim AS (SELECT id, codicetag FROM infonuclei),
+tutti AS (SELECT dim.id, dim.codicetag, c.dataora, c.peso,
+                 c.dataora BETWEEN TIMESTAMP '{DEP[0]} 00:00:00' AND TIMESTAMP '1997-04-01 00:00:00' AS dentro
+          FROM dim LEFT JOIN (SELECT codicetag, dataora, peso FROM conferimenti) c USING (codicetag))
+SELECT id, codicetag, max(dataora) AS last_ts, count(peso) AS n, sum(peso) AS kg FROM tutti WHERE dentro GROUP BY ALL
+UNION SELECT id, codicetag, max(dataora), 0, 0.0 FROM tutti GROUP BY ALL
+HAVING max(dataora) IS NULL OR max(dataora) < TIMESTAMP '{DEP[0]} 00:00:00'"""))(
+    lambda s, d: T.active_inactive(_tables(s, d).infonuclei.select("id", "codicetag"), _tables(s, d).conferimenti, "codicetag", "dataora", *DEP,
+                                   measures={"n": F.count("peso"), "kg": F.sum("peso")}, zero={"n": F.lit(0).cast("long"), "kg": F.lit(0.0)}))
+
+register("o27_dominant_signal", _sql(["eventi"], """,
+n AS (SELECT idcomune, idstazione, count(*) FILTER (idevento = 'APERTURA') AS a, count(*) FILTER (idevento = 'CHIUSURA') AS b
+      FROM eventi GROUP BY ALL)
+SELECT idcomune, idstazione, if(a > b, 'APERTURA', 'CHIUSURA') AS avviso, greatest(a, b) AS segnalazioni FROM n"""))(
+    lambda s, d: T.dominant_signal(_tables(s, d).eventi, _ST, "idevento", ["APERTURA", "CHIUSURA"]))
+
+register("o29_per_group_population", _sql(["conferimenti", "infonuclei"], """
+SELECT idcomune, CAST(count(DISTINCT codicetag) AS BIGINT) AS tag, count(*) AS conferimenti, max(dataora) AS ultimo
+FROM (SELECT codicetag, dataora FROM conferimenti) JOIN infonuclei USING (codicetag) GROUP BY idcomune"""))(
+    lambda s, d: T.per_group_population(_tables(s, d).conferimenti, _tables(s, d).infonuclei.select("codicetag", "idcomune"), "codicetag", ["idcomune"],
+                                        {"__n": F.count(F.lit(1)), "__u": F.max("dataora")},
+                                        {"tag": F.count(F.lit(1)), "conferimenti": F.sum("__n"), "ultimo": F.max("__u")}))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -6,15 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binsight.functions.pg import (as_ts, interval_seconds, pg_concat, weekday_label)
+from binsight.functions.pg import as_ts, day_start, interval_seconds, pg_concat, time_text, weekday_label
 from binsight.operators.filters import in_days_expr, in_instants_expr, optional_eq
 from binsight.operators.matching import interval_match
 from binsight.operators.presence import last_seen, stale
 from binsight.operators.quality import exact_duplicates
-from binsight.operators.sequence import Sequence
+from binsight.operators.sequence import Sequence, repeat_records, stuck_values
 from binsight.operators.sink import crosstab
-from binsight.operators.totals import CATEGORY_COLUMNS, averages_by, category_totals, roll_counter
-from binsight.operators.joins import broadcast_if_small
+from binsight.operators.totals import CATEGORY_COLUMNS, averages_by, category_totals, period_counts, roll_counter
 from binsight.sources.bindings import Tables
 
 # --- fixed values -------------------------------------------------------------
@@ -27,7 +26,7 @@ ANOMALY, OK = "ANOMALIA", "OK"
 
 def _named(df: DataFrame, t: Tables, on: str = "idcomune") -> DataFrame:
     com = t.infocomune.select(F.col("id").alias("__cid"), "nome")
-    return df.join(broadcast_if_small(com), F.col(on) == F.col("__cid")).drop("__cid")
+    return df.join(com, F.col(on) == F.col("__cid")).drop("__cid")
 
 
 def duplicate_deposits(t: Tables, start) -> DataFrame:
@@ -42,33 +41,40 @@ def duplicate_deposits(t: Tables, start) -> DataFrame:
 def stuck_weights(t: Tables, start, min_repeats: int = 3, days_back: int = 2, literal: bool = False) -> DataFrame:
     """Stuck scale -- a deposit weighing exactly what the previous
     deposit at the same station weighed, more than ``min_repeats`` times for
-    that weight since ``start - days_back`` days; the LAG runs over the whole
-    history, the period is applied afterwards.  ``literal=True`` keeps the
-    original unpartitioned LAG over (municipality, station, time), so a
-    station's first deposit is compared with the previous station's last."""
-    d = t.conferimenti.select("id", "idcomune", "codicestazione", "dataora", "peso")
+    that weight since ``start - days_back`` days.  Before the period only each
+    station's newest deposit can be a previous one, so the history is reduced
+    to it by an aggregation.  ``literal=True`` keeps the original unpartitioned
+    LAG over (municipality, station, time), so a station's first deposit is
+    compared with the previous station's last."""
+    since = (as_ts(start) - F.expr(f"INTERVAL {int(days_back)} DAY")).cast("timestamp_ntz")
+    station = ["idcomune", "codicestazione"]
+    d = t.conferimenti.select(*station, "id", "dataora", "peso")
+    newest = (d.filter(F.col("dataora") < since).groupBy(*station)
+               .agg(F.max_by(F.struct("id", "dataora", "peso"), F.struct("dataora", "id")).alias("__r")).select(*station, "__r.*"))
+    d = d.filter(F.col("dataora") >= since).unionByName(newest)
     if literal:
-        seq = Sequence(d, order=["idcomune", "codicestazione", "dataora", "id"]).lag({"__pp": "peso"})
+        rep = Sequence(d, order=[*station, "dataora", "id"]).lag({"__pp": "peso"}).result()
+        rep = rep.filter((F.col("dataora") >= since) & (F.col("peso") == F.col("__pp")))
+        g = (rep.groupBy(*station, "peso")
+                .agg(F.count_distinct("dataora").alias("numeroconferimenti"), F.max("dataora").alias("ultimodato"))
+                .filter(F.col("numeroconferimenti") > min_repeats))
     else:
-        seq = Sequence(d, order=["dataora", "id"], by=["idcomune", "codicestazione"]).lag({"__pp": "peso"})
-    since = (as_ts(start) - F.expr(f"INTERVAL {int(days_back)} DAY")).cast("timestamp_ntz")
-    rep = seq.result().filter((F.col("dataora") >= since) & (F.col("peso") == F.col("__pp")))
-    g = (rep.groupBy("idcomune", "codicestazione", "peso")
-            .agg(F.count_distinct("dataora").alias("numeroconferimenti"), F.max("dataora").alias("ultimodato"))
-            .filter(F.col("numeroconferimenti") > min_repeats))
+        g = (stuck_values(d, station, "dataora", "peso", min_repeats, since=since, distinct_ts=True)
+             .withColumnsRenamed({"repeats": "numeroconferimenti", "last_ts": "ultimodato"}))
     return _named(g, t).select(pg_concat("nome", F.lit(" "), "codicestazione").alias("identificativo"),
                                "peso", "numeroconferimenti", "ultimodato")
 
 
-def deposit_crosstab(t: Tables, codes=(0, 1, 2, 3, 4, 5, 6)) -> DataFrame:
-    """Weight per station (rows) and waste type (columns ``t<code>``)."""
-    x = crosstab(t.conferimenti, ["idcomune", "codicestazione"], "tiporifiuto", "peso", values=list(codes))
-    return x.select("idcomune", "codicestazione", *[F.col(str(c)).alias(f"t{c}") for c in codes])
+def deposit_crosstab(t: Tables, codes) -> DataFrame:
+    """Weight per station (rows) and waste type: a column ``t<code>`` for
+    each of ``codes``, and ``altri`` for every other type or none."""
+    x = crosstab(t.conferimenti, ["idcomune", "codicestazione"], "tiporifiuto", "peso", values=codes, other="altri")
+    return x.select("idcomune", "codicestazione", *[F.col(str(c)).alias(f"t{c}") for c in codes], "altri")
 
 
 def _typed(t: Tables, d: DataFrame) -> DataFrame:
     rif = t.inforifiuti.select(F.col("idcomune").alias("__rc"), F.col("codicerifiuto").alias("__code"), "descrizione")
-    return d.join(broadcast_if_small(rif), (d.tiporifiuto == rif.__code) & (d.idcomune == rif.__rc)).drop("__rc", "__code")
+    return d.join(rif, (d.tiporifiuto == rif.__code) & (d.idcomune == rif.__rc)).drop("__rc", "__code")
 
 
 def deposit_listing(t: Tables, municipality: int, start, end, station: int | None = None,
@@ -86,21 +92,24 @@ def deposit_listing(t: Tables, municipality: int, start, end, station: int | Non
 
 
 def repeat_deposits(t: Tables, municipality: int, start, end, station: int | None = None,
-                    since="2016-01-10", max_weight_diff: float = 1.0) -> DataFrame:
+                    since=None, max_weight_diff: float = 1.0) -> DataFrame:
     """Deposits that directly follow, in global time order (all stations
-    and municipalities, from ``since``), a deposit of the same tag and type
-    whose weight differs by less than ``max_weight_diff``."""
-    d = t.conferimenti.filter(F.col("dataora") > as_ts(since)).select(
-        "id", "idcomune", "codicestazione", "codicetag", "dataora", "peso", "tiporifiuto", "codiceanomalia")
-    seq = Sequence(d, order=["dataora", "id"]).lag({"__codicep": "codicetag", "__pp": "peso", "__pt": "tiporifiuto"})
-    x = (seq.result()
-            .withColumn("flag", F.col("tiporifiuto") - F.col("__pt"))
-            .withColumn("__pesop", F.col("peso") - F.col("__pp")))
-    x = x.filter((F.col("idcomune") == municipality) & in_days_expr("dataora", start, end) & (F.col("flag") == 0)
-                 & (F.col("codicetag") == F.col("__codicep")) & (F.abs("__pesop") < max_weight_diff))
+    and municipalities, after ``since`` if given), a deposit of the same tag
+    and type whose weight differs by less than ``max_weight_diff``.  Of the
+    time before the period only the newest deposit matters."""
+    columns = ["id", "idcomune", "codicestazione", "codicetag", "dataora", "peso", "tiporifiuto", "codiceanomalia"]
+    d = t.conferimenti.select(*columns)
+    if since is not None:
+        d = d.filter(F.col("dataora") > as_ts(since))
+    newest = (d.filter(F.col("dataora") < day_start(start))
+               .agg(F.max_by(F.struct(*columns), F.struct("dataora", "id")).alias("__r")).filter("__r is not null").select("__r.*"))
+    d = d.filter(in_days_expr("dataora", start, end)).unionByName(newest)
+    x = repeat_records(d, order=["dataora", "id"], same=["codicetag", "tiporifiuto"], near={"peso": max_weight_diff})
+    x = x.filter((F.col("idcomune") == municipality) & in_days_expr("dataora", start, end))
     x = optional_eq(x, "codicestazione", station)
-    return x.select("codicetag", F.to_date("dataora").alias("data"), F.date_format("dataora", "HH:mm:ss").alias("ora"),
-                    "tiporifiuto", "flag", F.abs("__pesop").alias("diffpeso"), "codiceanomalia", "codicestazione")
+    return x.select("codicetag", F.to_date("dataora").alias("data"), time_text("dataora").alias("ora"),
+                    "tiporifiuto", (F.col("tiporifiuto") - F.col("tiporifiuto")).alias("flag"), F.abs("diff_peso").alias("diffpeso"),
+                    "codiceanomalia", "codicestazione")
 
 
 def _with_household(t: Tables, d: DataFrame) -> DataFrame:
@@ -110,7 +119,7 @@ def _with_household(t: Tables, d: DataFrame) -> DataFrame:
 
 def _listing_cols():
     return [weekday_label("dataora", "short").alias("gg"), F.to_date("dataora").alias("data"),
-            F.date_format("dataora", "HH:mm:ss").alias("ora"), "descrizione", "peso", "tiporifiuto", "codiceanomalia"]
+            time_text("dataora").alias("ora"), "descrizione", "peso", "tiporifiuto", "codiceanomalia"]
 
 
 def deposits_with_household(t: Tables, municipality: int, start, end, station: int | None = None) -> DataFrame:
@@ -133,7 +142,7 @@ def zero_weight_deposits(t: Tables, start, end) -> DataFrame:
     """Deposits weighing 0, with one type name per code (the smallest)."""
     names = t.inforifiuti.groupBy("codicerifiuto").agg(F.min("descrizione").alias("nome"))
     d = t.conferimenti.filter(in_days_expr("dataora", start, end) & (F.col("peso") == 0))
-    j = d.join(broadcast_if_small(names), d.tiporifiuto == names.codicerifiuto)
+    j = d.join(names, d.tiporifiuto == names.codicerifiuto)
     return j.select("idcomune", "codicestazione", "codicetag", "dataora", "peso", "tiporifiuto", "nome",
                     "codiceanomalia", "data", "componenti")
 
@@ -156,28 +165,26 @@ def per_station_tag(t: Tables, start, end) -> DataFrame:
                   F.max("dataora").alias("ultimo")))
 
 
-def label_rolls(t: Tables, as_of) -> DataFrame:
+def label_rolls(t: Tables, as_of, keep_order: bool = False) -> DataFrame:
     """Label roll state per station and deposits in the last 7 days and
     the 7 days before (day ``as_of - 7`` belongs to both, as in the original);
-    only stations with deposits in both weeks."""
+    only stations with deposits in both weeks.  ``keep_order`` carries the
+    municipality id for the display order."""
     import datetime as dt
     from binsight.functions.pg import to_datetime
     ref = to_datetime(as_of).date()
     w1 = (ref - dt.timedelta(days=7), ref)
     w2 = (ref - dt.timedelta(days=14), ref - dt.timedelta(days=7))
-    d = t.conferimenti.filter(in_days_expr("dataora", w2[0], w1[1]))
-    c = (d.groupBy("idcomune", "codicestazione")
-          .agg(F.count(F.when(in_days_expr("dataora", *w1), F.col("peso"))).alias("primasettimana"),
-               F.count(F.when(in_days_expr("dataora", *w2), F.col("peso"))).alias("secondasettimana"),
-               F.count(F.when(in_days_expr("dataora", *w1), 1)).alias("__n1"),
-               F.count(F.when(in_days_expr("dataora", *w2), 1)).alias("__n2"))
-          .filter((F.col("__n1") > 0) & (F.col("__n2") > 0)))
+    c = (period_counts(t.conferimenti, ["idcomune", "codicestazione"], "dataora",
+                       {"primasettimana": w1, "secondasettimana": w2}, value="peso", rows={"__n1": w1, "__n2": w2})
+         .filter((F.col("__n1") > 0) & (F.col("__n2") > 0)))
     s = t.datistazione.filter((F.col("idcomune") > 0) & (F.col("idstazione") > 0))
     j = s.join(c, (s.idcomune == c.idcomune) & (s.idstazione == c.codicestazione)).drop(c.idcomune)
     j = _named(j, t)
     printed, left = roll_counter("numeroetichette", "maxetichette")
     return j.select(F.col("nome").alias("comune"), F.col("idstazione").alias("stazione"), "primasettimana",
-                    "secondasettimana", left.alias("restanti"), printed.alias("stampate"), "maxetichette")
+                    "secondasettimana", left.alias("restanti"), printed.alias("stampate"), "maxetichette",
+                    *([F.col("idcomune").alias("__order_idcomune")] if keep_order else []))
 
 
 def bin_accumulation(t: Tables, municipality: int, start, end, station: int | None = None) -> DataFrame:
@@ -185,7 +192,7 @@ def bin_accumulation(t: Tables, municipality: int, start, end, station: int | No
     c = t.cumulopesi.filter((F.col("idcomune") == municipality) & in_days_expr("dataora", start, end))
     c = optional_eq(c, "codicestazione", station)
     return c.select(weekday_label("dataora", "short").alias("gg"), F.to_date("dataora").alias("data"),
-                    F.date_format("dataora", "HH:mm:ss").alias("ora"), "codicestazione", "idrifiuto",
+                    time_text("dataora").alias("ora"), "codicestazione", "idrifiuto",
                     "nomerifiuto", "peso", "numerosacchetti", "idbidone")
 
 
@@ -253,7 +260,8 @@ def wrong_bin(t: Tables, start, end, open_before=10.0, close_after=120.0, pair_w
     dati = (dep.join(bins.select("idcomune", "codicestazione", "tiporifiuto", F.col("inputplc1").alias("input")),
                      ["idcomune", "codicestazione", "tiporifiuto"]).distinct())
     ev = t.eventi
-    closes = ev.filter(F.col("idevento") == LID_CLOSE).select("idcomune", "idstazione", "idevento", "note", "dataora").distinct()
+    # a closing pairs with an earlier opening of the period: older ones never count
+    closes = ev.filter((F.col("idevento") == LID_CLOSE) & (F.col("dataora") >= day_start(start))).select("idcomune", "idstazione", "idevento", "note", "dataora").distinct()
     cseq = Sequence(closes, order=["dataora", "note"], by=["idcomune", "idstazione"]).lag({
         "data2": "dataora", "__snote2": _short_note("note"), "note2": "note"})
     c = cseq.result().filter(F.col("data2").isNotNull()).select(
@@ -303,7 +311,7 @@ def wrong_bin(t: Tables, start, end, open_before=10.0, close_after=120.0, pair_w
                 .agg(F.min_by(F.struct("tiporifiuto", "anomalia"), F.struct("data", "data2", "tiporifiuto")).alias("__r"))
                 .select("comune", "stazione", "dataora", "__r.*"))
     rif = t.inforifiuti.select(F.col("idcomune").alias("__rc"), F.col("codicerifiuto").alias("__code"), "descrizione")
-    j = one.join(broadcast_if_small(rif), (one.comune == rif.__rc) & (one.tiporifiuto == rif.__code))
+    j = one.join(rif, (one.comune == rif.__rc) & (one.tiporifiuto == rif.__code))
     j = _named(j, t, on="comune")
     out = (j.groupBy("nome", "stazione", "descrizione")
             .agg(F.count(F.when(F.col("anomalia") == ANOMALY, 1)).alias("numeroanomalie"))

@@ -4,8 +4,8 @@ Reports return unordered DataFrames: a total sort is a full shuffle and is
 only worth paying for when a person reads the result.  ``sort_like_original``
 applies the original ORDER BY of a report, with PostgreSQL's NULL placement
 (NULLs last when ascending, first when descending -- the reverse of Spark's
-default).  ``limit`` caps the rows shown (the clock-repair screen showed
-6000); sort + limit is planned as a top-k, not a full sort.
+default).  A caller that shows only the first rows writes ``.limit`` itself
+(sort + limit is planned as a top-k, not a full sort).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ ORDER_BY: dict[str, list[tuple[str, bool]]] = {
     "battery_phases": [("data", True)],
     "operator_log": [("stazione", False), ("data", True)],
     "operator_log_filtered": [("stazione", False), ("data", True)],
-    "deposit_listing": [("data", True)],
+    "deposit_listing": [("data|[0-9]{4}-.*", True)],
     "repeat_deposits": [("data", True), ("ora", True)],
     "deposits_with_household": [("data", True), ("ora", True)],
     "heavy_deposits": [("data", False), ("ora", True)],
@@ -34,7 +34,7 @@ ORDER_BY: dict[str, list[tuple[str, bool]]] = {
     "zero_weight_deposits": [("dataora", True)],
     "admin_tester_log": [("data", True)],
     "lid_openings": [("data", True), ("ora", True)],
-    "label_rolls": [("comune", False), ("stazione", False)],
+    "label_rolls": [("__order_idcomune", False), ("stazione", False)],
     "station_sheet": [("comune", False), ("numerostazione", False)],
     "station_list": [("idcomune", False), ("stazione", False)],
     "bin_accumulation": [("data", True), ("ora", True)],
@@ -50,6 +50,8 @@ ORDER_BY: dict[str, list[tuple[str, bool]]] = {
     "type_variety": [("tipi", False)],
     "annual_sheet_allowlist": [("indirizzo", False), ("cognome", False), ("nome", False)],
     "annual_sheet": [("cognome", False), ("nome", False), ("indirizzo", True)],
+    "household_sheet": [("__order_totale", True), ("percentualedifferenziata", False)],
+    "household_sheet_rollup": [("__order_totale", True), ("percentualedifferenziata", False)],
     "clock_repair": [("idcomune", False), ("codicestazione", False), ("idn", False)],
     "per_capita_by_type": [("idcomune", False), ("tiporifiuto", False)],
     "stale_stations": [("nome", False), ("codicestazione", False)],
@@ -58,15 +60,27 @@ ORDER_BY: dict[str, list[tuple[str, bool]]] = {
 # ------------------------------------------------------------------------------
 
 
-def pg_order(column: str, descending: bool = False):
-    """One ORDER BY term with PostgreSQL's NULL placement."""
-    c = F.col(column)
+def _column(term: str) -> str:
+    return term.partition("|")[0]
+
+
+def pg_order(term: str, descending: bool = False):
+    """One ORDER BY term with PostgreSQL's NULL placement.  ``column|pattern``
+    sorts on the part of a text that the pattern finds."""
+    column, _, pattern = term.partition("|")
+    c = F.regexp_extract(F.col(column), pattern, 0) if pattern else F.col(column)
     return c.desc_nulls_first() if descending else c.asc_nulls_last()
 
 
-def sort_like_original(df: DataFrame, report: str, limit: int | None = None) -> DataFrame:
+def sort_like_original(df: DataFrame, report: str) -> DataFrame:
     """``df`` (the result of report function ``report``) in the original
-    display order; unchanged if the original had none."""
+    display order; unchanged if the original had none.  Columns that a report
+    carries only for its order (``keep_order=True``, names starting with
+    ``__order_``) are dropped afterwards."""
     spec = ORDER_BY.get(report)
-    out = df.orderBy(*[pg_order(c, d) for c, d in spec]) if spec else df
-    return out.limit(limit) if limit is not None else out
+    if report == "deposits_with_household" and "stazione" not in df.columns:
+        spec = [("data", False), ("ora", True)]          # one station: days ascending
+    if not spec:
+        return df
+    out = df.orderBy(*[pg_order(c, d) for c, d in spec if _column(c) in df.columns])
+    return out.drop(*[c for c in df.columns if c.startswith("__order_")])

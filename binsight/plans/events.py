@@ -12,13 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binsight.functions.pg import (as_ts, interval_seconds, next_day_start, pg_concat, seconds_between,
-                                   weekday_label)
+from binsight.functions.pg import (as_ts, day_start, interval_seconds, next_day_start, pg_concat, seconds_between,
+                                   time_text, weekday_label)
 from binsight.operators.filters import (exclude_time_of_day, in_days_expr, in_instants_expr,
                                         optional_eq)
 from binsight.operators.presence import absent
 from binsight.operators.sequence import Sequence
-from binsight.operators.joins import broadcast_if_small
+from binsight.operators.totals import dominant_signal
 from binsight.sources.bindings import Tables
 
 # --- fixed values -------------------------------------------------------------
@@ -57,7 +57,7 @@ def restarts(t: Tables, municipality: int, start, end, gap_seconds: float = 30.0
         counted = seq.result().withColumn(
             "__ok", F.col("ultimadata").isNull() | (F.col("dataora") > F.col("ultimadata") + interval_seconds(gap_seconds)))
     per_station = counted.groupBy("idcomune", "idstazione").agg(F.count(F.when(F.col("__ok"), 1)).alias("n"))
-    named = per_station.join(broadcast_if_small(t.infocomune), F.col("idcomune") == F.col("id"))
+    named = per_station.join(t.infocomune, F.col("idcomune") == F.col("id"))
     return (named.groupBy(pg_concat("nome", F.lit(" "), "idstazione").alias("nomestazione"))
                  .agg(F.sum("n").cast("long").alias("riavvii")))
 
@@ -89,18 +89,17 @@ def label_alarms(t: Tables, start, end, literal: bool = False) -> DataFrame:
     seq = Sequence(e.select("id", "idcomune", "idstazione", "idevento", "dataora"), order=["dataora", "id"])
     lagged = seq.lag({"ultimadata": "dataora"}).result().filter(F.col("ultimadata").isNotNull()
                                                                & F.lower("idevento").like(LABEL_PATTERN.lower()))
-    per = (lagged.groupBy("idcomune", "idstazione", "ultimadata")
-                 .agg(F.count(F.when(F.col("idevento") == LABELS_FINISHED, 1)).alias("terminate"),
-                      F.count(F.when(F.col("idevento") == LABELS_JAMMED, 1)).alias("inceppate")))
-    named = per.join(broadcast_if_small(t.infocomune), F.col("idcomune") == F.col("id"))
-    g = named.groupBy("nome", "idstazione")
-    st, si = F.sum("terminate"), F.sum("inceppate")
-    finished_wins = (F.count("terminate") > F.count("inceppate")) if literal else (st > si)
-    last_day = F.max(F.to_date("ultimadata"))
-    return g.agg(
-        F.when(finished_wins, F.lit(LABELS_FINISHED)).otherwise(F.lit(LABELS_JAMMED)).alias("avviso"),
-        F.when(finished_wins, st).otherwise(si).cast("long").alias("segnalazioni"),
-        pg_concat(weekday_label(last_day, "accented"), F.lit(" "), last_day.cast("string")).alias("ultimoinvio"))
+    com = t.infocomune.select(F.col("id").alias("__cid"), "nome")
+    named = lagged.join(com, F.col("idcomune") == F.col("__cid"))
+    day = F.max(F.to_date("ultimadata"))
+    # literal: counts of never-NULL columns are equal, so "jammed" always wins
+    shown = [LABELS_FINISHED, LABELS_JAMMED]
+    out = dominant_signal(named, ["nome", "idstazione"], "idevento", shown, extra={"__day": day, "__jam": F.count(
+        F.when(F.col("idevento") == LABELS_JAMMED, 1))})
+    if literal:
+        out = out.withColumns({"avviso": F.lit(LABELS_JAMMED), "segnalazioni": F.col("__jam")})
+    return out.select("nome", "idstazione", "avviso", F.col("segnalazioni").cast("long").alias("segnalazioni"),
+                      pg_concat(weekday_label("__day", "accented"), F.lit(" "), F.col("__day").cast("string")).alias("ultimoinvio"))
 
 
 def power_changes(t: Tables, municipality: int, start, end, station: int | None = None,
@@ -126,7 +125,7 @@ def power_changes(t: Tables, municipality: int, start, end, station: int | None
              .withColumn("evento", pg_concat("idevento", F.lit(" "), "note"))
              .withColumn("__evento2", pg_concat("idevento", F.lit(" "), "__pnote"))
              .filter(F.col("evento") != F.col("__evento2")))
-    named = ch.join(broadcast_if_small(t.infocomune), F.col("idcomune") == F.col("id"))
+    named = ch.join(t.infocomune, F.col("idcomune") == F.col("id"))
     return (named.select("nome", F.col("idstazione").alias("stazione"), "evento",
                          weekday_label("dataora", "accented").alias("giorno"), F.col("dataora").alias("orario"))
                  .distinct())
@@ -135,10 +134,14 @@ def power_changes(t: Tables, municipality: int, start, end, station: int | None
 def power_changes_asof(t: Tables, municipality: int, start, end, station: int | None = None) -> DataFrame:
     """Power events whose note differs from the note of the latest
     strictly earlier event of any kind at the same station (ties on the time
-    resolved by the larger id).  The history is not cut at ``start``."""
-    e = t.eventi.filter((F.col("idcomune") == municipality)
-                        & (F.col("dataora") < next_day_start(end)))
-    e = optional_eq(e, "idstazione", station).select("id", "idcomune", "idstazione", "idevento", "dataora", "note")
+    resolved by the larger id).  Of the time before ``start`` only each
+    station's newest event can be that event."""
+    columns = ["id", "idcomune", "idstazione", "idevento", "dataora", "note"]
+    e = optional_eq(t.eventi.filter(F.col("idcomune") == municipality), "idstazione", station).select(*columns)
+    newest = (e.filter(F.col("dataora") < day_start(start)).groupBy("idcomune", "idstazione")
+               .agg(F.max_by(F.struct("id", "idevento", "dataora", "note"), F.struct("dataora", "id")).alias("__r"))
+               .select("idcomune", "idstazione", "__r.*"))
+    e = e.filter(in_days_expr("dataora", start, end)).unionByName(newest)
     seq = Sequence(e, order=["dataora", "id"], by=["idcomune", "idstazione"])
     seq = seq.lag({"__pts": "dataora", "__pnote": "note"})
     # note of the last row of the previous timestamp, spread over a run of equal times
@@ -150,20 +153,21 @@ def power_changes_asof(t: Tables, municipality: int, start, end, station: int |
     return out.select(*cols)
 
 
-def silent_stations(t: Tables, start, end, municipalities=range(1, 7)) -> DataFrame:
-    """Stations (of the listed municipalities) with no event at all in
-    [start, end]; last time seen in each power state."""
+def silent_stations(t: Tables, start, end, municipalities=None) -> DataFrame:
+    """Stations (of the listed municipalities, else of all) with no event
+    at all in [start, end]; last time seen in each power state.  Aggregated
+    per station first, so the anti joins see one row per station and state."""
     e = t.eventi
-    lo, hi = min(municipalities), max(municipalities)
-    power = e.filter(F.col("idcomune").between(lo, hi) & F.col("idcomune").isin(list(municipalities))
-                     & (F.col("idevento") == POWER_EVENT))
+    power = e.filter(F.col("idevento") == POWER_EVENT)
+    if municipalities is not None:
+        power = power.filter(F.col("idcomune").isin(list(municipalities)))
+    last = (power.groupBy("idcomune", "idstazione", F.col("note").alias("stato")).agg(F.max("dataora").alias("ultimavolta")))
     active = e.filter(in_days_expr("dataora", start, end)).select("idcomune", "idstazione")
-    silent = absent(power, active, ["idcomune", "idstazione"], null_aware=True)
-    return (silent.groupBy("idcomune", "idstazione", F.col("note").alias("stato"))
-                  .agg(F.max("dataora").alias("ultimavolta")))
+    return absent(last, active, ["idcomune", "idstazione"], null_aware=True,
+                  not_null=["idcomune"] if municipalities is not None else [])
 
 
-def battery_phases(t: Tables, municipality: int, station: int, skip_month: str | None = "2016-10",
+def battery_phases(t: Tables, municipality: int, station: int, skip_month: str | None = None,
                    debounce_seconds: float = 50.0, total_hours: bool = False) -> DataFrame:
     """Battery charge / discharge phases of one station.
 
@@ -195,7 +199,7 @@ def battery_phases(t: Tables, municipality: int, station: int, skip_month: str |
     else:
         hours = F.extract(F.lit("HOUR"), F.col("data") - F.col("__prev"))
     on, off = f"{POWER_EVENT} ON", f"{POWER_EVENT} OFF"
-    named = y.join(broadcast_if_small(t.infocomune), F.col("idcomune") == F.col("id"))
+    named = y.join(t.infocomune, F.col("idcomune") == F.col("id"))
     return named.select(
         "nome", "idstazione",
         weekday_label("data", "plain").alias("giorno"),
@@ -210,7 +214,7 @@ def _operator_log(t: Tables, municipality: int, start, end, station) -> DataFram
     log = optional_eq(log, "codicestazione", station)
     ops = t.infooperatori.select(F.col("codicetag").alias("__tag"), F.col("nome").alias("operatore"))
     com = t.infocomune.select(F.col("id").alias("__cid"), "nome")
-    j = (log.join(broadcast_if_small(com), log.idcomune == com.__cid)
+    j = (log.join(com, log.idcomune == com.__cid)
             .join(ops, log.codicetag == ops.__tag, "left"))
     return j.select("nome", F.col("codicestazione").alias("stazione"),
                     weekday_label("dataora", "accented").alias("giorno"), F.col("dataora").alias("data"),
@@ -230,19 +234,25 @@ def operator_log_filtered(t: Tables, municipality: int, start, end, station: int
     return out
 
 
-def failed_reads(t: Tables, municipality: int, start) -> DataFrame:
-    """Failed tag reads per station since ``start``: count, the tags
-    (sorted, space separated) and the last time."""
+def failed_reads(t: Tables, municipality: int, start, as_text: bool = False) -> DataFrame:
+    """Failed tag reads since ``start``, one row per station and tag with
+    their number and last time (a hash aggregation).  ``as_text=True`` gives
+    the original sheet: one row per station with all its reads as one text
+    (sorted tags, space separated), which is as long as the station has reads."""
     f = t.logfalliti.filter((F.col("idcomune") == municipality)
                             & (F.col("dataora") >= as_ts(start)))
+    per_tag = f.groupBy("idcomune", "idstazione", "codicetag").agg(F.count("codicetag").alias("n"), F.max("dataora").alias("ultimo"))
     com = t.infocomune.select(F.col("id").alias("__cid"), "nome")
-    j = f.join(broadcast_if_small(com), f.idcomune == com.__cid, "left")
+    j = per_tag.join(com, per_tag.idcomune == com.__cid, "left")
+    if not as_text:
+        return j.select(F.col("nome").alias("comune"), F.col("idstazione").alias("numerostazione"), "codicetag",
+                        F.col("n").alias("numerofallimenti"), F.col("ultimo").alias("ultimodatoricevuto"))
+    tag = F.col("codicetag").cast("string")
+    texts = F.collect_list(F.when(F.col("n") > 0, F.struct(tag.alias("t"), F.array_join(F.array_repeat(tag, F.col("n").cast("int")), " ").alias("r"))))
     return (j.groupBy(F.col("nome").alias("comune"), F.col("idstazione").alias("numerostazione"))
-             .agg(F.count("codicetag").alias("numerofallimenti"),
-                  F.when(F.count("codicetag") > 0,
-                         F.array_join(F.array_sort(F.collect_list(F.col("codicetag").cast("string"))), " "))
-                   .alias("letturefallite"),
-                  F.max("dataora").alias("ultimodatoricevuto")))
+             .agg(F.sum("n").cast("long").alias("numerofallimenti"),
+                  F.when(F.sum("n") > 0, F.array_join(F.transform(F.array_sort(texts), lambda x: x["r"]), " ")).alias("letturefallite"),
+                  F.max("ultimo").alias("ultimodatoricevuto")))
 
 
 def admin_tester_log(t: Tables, municipality: int, start, end, station: int | None = None) -> DataFrame:
@@ -254,7 +264,7 @@ def admin_tester_log(t: Tables, municipality: int, start, end, station: int | No
     log = optional_eq(log, "codicestazione", station)
     com = t.infocomune.select(F.col("id").alias("__cid"), "nome")
     j = (log.join(people, log.codicetag == people.codicetessera)
-            .join(broadcast_if_small(com), log.idcomune == com.__cid))
+            .join(com, log.idcomune == com.__cid))
     return j.select("nome", "codicestazione", "descrizione", F.col("tipologiautente").alias("tipologia"),
                     F.col("dataora").alias("data"), "codicetessera")
 
@@ -265,7 +275,7 @@ def lid_openings(t: Tables, municipality: int, start, end, station: int | None =
                         & in_days_expr("dataora", start, end))
     e = optional_eq(e, "idstazione", station)
     cols = [F.col("idevento"), weekday_label("dataora", "short").alias("gg"), F.to_date("dataora").alias("data"),
-            F.date_format("dataora", "HH:mm:ss").alias("ora")]
+            time_text("dataora").alias("ora")]
     if station in (None, 0, ""):
         cols.append(F.col("idstazione").alias("stazione"))
     return e.select(*cols, "note")

@@ -2,9 +2,10 @@
 code-format checks, annual and per-household sorting sheets, per-capita
 averages.
 
-Facts (deposits) are always aggregated per tag *before* they meet the
-household tables, so the household joins work on one row per tag instead of
-one row per deposit, and a join fan-out never multiplies deposit rows.
+Facts (deposits) are reduced to the tags a report asks for (semi join) and
+aggregated per tag *before* they meet the household tables, so the household
+joins work on one row per tag instead of one row per deposit, and a join
+fan-out never multiplies deposit rows.
 """
 
 from __future__ import annotations
@@ -14,12 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from binsight.functions.pg import (as_ts, blank_sentinel, next_day_start, num_text, pg_concat,
-                                   similar_to)
-from binsight.operators.filters import in_days_expr, in_instants_expr
+from binsight.functions.pg import as_ts, blank_sentinel, num_text, pg_concat
+from binsight.operators.filters import bad_format, bad_length, in_days_expr, in_instants_expr
 from binsight.operators.presence import absent, absent_in_period
-from binsight.operators.totals import sorted_share
-from binsight.operators.joins import broadcast_if_small
+from binsight.operators.quality import duplicate_summary
+from binsight.operators.totals import active_inactive, pct_of_total, per_group_population, sorted_share
 from binsight.sources.bindings import Tables
 
 # --- fixed values -------------------------------------------------------------
@@ -69,7 +69,8 @@ def idle_tags(t: Tables, municipality: int, start, end, as_of) -> DataFrame:
     # one pass over the deposits: all-time count (any municipality) and
     # first / last deposit in the municipality, per tag
     in_c = F.col("idcomune") == municipality
-    stats = dep.groupBy("codicetag").agg(F.count("id").alias("__ndep"),
+    wanted = a.select("codicetag").distinct()
+    stats = dep.join(wanted, "codicetag", "left_semi").groupBy("codicetag").agg(F.count("id").alias("__ndep"),
                                          F.min(F.when(in_c, F.col("dataora"))).alias("primo"),
                                          F.max(F.when(in_c, F.col("dataora"))).alias("ultimo"))
     i = t.infonuclei.filter(F.col("idcomune") == municipality).select(F.col("codicetag").alias("__itag"),
@@ -109,9 +110,8 @@ def idle_households(t: Tables, municipality: int, start, end) -> DataFrame:
 
 def multi_tag_households(t: Tables) -> DataFrame:
     """Households with more than one tag."""
-    a = t.associazionenuclei
-    return (a.groupBy("codicenucleo", "idcomune").agg(F.count(F.lit(1)).alias("ntag"), F.count("codicetag").alias("__n"))
-             .filter(F.col("__n") > 1).select("ntag", "codicenucleo", "idcomune"))
+    out = duplicate_summary(t.associazionenuclei, ["codicenucleo", "idcomune"], {"__n": F.count("codicetag")}, count_name="ntag")
+    return out.filter(F.col("__n") > 1).select("ntag", "codicenucleo", "idcomune")
 
 
 def households_without_tag(t: Tables) -> DataFrame:
@@ -154,7 +154,7 @@ def all_tags(t: Tables) -> DataFrame:
 def bad_length_tags(t: Tables, length: int = TAG_LENGTH) -> DataFrame:
     """Associated tags whose code is not ``length`` characters, for
     known households."""
-    a = t.associazionenuclei.filter(F.char_length("codicetag") != length)
+    a = bad_length(t.associazionenuclei, "codicetag", length)
     a = a.join(t.datinuclei.select("codicenucleo"), "codicenucleo", "left_semi")
     return a.select("idcomune", "codicetag", F.char_length("codicetag").alias("ncar"), "codicenucleo", "info",
                     "progressivo")
@@ -168,11 +168,10 @@ def unassociated_tags(t: Tables, municipality: int) -> DataFrame:
 
 def duplicate_usernames(t: Tables) -> DataFrame:
     """Per user name: how many, first/last household id and access."""
-    u = t.utentiweb
-    return u.groupBy("username").agg(
-        F.count("username").alias("ndoppi"), F.min("idnucleo").alias("primoid"), F.max("idnucleo").alias("ultimoid"),
-        F.min("ultimoaccesso").alias("primoaccesso"), F.max("ultimoaccesso").alias("ultimoaccesso")
-    ).select("ndoppi", "username", "primoid", "ultimoid", "primoaccesso", "ultimoaccesso")
+    out = duplicate_summary(t.utentiweb, "username", {
+        "ndoppi": F.count("username"), "primoid": F.min("idnucleo"), "ultimoid": F.max("idnucleo"),
+        "primoaccesso": F.min("ultimoaccesso"), "ultimoaccesso": F.max("ultimoaccesso")})
+    return out.select("ndoppi", "username", "primoid", "ultimoid", "primoaccesso", "ultimoaccesso")
 
 
 def web_users(t: Tables) -> DataFrame:
@@ -180,7 +179,7 @@ def web_users(t: Tables) -> DataFrame:
     return t.utentiweb.select("id", "username", "usertype", "idnucleo", "attivato", "ultimoaccesso")
 
 
-def type_variety(t: Tables, municipality: int, since="2017-01-01") -> DataFrame:
+def type_variety(t: Tables, municipality: int, since) -> DataFrame:
     """Per tag of the municipality, the number of distinct waste types
     used and of deposits (any municipality) after ``since``, with household."""
     dep = t.conferimenti.filter(F.col("dataora") > as_ts(since))
@@ -188,7 +187,7 @@ def type_variety(t: Tables, municipality: int, since="2017-01-01") -> DataFrame:
     # partitioning prunes); the deposit count per tag is a plain hash aggregate
     a = (dep.filter(F.col("idcomune") == municipality).groupBy("codicetag")
             .agg(F.count_distinct("tiporifiuto").alias("tipi")))
-    n = dep.groupBy("codicetag").agg(F.count(F.lit(1)).alias("num"))
+    n = dep.join(a.select("codicetag"), "codicetag", "left_semi").groupBy("codicetag").agg(F.count(F.lit(1)).alias("num"))
     b = t.associazionenuclei.select(F.col("codicetag").alias("__btag"), "codicenucleo")
     c = t.datinuclei.select(F.col("codicenucleo").alias("__cn"), "nome", "cognome", "indirizzo")
     j = a.join(b, a.codicetag == b.__btag).join(c, F.col("codicenucleo") == c.__cn).join(n, "codicetag")
@@ -199,13 +198,13 @@ def type_variety(t: Tables, municipality: int, since="2017-01-01") -> DataFrame:
 def bad_household_codes(t: Tables, municipality: int, pattern: str = HOUSEHOLD_CODE_PATTERN) -> DataFrame:
     """Households whose code does not match ``pattern`` (SIMILAR TO)."""
     d = t.datinuclei.filter(F.col("idcomune") == municipality)
-    return d.filter(~similar_to("codicenucleo", pattern))
+    return bad_format(d, "codicenucleo", pattern)
 
 
 def bad_tax_codes(t: Tables, municipality: int, pattern: str = TAX_CODE_PATTERN) -> DataFrame:
     """Households whose tax code does not match ``pattern``."""
     d = t.datinuclei.filter(F.col("idcomune") == municipality)
-    return d.filter(~similar_to("codicefiscale", pattern))
+    return bad_format(d, "codicefiscale", pattern)
 
 
 def households_on_street(t: Tables, word: str) -> DataFrame:
@@ -226,12 +225,10 @@ def annual_sheet_table(t: Tables, start, end, id_below: int | None = None) -> Da
     hh = (per_tag.join(a, "codicetag").join(d, "codicenucleo")
                  .groupBy("idcomune", "cognome", "nome", "indirizzo", "codicenucleo", "tiporifiuto")
                  .agg(F.sum("__kg").cast("decimal(12,3)").alias("somma")))
-    # household total as a window over its few per-type rows (one consumer of hh)
-    j = hh.withColumn("tot", F.sum("somma").over(Window.partitionBy("idcomune", "codicenucleo")).cast("decimal(12,3)"))
+    j = pct_of_total(hh, ["idcomune", "codicenucleo"], "somma", type_="decimal(12,3)")
     rif = t.inforifiuti.groupBy("codicerifiuto").agg(F.min("descrizione").alias("rifiuto"))
-    j = j.join(broadcast_if_small(rif), j.tiporifiuto == rif.codicerifiuto, "left").drop("codicerifiuto")
-    pct = F.when(F.col("tot") != 0, F.col("somma") / F.col("tot") * 100).cast("decimal(9,4)")
-    return j.withColumn("percent", pct)
+    j = j.join(rif, j.tiporifiuto == rif.codicerifiuto, "left").drop("codicerifiuto")
+    return j.withColumn("percent", F.col("percent").cast("decimal(9,4)"))
 
 
 def annual_sheet_allowlist(t: Tables, municipality: int, allow: DataFrame, table: DataFrame | None = None) -> DataFrame:
@@ -270,7 +267,7 @@ def annual_sheet(t: Tables, municipality: int, start, end, id_below: int | None
     c = t.inforifiuti.groupBy("codicerifiuto").agg(F.min("descrizione").alias("rifiuto"))
     d = t.associazionenuclei.select(F.col("codicetag").alias("__dtag"), "codicenucleo")
     e = t.datinuclei.select(F.col("codicenucleo").alias("__en"), "nome", "cognome", "indirizzo")
-    j = (a.join(broadcast_if_small(c), a.tiporifiuto == c.codicerifiuto)
+    j = (a.join(c, a.tiporifiuto == c.codicerifiuto)
           .join(d, a.codicetag == d.__dtag).join(e, F.col("codicenucleo") == e.__en))
     rd = (j.groupBy("idcomune", "nome", "cognome", "indirizzo", "codicenucleo", "tiporifiuto", "rifiuto")
            .agg(F.sum("somma").alias("somma"), F.sum("tot").alias("tot"))
@@ -298,94 +295,76 @@ def _household_tags(t: Tables, municipality: int) -> DataFrame:
         blank_sentinel("mail", MAIL_BLANK).alias("mail"))
 
 
-HH_KEYS = ["tiponucleo", "codicenucleo", "componenti", "tag", "nominativo", "indirizzoutenza", "codicefiscale",
-           "telefono", "cellulare", "mail"]
-NUMERIC = ["numero_conferimenti", *SHEET_COLUMNS.values(), "totale"]
-
-
-def _sheet_halves(t: Tables, municipality: int, start, end, inactive_having: bool) -> DataFrame:
+def _sheet_halves(t: Tables, municipality: int, start, end, always_idle: bool) -> DataFrame:
     """Rows per (household, tag): the active half (deposits in [start, end+1
-    day]) UNION the inactive half (zeros; with ``inactive_having`` only tags
-    whose last deposit ever is before ``start`` or that have none)."""
-    dep = t.conferimenti
-    win = F.col("dataora").between(as_ts(start), next_day_start(end))
-    # the period's measures from the period's rows only (a date-partitioned
-    # table prunes this scan), the last deposit ever from a light max
-    per_tag = dep.filter(win).groupBy(F.col("codicetag").alias("tag")).agg(
-        F.count(F.lit(1)).alias("__n_win"),
-        F.max("dataora").alias("ultimo"),
-        F.count("peso").alias("numero_conferimenti"),
-        *[F.sum(F.when(F.col("tiporifiuto") == code, F.col("peso")).otherwise(F.lit(0.0))).alias(name)
-          for code, name in SHEET_COLUMNS.items()],
-        F.sum("peso").alias("totale"),
-        _sorted_agg("codicestazione", "|").alias("stazioni"))
-    last_ever = dep.groupBy(F.col("codicetag").alias("tag")).agg(F.max("dataora").alias("__last_ever"))
-    hh = _household_tags(t, municipality)
-    j = hh.join(per_tag, "tag", "left").join(last_ever, "tag", "left")
-    # both halves from the one joined row: an active row when the tag has
-    # deposits in the period, an inactive (zero) row when its last deposit
-    # ever is before the period or it has none (or always, without the HAVING)
-    measures = ["ultimo", *NUMERIC, "stazioni"]
-    act = F.struct(*[F.col(m).alias(m) for m in measures])
-    zeros = F.struct(F.col("__last_ever").alias("ultimo"), F.lit(0).cast("long").alias("numero_conferimenti"),
-                     *[F.lit(0.0).alias(n) for n in [*SHEET_COLUMNS.values(), "totale"]],
-                     F.lit("0").alias("stazioni"))
-    idle = (F.col("__last_ever") < as_ts(start)) | F.col("__last_ever").isNull() if inactive_having else F.lit(True)
-    halves = F.filter(F.array(F.when(F.coalesce(F.col("__n_win"), F.lit(0)) > 0, act), F.when(idle, zeros)),
-                      lambda x: x.isNotNull())
-    rows = j.select(*HH_KEYS, F.explode(halves).alias("__h")).select(*HH_KEYS, "__h.*")
-    return rows.distinct()
-
-
-def _sheet_output(x: DataFrame, ultimo_col: Column) -> DataFrame:
+    day]) UNION the inactive half (zeros), see ``active_inactive``."""
+    dep = t.conferimenti.withColumnRenamed("codicetag", "tag")
+    kg = {name: F.sum(F.when(F.col("tiporifiuto") == code, F.col("peso")).otherwise(F.lit(0.0)))
+          for code, name in SHEET_COLUMNS.items()}
+    measures = {"numero_conferimenti": F.count("peso"), **kg, "totale": F.sum("peso"),
+                "stazioni": _sorted_agg("codicestazione", "|")}
+    zero = {"numero_conferimenti": F.lit(0).cast("long"), **{n: F.lit(0.0) for n in [*kg, "totale"]}, "stazioni": F.lit("0")}
+    rows = active_inactive(_household_tags(t, municipality), dep, "tag", "dataora", start, end, measures, zero, always_idle)
+    return rows.withColumnRenamed("last_ts", "ultimo")
+
+
+def _sheet_output(x: DataFrame, ultimo_col: Column, keep_order: bool) -> DataFrame:
     keys = ["tiponucleo", "codicenucleo", "tag", "nominativo", "indirizzoutenza", "codicefiscale", "telefono",
             "cellulare", "mail", "componenti", "totale", *SHEET_COLUMNS.values()]
     g = x.groupBy(*keys).agg(F.max(ultimo_col).alias("ultimoconferimento"), F.max("stazioni").alias("stazioni"))
     kg = [pg_concat(num_text(n), F.lit(" kg")).alias(n) for n in SHEET_COLUMNS.values()]
-    share = pg_concat(sorted_share("totale", "indifferenziato").cast("string"), F.lit(" %"))
+    g = g.withColumn("__share", sorted_share("totale", "indifferenziato"))
+    share = F.when(F.col("__share") == 0, F.lit("0")).otherwise(F.col("__share").cast("string"))
+    order = [F.col("totale").alias("__order_totale")] if keep_order else []
     return g.select("tiponucleo", F.col("codicenucleo").cast("string").alias("codicenucleo"), "tag", "componenti",
                     "ultimoconferimento", "nominativo", "indirizzoutenza", "codicefiscale",
                     F.col("telefono").cast("string").alias("telefono"), "cellulare", "mail", *kg,
                     pg_concat(num_text("totale"), F.lit(" kg")).alias("totalerifiuti"),
-                    share.alias("percentualedifferenziata"), "stazioni")
+                    pg_concat(share, F.lit(" %")).alias("percentualedifferenziata"), "stazioni", *order)
 
 
-def household_sheet(t: Tables, municipality: int, start, end) -> DataFrame:
+def household_sheet(t: Tables, municipality: int, start, end, keep_order: bool = False) -> DataFrame:
     """Full sheet per household and tag -- kg per type, total, sorted
     share (truncated %), stations; tags idle since before ``start`` appear
-    with zeros."""
-    x = _sheet_halves(t, municipality, start, end, inactive_having=True)
-    return _sheet_output(x, F.col("ultimo"))
+    with zeros.  ``keep_order`` carries the total for the display order."""
+    return _sheet_output(_sheet_halves(t, municipality, start, end, always_idle=False), F.col("ultimo"), keep_order)
 
 
-def household_sheet_rollup(t: Tables, municipality: int, start, end) -> DataFrame:
+def household_sheet_rollup(t: Tables, municipality: int, start, end, keep_order: bool = False) -> DataFrame:
     """R49 rolled up per household: tags, last-deposit times and station
     lists concatenated (sorted, distinct); every tag also contributes a zero
     row, as in the original."""
-    x = _sheet_halves(t, municipality, start, end, inactive_having=False)
+    x = _sheet_halves(t, municipality, start, end, always_idle=True)
     hkeys = ["tiponucleo", "codicenucleo", "componenti", "nominativo", "indirizzoutenza", "codicefiscale",
              "telefono", "cellulare", "mail"]
+    numeric = ["numero_conferimenti", *SHEET_COLUMNS.values(), "totale"]
     r = x.groupBy(*hkeys).agg(
         _sorted_agg("tag", " | ").alias("tag"),
         _sorted_agg(F.col("ultimo").cast("string"), " | ").alias("ultimo"),
         _sorted_agg("stazioni", " - ").alias("stazioni"),
-        *[F.sum(n).alias(n) for n in NUMERIC])
-    return _sheet_output(r, F.col("ultimo"))
+        *[F.sum(n).alias(n) for n in numeric])
+    return _sheet_output(r, F.col("ultimo"), keep_order)
+
+
+def _per_household(t: Tables, dep: DataFrame, tags: DataFrame, by: list[str]) -> DataFrame:
+    """Last time, deposits and kg per household (and ``by``): deposits of the
+    wanted tags are summed per tag first, then over a household's tags."""
+    wanted = tags.select("codicetag").distinct()
+    return per_group_population(
+        dep.join(wanted, "codicetag", "left_semi"), tags.select("codicetag", F.col("codicenucleo").alias("__cn")), ["codicetag", *by], ["__cn", *by],
+        {"__l": F.max("dataora"), "__c": F.count("id"), "__w": F.sum("peso")},
+        {"__last": F.max("__l"), "__conf": F.sum("__c"), "__kg": F.sum("__w")})
 
 
 def per_capita_by_type(t: Tables, municipality: int, start, end) -> DataFrame:
     """Per waste type: households, members, deposits, kg and last time,
     over households (via tag associations) with deposits in [start, end]."""
     a = t.associazionenuclei.filter(F.col("idcomune") == municipality)
-    dep = t.conferimenti.filter(in_instants_expr("dataora", start, end))
-    tags = a.select(F.col("codicetag").alias("__t"), F.col("codicenucleo").alias("__n"))
-    c = (dep.join(tags, dep.codicetag == tags.__t)
-            .groupBy(F.col("__n").alias("__cn"), "tiporifiuto")
-            .agg(F.max("dataora").alias("__last"), F.count("id").alias("__conf"), F.sum("peso").alias("__kg")))
+    c = _per_household(t, t.conferimenti.filter(in_instants_expr("dataora", start, end)), a, ["tiporifiuto"])
     d = t.datinuclei.select(F.col("codicenucleo").alias("__dn"), "ncomponenti")
     rif = t.inforifiuti.select(F.col("idcomune").alias("__rc"), F.col("codicerifiuto").alias("__code"), "descrizione")
     j = (a.join(d, a.codicenucleo == d.__dn).join(c, a.codicenucleo == c.__cn)
-          .join(broadcast_if_small(rif), (a.idcomune == rif.__rc) & (c.tiporifiuto == rif.__code)))
+          .join(rif, (a.idcomune == rif.__rc) & (c.tiporifiuto == rif.__code)))
     return j.groupBy("idcomune", "tiporifiuto", "descrizione").agg(
         F.count("codicenucleo").alias("nuclei"), F.sum("ncomponenti").alias("componenti"),
         F.sum("__conf").alias("conferimenti"), F.sum("__kg").alias("chili"), F.max("__last").alias("max"))
@@ -393,14 +372,11 @@ def per_capita_by_type(t: Tables, municipality: int, start, end) -> DataFrame:
 
 def per_capita_totals(t: Tables, municipality: int, start, end) -> DataFrame:
     """Households whose last deposit ever is in [start, end]: count,
-    members, deposits and last time, per municipality."""
-    a = t.associazionenuclei
-    tags = a.select(F.col("codicetag").alias("__t"), F.col("codicenucleo").alias("__n"))
-    dep = t.conferimenti
-    c = (dep.join(tags, dep.codicetag == tags.__t).groupBy(F.col("__n").alias("__cn"))
-            .agg(F.max("dataora").alias("__last"), F.count("id").alias("__conf")))
-    c = c.filter(in_instants_expr("__last", start, end))
-    a = a.filter(F.col("idcomune") == municipality)
+    members, deposits and last time, per municipality.  A household's tags of
+    any municipality count, so those of its listed associations are taken."""
+    a = t.associazionenuclei.filter(F.col("idcomune") == municipality)
+    tags = t.associazionenuclei.join(a.select("codicenucleo").distinct(), "codicenucleo", "left_semi")
+    c = _per_household(t, t.conferimenti, tags, []).filter(in_instants_expr("__last", start, end))
     d = t.datinuclei.select(F.col("codicenucleo").alias("__dn"), "ncomponenti")
     j = a.join(d, a.codicenucleo == d.__dn).join(c, a.codicenucleo == c.__cn)
     return j.groupBy("idcomune").agg(F.count("codicenucleo").alias("nuclei"), F.sum("ncomponenti").alias("componenti"),

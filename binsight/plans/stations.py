@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binsight.functions.pg import decode_flag, pg_concat
-from binsight.operators.joins import broadcast_if_small
 from binsight.sources.bindings import Tables
 
 CLOSED_PATTERN = "%chiuso%"  # fixed value: status text of a closed ticket
@@ -19,9 +18,9 @@ def station_sheet(t: Tables) -> DataFrame:
     i = t.infostazioni.select(F.col("idcomune").alias("__ic"), F.col("codicestazione").alias("__is"), "nome",
                               F.col("alimentazione").alias("__al"))
     a = t.alimentazione.select(F.col("id").alias("__aid"), "tipo")
-    j = (s.join(broadcast_if_small(c), s.idcomune == c.__cid)
+    j = (s.join(c, s.idcomune == c.__cid)
           .join(i, (i.__ic == s.idcomune) & (i.__is == s.idstazione))
-          .join(broadcast_if_small(a), F.col("__al") == a.__aid))
+          .join(a, F.col("__al") == a.__aid))
     return j.select("comune", F.col("idstazione").alias("numerostazione"),
                     decode_flag("secondari").alias("rifiutisecondari"), "versione",
                     F.col("ipvpn").alias("indirizzovpn"), "nome", F.col("tipo").alias("alimentazione"),
@@ -35,7 +34,7 @@ def station_list(t: Tables) -> DataFrame:
     """Stations with their power supply type (ids > 0)."""
     s = t.infostazioni.filter((F.col("idcomune") > 0) & (F.col("codicestazione") > 0))
     a = t.alimentazione.select(F.col("id").alias("__aid"), "tipo")
-    j = s.join(broadcast_if_small(a), s.alimentazione == a.__aid)
+    j = s.join(a, s.alimentazione == a.__aid)
     return j.select("idcomune", F.col("codicestazione").alias("stazione"), "nome", F.col("tipo").alias("alimentazione"))
 
 
@@ -50,9 +49,9 @@ def maintenance_tickets(t: Tables, municipality: int, hide_closed: bool = False)
     ii = t.infointerventi.select(F.col("id").alias("__iid"), "sigla", F.col("descrizione").alias("__idesc"))
     st = t.stato.select(F.col("id").alias("__stid"), F.col("stato").alias("__stato"))
     j = (em.join(s, (em.idcomune == s.__sc) & (em.codicestazione == s.stazione))
-           .join(broadcast_if_small(c), em.idcomune == c.__cid)
-           .join(broadcast_if_small(ii), em.codiceproblema == ii.__iid, "left")
-           .join(broadcast_if_small(st), em.stato == st.__stid, "left"))
+           .join(c, em.idcomune == c.__cid)
+           .join(ii, em.codiceproblema == ii.__iid, "left")
+           .join(st, em.stato == st.__stid, "left"))
     if hide_closed:
         j = j.filter(~F.col("__stato").like(CLOSED_PATTERN))
     return j.select(F.col("id").alias("codice"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -17,7 +16,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
-    # checkpoint files of finished queries are removed once unreferenced
+    # checkpoint files are removed once unreferenced
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
@@ -39,29 +38,4 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = builder.config("spark.driver.memory", os.environ.get("BINSIGHT_DRIVER_MEM", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder used to cut lineage (``DataFrame.checkpoint``).
-
-    The cluster names it in ``spark.checkpoint.dir`` (Spark then sets it on
-    the context at start-up).  The context's folder is reused once set --
-    every ``setCheckpointDir`` call would open a new sub-folder.  Our own
-    folder is picked only for a local session where nothing is configured.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    local = tempfile.mkdtemp(prefix="binsight-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir()

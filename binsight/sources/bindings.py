@@ -26,12 +26,15 @@ Domain model (column names as used by the reports):
   inforifiuti, infocassonetti                 waste types, bins
   datinuclei, associazionenuclei, infonuclei, utentiweb, datiform  households, tags
   logoperatore, infooperatori, logfalliti, logadmintesters,
+  eventi_dense, conferimenti_dense, infocassonetti_dense
+                     events, deposits and bins within a few hours (R19)
   infotesters, infoamministratori, cumulopesi, eventimanutenzione,
   infointerventi, stato, cal_svuotamenti, cal_logoperatore
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +43,19 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events")
 
 # Waste type codes used by the deposit bindings and the waste-type dimension.
-WASTE_CODES = (0, 1, 2, 3, 4, 5, 6, 15, 16, 17)
+WASTE_CODES = (0, 1, 2, 3, 4, 5, 6, 7, 9, 15, 16, 17)
+
+
+def _waste_code(row: str) -> str:
+    """A waste code for a whole-number expression: all of them occur."""
+    at = f"({row}) % {len(WASTE_CODES)}"
+    return "CAST(CASE " + " ".join(f"WHEN {at} = {i} THEN {c}" for i, c in enumerate(WASTE_CODES)) + " END AS INT)"
+
+
+def _household_code(key: str) -> str:
+    """Every third household has a well-formed code."""
+    return (f"CASE WHEN {key} % 3 = 0 THEN 'AB.' || lpad(CAST({key} % 10000 AS STRING), 4, '0') || '.' "
+            f"|| lpad(CAST(CAST(floor({key} / 10000) AS BIGINT) AS STRING), 4, '0') ELSE 'N' || CAST({key} AS STRING) END")
 
 
 def _tag_code(col: str) -> str:
@@ -72,20 +87,22 @@ def binding_sql(dialect: str = "spark") -> dict[str, str]:
     k = _props_k(dialect)
     return {
         "infocomune": "SELECT n_nationkey AS id, n_name AS nome FROM nation",
+        # every 40th order's deposits were sent twice, under a second id
         "conferimenti": f"""
-            SELECT l_orderkey * 8 + l_linenumber AS id,
+            SELECT l_orderkey * 16 + l_linenumber * 2 + again AS id,
                    CAST(l_suppkey % 5 + 1 AS INT) AS idcomune,
                    CAST(l_suppkey AS INT) AS codicestazione,
                    {_tag_code('l_partkey')} AS codicetag,
                    l_shipdate + INTERVAL 1 SECOND * ((l_orderkey * 7919 + l_linenumber * 3607) % 86400) AS dataora,
                    l_quantity - 1.0 AS peso,
-                   CAST(l_linenumber - 1 AS INT) AS tiporifiuto,
+                   {_waste_code('l_orderkey + l_linenumber')} AS tiporifiuto,
                    CAST(l_linenumber % 3 AS INT) AS codiceanomalia,
                    CAST(l_shipdate AS DATE) AS data,
                    CAST(l_linenumber AS INT) AS componenti
-            FROM lineitem""",
-        "conferimenti_seq": """
-            SELECT o_orderkey AS id,
+            FROM (SELECT *, {_explode((0, 1), dialect)} AS again FROM lineitem) l WHERE again = 0 OR l_orderkey % 40 = 0""",
+        # every 25th deposit is repeated at once
+        "conferimenti_seq": f"""
+            SELECT o_orderkey * 2 + again AS id,
                    CAST(c_nationkey % 5 + 1 AS INT) AS idcomune,
                    CAST(o_orderkey % 4 AS INT) AS codicestazione,
                    CAST(o_custkey AS STRING) AS codicetag,
@@ -95,7 +112,8 @@ def binding_sql(dialect: str = "spark") -> dict[str, str]:
                    CAST(o_orderkey % 2 AS INT) AS codiceanomalia,
                    CAST(o_orderdate AS DATE) AS data,
                    CAST(1 AS INT) AS componenti
-            FROM orders JOIN customer ON o_custkey = c_custkey""",
+            FROM (SELECT *, {_explode((0, 1), dialect)} AS again FROM orders) o JOIN customer ON o_custkey = c_custkey
+            WHERE again = 0 OR o_orderkey % 25 = 0""",
         # Coarse variants: few tags, whole days and rounded weights, so exact
         # duplicates and back-to-back repeats occur in the test data.
         "conferimenti_coarse": f"""
@@ -148,6 +166,33 @@ def binding_sql(dialect: str = "spark") -> dict[str, str]:
                    CASE WHEN event_type IN ('click', 'view') THEN CAST({k} % 4 AS STRING)
                         WHEN value >= 50 THEN 'ON' ELSE 'OFF' END AS note
             FROM events""",
+        # the same events and deposits packed into a few hours and few stations, so
+        # lid cycles fall within seconds (R19 with its own tolerances)
+        "eventi_dense": f"""
+            SELECT event_id AS id,
+                   CAST(user_id % 2 + 1 AS INT) AS idcomune,
+                   CAST(user_id % 6 AS INT) AS idstazione,
+                   CASE WHEN event_type IN ('click', 'signup') THEN 'APERTURA' ELSE 'CHIUSURA' END AS idevento,
+                   TIMESTAMP '2024-01-05 00:00:00' + INTERVAL 1 SECOND * (event_id * 37 % 80000) AS dataora,
+                   CAST({k} % 4 AS STRING) AS note
+            FROM events""",
+        "conferimenti_dense": f"""
+            SELECT event_id AS id,
+                   CAST(user_id % 2 + 1 AS INT) AS idcomune,
+                   CAST(user_id % 6 AS INT) AS codicestazione,
+                   CAST(user_id AS STRING) AS codicetag,
+                   TIMESTAMP '2024-01-05 00:00:00' + INTERVAL 1 SECOND * (event_id * 41 % 80000) AS dataora,
+                   value AS peso,
+                   CAST({k} % 5 AS INT) AS tiporifiuto,
+                   CAST(0 AS INT) AS codiceanomalia,
+                   CAST(ts AS DATE) AS data,
+                   CAST(1 AS INT) AS componenti
+            FROM events WHERE event_type = 'purchase'""",
+        "infocassonetti_dense": f"""
+            SELECT idcomune, codicestazione, tiporifiuto, CAST((tiporifiuto + codicestazione) % 4 AS SMALLINT) AS inputplc1
+            FROM (SELECT CAST(s_suppkey % 2 + 1 AS INT) AS idcomune, CAST(s_suppkey % 6 AS INT) AS codicestazione,
+                         {_explode((0, 1, 2, 3, 4), dialect)} AS tiporifiuto
+                  FROM supplier WHERE s_suppkey <= 6) b""",
         "infostazioni": """
             SELECT CAST(s_suppkey % 5 + 1 AS INT) AS idcomune,
                    CAST(s_suppkey AS INT) AS codicestazione,
@@ -186,10 +231,10 @@ def binding_sql(dialect: str = "spark") -> dict[str, str]:
                          CAST(s_suppkey AS INT) AS codicestazione,
                          {_explode((0, 1, 2, 3, 4), dialect)} AS tiporifiuto
                   FROM supplier) b""",
-        "datinuclei": """
+        "datinuclei": f"""
             SELECT c_custkey AS id,
                    CAST(c_nationkey % 5 + 1 AS INT) AS idcomune,
-                   'N' || CAST(c_custkey AS STRING) AS codicenucleo,
+                   {_household_code('c_custkey')} AS codicenucleo,
                    c_name AS nome,
                    c_mktsegment AS cognome,
                    'VIA ' || c_mktsegment || ' ' || CAST(c_custkey % 97 AS STRING) AS indirizzo,
@@ -208,7 +253,7 @@ def binding_sql(dialect: str = "spark") -> dict[str, str]:
         "associazionenuclei": f"""
             SELECT p_partkey AS id,
                    CAST(c_nationkey % 5 + 1 AS INT) AS idcomune,
-                   'N' || CAST(c_custkey AS STRING) AS codicenucleo,
+                   {_household_code('c_custkey')} AS codicenucleo,
                    {_tag_code('p_partkey')} AS codicetag,
                    p_type AS info,
                    p_size AS progressivo
@@ -231,9 +276,9 @@ def binding_sql(dialect: str = "spark") -> dict[str, str]:
                    o.last_order AS ultimoaccesso
             FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_order
                                      FROM orders GROUP BY o_custkey) o ON o.o_custkey = c_custkey""",
-        "datiform": """
+        "datiform": f"""
             SELECT CAST(c_nationkey % 5 + 1 AS INT) AS idcomune,
-                   'N' || CAST(c_custkey AS STRING) AS codicenucleo,
+                   {_household_code('c_custkey')} AS codicenucleo,
                    c_mktsegment AS lotto
             FROM customer WHERE c_acctbal > 1000""",
         "logoperatore": """
@@ -314,18 +359,13 @@ class Tables(dict):
         return cls({n: spark.table(n) for n in names})
 
 
-_REGISTERED: dict[int, str] = {}
-
-
-def register_driver_tables(spark: SparkSession, sf_dir: str) -> None:
-    """Register the driver parquet files as temp views (once per session and
-    directory)."""
-    key = id(spark)
-    if _REGISTERED.get(key) == sf_dir and all(spark.catalog.tableExists(n) for n in ("lineitem", "events")):
-        return
-    for name in DRIVER_TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    _REGISTERED[key] = sf_dir
+def driver_sql(sf_dir: str, body: str) -> str:
+    """``body`` over the driver's files of one folder.  The files are named in the
+    text itself, so no view of the session can be mistaken for them."""
+    used = [n for n in DRIVER_TABLES if re.search(rf"\b{n}\b", body)]
+    if not used:
+        return body
+    return "WITH " + ",\n".join(f"{n} AS (SELECT * FROM parquet.`{sf_dir}/{n}.parquet`)" for n in used) + "\n" + body
 
 
 class _LazyTables(Tables):
@@ -358,8 +398,7 @@ class _LazyTables(Tables):
 def bind_driver_tables(spark: SparkSession, sf_dir: str,
                        names: Iterable[str] | None = None) -> Tables:
     """Domain tables over the driver parquet files (lazy; nothing is read)."""
-    register_driver_tables(spark, sf_dir)
-    sql = binding_sql("spark")
+    sql = {n: driver_sql(sf_dir, body) for n, body in binding_sql("spark").items()}
     if names is not None:
         sql = {n: sql[n] for n in names}
     return _LazyTables(spark, sql)

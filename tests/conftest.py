@@ -10,12 +10,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
 
-    from binsight.session import DEFAULT_CONF, checkpoint_dir
+    from binsight.session import DEFAULT_CONF
 
     b = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(s)
     yield s

@@ -54,9 +54,12 @@ def test_roll_counter_matches_div_case(spark):
 
 
 def test_sorted_share(spark):
-    df = spark.createDataFrame([(10.0, 3.0), (0.0, 0.0), (3.0, 1.0)], "tot double, ind double")
-    got = [str(r[0]) for r in df.select(sorted_share("tot", "ind")).collect()]
-    assert got == ["70.00", "0.00", "66.66"]
+    df = spark.createDataFrame([(10.0, 3.0), (0.0, 0.0), (3.0, 1.0), (10000.0, 9565.0), (None, 1.0)], "tot double, ind double")
+    got = [None if r[0] is None else str(r[0]) for r in df.select(sorted_share("tot", "ind")).collect()]
+    assert got == ["70.00", "0.00", "66.66", "4.35", None]
+    # every hundredth from 0.01 to 100.00 comes out as it went in
+    every = spark.range(1, 10001).selectExpr("10000.0D as tot", "cast(10000 - id as double) as ind", "id")
+    assert every.filter(sorted_share("tot", "ind") * 100 != F.col("id")).count() == 0
 
 
 def _deposits(spark, rows):
@@ -91,19 +94,15 @@ def test_clock_repair_jump_back(spark):
 
 
 def test_sinks_and_crosstab(spark, tmp_path):
-    import json
-
-    from binsight.operators.sink import crosstab, result_envelope, write_rows_json
-    df = spark.createDataFrame([(9, "42.9 , 13.5", None), (3, "x", "y")], "codice int, coordinate string, note string")
-    env = json.loads(result_envelope(df.orderBy("codice"), limit=10).first().json)
-    assert env == {"risultati": [["3", "x", "y"], ["9", "42.9 , 13.5", None]]}
+    from binsight.operators.sink import crosstab, write_rows_json
+    df = spark.createDataFrame([(7, "11.0 , 22.5", None), (3, "x", "y")], "codice int, coordinate string, note string")
     path = str(tmp_path / "rows")
     write_rows_json(df, path)
     back = sorted(tuple(r.row) for r in spark.read.json(path).collect())
-    assert back == [("3", "x", "y"), ("9", "42.9 , 13.5", None)]
-    x = spark.createDataFrame([(1, 0, 2.0), (1, 1, 3.0), (2, 0, 1.0)], "st int, k int, v double")
-    got = {r.st: (r["0"], r["1"]) for r in crosstab(x, "st", "k", "v", values=[0, 1]).collect()}
-    assert got == {1: (2.0, 3.0), 2: (1.0, None)}
+    assert back == [("3", "x", "y"), ("7", "11.0 , 22.5", None)]
+    x = spark.createDataFrame([(1, 0, 2.0), (1, 1, 3.0), (2, 0, 1.0), (1, 15, 5.0), (1, None, 7.0)], "st int, k int, v double")
+    got = {r.st: (r["0"], r["1"], r["altri"]) for r in crosstab(x, "st", "k", "v", values=[0, 1], other="altri").collect()}
+    assert got == {1: (2.0, 3.0, 12.0), 2: (1.0, None, None)}
 
 
 def _sql_not_in(left_row, other_rows):
@@ -139,6 +138,94 @@ def test_absent_matches_three_valued_not_in(spark):
             assert got == exp, (k, left, other)
 
 
+def test_absent_runs_no_job_while_built(spark):
+    sc, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    left, other = spark.range(5).selectExpr("id a", "id b"), spark.range(3).selectExpr("id a", "id b")
+    sc.setJobGroup("absent-build", "")
+    try:
+        out = absent(left, other, ["a", "b"])
+        assert list(tracker.getJobIdsForGroup("absent-build")) == []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert out.count() == 2
+
+
+def test_absent_with_known_columns(spark):
+    left = spark.createDataFrame([(1, 1), (1, None), (2, 5)], "a int, b int")
+    other = spark.createDataFrame([(1, 1), (2, None)], "a int, b int")
+    assert [tuple(r) for r in absent(left, other, ["a", "b"], not_null=["a"]).collect()] == []
+    other = spark.createDataFrame([(1, 1)], "a int, b int")
+    assert [tuple(r) for r in absent(left, other, ["a", "b"], not_null=["a"], other_not_null=["a", "b"]).collect()] == [(2, 5)]
+
+
+def test_a_null_group_with_facts_is_not_absent(spark):
+    from binsight.operators.presence import absent_in_period
+    dim = spark.createDataFrame([("t1", 1, None), ("t2", 1, "h"), ("t3", 1, "g")], "tag string, c int, h string")
+    fact = spark.createDataFrame([("t1", dt.datetime(2024, 1, 2)), ("t3", dt.datetime(2023, 1, 2))], "tag string, ts timestamp_ntz")
+    assert sorted(r.tag for r in absent_in_period(dim, fact, "tag", "ts", "2024-01-01", "2024-01-31", ["c", "h"]).collect()) == ["t2", "t3"]
+
+
+def test_clock_repair_sums_whole_microseconds(spark):
+    """Ten steps of 0.1 s after a jump: doubles would miss the sum."""
+    d, t0 = dt.date(2017, 1, 1), dt.datetime(2016, 1, 1)
+    ts = [dt.datetime(2017, 3, 1)] + [t0 + dt.timedelta(microseconds=100_000 * i) for i in range(12)]
+    out = {r.idn: r for r in clock_repair(_deposits(spark, [(i + 1, 2, 1, t, d) for i, t in enumerate(ts)]), cutoff="2016-12-31",
+                                          only={"idcomune": 2, "codicestazione": 1}).collect()}
+    base = out[3].nuovadataora
+    assert out[13].nuovadataora2 == base + dt.timedelta(microseconds=100_000 * 11)
+    assert clock_repair(_deposits(spark, [(1, 2, 1, t0, d)]), cutoff="2016-12-31", only={"idcomune": 3}).count() == 0
+
+
+def test_active_inactive(spark):
+    from binsight.operators.totals import active_inactive
+    dim = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "id int, tag string")
+    fact = spark.createDataFrame([("a", dt.datetime(2024, 1, 5), 2.0), ("a", dt.datetime(2023, 1, 5), 9.0), ("b", dt.datetime(2023, 6, 1), 1.0),
+                                  ("d", dt.datetime(2025, 1, 1), 4.0)], "tag string, ts timestamp_ntz, kg double")
+    run = lambda **k: sorted((r.tag, r.n, r.last_ts and r.last_ts.year) for r in active_inactive(
+        dim, fact, "tag", "ts", "2024-01-01", "2024-12-30", {"n": F.count("kg")}, **k).collect())
+    assert run() == [("a", 1, 2024), ("b", 0, 2023), ("c", 0, None)]              # d: only later facts, in neither half
+    assert run(always_idle=True) == [("a", 0, 2024), ("a", 1, 2024), ("b", 0, 2023), ("c", 0, None), ("d", 0, 2025)]
+
+
+def test_small_totals(spark):
+    from binsight.operators.filters import bad_format, bad_length
+    from binsight.operators.quality import duplicate_summary
+    from binsight.operators.totals import dominant_signal, pct_of_total, per_group_population, period_counts
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 2.0)], "k string, v double")
+    assert sorted(((r.k, r.v, r.tot, r.percent) for r in pct_of_total(df, ["k"], "v").collect()), key=repr) == [
+        ("a", 1.0, 4.0, 25.0), ("a", 3.0, 4.0, 75.0), (None, 2.0, 2.0, 100.0)]
+    assert [(r.k, r.n, r.m) for r in duplicate_summary(df, "k", {"m": F.max("v")}, min_count=2).collect()] == [("a", 2, 3.0)]
+    s = spark.createDataFrame([("ab",), ("abc",), ("ABC\n",), ("ABC",), (None,)], "c string")
+    assert sorted(r.c for r in bad_format(s, "c", "[A-Z]{3}").collect()) == ["ABC\n", "ab", "abc"]
+    assert sorted(r.c for r in bad_length(s, "c", 3).collect()) == ["ABC\n", "ab"]
+    e = spark.createDataFrame([(1, "x", dt.datetime(2024, 1, 1)), (1, "y", dt.datetime(2024, 1, 2)), (1, "y", dt.datetime(2024, 1, 3)), (2, "x", dt.datetime(2024, 1, 9)),
+                               (2, None, dt.datetime(2024, 1, 9))], "st int, ev string, ts timestamp_ntz")
+    assert sorted((r.st, r.avviso, r.segnalazioni) for r in dominant_signal(e, ["st"], "ev", ["x", "y"]).collect()) == [(1, "y", 2), (2, "x", 1)]
+    got = period_counts(e, ["st"], "ts", {"p": ("2024-01-01", "2024-01-02"), "q": ("2024-01-02", "2024-01-09")}, "ev", rows={"r": ("2024-01-09", "2024-01-09")})
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2, 2, 0), (2, 0, 1, 2)]
+    bridge = spark.createDataFrame([("a", "g"), ("b", "g"), ("z", "g")], "k string, grp string")
+    fact = spark.createDataFrame([("a", 1), ("a", 2), ("b", 5)], "k string, v int")
+    assert [tuple(r) for r in per_group_population(fact, bridge, "k", ["grp"], {"n": F.count("v"), "s": F.sum("v")}, {"tags": F.count("k"), "s": F.sum("s")}).collect()] == [("g", 2, 8)]
+
+
+def test_bindings_of_two_folders_do_not_mix(spark):
+    import os
+
+    import pytest
+
+    from binsight.sources.bindings import bind_driver_tables
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("driver test data not present")
+    small = bind_driver_tables(spark, "/root/testdata/sf0.001")
+    large = bind_driver_tables(spark, "/root/testdata/sf0.01")
+    spark.range(3).createOrReplaceTempView("events")
+    try:
+        n = large.eventi.count()
+        assert small.eventi.count() < n and small.eventi.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    finally:
+        spark.catalog.dropTempView("events")
+
+
 def test_title_columns(spark):
     from binsight.operators.sink import title_columns
     assert title_columns(spark.createDataFrame([(1, 2)], "nomestazione int, riavvii int")).columns == \
@@ -150,8 +237,15 @@ def test_sort_like_original_pg_null_order(spark):
     df = spark.createDataFrame([(1, None), (2, 5), (None, 3)], "stazione int, orario int")
     got = [tuple(r) for r in display.sort_like_original(df, "power_changes").collect()]
     assert got == [(1, None), (2, 5), (None, 3)]          # ASC: NULLs last; DESC: NULLs first
-    got = [tuple(r) for r in display.sort_like_original(df, "power_changes", limit=1).collect()]
-    assert got == [(1, None)]
+    # part of a text, carried columns, a report with two orders
+    df = spark.createDataFrame([("Dom  2024-01-07 10:00:00",), ("Lun  2024-01-08 09:00:00",), ("Ven  2024-01-05 11:00:00",)], "data string")
+    assert [r.data[:3] for r in display.sort_like_original(df, "deposit_listing").collect()] == ["Lun", "Dom", "Ven"]
+    df = spark.createDataFrame([("a", 1.0, "5.00 %"), ("b", 9.0, "4.35 %"), ("c", 9.0, "10.00 %")], "tag string, __order_totale double, percentualedifferenziata string")
+    out = display.sort_like_original(df, "household_sheet")
+    assert out.columns == ["tag", "percentualedifferenziata"] and [r.tag for r in out.collect()] == ["c", "b", "a"]      # the share sorts as text
+    df = spark.createDataFrame([("2024-01-02", "1"), ("2024-01-01", "2")], "data string, ora string")
+    assert [r.ora for r in display.sort_like_original(df, "deposits_with_household").collect()] == ["2", "1"]
+    assert [r.ora for r in display.sort_like_original(df.selectExpr("*", "1 as stazione"), "deposits_with_household").collect()] == ["1", "2"]
     # every ordered report exists
     from binsight.operators import repair
     from binsight.plans import deposits, households, stations

@@ -15,7 +15,7 @@ def test_similar_to_dot_is_literal(spark):
 
 
 def test_similar_to_wildcards():
-    assert pg.similar_to_regex("a%b_") == "^(?:a.*b.)$"
+    assert pg.similar_to_regex("a%b_") == r"\A(?s:a.*b.)\z"
 
 
 def test_concat_skips_null_but_pipe_propagates(spark):
@@ -32,10 +32,23 @@ def test_weekday_labels(spark):
     assert got == [("Domenica", "Domenica", "Dom"), ("Marterdì", "Marterdi", "Mar")]
 
 
-def test_trunc_toward_zero(spark):
-    r = spark.range(1).select(pg.trunc_toward_zero(F.lit(45.678)).alias("a"),
-                              pg.trunc_toward_zero(F.lit(-45.678)).alias("b")).first()
-    assert abs(r.a - 45.67) < 1e-9 and abs(r.b + 45.67) < 1e-9
+def test_truncated_ratio(spark):
+    df = spark.createDataFrame([(45.678, 1.0), (-45.678, 1.0), (1.0, 3.0), (0.29, 1.0), (1.0, 0.0)], "x double, y double")
+    got = [None if r[0] is None else str(r[0]) for r in df.select(pg.truncated_ratio("x", "y")).collect()]
+    assert got == ["45.67", "-45.67", "0.33", "0.29", None]
+
+
+def test_number_and_time_texts(spark):
+    df = spark.createDataFrame([(0.0, dt.datetime(2024, 1, 5, 8)), (1.5, dt.datetime(2024, 1, 5, 8, 0, 0, 250000))], "x double, t timestamp_ntz")
+    assert [tuple(r) for r in df.select(pg.num_text("x"), pg.time_text("t")).collect()] == [("0", "08:00:00"), ("1.500", "08:00:00.25")]
+
+
+def test_similar_to_is_whole_string(spark):
+    df = spark.createDataFrame([("AB\n",), ("AB",), ("A\nB",), ("50%",), ("50x",)], "c string")
+    match = lambda p: [r[0] for r in df.select(pg.similar_to("c", p)).collect()]
+    assert match("[A-Z]{2}") == [False, True, False, False, False]
+    assert match("A%B") == [False, True, True, False, False]
+    assert match("50\\%") == [False, False, False, True, False]
 
 
 def test_decode_flag(spark):

@@ -1,6 +1,7 @@
 """The range-partitioned sequence engine must equal a plain (single
 partition per group) window on any data, bucket count and skew."""
 
+import datetime as dt
 import random
 
 import pandas as pd
@@ -71,15 +72,15 @@ def test_no_single_partition_exchange_over_rows(spark):
     df = _data(spark)
     plan = ordered_lag(df, {"pid": "id"}, order=["t", "id"], partitions=4)._jdf.queryExecution() \
         .executedPlan().toString()
-    # rows come from the pinned (checkpointed) range partitioning; the only
+    # rows come from one shuffle to their ranges; the only
     # single-partition window runs over the per-range summary (one row per range)
-    assert "ExistingRDD" in plan
+    assert "REPARTITION_BY_NUM" in plan
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert "BroadcastHashJoin" in plan
 
 
 def test_generic_sequence_operators(spark):
-    from binsight.operators.sequence import debounce, first_per_key, repeat_records, state_changes, stuck_values
+    from binsight.operators.sequence import first_per_key, repeat_records, state_changes, stuck_values
     df = _data(spark, n=300)
     p = df.toPandas().sort_values(["st", "t", "id"])
     # state changes == comparison with the previous row of the same station
@@ -101,8 +102,64 @@ def test_generic_sequence_operators(spark):
     # first per key = min by (t, id)
     got = {r.st: r.id for r in first_per_key(df, ["st"], ["t", "id"]).collect()}
     assert got == {st: g.iloc[0].id for st, g in p.groupby("st")}
-    assert stuck_values(df, ["st"], "t", "k", min_repeats=0, partitions=3).count() > 0
-    assert debounce is not None
+    # stuck values: rows equal to the previous row's value, per value
+    got = {(r.st, r.k): (r.repeats, r.last_ts)
+           for r in stuck_values(df, ["st"], "t", "k", min_repeats=2, partitions=3).collect()}
+    full = {}
+    for st, g in p.groupby("st"):
+        rows = list(g.itertuples())
+        for a, b in zip(rows, rows[1:]):
+            if a.k == b.k:
+                n, last = full.get((st, b.k), (0, 0))
+                full[st, b.k] = (n + 1, max(last, b.t))
+    assert got == {k: v for k, v in full.items() if v[0] > 2}
+
+
+def test_debounce_keeps_rows_after_a_gap(spark):
+    from binsight.operators.sequence import debounce
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, "a", 0), (2, "a", 10), (3, "a", 41), (4, "a", 71), (5, "b", 5), (6, "b", 36)]
+    df = spark.createDataFrame([(i, k, t0 + dt.timedelta(seconds=s)) for i, k, s in rows], "id long, k string, ts timestamp_ntz")
+    assert sorted(r.id for r in debounce(df, ["k"], "ts", 30).collect()) == [1, 3, 5, 6]
+    assert sorted(r.id for r in debounce(df, ["k"], "ts", 30, keep_first=False).collect()) == [3, 6]
+
+
+def test_state_changes_from_and_to_null(spark):
+    from binsight.operators.sequence import state_changes
+    rows = [(1, "a", 0, None), (2, "a", 1, None), (3, "a", 2, "ON"), (4, "a", 3, None), (5, "b", 0, "ON"), (6, "b", 1, "ON")]
+    df = spark.createDataFrame(rows, "id long, k string, ts int, s string")
+    assert sorted((r.id, r.prev_state) for r in state_changes(df, ["k"], "ts", "s").collect()) == [(1, None), (3, None), (4, "ON"), (5, None)]
+    assert sorted(r.id for r in state_changes(df, ["k"], "ts", "s", keep_first=False).collect()) == [3, 4]
+
+
+def test_phase_durations(spark):
+    from binsight.operators.sequence import phase_durations
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, 0, "x"), (2, 5, "x"), (3, 8, "y"), (4, 20, "x")]
+    df = spark.createDataFrame([(i, "k", t0 + dt.timedelta(seconds=s), v) for i, s, v in rows], "id long, k string, ts timestamp_ntz, s string")
+    got = sorted((r.id, r.phase, r.phase_seconds) for r in phase_durations(df, ["k"], "ts", "s").collect())
+    assert got == [(1, 1, None), (3, 2, 8.0), (4, 3, 12.0)]
+
+
+def test_building_a_sequence_runs_no_job(spark):
+    df = _data(spark)
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("build-only", "")
+    try:
+        seq = Sequence(df, order=["t", "id"], by=["st"], partitions=5).lag({"pv": "v"}).row_number("rn")
+        assert list(tracker.getJobIdsForGroup("build-only")) == []
+        assert seq.result().count() == df.count()
+        assert len(tracker.getJobIdsForGroup("build-only")) > 0
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_ranges_are_balanced_and_repeatable(spark):
+    df = spark.range(20_000).selectExpr("id", "cast(pmod(xxhash64(id), 7) as int) as st", "cast(id % 1000 as int) as t")
+    ranged = Sequence(df, order=["t", "id"], by=["st"], partitions=50)
+    count = lambda: sorted((r["__rp"], r["count"]) for r in ranged.df.groupBy("__rp").count().collect())
+    sizes = count()
+    assert sizes == count() and len(sizes) == 50 and max(n for _, n in sizes) < 3 * 400
 
 
 def test_chained_sequences_are_repeatable(spark):
