@@ -19,9 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: rows and bytes of a record batch for a Python worker, unless the session sets its own: a
+#: worker and the JVM beside it hold a batch as a whole, and texts may be long
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, "8m")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that their
-    Python workers import it whatever their working folder is."""
+    """Make the session ready for Python workers: bounded record batches, and
+    this package sent to the executors once per application, so that their
+    workers import it whatever their working folder is."""
+    for key, (default, ours) in BATCH.items():
+        if spark.conf.get(key, None) in (default, "9223372036854775807", "64MB", "268435456b"):
+            spark.conf.set(key, ours)
     sc = spark.sparkContext
     if getattr(sc, "_binsight_shipped", None):
         return
@@ -140,7 +149,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered up to a bound."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 150_000):
         super().__init__()
         import xxhash
         self._hash, self._bound = xxhash.xxh64_intdigest, bound
