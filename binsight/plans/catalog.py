@@ -599,13 +599,17 @@ SELECT codicetag, tipi, num, codicenucleo, rtrim(nome) AS nome, rtrim(cognome) A
 FROM datinuclei JOIN associazionenuclei USING (codicenucleo) JOIN uso USING (codicetag)"""))(
     lambda s, d: H.type_variety(_tables(s, d), C, since="1999-01-01"))
 
+def _regex(similar: str) -> str:
+    """The report's own pattern as a regular expression: only the dot needs an escape."""
+    return similar.replace(".", r"\.")
+
+
 register("r45_bad_household_codes", _sql(["datinuclei"], f"""
-SELECT * FROM datinuclei WHERE idcomune = {C} AND NOT regexp_full_match(codicenucleo, '[A-Z]{{2,3}}\\.[0-9]{{4}}\\.[0-9]{{4}}')"""))(
+SELECT * FROM datinuclei WHERE idcomune = {C} AND NOT regexp_full_match(codicenucleo, '{_regex(H.HOUSEHOLD_CODE_PATTERN)}')"""))(
     lambda s, d: H.bad_household_codes(_tables(s, d), C))
 
 register("r46_bad_tax_codes", _sql(["datinuclei"], f"""
-SELECT * FROM datinuclei WHERE idcomune = {C}
-  AND NOT regexp_full_match(codicefiscale, '[A-Z]{{6}}[0-9]{{2}}[A-Z][0-9]{{2}}[A-Z]{{3}}[A-Z]')"""))(
+SELECT * FROM datinuclei WHERE idcomune = {C} AND NOT regexp_full_match(codicefiscale, '{_regex(H.TAX_CODE_PATTERN)}')"""))(
     lambda s, d: H.bad_tax_codes(_tables(s, d), C))
 
 register("r47_households_on_street", _sql(["datinuclei"], "SELECT * FROM datinuclei WHERE indirizzo LIKE '%BUILDING%'"))(

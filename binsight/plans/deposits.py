@@ -11,7 +11,7 @@ from binsight.operators.filters import in_days_expr, in_instants_expr, optional_
 from binsight.operators.matching import interval_match
 from binsight.operators.presence import last_seen, stale
 from binsight.operators.quality import exact_duplicates
-from binsight.operators.sequence import Sequence, repeat_records, stuck_values
+from binsight.operators.sequence import Sequence, first_per_key, repeat_records, stuck_values
 from binsight.operators.sink import crosstab
 from binsight.operators.totals import CATEGORY_COLUMNS, averages_by, category_totals, period_counts, roll_counter
 from binsight.sources.bindings import Tables
@@ -287,10 +287,8 @@ def wrong_bin(t: Tables, start, end, open_before=10.0, close_after=120.0, pair_w
                   .select("data", "data2", "__r.*"))
     else:
         # DISTINCT ON (station, open, close): keep the smallest matching input
-        ev2 = (ev2.groupBy("comune", "stazione", "data", "data2")
-                  .agg(F.min_by(F.struct("evento", "evento2", "__in2"), F.col("inputplc1")).alias("__r"),
-                       F.min("inputplc1").alias("inputplc1"))
-                  .select("comune", "stazione", "data", "data2", "inputplc1", "__r.*"))
+        ev2 = first_per_key(ev2.select("comune", "stazione", "data", "data2", "inputplc1", "evento", "evento2", "__in2"),
+                            ["comune", "stazione", "data", "data2"], ["inputplc1"])
     # deposit <-> lid cycle: close in [dep, dep + close_after], open in [dep - open_before, dep]
     m = interval_match(dati, ev2, ["idcomune", "codicestazione", "input"], ["comune", "stazione", "inputplc1"],
                        "dataora", "data", -float(open_before), 0)

