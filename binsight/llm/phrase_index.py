@@ -66,15 +66,16 @@ class Block:
                 self.ids.append(item_id)
                 self.items.append(np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words], dtype=np.int32))
 
-    def anchors(self, counts: np.ndarray, per_window: int) -> list[tuple[int, int, int]]:
-        """(term, item, offset) of the ``per_window`` rarest places of every window."""
+    def anchors(self, counts: np.ndarray, per_window: int) -> list[tuple[int, int, int, int]]:
+        """(term, item, offset, need) of the ``per_window`` rarest places of every
+        window; an alignment of the item needs as many of them, or all of a shorter item."""
         found = set()
         for i, words in enumerate(self.items):
             size = min(self.window, len(words))
             c = counts[words]
             for s in range(len(words) - size + 1):
                 for o in np.argsort(c[s:s + size], kind="stable")[:per_window]:
-                    found.add((int(words[s + o]), i, int(s + o)))
+                    found.add((int(words[s + o]), i, int(s + o), min(per_window, len(words))))
         return sorted(found)
 
 
@@ -185,7 +186,7 @@ def _verified(docs: DataFrame, found: DataFrame, block: Block) -> DataFrame:
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-                   item_text: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
+                   item_text: str = "text", window: int = 10, block_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
     """Lengths (k1, k2, n_words) of all documents, and (k1, k2, spans, item_ids)
     of those in which a window of an item occurs; spans are word ranges [s, e),
     sorted and disjoint, over all items."""
@@ -197,10 +198,9 @@ def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
         index = build_index(rows, block, {a[0] for a in anchors})
         if lengths is None:
             lengths = index.where("term = -1").select("k1", "k2", F.col("positions")[0].alias("n_words"))
-        single = [i for i, w in enumerate(block.items) if len(w) == 1]
-        aligned = (_postings(index, anchors, "term int, item int, offset int")
-                   .groupBy("k1", "k2", "item", (F.col("pos") - F.col("offset")).alias("shift")).agg(F.count("*").alias("c"))
-                   .where((F.col("c") >= 2) | F.col("item").isin(single)))
+        aligned = (_postings(index, anchors, "term int, item int, offset int, need int")
+                   .groupBy("k1", "k2", "item", "need", (F.col("pos") - F.col("offset")).alias("shift")).agg(F.count("*").alias("c"))
+                   .where("c >= need"))
         own = _verified(rows, aligned, block)
         hits = own if hits is None else hits.unionByName(own)
     merged = hits.groupBy(*KEY).agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
@@ -213,7 +213,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-                      item_text: str = "text", window: int = 10, terms: int = 3, slop: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
+                      item_text: str = "text", window: int = 10, terms: int = 3, slop: int = 5, block_bytes: int = 2 << 20) -> DataFrame:
     """(doc key k1, k2, item_id, start): an occurrence of a window's rarest term
     with each of the window's other ``terms - 1`` rarest terms at most ``slop``
     words from its place in the item, in any order."""

@@ -56,12 +56,12 @@ def contaminated_rows(vocabulary, seed):
     return docs + [(50, None), (51, ""), (52, docs[1][1]), (52, docs[1][1]), (52, docs[2][1]), (None, docs[3][1]), (None, None)], items
 
 
-@pytest.mark.parametrize("seed,block", [(1, 8 << 20), (2, 300)])
+@pytest.mark.parametrize("seed,block", [(1, 2 << 20), (2, 300)])
 def test_contamination_equals_brute_force(spark, vocabulary, clashes, seed, block):
     docs, items = contaminated_rows(vocabulary, seed)
     d, i = clashes(spark, docs), clashes(spark, items, "item_id long, text string")
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    if block == 8 << 20:
+    if block == 2 << 20:
         assert sorted(repr(tuple(r)) for r in pi.contamination(d, i).select(names).collect()) == brute_contamination(docs, items)
     lengths, hits = pi.phrase_matches(d, i, block_bytes=block)
     total = sum(b["e"] - b["s"] for r in hits.collect() for b in r.spans)
