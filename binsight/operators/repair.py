@@ -62,7 +62,7 @@ def clock_repair(df: DataFrame, cutoff, keys=("idcomune", "codicestazione"), seq
         Lag("__prev_ts", ts),
         Running("__prev_pos", F.when(F.col("__side") == 1, F.col(ts)), "last_nonnull", exclusive=True),
         Running("__prev_neg", F.when(F.col("__side") == -1, F.col(ts)), "last_nonnull", exclusive=True)])
-    side = (first.result()
+    side = (first.df
             .withColumn("__prev_side_ts", F.when(F.col("__side") == 1, F.col("__prev_pos"))
                                            .when(F.col("__side") == -1, F.col("__prev_neg")))
             .drop("__prev_pos", "__prev_neg"))
@@ -78,9 +78,9 @@ def clock_repair(df: DataFrame, cutoff, keys=("idcomune", "codicestazione"), seq
              .drop("__prev_ts", "__prev_side_ts", "__side"))
     if min_id is not None:
         c = c.filter(F.col(seq) > min_id)
-    # then one range partitioning in (keys, seq) order serves every remaining window:
-    #    the island counter, per-station lags, per-island lags and sums.
-    g = Sequence(c, order=[seq], by=keys)
+    # the same ranges serve every remaining window: the island counter,
+    # per-station lags, per-island lags and sums
+    g = first._with(c)
     g = g.apply([Running("conteggio", F.when(F.col("flag"), F.lit(1)), "count"),
                  Lag("__pr", "riavvio"), Lag("__pts", ts), Lag("__pdelta", "delta_dataora")])
     gap = interval_seconds(restart_gap_seconds)
@@ -119,7 +119,7 @@ def _clock_repair_literal(df, cutoff, keys, seq, ts, restart_gap_seconds, min_id
     # island counter per record = the original running COUNT whose frame
     # includes a record's twin rows as peers
     g1 = g1.apply([Running("conteggio", F.when((d_all < 0) & in_scope, F.lit(1)), "count")])
-    rec = (g1.result().withColumn("__d_all", d_all).withColumn("__d_side", d_side)
+    rec = (g1.df.withColumn("__d_all", d_all).withColumn("__d_side", d_side)
                .withColumn("__classes", F.filter(F.array(
                    F.when(F.col("__d_all") < 0, F.lit(1)),
                    F.when((F.col("__side") == 1) & (F.col("__d_side") > 0), F.lit(0)),
@@ -129,7 +129,7 @@ def _clock_repair_literal(df, cutoff, keys, seq, ts, restart_gap_seconds, min_id
                .withColumn("delta_dataora", F.when(F.col("riavvio") == 1, F.col("__d_all")).otherwise(F.col("__d_side")))
                .withColumn("flag", F.col("riavvio") == 1)
                .drop("__classes", "__d_all", "__d_side", "__prev_ts", "__prev_pos", "__prev_neg", "__side"))
-    g = Sequence(rows, order=[*order, "riavvio"])
+    g = g1._with(rows, more_order=["riavvio"])
     g = g.apply([Lag("__gpr", "riavvio", group=[]), Lag("__gpts", ts, group=[]),
                  Lag("__gpdelta", "delta_dataora", group=[]), Lag("__pr", "riavvio", group=keys)])
     nuova = (F.when((F.col("riavvio") == 1) & (F.col("__gpr") == 0), F.col("__gpts") + interval_seconds(restart_gap_seconds))

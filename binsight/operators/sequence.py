@@ -112,17 +112,19 @@ class Sequence:
     the caller, e.g. by appending an id)."""
 
     def __init__(self, df: DataFrame, order: Seq[str], by: Seq[str] = (),
-                 partitions: int | None = None, _ranged: DataFrame | None = None):
+                 partitions: int | None = None, _ranged: DataFrame | None = None, _depth: int = 0):
         self.order = list(order)
         self.by = list(by)
         self.keys = [*self.by, *self.order]
         self.n = _n_partitions(df, partitions)
         if _ranged is None:
             _ranged = _with_range_id(df, self.keys, self.n).repartitionById(self.n, RP)
-        self.df = _ranged
+        self.df, self.depth = _ranged, _depth
 
-    def _with(self, df: DataFrame) -> "Sequence":
-        return Sequence(df, self.order, self.by, self.n, _ranged=df)
+    def _with(self, df: DataFrame, more_order: Seq[str] = ()) -> "Sequence":
+        """The same ranges over other rows made of this sequence's rows (filtered,
+        exploded, with more columns); ``more_order`` breaks ties among them."""
+        return Sequence(df, [*self.order, *more_order], self.by, self.n, _ranged=df, _depth=self.depth)
 
     # -- one step = several window ops sharing one summary and one carry join --
     def lag(self, columns: dict[str, Column | str], group: Seq[str] | None = None) -> "Sequence":
@@ -148,7 +150,9 @@ class Sequence:
         keys = [F.col(k).asc_nulls_first() for k in self.keys]
         order_key = F.struct(*[F.col(k) for k in self.keys])
         w_rp = Window.partitionBy(RP).orderBy(*keys)
-        df = self.df
+        # a step reads its rows twice (summary and result); after two steps an
+        # exchange to the same partitions keeps that from doubling once more
+        df = self.df if self.depth < 2 else self.df.repartitionById(self.n, RP)
         xs, last_fields, first_fields = {}, [F.lit(1).alias("one")], []
         local = {"__lp_one": F.lag(F.lit(1)).over(w_rp)}
         for i, op in enumerate(ops):
@@ -219,7 +223,8 @@ class Sequence:
         res = j.withColumns(out)
         drop = [c for c in res.columns if c.startswith("__") and c not in self.df.columns and c not in out] + \
                [c for c in carry.columns if c != RP]
-        return self._with(res.drop(*drop))
+        return Sequence(self.df, self.order, self.by, self.n, _ranged=res.drop(*drop),
+                        _depth=self.depth + 1 if self.depth < 2 else 1)
 
     def row_number(self, name: str, group: Seq[str] | None = None) -> "Sequence":
         return self.running(name, F.lit(1), "count", group)
