@@ -20,7 +20,6 @@ Repeated rows get equal results; null ids are kept.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame

@@ -21,7 +21,6 @@ from dataclasses import dataclass
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from binsight.llm.common import as_bytes, ship, slices
 from binsight.llm.phrase_index import words_of

@@ -30,7 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binsight.llm.common import ODD, WordHashes, as_bytes, connected_components, cut, fresh, mix, shingle_hashes, ship, slices
@@ -124,25 +124,37 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         _signer(k, perms, rows), "doc_id long, n long, h1 long, h2 long, bands array<long>")
 
 
+def _blocks(rows: Column, shingles: Column) -> Column:
+    """Number of blocks for members that count so many rows and shingles."""
+    return F.greatest(F.ceil(rows / _BLOCK_ROWS), F.ceil(shingles / _BLOCK_SHINGLES)).cast("long")
+
+
+def _upto(n: str) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+
+
 def _cross_links(percent: int) -> Callable:
-    """Links between a cell's members of different components, at least one of which
-    is outside the bucket's largest.  A cell holds two blocks of a bucket, or one."""
+    """Links of a cell's outside members with the members of the bucket's largest
+    component (``j`` >= 0) or with outside members of other components."""
     def run(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
         doc, group, own = (cell.column(c).to_numpy() for c in ("doc_id", "g", "own"))
+        outside = cell.column("outside").to_numpy(zero_copy_only=False)
+        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
         sets = cell.column("shingles").combine_chunks()
         size = np.diff(sets.offsets.to_numpy())
         names, flat = np.unique(sets.flatten().to_numpy(), return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-        cross = cell.column("i")[0] != cell.column("j")[0]
         a, b, mark = [], [], np.zeros(len(names), dtype=bool)
-        for x in np.flatnonzero(cell.column("outside").to_numpy(zero_copy_only=False)):
+        for x in np.flatnonzero(outside):
             at = slice(starts[x], starts[x] + size[x])
             mark[flat[at]] = True
             both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
             mark[flat[at]] = False
             linked = (100 * both >= percent * (size + size[x] - both)) & (group != group[x])
-            if cross:
+            if j >= 0:
+                linked &= ~outside
+            elif i != -1 - j:
                 linked &= own != own[x]
             y = np.flatnonzero(linked)
             a += [doc[x]] * len(y)
@@ -187,13 +199,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = (members.where("size > 2").select("key", "doc_id", "n").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
              .withColumn("g", F.coalesce("component", "doc_id")).drop("component"))
     split = (named.groupBy("key", "g").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("key")
-             .agg(F.count("*").alias("parts"), F.max(F.struct("c", "g")).alias("top"), F.sum("c").alias("c"), F.sum("n").alias("n"))
-             .where("parts > 1").select(fresh("key"), F.col("top.g").alias("top"),
-                                        F.greatest(F.ceil(F.col("c") / _BLOCK_ROWS), F.ceil(F.col("n") / _BLOCK_SHINGLES)).cast("long").alias("blocks")))
-    cells = (named.join(split, "key").select("key", "doc_id", "n", (F.col("g") != F.col("top")).alias("outside"), "g", "blocks")
-             .withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")))
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "outside", "g"))
+             .agg(F.count("*").alias("parts"), F.max(F.struct("c", "n", "g")).alias("top"), F.sum("c").alias("c"), F.sum("n").alias("n"))
+             .where("parts > 1").select(fresh("key"), F.col("top.g").alias("top"), _blocks(F.col("c") - F.col("top.c"), F.col("n") - F.col("top.n")).alias("out"),
+                                        _blocks(F.col("top.c"), F.col("top.n")).alias("in")))
+    # cell (i, j): block i of the outside members with block j of the largest
+    # component, or with block -1 - j of the outside members
+    cells = (named.join(split, "key").withColumn("outside", F.col("g") != F.col("top"))
+             .withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), F.when(F.col("outside"), F.col("out")).otherwise(F.col("in"))))
+             .withColumn("cell", F.explode(F.when(F.col("outside"), F.concat(
+                 F.transform(_upto("in"), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"))),
+                 F.transform(_upto("out"), lambda v: F.struct(F.least("own", v).alias("i"), (-1 - F.greatest("own", v)).alias("j")))))
+                 .otherwise(F.transform(_upto("out"), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))))))
+             .select("key", "cell.i", "cell.j", "own", "doc_id", "outside", "g"))
     more = (cells.join(sets, "doc_id").groupBy("key", "i", "j").applyInArrow(_cross_links(percent), "a long, b long").distinct())
     # components of components: only links between different groups are left
     own = groups.select(F.col("id"), F.col("component").alias("g"))

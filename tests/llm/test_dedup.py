@@ -103,6 +103,15 @@ def test_links_between_groups_of_a_bucket_are_found(spark, vocabulary):
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in brute_documents(rows).items()}
 
 
+@pytest.mark.parametrize("size,shingles", [(4, 1 << 20), (1 << 10, 300)])
+def test_blocks_of_a_bucket_find_the_same_links(spark, vocabulary, monkeypatch, size, shingles):
+    monkeypatch.setattr(md, "_BLOCK_ROWS", size)
+    monkeypatch.setattr(md, "_BLOCK_SHINGLES", shingles)
+    rows = near_copies(vocabulary, 6)
+    got = md.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), perms=60, rows=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in brute_documents(rows).items()}
+
+
 def test_document_edge_rows(spark, edge_docs):
     got = sorted((tuple(r) for r in md.near_duplicates(edge_docs).collect()), key=repr)
     assert len(got) == 13
