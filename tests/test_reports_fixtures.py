@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from binsight.plans import deposits as D
 from binsight.plans import events as E
 from binsight.plans import households as H
