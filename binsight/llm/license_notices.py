@@ -58,7 +58,7 @@ class _Search:
         n, k = len(self.text), notice.errors
         cuts = [n * i // (k + 1) for i in range(k + 2)]
         self.seeds = [(a, self.text[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        self.pattern = regex.compile(b"(?:" + regex.escape(self.text) + (b"){e<=%d}" % k if k else b")"), regex.BESTMATCH if k else 0)
+        self.pattern = regex.compile(b"(?:" + regex.escape(self.text) + (b"){e<=%d}" % k if k else b")"), regex.ENHANCEMATCH if k else 0)
 
     def spans(self, body: bytes):
         """(first, past the last byte, edits) of the notice in a normalised text."""

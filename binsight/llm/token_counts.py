@@ -8,7 +8,10 @@ pair are done, and a sequence's count is the number of surviving symbols.
 The normaliser, the splitting pattern, the vocabulary, the merges and the added
 tokens come from the ``tokenizers`` file.  Texts are cut at white space, and the
 count of a cut piece is remembered (up to ``REMEMBERED``), so merging runs over
-batches of pieces not seen before.
+batches of pieces not seen before.  A step merges one rank per sequence, so a
+single pre-token of over ``LONGEST`` symbols would take a step for nearly every
+rank it holds; such a run of letters without any break is given to the
+library's model, whose queue suits it.
 
 Defined results: null and empty texts have 0 tokens and 0 bytes (an empty text
 is within every limit).  Repeated rows get equal results; a null id is kept.
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from binsight.llm.common import as_bytes, ship, slices
 
 REMEMBERED = 1_000_000
+#: symbols of a single pre-token up to which its pairs are merged here
+LONGEST = 20_000
 _NONE = np.int64(1) << 40
 
 
@@ -111,6 +116,7 @@ class Counter:
         library = Tokenizer.from_file(path)
         self.normalize = library.normalizer.normalize_str if library.normalizer else (lambda s: s)
         self.split = library.pre_tokenizer.pre_tokenize_str
+        self.model = library.model
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.opening = [a[:2] for a in added]
@@ -123,18 +129,22 @@ class Counter:
         joined = self.normalize(" ".join(chunks))
         apart = joined.split(" ")
         if len(apart) != len(chunks):            # a normaliser that makes or drops blanks
-            return np.concatenate([self.learn([c]) for c in chunks]) if len(chunks) > 1 else np.array([self._total(self.split(joined))])
+            return np.concatenate([self.learn([c]) for c in chunks]) if len(chunks) > 1 else np.array([self._counts([p for p, _ in self.split(joined)]).sum()])
         pieces = self.split(joined)
         ends = np.cumsum([len(c) + 1 for c in apart])
         at = np.searchsorted(ends, [span[0] for _, span in pieces], side="right")
-        filled = [i for i, (p, _) in enumerate(pieces) if p]
-        flat, owner = self.merger.ragged([pieces[i][0] for i in filled])
-        n = self.merger.counts(flat, owner, len(filled))
-        return np.bincount(at[filled], weights=n, minlength=len(chunks)).astype(np.int64)
-
-    def _total(self, pieces: list[tuple]) -> int:
-        flat, owner = self.merger.ragged([p for p, _ in pieces if p])
-        return int(self.merger.counts(flat, owner, len(pieces)).sum())
+        return np.bincount(at, weights=self._counts([p for p, _ in pieces]), minlength=len(chunks)).astype(np.int64)
+
+    def _counts(self, pieces: list[str]) -> np.ndarray:
+        """Surviving symbols of byte-mapped pieces."""
+        n = np.zeros(len(pieces), dtype=np.int64)
+        short = [i for i, p in enumerate(pieces) if 0 < len(p) <= LONGEST]
+        if short:
+            n[short] = self.merger.counts(*self.merger.ragged([pieces[i] for i in short]), len(short))
+        for i, p in enumerate(pieces):
+            if len(p) > LONGEST:
+                n[i] = len(self.model.tokenize(p))
+        return n
 
     def batch(self, texts: list[str]) -> np.ndarray:
         out, chunked = np.zeros(len(texts), dtype=np.int64), []

@@ -43,6 +43,15 @@ def test_remembered_counts_are_dropped_at_the_bound(monkeypatch):
         assert len(own.seen) <= max(50, len(t.split()))
 
 
+def test_pre_tokens_of_any_length(monkeypatch):
+    rng = random.Random(3)
+    library, texts = tokenizers.Tokenizer.from_file(WORD), ["".join(rng.choice("abcdeé") for _ in range(n)) for n in (1, 50, 3000, 25_000)]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert tc.Counter(WORD).batch(texts).tolist() == want
+    monkeypatch.setattr(tc, "LONGEST", 40)
+    assert tc.Counter(WORD).batch([" ".join(texts), *texts]).tolist() == [sum(want), *want]
+
+
 def test_token_count_query_on_edge_rows(spark, edge_docs, edge_rows):
     library = tokenizers.Tokenizer.from_file(WORD)
     got = tc.token_counts(edge_docs, WORD).collect()

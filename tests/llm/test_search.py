@@ -140,6 +140,13 @@ def test_notices_equal_brute_force(spark, vocabulary, clashes):
             assert edits(notice.words, " ".join(words(t)[s.first:s["last"] + 1])) <= s.edits <= notice.errors
 
 
+def test_many_near_notices_in_one_text():
+    """Matches are improved in place, so a long run of them stays linear."""
+    searches = [ln._Search(n) for n in ln.FUZZY if n.label == "gpl-notice"]
+    n, found = ln.notice_spans(b"licensed under the gnx genexral pubxlic licxense " * 3000, searches)
+    assert n == 21_000 and [f[1] for f in found] == list(range(0, 21_000, 7)) and {f[3] for f in found} == {4}
+
+
 def test_notices_on_edge_rows(spark, edge_docs):
     got = ln.scan(edge_docs).collect()
     assert len(got) == 13 and not any(r.labels or r.n_base or r.score or r.spans for r in got)
