@@ -125,7 +125,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = (large.join(low2, "u")
                  .select(F.explode(F.array(F.struct(*oriented(F.col("v"), F.col("m"))), F.struct("u", F.col("m").alias("v")))).alias("x"))
                  .select("x.*").where("u <> v"))
-        e = cut(small.distinct())
+        # no more edges than before: one file for every 100,000 of them at most
+        e = cut(small.distinct().coalesce(max(1, now[0] // 100_000)))
     return (e.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("component")),
                                        F.struct(F.col("v").alias("id"), F.col("v").alias("component")))).alias("x"))
             .select("x.*").distinct())
