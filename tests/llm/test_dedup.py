@@ -180,6 +180,38 @@ def test_vector_recall_of_the_production_parameters(spark):
     assert found > 0.99 and 0.99 < counted <= 1
 
 
+@pytest.mark.parametrize("inner", [0.0, 0.8])
+def test_vector_recall_in_a_dense_label(spark, inner):
+    """A third of one label lies around one direction; pairs planted among them are
+    linked to nothing else, and the windows fill with vectors that link with none."""
+    rng = np.random.default_rng(12)
+
+    def turned(x, cosine):
+        y = rng.standard_normal(x.shape)
+        y -= (y * x).sum(axis=1, keepdims=True) * x
+        return cosine * x + math.sqrt(1 - cosine * cosine) * sp.unit(y)
+
+    centre = np.tile(sp.unit(rng.standard_normal((1, 64))), (2000, 1))
+    dense = turned(centre, math.sqrt(inner))
+    pairs = np.stack([dense[:400], turned(dense[:400], 0.94)], 1).reshape(-1, 64)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([pairs, dense[400:], sp.unit(rng.standard_normal((4000, 64)))]))]
+    got = {r.vec_id: r for r in sp.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert sum(got[2 * i].component_id == got[2 * i + 1].component_id for i in range(400)) >= 399
+    x = np.array([r[1] for r in rows])
+    links = (x @ x.T >= 0.93).sum() - len(x)
+    assert 0.995 * links <= sum(r.n_links for r in got.values()) <= links
+
+
+@pytest.mark.parametrize("size", [4, 1024])
+def test_cells_over_the_window_and_cut_cells_are_compared_whole(spark, monkeypatch, size):
+    """A window of one neighbour: nearly every link comes from the blocks of the cells."""
+    monkeypatch.setattr(sp, "_CELL_ROWS", size)
+    rows = vector_rows(6, 300)
+    got = sp.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), window=1, miss=1e-9).collect()
+    want, _ = brute_vectors(rows)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
+
+
 def test_a_large_group_of_copies_is_counted_without_pairs(spark):
     rng = np.random.default_rng(8)
     base = rng.standard_normal(24)
