@@ -16,7 +16,9 @@ lengths are powers of two, so nothing is padded at all.
 
 Token ids are those of the ``tokenizers`` file.  Texts of plain Latin characters
 are encoded with the same vocabulary as byte ranks (several times faster, same
-ids, tested); all other texts go through the ``tokenizers`` library itself.
+ids, tested); all other texts, and those with a run of over 100,000 white-space
+characters, which the faster library's pattern cannot match at any length, go
+through the ``tokenizers`` library itself.
 
 Defined results: a null or empty text is one separator token.  Every row is a
 document of its own, also when ids repeat or are null.  Texts of any length are
@@ -87,6 +89,8 @@ def curve_keys(points: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.
 
 #: printable ASCII, tab, line feed, carriage return and Latin letters: here both libraries share every character class
 _PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ſ]")
+#: white space of which the faster library's regex engine runs out of stack at about ten times this length
+_LONG_BLANK = re.compile(r"(?<![\t\n\r ])[\t\n\r ]{100001}")
 
 
 class Ids:
@@ -111,7 +115,7 @@ class Ids:
         self.added = set(added)
 
     def __call__(self, text: str) -> np.ndarray:
-        if _PLAIN.search(text) is None:
+        if _PLAIN.search(text) is None and (len(text) <= 100_000 or _LONG_BLANK.search(text) is None):
             return self.fast.encode_to_numpy(text, allowed_special=self.added, disallowed_special=())
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 

@@ -66,6 +66,14 @@ def test_ids_equal_the_library():
         assert own(t).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\r\n", "\t "])
+def test_ids_of_very_long_white_space(blank):
+    library, own = tokenizers.Tokenizer.from_file(BYTE), cp.ids_of(BYTE)
+    for n in (100_000, 100_001, 2_000_000):
+        for t in ("a" + (blank * n)[:n] + "b", (blank * n)[:n]):
+            assert own(t).tolist() == library.encode(t, add_special_tokens=False).ids, (blank, n)
+
+
 @pytest.mark.parametrize("dims,bits", [(2, 5), (3, 3), (4, 2)])
 def test_hilbert_index_visits_neighbouring_cells(dims, bits):
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
