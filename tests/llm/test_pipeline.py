@@ -97,6 +97,15 @@ def test_each_stage_equals_brute_force(spark, data):
     assert {r.doc_id for r in pieces.collect()} == clean
 
 
+def test_texts_under_one_id_are_documents_of_their_own(spark, vocabulary):
+    rng = random.Random(21)
+    a, b, c = (" ".join(rng.choice(vocabulary) for _ in range(40)) for _ in range(3))
+    rows = [(3, a), (7, a), (7, b), (7, b), (9, b), (9, c), (None, a), (None, a), (11, None), (11, "")]
+    docs = spark.createDataFrame([(i, t, "xx", None, len(t or "")) for i, t in rows], COLUMNS)
+    got = collections.Counter((r.doc_id, r.text) for r in cp.near_dedup(spark, docs, "").collect())
+    assert got == collections.Counter([(3, a), (7, b), (9, c), (None, a), (None, a), (11, None)])          # a null text is an empty one
+
+
 def test_run_applies_all_stages(spark, data):
     folder = data[0]
     docs = spark.read.parquet(f"{folder}/documents.parquet")
