@@ -16,9 +16,12 @@ from binsight.llm import (
     language_codes,
     license_notices,
     minmax_dedup,
+    orchard_codes,
     phrase_index,
     sorted_projections,
+    spelling_variants,
     token_counts,
+    trie_dedup,
 )
 from binsight.llm.common import table
 
@@ -176,6 +179,71 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op11_spelling_variants", r"""
+    WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+    runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+            WHERE len(run) >= 7 GROUP BY ALL),
+    points AS (SELECT *, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CAST(unicode(c) AS BIGINT)) AS p FROM runs),
+    hashed AS (SELECT run, n, xor(list_reduce(list_concat([4294967295], flatten(list_transform(p, lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + (c >> 6), 128 + (c & 63)] END))),
+            lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS h FROM points, tab),
+    words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN left(run, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word FROM hashed)
+            WHERE len(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    shorter AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS s FROM words, unnest(range(len(word))) AS t(i)),
+    pairs AS (SELECT a.word AS a, b.word AS b, b.n AS nb FROM shorter a JOIN shorter b USING (i, s) WHERE a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.s = b.word
+        UNION SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.s = b.word),
+    near AS (SELECT a AS word, count(*) AS n_near, min((-nb, b)) AS best FROM pairs GROUP BY a),
+    forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 10 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 10 * n THEN -best[1] END AS form_n
+              FROM words LEFT JOIN near USING (word)),
+    chain AS (SELECT word, word AS final, form AS next FROM forms UNION ALL SELECT chain.word, chain.next, forms.form FROM chain JOIN forms ON forms.word = chain.next)
+    SELECT forms.word, form, final AS root, n, n_near, form_n FROM forms JOIN chain ON chain.word = forms.word AND chain.next IS NULL
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_trie_dedup", r"""
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+           doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+    FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_dedup.exact_copies(table(spark, sf_dir, "documents"))
+
+
+def _codes_sql(rounds: int) -> str:
+    """Rounds of assignment and floored means, in doubles that hold integers."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, part, min((d, entry)) AS m FROM (SELECT vec_id, p.part, entry,
+            list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x) AS d FROM p JOIN b{i} b ON p.part = b.part) GROUP BY ALL)""")
+        if i < rounds:
+            steps.append(f"""b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(u.x, b.x) AS x FROM b{i} b LEFT JOIN (
+                SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY k) AS x FROM (
+                    SELECT part, entry, k, count(*) AS n, sum(CAST(x[k] AS BIGINT)) AS s
+                    FROM (SELECT p.part, a.m[2] AS entry, x FROM a{i} a JOIN p USING (vec_id, part)), unnest(range(1, len(x) + 1)) AS t(k) GROUP BY ALL) GROUP BY ALL) u
+                USING (part, entry))""")
+    return f"""
+    WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS MATERIALIZED (SELECT vec_id, part, e[part * len(e) // 4 + 1:(part + 1) * len(e) // 4] AS x FROM v, range(4) AS t(part)),
+    b0 AS MATERIALIZED (SELECT part, entry, x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v
+        QUALIFY row_number() OVER (ORDER BY vec_id) <= 256) USING (vec_id)),
+    {", ".join(steps)},
+    c AS (SELECT vec_id, string_agg(format('{{:02x}}', m[2]), '' ORDER BY part) AS code, CAST(sum(m[1]) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+    h AS (SELECT sha256(string_agg(CAST(CAST(x[k] AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, k)) AS codebooks_sha256
+          FROM b{rounds}, unnest(range(1, len(x) + 1)) AS t(k))
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN v USING (vec_id), h
+"""
+
+
+@query("op13_orchard_codes", _codes_sql(orchard_codes.ROUNDS))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

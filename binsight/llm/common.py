@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -69,6 +70,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``cut`` by a Parquet table in the shared checkpoint folder, for rows that are
+    read more than once and by few of their columns."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def as_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, body): the id as long and the UTF-8 bytes of the text (null text: empty)."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"),
