@@ -7,7 +7,9 @@ the left side is replicated into the (at most two) buckets its window
 touches, the right side sits in exactly one bucket, the bucket joins the
 equi key, and the exact bound is re-checked.  Each matching pair is produced
 once, the join stays a hash/sort-merge join, and a hot station is split over
-its time buckets.
+its time buckets.  ``split`` cuts the buckets finer, for keys that are dense
+within one window: a cell holds that many times fewer rows of the right side,
+and the left side is replicated into ``split`` + 1 buckets at most.
 """
 
 from __future__ import annotations
@@ -31,12 +33,12 @@ def _secs(x) -> float:
 
 
 def interval_match(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str],
-                   left_ts: str, right_ts: str, lo, hi) -> DataFrame:
+                   left_ts: str, right_ts: str, lo, hi, split: int = 1) -> DataFrame:
     """Pairs with equal keys and ``left_ts + lo <= right_ts <= left_ts + hi``
     (``lo``/``hi`` in seconds or timedeltas, ``lo <= hi``).  Column names of
     the two sides must be distinct."""
     lo_s, hi_s = _secs(lo), _secs(hi)
-    width = max(int(hi_s - lo_s), 1)
+    width = max(int(hi_s - lo_s) // max(split, 1), 1)
     lb = F.floor((epoch_seconds(F.col(left_ts)) + F.lit(int(lo_s // 1))) / width)
     hb = F.floor((epoch_seconds(F.col(left_ts)) + F.lit(int(-(-hi_s // 1)))) / width)
     l2 = left.withColumn("__b", F.explode(F.sequence(lb, hb)))

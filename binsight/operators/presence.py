@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,54 +26,58 @@ def absent(df: DataFrame, other: DataFrame, keys: Sequence[str] | str,
     rows), a NULL key in ``df`` is removed as soon as ``other`` has a row that
     does not contradict it, and nothing is removed when ``other`` is empty.
 
-    One lazy plan whatever the data hold: for each pattern of NULL columns an
-    excluded row may have, and each set of columns left to compare, a hash
-    ``left_anti`` join; where nothing is left to compare, a scalar subquery
-    says whether such a row exists.  Key columns the caller has filtered to
-    non-NULL are named in ``not_null`` (rows) and ``other_not_null`` (excluded
-    side) and save their patterns.  (Spark's own multi-column ``NOT IN`` would
-    be a nested-loop join.)  ``null_aware=False`` is ``NOT EXISTS``.
+    One lazy plan of two equi-joins at most, whatever the number of keys.  The
+    excluded keys are reduced to *entries*: which columns are NULL, which columns
+    are compared, and their values.  Each distinct key of ``df`` asks for one entry
+    per NULL pattern that ``other`` has (a scalar subquery counts them); the keys
+    that find one are taken out by a NULL-safe anti join.  Key columns the caller
+    has filtered to non-NULL are named in ``not_null`` (rows) and
+    ``other_not_null`` (excluded side); if that is all of them, a plain anti join
+    does.  (Spark's own multi-column ``NOT IN`` would be a nested-loop join.)
+    ``null_aware=False`` is ``NOT EXISTS``.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     okeys = keys if other_keys is None else ([other_keys] if isinstance(other_keys, str) else list(other_keys))
     o = other.select(*[F.col(ok).alias(f"__o{i}") for i, ok in enumerate(okeys)])
-    names = {k: f"__o{i}" for i, k in enumerate(keys)}
-    if not null_aware:
-        return df.join(o, [F.col(k) == F.col(n) for k, n in names.items()], "left_anti")
-    o = o.distinct()                 # one exchange, shared by the branches below
-
-    def pattern(cols, nulls, name=lambda k: k):
-        cond = F.lit(True)
-        for c in cols:
-            cond = cond & (F.col(name(c)).isNull() if c in nulls else F.col(name(c)).isNotNull())
-        return cond
-
-    rows = [p for p in _subsets(keys) if not p & set(not_null)]
-    gone = [p for p in _subsets(keys) if not p & set(other_not_null)]
-    # excluded patterns that leave a row pattern nothing to compare
-    present = o.agg(*[F.coalesce(F.bool_or(pattern(keys, p, names.get)), F.lit(False)).alias(f"p{i}") for i, p in enumerate(gone)])
-    flags = present.select(F.struct("*")).scalar()
-    dropped = F.lit(False)
-    out = df.withColumn("__present", flags)
-    for i, p in enumerate(gone):
-        for r in rows:
-            if set(keys) <= p | r:
-                dropped = dropped | (pattern(keys, r) & F.col(f"__present.p{i}"))
-    out = out.filter(~dropped).drop("__present")
-    for p in gone:
-        branch = o.filter(pattern(keys, p, names.get))
-        for compared in {frozenset(keys) - p - r for r in rows} - {frozenset()}:
-            own = [r for r in rows if frozenset(keys) - p - r == compared]
-            # a row takes part if the other columns are NULL in it or in the excluded row
-            fits = F.lit(False)
-            for r in own:
-                fits = fits | pattern(keys, r)
-            some, *rest = sorted(compared)
-            cond = F.when(fits, F.col(some)) == F.col(names[some])
-            for c in rest:
-                cond = cond & (F.col(c) == F.col(names[c]))
-            out = out.join(branch, cond, "left_anti")
-    return out
+    plain = [F.col(k) == F.col(f"__o{i}") for i, k in enumerate(keys)]
+    if not null_aware or (set(keys) <= set(not_null) and set(keys) <= set(other_not_null)):
+        return df.join(o, plain, "left_anti")
+
+    def mask(columns: Sequence[str], never: Sequence[str]) -> Column:
+        """The NULL columns as bits; those named in ``never`` are known to be none."""
+        bits = [F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, (c, k) in enumerate(zip(columns, keys, strict=True)) if k not in never]
+        return sum(bits, F.lit(0))
+
+    def entry(columns: Sequence[str], nulls: Column, compared: Column) -> Column:
+        """Values of the compared columns; both sides are cast to one type first."""
+        return F.struct(nulls.alias("nulls"), compared.alias("compared"),
+                        *[F.when(F.getbit(compared, F.lit(i)) == 1, F.col(c)).alias(f"v{i}") for i, c in enumerate(columns)])
+
+    def patterns(never: Sequence[str]) -> list[int]:
+        free = [i for i, k in enumerate(keys) if k not in never]
+        return [sum(1 << i for i in p) for p in _subsets(free)]
+
+    everything = (1 << len(keys)) - 1
+    own = df.select(*keys).distinct()
+    # values of one key column have one type on both sides
+    both = own.union(o)
+    kinds = [both.schema.fields[i].dataType for i in range(len(keys))]
+    own_cast, o_cast = [f"__x{i}" for i in range(len(keys))], [f"__o{i}" for i in range(len(keys))]
+    asked = own.select(*keys, *[F.col(k).cast(t).alias(x) for k, t, x in zip(keys, kinds, own_cast, strict=True)])
+    o = o.select(*[F.col(x).cast(t).alias(x) for t, x in zip(kinds, o_cast, strict=True)]).distinct().withColumn("__p", mask(o_cast, other_not_null))
+    # an excluded key answers rows of every NULL pattern
+    rows = [F.lit(everything & ~p) for p in patterns(not_null)]
+    entries = (o.withColumn("__c", F.explode(F.array_distinct(F.transform(F.array(*rows), lambda r: r.bitwiseAND(F.lit(everything) - F.col("__p"))))))
+                .select(entry(o_cast, F.col("__p"), F.col("__c")).alias("__e")).distinct())
+    present = o.agg(F.collect_set("__p").alias("p"))          # one number per NULL pattern: 2^keys at most
+    asked = (asked.withColumn("__p", F.explode(present.scalar()))
+                  .withColumn("__c", (F.lit(everything) - F.col("__p")).bitwiseAND(F.lit(everything) - mask(own_cast, not_null))))
+    found = asked.withColumn("__e", entry(own_cast, F.col("__p"), F.col("__c"))).join(entries.withColumnRenamed("__e", "__f"), F.col("__e").eqNullSafe(F.col("__f")), "left_semi")
+    gone = found.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__g{i}"))
+    return df.join(gone, same, "left_anti")
 
 
 def absent_in_period(dim: DataFrame, fact: DataFrame, key: str, ts: str, start, end,

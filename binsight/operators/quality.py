@@ -13,11 +13,19 @@ def exact_duplicates(df: DataFrame, keys: Sequence[str], id_col: str = "id",
     """Groups of rows equal on ``keys`` seen at least ``min_count`` times,
     with the count and the ids joined in ascending order.
 
-    One scan and one shuffle: count and ids come from the same aggregation.
+    Fingerprints of the keys are counted first (one long and one count a
+    fingerprint after map-side combine).  Only rows whose fingerprint repeats go on
+    to the grouping by the full key, which lists their ids; a fingerprint that
+    different keys share is told apart there.  The repeated fingerprints are few
+    where duplicates are the exception, and Spark then sends them to the rows
+    (a broadcast of checked size); otherwise both sides meet by fingerprint.
     """
+    code = F.xxhash64(*keys)
+    repeated = (df.groupBy(code.alias("__code")).agg(F.count(id_col).alias("__n")).filter(F.col("__n") >= min_count).select("__code"))
+    rows = df.join(repeated, code == F.col("__code"), "left_semi")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(id_col)), lambda x: x.cast("string")), sep)
-    return (df.groupBy(*keys).agg(F.count(id_col).alias("conteggio"), ids.alias("stringaid"))
-              .filter(F.col("conteggio") >= min_count))
+    return (rows.groupBy(*keys).agg(F.count(id_col).alias("conteggio"), ids.alias("stringaid"))
+                .filter(F.col("conteggio") >= min_count))
 
 
 def duplicate_summary(df: DataFrame, key: str | Sequence[str], measures: dict,

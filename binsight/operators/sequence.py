@@ -10,10 +10,10 @@ survives a station that holds a third of the rows.
 :class:`Sequence` instead splits the rows into ranges of ``by + order``, so a
 hot station is spread over many ranges, and evaluates every window inside each
 range.  The range of a row is a deterministic expression: the number of range
-bounds that are not above its key.  The bounds are quantiles of the rows with
-the smallest key hashes (a fixed uniform sample, ``SAMPLE_PER_RANGE`` rows per
-range) and come from a scalar subquery, so nothing runs while a report is
-built, and a recomputed task finds the same ranges.  The rows are shuffled
+bounds that are not above its key.  The bounds are quantiles of the rows whose
+key hash is below a threshold (a fixed uniform sample, ``SAMPLE_PER_RANGE`` rows
+per range, see :func:`range_bounds`) and come from a scalar subquery, so nothing
+runs while a report is built, and a recomputed task finds the same ranges.  The rows are shuffled
 once, straight to the partition of their range; every later window and
 summary is partitioned by the range id and needs no further shuffle.
 
@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 RP = "__rp"  # range partition id
 SAMPLE_PER_RANGE = 64  # rows that decide about the bounds, for each range
+_ONE_STEP = 64  # up to so many ranges are cut in one step, from 4,096 rows
 
 _RUN_LOCAL = {
     "sum": F.sum,
@@ -73,7 +74,7 @@ class Running:
         self.name, self.expr, self.how, self.group, self.exclusive = name, expr, how, group, exclusive
 
 
-def _n_partitions(df: DataFrame, partitions: int | None) -> int:
+def n_ranges(df: DataFrame, partitions: int | None = None) -> int:
     """Number of ranges: explicit, else spark.sql.shuffle.partitions, else
     (for a non-numeric setting) the context's default parallelism."""
     if partitions:
@@ -85,40 +86,77 @@ def _n_partitions(df: DataFrame, partitions: int | None) -> int:
         return max(df.sparkSession.sparkContext.defaultParallelism, 1)
 
 
-def _with_range_id(df: DataFrame, keys: Seq[str], n: int) -> DataFrame:
+def _quantiles(rows: Column, parts: Column | int) -> Column:
+    """The elements of a sorted array that cut it into ``parts`` equal parts."""
+    parts = F.lit(parts) if isinstance(parts, int) else parts
+    cuts = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get(rows, F.floor(i * F.size(rows) / parts).cast("int")))
+    return F.when((parts > 1) & (F.size(rows) > 0), cuts).otherwise(F.slice(rows, 1, 0))
+
+
+def range_bounds(df: DataFrame, keys: Seq[str], n: int, hashed: str | None = None) -> Column:
+    """At most ``n - 1`` ascending key structs that cut the rows of ``df`` into
+    ranges of about equal size, as a scalar subquery.
+
+    The rows whose hash (of the keys, or the long column ``hashed``) is below a
+    threshold are a uniform sample; the threshold follows from the number of rows,
+    so the sample has ``SAMPLE_PER_RANGE`` rows a range however large the table is.
+    Many ranges are cut in two steps: some ``sqrt(n)`` coarse ranges from a smaller
+    sample, then each of them by a task of its own, so no task holds more than
+    about ``SAMPLE_PER_RANGE * sqrt(n)`` keys and one array has a key a range.
+    """
+    code = F.xxhash64(*keys) if hashed is None else F.col(hashed)
+    rows = df.select(F.struct(*[F.col(k) for k in keys]).alias("k"), F.shiftrightunsigned(code, 33).alias("u"))
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+    def sample(size: int) -> DataFrame:
+        return rows.filter(F.col("u") < F.lit(size * 2.0 ** 31) / F.greatest(total, F.lit(1)))
+
+    # sets: rows of equal keys are taken all or none, and count once
+    held = F.array_sort(F.collect_set("k"))
+    if n <= _ONE_STEP:
+        return sample(SAMPLE_PER_RANGE * n).agg(held.alias("s")).select(_quantiles(F.col("s"), n).alias("b")).scalar()
+    step = math.ceil(math.sqrt(n))
+    groups = math.ceil(n / step)
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(groups - 1)), lambda j: F.get("s", F.floor(j * step * F.size("s") / n).cast("int")))
+    coarse = (sample(SAMPLE_PER_RANGE * groups).agg(held.alias("s"))
+              .select(F.when(F.size("s") > 0, cuts).otherwise(F.slice("s", 1, 0)).alias("b")))
+    fine = (sample(SAMPLE_PER_RANGE * n).withColumn("__bounds", coarse.scalar())
+            .withColumn("c", range_id("__bounds", F.col("k"), groups)).drop("__bounds").groupBy("c").agg(held.alias("s"))
+            .select(_quantiles(F.col("s"), F.least(F.lit(step), F.lit(n) - F.col("c") * step)).alias("b")))
+    inner = fine.agg(F.flatten(F.collect_list("b")).alias("b"))
+    return inner.withColumn("c", coarse.scalar()).select(F.array_sort(F.concat("c", "b")).alias("b")).scalar()
+
+
+def range_id(bounds: str, key: Column, n: int) -> Column:
+    """How many of the at most ``n - 1`` ascending ``bounds`` (a column) are not above
+    ``key``: a binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(n - 1, 1).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= key, at + step).otherwise(at))
+
+
+def _with_range_id(df: DataFrame, keys: Seq[str], n: int, like: DataFrame | None = None) -> DataFrame:
     """``df`` with the number of each row's range: 0 to ``n - 1``, ascending with
-    the keys (nulls first).  Looked up in two steps of about ``sqrt(n)`` bounds."""
-    key = F.struct(*[F.col(k) for k in keys])
+    the keys (nulls first)."""
     if n == 1:
         return df.withColumn(RP, F.lit(0))
-    step = math.ceil(math.sqrt(n))
-    sample = (df.select(key.alias("k"), F.xxhash64(*keys).alias("h")).orderBy("h").limit(SAMPLE_PER_RANGE * n)
-                .agg(F.array_sort(F.collect_list("k")).alias("s")))
-    bounds = F.transform(F.sequence(F.lit(1), F.lit(n - 1)),
-                         lambda i: F.get("s", F.floor(i * F.size("s") / n).cast("int")))
-    parts = F.sequence(F.lit(0), F.lit((n - 2) // step))
-    lookup = sample.select(bounds.alias("b")).select(F.struct(
-        F.transform(parts, lambda j: F.get("b", j * step)).alias("first"),
-        F.transform(parts, lambda j: F.slice("b", j * step + 1, step)).alias("part")).alias("r"))
-    part = F.size(F.filter("__bounds.first", lambda b: b <= key))
-    within = F.size(F.filter(F.get("__bounds.part", F.col("__part") - 1), lambda b: b <= key))
-    return (df.withColumn("__bounds", lookup.scalar()).withColumn("__part", part)
-              .withColumn(RP, F.when(F.col("__part") == 0, F.lit(0)).otherwise((F.col("__part") - 1) * step + within))
-              .drop("__bounds", "__part"))
+    return (df.withColumn("__bounds", range_bounds(df if like is None else like, keys, n))
+              .withColumn(RP, range_id("__bounds", F.struct(*[F.col(k) for k in keys]), n)).drop("__bounds"))
 
 
 class Sequence:
     """Rows of ``df`` in the total order ``by + order`` (ties must be broken by
-    the caller, e.g. by appending an id)."""
+    the caller, e.g. by appending an id).  ``like``: rows with the same key columns
+    and about the same distribution, from which the bounds are taken instead, where
+    ``df`` is costly to read more than once."""
 
     def __init__(self, df: DataFrame, order: Seq[str], by: Seq[str] = (),
-                 partitions: int | None = None, _ranged: DataFrame | None = None, _depth: int = 0):
+                 partitions: int | None = None, like: DataFrame | None = None, _ranged: DataFrame | None = None, _depth: int = 0):
         self.order = list(order)
         self.by = list(by)
         self.keys = [*self.by, *self.order]
-        self.n = _n_partitions(df, partitions)
+        self.n = n_ranges(df, partitions)
         if _ranged is None:
-            _ranged = _with_range_id(df, self.keys, self.n).repartitionById(self.n, RP)
+            _ranged = _with_range_id(df, self.keys, self.n, like).repartitionById(self.n, RP)
         self.df, self.depth = _ranged, _depth
 
     def _with(self, df: DataFrame, more_order: Seq[str] = ()) -> "Sequence":

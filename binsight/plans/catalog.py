@@ -22,6 +22,7 @@ from binsight.operators import filters as FI
 from binsight.operators import quality as Q
 from binsight.operators import sequence as SQ
 from binsight.operators import totals as T
+from binsight.operators.asof import asof_join
 from binsight.operators.repair import clock_repair
 from binsight.sources.bindings import Tables, bind_driver_tables, duckdb_with_clause
 
@@ -309,6 +310,18 @@ FROM logfalliti f LEFT JOIN infocomune i ON i.id = f.idcomune
 WHERE f.idcomune = {C} AND f.dataora >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY i.nome, f.idstazione"""))(
     lambda s, d: E.failed_reads(_tables(s, d), C, "2024-01-10", as_text=True))
 
+register("r16_failed_reads_chunks", _sql(["logfalliti", "infocomune"], f""",
+r AS (SELECT i.nome AS comune, f.idstazione AS st, CAST(f.codicetag AS VARCHAR) AS tag, row_number() OVER (PARTITION BY f.idstazione, f.codicetag) - 1 AS k
+      FROM logfalliti f LEFT JOIN infocomune i ON i.id = f.idcomune
+      WHERE f.idcomune = {C} AND f.dataora >= TIMESTAMP '2024-01-10 00:00:00' AND f.codicetag IS NOT NULL),
+b AS (SELECT comune, st, tag, k // greatest(64 // (length(tag) + 1), 1) AS piece FROM r),
+p AS (SELECT comune, st, tag, piece, count(*) AS n, sum(length(tag) + 1) AS size FROM b GROUP BY comune, st, tag, piece),
+l AS (SELECT *, sum(size) OVER (PARTITION BY comune, st ORDER BY tag, piece) - size AS begins FROM p)
+SELECT comune, st AS numerostazione, CAST(begins // 64 AS BIGINT) AS parte, CAST(sum(n) AS BIGINT) AS letture,
+       string_agg(rtrim(repeat(tag || ' ', n)), ' ' ORDER BY tag, piece) AS letturefallite
+FROM l GROUP BY comune, st, begins // 64"""))(
+    lambda s, d: E.failed_reads_chunks(_tables(s, d), C, "2024-01-10", limit=64))
+
 register("r17_repeat_deposits", _sql(["conferimenti_seq"], f""",
 l AS (SELECT codicetag, lag(codicetag) OVER w AS codicep, codiceanomalia, dataora, idcomune, codicestazione,
              peso - lag(peso) OVER w AS pesop, tiporifiuto, tiporifiuto - lag(tiporifiuto) OVER w AS flag
@@ -909,6 +922,25 @@ FROM c WINDOW v AS (PARTITION BY idcomune, idstazione ORDER BY dataora, id)"""))
     lambda s, d: SQ.phase_durations(_tables(s, d).eventi.filter(F.col("idevento") == "TENSIONE_RETE"), _ST, "dataora", "note")
     .select("id", "phase", "phase_seconds"))
 
+def _asof_entry(s, d, direction, **kw):
+    t = _tables(s, d)
+    dep = t.conferimenti_evt.select("id", "idcomune", "codicestazione", "dataora")
+    ev = t.eventi.select("idcomune", F.col("idstazione").alias("codicestazione"), F.col("dataora").alias("ora"), "note")
+    return asof_join(dep, ev, ["idcomune", "codicestazione"], "dataora", "ora", ["note", "ora"], direction, **kw)
+
+
+_ASOF_EVENTS = "(SELECT idcomune, idstazione, dataora AS ora, max(note) AS note FROM eventi GROUP BY ALL)"
+register("j_asof_last_event", _sql(["conferimenti_evt", "eventi"], f"""
+SELECT d.id, d.idcomune, d.codicestazione, d.dataora, e.note, e.ora FROM conferimenti_evt d ASOF LEFT JOIN {_ASOF_EVENTS} e
+ON e.idcomune = d.idcomune AND e.idstazione = d.codicestazione AND d.dataora >= e.ora"""))(
+    lambda s, d: _asof_entry(s, d, "backward"))
+register("j_asof_next_event", _sql(["conferimenti_evt", "eventi"], f"""
+SELECT d.id, d.idcomune, d.codicestazione, d.dataora, CASE WHEN e.ora <= d.dataora + INTERVAL 12 HOUR THEN e.note END AS note,
+       CASE WHEN e.ora <= d.dataora + INTERVAL 12 HOUR THEN e.ora END AS ora
+FROM conferimenti_evt d ASOF LEFT JOIN {_ASOF_EVENTS} e
+ON e.idcomune = d.idcomune AND e.idstazione = d.codicestazione AND d.dataora < e.ora"""))(
+    lambda s, d: _asof_entry(s, d, "forward", allow_equal=False, tolerance_seconds=12 * 3600))
+
 register("o21_first_per_key", _sql(["eventi"], """
 SELECT idcomune, idstazione, id, idevento, dataora FROM eventi
 QUALIFY row_number() OVER (PARTITION BY idcomune, idstazione ORDER BY dataora, id) = 1"""))(

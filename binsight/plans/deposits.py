@@ -262,11 +262,12 @@ def wrong_bin(t: Tables, start, end, open_before=10.0, close_after=120.0, pair_w
     ev = t.eventi
     # a closing pairs with an earlier opening of the period: older ones never count
     closes = ev.filter((F.col("idevento") == LID_CLOSE) & (F.col("dataora") >= day_start(start))).select("idcomune", "idstazione", "idevento", "note", "dataora").distinct()
-    cseq = Sequence(closes, order=["dataora", "note"], by=["idcomune", "idstazione"]).lag({
-        "data2": "dataora", "__snote2": _short_note("note"), "note2": "note"})
-    c = cseq.result().filter(F.col("data2").isNotNull()).select(
-        F.col("idcomune").alias("__cc"), F.col("idstazione").alias("__cs"), "data2", "__snote2", "note2",
-        pg_concat("idevento", F.lit(" "), "__snote2").alias("evento2"))
+    # every closing is the previous one of another, but for the last of its station
+    last = closes.groupBy(F.col("idcomune").alias("__lc"), F.col("idstazione").alias("__ls")).agg(F.max(F.struct("dataora", "note")).alias("__last"))
+    c = closes.join(last, F.col("idcomune").eqNullSafe(F.col("__lc")) & F.col("idstazione").eqNullSafe(F.col("__ls"))).filter(
+        F.struct("dataora", "note") != F.col("__last")).select(
+        F.col("idcomune").alias("__cc"), F.col("idstazione").alias("__cs"), F.col("dataora").alias("data2"), _short_note("note").alias("__snote2"),
+        F.col("note").alias("note2"), pg_concat("idevento", F.lit(" "), _short_note("note")).alias("evento2"))
     opens = ev.filter((F.col("idevento") == LID_OPEN) & in_days_expr("dataora", start, end)).select(
         F.col("idcomune").alias("comune"), F.col("idstazione").alias("stazione"), "idevento", "note",
         F.col("dataora").alias("data"))

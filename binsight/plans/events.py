@@ -256,6 +256,31 @@ def failed_reads(t: Tables, municipality: int, start, as_text: bool = False) ->
                   F.max("ultimo").alias("ultimodatoricevuto")))
 
 
+def failed_reads_chunks(t: Tables, municipality: int, start, limit: int = 4096) -> DataFrame:
+    """R16's text per station in numbered chunks (``parte``) of bounded length: joined
+    by a space in their order they are the text of ``failed_reads(as_text=True)``.
+
+    A tag's reads are cut into pieces of at most ``limit`` characters, the pieces are
+    laid out in order of (tag, piece) by a skew-proof running sum of their lengths,
+    and a chunk is what begins in the same ``limit`` characters.  So a station with
+    any number of reads is never held by one task."""
+    f = t.logfalliti.filter((F.col("idcomune") == municipality) & (F.col("dataora") >= as_ts(start)) & F.col("codicetag").isNotNull())
+    station = ["idcomune", "idstazione"]
+    per_tag = f.groupBy(*station, F.col("codicetag").cast("string").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+    one = F.char_length("tag") + 1
+    most = F.greatest(F.floor(F.lit(limit) / one), F.lit(1)).cast("long")
+    pieces = (per_tag.withColumn("most", most).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div most"))))
+                     .withColumn("reads", F.least("most", F.col("n") - F.col("piece") * F.col("most"))).withColumn("size", F.col("reads") * one))
+    laid = Sequence(pieces.select(*station, "tag", "piece", "reads", "size"), order=["tag", "piece"], by=station).running("end", "size", "sum").result()
+    text = F.array_join(F.array_repeat("tag", F.col("reads").cast("int")), " ")
+    parts = (laid.withColumn("parte", F.floor((F.col("end") - F.col("size")) / limit).cast("long"))
+                 .groupBy(*station, "parte").agg(F.collect_list(F.struct("tag", "piece", text.alias("text"))).alias("x"), F.sum("reads").alias("letture")))
+    com = t.infocomune.select(F.col("id").alias("__cid"), "nome")
+    return (parts.join(com, parts.idcomune == com.__cid, "left")
+                 .select(F.col("nome").alias("comune"), F.col("idstazione").alias("numerostazione"), "parte", F.col("letture").cast("long").alias("letture"),
+                         F.array_join(F.transform(F.array_sort("x"), lambda x: x["text"]), " ").alias("letturefallite")))
+
+
 def admin_tester_log(t: Tables, municipality: int, start, end, station: int | None = None) -> DataFrame:
     """Accesses of testers and administrators (UNION ALL of both lists)."""
     people = (t.infotesters.select("codicetag", "nome")

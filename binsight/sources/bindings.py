@@ -189,10 +189,10 @@ def binding_sql(dialect: str = "spark") -> dict[str, str]:
                    CAST(1 AS INT) AS componenti
             FROM events WHERE event_type = 'purchase'""",
         "infocassonetti_dense": f"""
-            SELECT idcomune, codicestazione, tiporifiuto, CAST((tiporifiuto + codicestazione) % 4 AS SMALLINT) AS inputplc1
+            SELECT DISTINCT idcomune, codicestazione, tiporifiuto, CAST((tiporifiuto + codicestazione) % 4 AS SMALLINT) AS inputplc1
             FROM (SELECT CAST(s_suppkey % 2 + 1 AS INT) AS idcomune, CAST(s_suppkey % 6 AS INT) AS codicestazione,
                          {_explode((0, 1, 2, 3, 4), dialect)} AS tiporifiuto
-                  FROM supplier WHERE s_suppkey <= 6) b""",
+                  FROM supplier) b""",
         "infostazioni": """
             SELECT CAST(s_suppkey % 5 + 1 AS INT) AS idcomune,
                    CAST(s_suppkey AS INT) AS codicestazione,
