@@ -20,12 +20,12 @@ kept and never held out.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,8 @@ from binsight.llm.common import hashed_vectors, held_out, labelled_sample, ship
 
 N_GRAM, BUCKETS = 3, 1024
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: a letter: Unicode category L (digits in circles, fractions and the like are none)
+_LETTER = regex.compile(r"\p{L}")
 _CHUNK = 4 << 20
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -90,14 +91,17 @@ def notice_spans(body: bytes, searches: list[_Search]) -> tuple[int, list[tuple]
     words = words_of(body)
     text = b" " + b" ".join(words) + b" "
     found = []
+    blanks = None           # places of the blanks, for the first match on
     for s in searches:
         for a, b, edits in s.spans(text):
+            if blanks is None:
+                blanks = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 32)
             while a < b and text[a] == 32:
                 a += 1
             while b > a and text[b - 1] == 32:
                 b -= 1
-            first = text.count(b" ", 0, a) - 1
-            found.append((s.notice, first, first + text.count(b" ", a, b), edits))
+            first = int(np.searchsorted(blanks, a)) - 1
+            found.append((s.notice, first, int(np.searchsorted(blanks, b)) - 1, edits))
     return len(words), found
 
 

@@ -120,3 +120,15 @@ def test_quality_edge_rows(spark, edge_docs):
         got = aq.score(edge_docs, own).collect()
         assert len(got) == 13 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     assert aq.score(edge_docs.limit(0), labels).count() == 0
+
+
+def test_only_letters_make_a_language(spark, vocabulary):
+    """Digits in circles, fractions, raised digits and underscores are no letters (category L)."""
+    import random
+
+    from binsight.llm import language_codes
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(30)), rng.choice(["en", "fr"])) for i in range(80)]
+    rows += [(1000 + i, t, None) for i, t in enumerate(["²", "½ ①", "__ 12 ٣", "Ⅻ", "́", "", None])] + [(2000, "ª", None), (2001, "字", None)]
+    got = {r.doc_id: r.lang_pred for r in language_codes.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {got[1000 + i] for i in range(7)} == {"und"} and "und" not in (got[2000], got[2001])

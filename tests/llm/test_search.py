@@ -227,3 +227,18 @@ def test_bad_hosts_are_blocked_and_thin_evidence_is_shrunk(spark):
     assert got["once.other.org"].verdict == got["h1.fine.org"].verdict == got["new.example"].verdict == "allow"
     assert 0 < got["once.other.org"].reputation < got["h1.fine.org"].reputation
     assert got["new.farm.biz"].reputation < got["new.biz"].reputation < got["new.example"].reputation      # domain, suffix, whole
+
+
+def test_notices_of_a_very_repetitive_text():
+    """Places of words are looked up, not counted from the front for every match."""
+    import time
+
+    from binsight.llm import license_notices as ln
+    searches = [ln._Search(n) for n in ln.BASE]
+    small = b"cc by x " * 300
+    n, found = ln.notice_spans(small, searches)
+    assert n == 900 and sorted((f[1], f[2]) for f in found) == [(i, i + 1) for i in range(0, 900, 3)]
+    began = time.perf_counter()
+    n, found = ln.notice_spans(b"cc by " * 200_000, searches)
+    assert n == 400_000 and [f[1] for f in found] == list(range(0, 400_000, 2))
+    assert time.perf_counter() - began < 20
