@@ -8,6 +8,8 @@ SQL from the report's definition.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,8 @@ from binsight.operators import sequence as SQ
 from binsight.operators import totals as T
 from binsight.operators.asof import asof_join
 from binsight.operators.repair import clock_repair
+from binsight.operators.sink import read_ordered_rows, write_ordered_rows_json
+from binsight.plans.display import pg_order
 from binsight.sources.bindings import Tables, bind_driver_tables, duckdb_with_clause
 
 # Parameters of the registered queries (chosen for the driver tables' time ranges).
@@ -922,6 +926,27 @@ FROM c WINDOW v AS (PARTITION BY idcomune, idstazione ORDER BY dataora, id)"""))
     lambda s, d: SQ.phase_durations(_tables(s, d).eventi.filter(F.col("idevento") == "TENSIONE_RETE"), _ST, "dataora", "note")
     .select("id", "phase", "phase_seconds"))
 
+def _scratch(spark) -> str:
+    """A new folder that the executors share: under the cluster's checkpoint folder, or
+    a temporary one in a local session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
+    return f"{(shared or tempfile.mkdtemp(prefix='binsight-rows-')).rstrip('/')}/rows-{uuid.uuid4().hex}"
+
+
+@register("o33_ordered_rows", _sql(["eventi"], """
+SELECT row_number() OVER (ORDER BY note DESC NULLS FIRST, idstazione, dataora DESC, id) - 1 AS position, CAST(id AS VARCHAR) AS id,
+       CAST(idstazione AS VARCHAR) AS idstazione, note FROM eventi"""))
+def _ordered_rows(s, d):
+    """Events written as JSON rows in display order, and read back with their positions."""
+    path = _scratch(s)
+    rows = _tables(s, d).eventi.select("id", "idstazione", "note", "dataora")
+    write_ordered_rows_json(rows, path, [pg_order("note", True), pg_order("idstazione"), pg_order("dataora", True)])
+    row = F.col("row")
+    return read_ordered_rows(s, path).select("position", row[0].alias("id"), row[1].alias("idstazione"), row[2].alias("note"))
+
+
 def _asof_entry(s, d, direction, **kw):
     t = _tables(s, d)
     dep = t.conferimenti_evt.select("id", "idcomune", "codicestazione", "dataora")

@@ -131,3 +131,24 @@ def test_finer_buckets_find_the_same_pairs(spark, split):
     R = spark.createDataFrame([(i, k, at(s)) for i, k, s in right], "rid int, rk int, rt timestamp_ntz")
     got = sorted((r.lid, r.rid) for r in interval_match(L, R, ["lk"], ["rk"], "lt", "rt", -30, 90, split=split).collect())
     assert got == sorted((i, j) for i, k, s in left for j, rk, rs in right if k == rk and s - 30 <= rs <= s + 90)
+
+
+def test_ordered_rows_come_back_in_display_order(spark, tmp_path):
+    from binsight.operators.sink import read_ordered_rows, write_ordered_rows_json
+    from binsight.plans.display import pg_order
+    rng = random.Random(4)
+    data = [(i, rng.choice([None, "a", "b", "ß"]), rng.choice([None, 1, 2, 30])) for i in range(500)]
+    df = spark.createDataFrame(data, "id int, s string, n int").repartition(7)
+    path = str(tmp_path / "rows")
+    write_ordered_rows_json(df, path, [pg_order("s", True), pg_order("n")])
+    got = [(r.position, tuple(r.row)) for r in read_ordered_rows(spark, path).orderBy("position").collect()]
+    # PostgreSQL: NULLs first when descending, last when ascending
+    want = sorted(data, key=lambda r: ({None: 0, "ß": 1, "b": 2, "a": 3}[r[1]], r[2] is None, r[2] or 0, r[0]))
+    assert got == [(i, tuple(None if v is None else str(v) for v in r)) for i, r in enumerate(want)]
+    # the first rows of the display: a top-k, no full sort
+    top = df.orderBy(pg_order("s", True), pg_order("n"), "id").limit(5)
+    assert [r.id for r in top.collect()] == [r[0] for r in want[:5]]
+    assert "TakeOrderedAndProject" in top._jdf.queryExecution().executedPlan().toString()
+    empty = str(tmp_path / "none")
+    write_ordered_rows_json(df.limit(0), empty, [pg_order("s")])
+    assert read_ordered_rows(spark, empty).count() == 0
