@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from binsight.operators.sequence import RP
+
 
 def crosstab(df: DataFrame, row: str | Sequence[str], column: str, value: str,
              values: Sequence, other: str, agg=F.sum) -> DataFrame:
@@ -48,9 +50,10 @@ def read_ordered_rows(spark: SparkSession, path: str) -> DataFrame:
     added to a row's place in its own."""
     rows = spark.read.schema("place long, row array<string>").json(path)
     part = F.shiftright("place", 33)
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    return (rows.withColumn("__part", part).join(F.broadcast(counts), F.col("__part") == F.col("part"))
+    # one row per range: bounded by their number, never by the data
+    before = F.sum("n").over(Window.orderBy(RP).rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy(part.alias(RP)).agg(F.count(F.lit(1)).alias("n")).select(RP, F.coalesce(before, F.lit(0)).alias("before"))
+    return (rows.withColumn("__part", part).join(F.broadcast(counts), F.col("__part") == F.col(RP))
                 .select((F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias("position"), "row"))
 
 
