@@ -34,6 +34,8 @@ _CLASS = np.zeros(256, dtype=np.int64)
 for _i, _chars in enumerate((range(97, 123), range(65, 91), range(48, 58), b" \t\r\x0b\x0c", b"\n", b".,;:'\"()-", b"!?", b"#$%&*+/<=>@[\\]^_`{|}~", range(128, 256)), 1):
     _CLASS[list(_chars)] = _i
 _CLASSES = 10
+#: score from which a document is predicted good
+THRESHOLD = 0.7
 FEATURES = ("log_bytes", "lower", "upper", "digits", "blanks", "line_feeds", "sentence_marks", "shouting_marks", "other_marks", "beyond_ascii",
             "word_length", "distinct_words", "repeated_neighbours", "most_frequent_word", "repeated_lines", "marked_words")
 _CHUNK = 4 << 20
@@ -210,7 +212,7 @@ def scorer(model: Model, text_col: str | Column) -> Column:
     return run(F.col(text_col).cast("string") if isinstance(text_col, str) else text_col)
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, per_label: int = 4000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, per_label: int = 4000) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted."""
     model = train(docs, labels, id_col, text_col, per_label=per_label)
     return (docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), scorer(model, text_col).alias("score"))

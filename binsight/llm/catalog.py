@@ -107,7 +107,8 @@ def _strength_sql(groups: str) -> str:
           LEFT JOIN ms ON ms.suffix = regexp_extract(p.host, '[^.]*$'), k),
     b AS (SELECT *, (good + kh * prior) / (n + kh) AS mean FROM h),
     r AS (SELECT *, {_RULE_SQL} AS rule, least(1.0, mean + 1.645 * sqrt(mean * (1 - mean) / (n + kh + 1))) AS upper FROM b)
-    SELECT page_id, host, path, rule, coalesce({_VERDICT_SQL}, CASE WHEN upper < 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM r
+    SELECT page_id, host, path, rule, coalesce({_VERDICT_SQL}, CASE WHEN upper < 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+           n AS n_labelled, round(mean, 6) AS reputation, round(upper, 6) AS upper FROM r
 """)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: the quality label of the document that a page's path names."""
@@ -115,7 +116,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     host, path = host_reputation.host_of(F.col("url")), host_reputation.path_of(F.col("url"))
     named = pages.select(host.alias("host"), F.regexp_extract(path, "/([0-9]+)", 1).try_cast("long").alias("doc_id"))
     outcomes = named.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good")), "doc_id")
-    return host_reputation.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+    return host_reputation.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict", "n_labelled",
+                                                         F.round("reputation", 6).alias("reputation"), F.round("upper", 6).alias("upper"))
 
 
 @query("op5_language_codes")

@@ -8,7 +8,8 @@ of moments for the beta-binomial).  A page is blocked if even the upper bound
 of its host's posterior stays under the threshold, so hosts with little or no
 evidence pass.  Explicit rules (host, path prefix) come first; the longest wins.
 
-Counts are summed map-side, hosts are joined by key, and a page never carries
+Counts are summed map-side and written once per host; the levels above and all
+three strengths are read from that table.  Hosts are joined by key, and a page never carries
 its text: a host with a third of all pages costs a sum and a join whose skewed
 partition can be split.
 
@@ -22,9 +23,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from binsight.llm.common import cut
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -70,11 +73,15 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column
     return out
 
 
-def strength(groups: DataFrame, lowest: float, highest: float) -> float:
+def moments(groups: DataFrame, level: str) -> DataFrame:
+    """One row: the sums over ``groups`` that ``strength`` needs."""
+    return groups.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"),
+                      F.sum(F.col("good").cast("double") * F.col("good") / F.col("n")).alias("gg")).withColumn("level", F.lit(level))
+
+
+def strength(r: Row, lowest: float, highest: float) -> float:
     """Prior strength (alpha + beta) from the spread of shares good / n among
-    ``groups``: the moment estimate of the beta-binomial's overdispersion."""
-    r = groups.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"),
-                   F.sum(F.col("good").cast("double") * F.col("good") / F.col("n")).alias("gg")).first()
+    groups: the moment estimate of the beta-binomial's overdispersion."""
     if r.k < 2 or not 0 < r.g < r.n:
         return highest
     mean = r.g / r.n
@@ -86,14 +93,15 @@ def strength(groups: DataFrame, lowest: float, highest: float) -> float:
 def host_scores(outcomes: DataFrame, host_col: str, good_col: str, z: float = 1.645, lowest: float = 2.0, highest: float = 1000.0) -> tuple[DataFrame, dict]:
     """(host, n, good, mean, upper) of every host with outcomes, and the prior of
     hosts without: strengths per level, the whole's share, suffix and domain tables."""
-    hosts = (outcomes.where(F.col(good_col).isNotNull() & F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host"))
-             .agg(F.count("*").alias("n"), F.sum(F.col(good_col).cast("long")).alias("good"))
-             .withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
+    hosts = cut(outcomes.where(F.col(good_col).isNotNull() & F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host"))
+                .agg(F.count("*").alias("n"), F.sum(F.col(good_col).cast("long")).alias("good"))
+                .withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    total = suffixes.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
-    whole = (total.good + 1) / (total.n + 1) if total.n else 1.0
-    k_host, k_domain, k_suffix = (strength(x, lowest, highest) for x in (hosts, domains, suffixes))
+    levels = {r.level: r for r in moments(hosts, "host").unionByName(moments(domains, "domain")).unionByName(moments(suffixes, "suffix")).collect()}
+    total = levels["suffix"]
+    whole = (total.g + 1) / (total.n + 1) if total.n else 1.0
+    k_host, k_domain, k_suffix = (strength(levels[x], lowest, highest) for x in ("host", "domain", "suffix"))
     suffixes = suffixes.select("suffix", ((F.col("good") + k_suffix * whole) / (F.col("n") + k_suffix)).alias("m_suffix"))
     domains = (domains.join(suffixes, "suffix")
                .select("domain", "m_suffix", ((F.col("good") + k_domain * F.col("m_suffix")) / (F.col("n") + k_domain)).alias("m_domain")))

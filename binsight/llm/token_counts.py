@@ -7,7 +7,8 @@ pair are done, and a sequence's count is the number of surviving symbols.
 
 The normaliser, the splitting pattern, the vocabulary, the merges and the added
 tokens come from the ``tokenizers`` file.  Texts are cut at white space, and the
-count of a cut piece is remembered (up to ``REMEMBERED``), so merging runs over
+count of a cut piece is remembered (up to ``REMEMBERED`` pieces of
+``REMEMBERED_CHARS`` characters in all), so merging runs over
 batches of pieces not seen before.  A step merges one rank per sequence, so a
 single pre-token of over ``LONGEST`` symbols would take a step for nearly every
 rank it holds; such a run of letters without any break is given to the
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from binsight.llm.common import as_bytes, ship, slices
 
 REMEMBERED = 1_000_000
+#: and characters of them: without blanks (Chinese, base64) a chunk is a whole line
+REMEMBERED_CHARS = 32 << 20
 #: symbols of a single pre-token up to which its pairs are merged here
 LONGEST = 20_000
 _NONE = np.int64(1) << 40
@@ -121,6 +124,7 @@ class Counter:
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.opening = [a[:2] for a in added]
         self.seen: dict[str, int] = {}
+        self.seen_chars = 0
 
     def learn(self, chunks: list[str]) -> np.ndarray:
         """Counts of chunks without white space, merged in one batch."""
@@ -156,9 +160,12 @@ class Counter:
             else:
                 chunked.append(_chunks(text))
         missing = set().union(*chunked).difference(self.seen)
-        if len(self.seen) + len(missing) > REMEMBERED:
-            self.seen = {}
+        chars = sum(map(len, missing))
+        if len(self.seen) + len(missing) > REMEMBERED or self.seen_chars + chars > REMEMBERED_CHARS:
+            self.seen, self.seen_chars = {}, 0
             missing = set().union(*chunked)
+            chars = sum(map(len, missing))
+        self.seen_chars += chars
         known, missing = self.seen, list(missing)
         for a in range(0, len(missing), 1 << 15):
             part = missing[a:a + (1 << 15)]

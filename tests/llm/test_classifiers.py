@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -57,6 +58,25 @@ def test_a_mixture_is_ambiguous():
     assert vague[turn] and vague.sum() < 400 and share[turn] < 0.6 < share[0]
 
 
+def plain_decode(model, margins):
+    """Nearest codeword and ambiguity of one text by a double loop over codewords and bits."""
+    total, losses = sum(model.bit_weight) or 1.0, []
+    for row in model.code:
+        losses.append(sum(w * math.log1p(math.exp(-b * m)) for b, m, w in zip(row, margins, model.bit_weight)) / total)
+    near = sorted(losses)
+    return losses.index(near[0]), len(near) > 1 and near[1] - near[0] < model.ambiguous_below
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 9])
+def test_decoding_equals_a_double_loop(n):
+    rng = np.random.default_rng(n)
+    bits = lc.codewords(n).shape[1]
+    model = lc.Model([f"l{i}" for i in range(n)], lc.codewords(n), rng.normal(size=(6, bits)), rng.normal(size=bits), rng.uniform(.1, 1, bits), .05)
+    x = rng.normal(size=(200, 6))
+    best, _, vague = lc.decode(model, x)
+    assert [(int(b), bool(v)) for b, v in zip(best, vague)] == [plain_decode(model, m) for m in x @ model.weights + model.bias]
+
+
 def test_language_edge_rows(spark, edge_docs):
     docs = edge_docs.selectExpr("*", "'xx' as lang")
     got = lc.identify(docs).collect()

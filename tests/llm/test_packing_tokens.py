@@ -43,6 +43,16 @@ def test_remembered_counts_are_dropped_at_the_bound(monkeypatch):
         assert len(own.seen) <= max(50, len(t.split()))
 
 
+def test_remembered_characters_are_bounded(monkeypatch):
+    monkeypatch.setattr(tc, "REMEMBERED_CHARS", 5000)
+    rng = random.Random(8)
+    library, own = tokenizers.Tokenizer.from_file(WORD), tc.Counter(WORD)
+    for _ in range(30):
+        t = "".join(rng.choice("一二三四五六七八") for _ in range(1500)) + " " + "".join(rng.choice("QRSTUV09+/") for _ in range(800))
+        assert own.batch([t, t])[1] == len(library.encode(t, add_special_tokens=False).ids)
+        assert sum(map(len, own.seen)) == own.seen_chars <= 5000
+
+
 def test_pre_tokens_of_any_length(monkeypatch):
     rng = random.Random(3)
     library, texts = tokenizers.Tokenizer.from_file(WORD), ["".join(rng.choice("abcdeé") for _ in range(n)) for n in (1, 50, 3000, 25_000)]

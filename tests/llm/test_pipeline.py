@@ -10,6 +10,7 @@ pytest.importorskip("public_tokenizers")
 import corpus_pipeline as cp  # noqa: E402
 from binsight.llm import additive_quality, language_codes  # noqa: E402
 
+from test_classifiers import language_rows  # noqa: E402
 from test_dedup import brute_documents  # noqa: E402
 from test_search import words  # noqa: E402
 
@@ -140,5 +141,23 @@ def test_registered_queries():
     assert set(entry.oracle_sql()) <= names
 
 
-def test_thresholds_are_the_operators_defaults():
-    assert language_codes.UNKNOWN == "und" and 0 < cp.QUALITY < 1 and additive_quality.FEATURES
+def test_the_models_decide_the_first_two_stages(spark, vocabulary):
+    """Mixed texts go where op5 flags them, and what op10 predicts as 0 goes:
+    neither stage equals a test for letters or another threshold."""
+    rows = language_rows(2, per=80)
+    a, b = ([w for _, t, x in rows if x == l for w in t.split()][:1000] for l in ("l00", "l01"))
+    for share in range(0, 1000, 2):
+        rows.append((len(rows), " ".join(a[:share] + b[:1000 - share]), None))
+    docs = spark.createDataFrame([(i, t, x, None, len(t)) for i, t, x in rows], COLUMNS)
+    own = {r.doc_id: r for r in language_codes.identify(docs).collect()}
+    want = {i for i, r in own.items() if r.lang_pred != "und" and not r.ambiguous}
+    assert set(ids(cp.language_id(spark, docs, ""))) == want and 0 < len(own) - len(want) < 150
+    assert {i for i, _, x in rows if x} <= want
+
+
+def test_quality_stage_takes_the_operators_prediction(spark, data):
+    folder = data[0]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id is not null").dropDuplicates(["doc_id"])
+    own = additive_quality.score(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    assert set(ids(cp.quality(spark, docs, folder))) == {r.doc_id for r in own.where("predicted = 1").collect()}
+    assert {r.predicted == (r.score >= additive_quality.THRESHOLD) for r in own.collect()} == {True}
