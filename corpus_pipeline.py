@@ -1,8 +1,10 @@
 """The corpus pipeline: five stages of the operators in ``binsight.llm``, each
 over all rows its predecessor kept.
 
-1. language ID: texts without a known language (``und``) go;
-2. quality classifier: documents scored below ``QUALITY`` go;
+1. language ID: texts without a known language (``und``) and those that op5 flags
+   ambiguous go;
+2. quality classifier: documents that op10 predicts as 0 (score below its
+   ``THRESHOLD``) go;
 3. MinHash near-dedup: the smallest id of each group stays;
 4. benchmark decontamination: documents with a hit word go;
 5. packing: what is left becomes sequences of tokens.
@@ -22,7 +24,6 @@ from pyspark.sql import functions as F
 from binsight.llm import additive_quality, curve_packing, language_codes, minmax_dedup, phrase_index
 from binsight.llm.common import cut, table
 
-QUALITY = 0.5
 #: words of a shingle in near-dedup, as in op9
 SHINGLE = 4
 #: column names of the stages' own; none of the documents' columns is called so
@@ -32,12 +33,12 @@ _OWN = "__stage_value"
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_codes.train(docs)
     return (docs.withColumn(_OWN, language_codes.predictor(model, "text"))
-            .where(F.col(f"{_OWN}.lang_pred") != language_codes.UNKNOWN).select(docs.columns))
+            .where((F.col(f"{_OWN}.lang_pred") != language_codes.UNKNOWN) & ~F.col(f"{_OWN}.ambiguous")).select(docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = additive_quality.train(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn(_OWN, additive_quality.scorer(model, "text")).where(F.col(_OWN) >= QUALITY).select(docs.columns)
+    return docs.withColumn(_OWN, additive_quality.scorer(model, "text")).where(F.col(_OWN) >= additive_quality.THRESHOLD).select(docs.columns)
 
 
 def _near_dedup_of_rows(docs: DataFrame) -> DataFrame:
