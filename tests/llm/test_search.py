@@ -1,5 +1,6 @@
 """Phrase index, notice search, chat format and host reputation."""
 
+import collections
 import hashlib
 import random
 import re
@@ -85,6 +86,48 @@ def test_proximity_matches(spark):
     assert {r.k1 for r in pi.proximity_matches(docs, items, slop=0).collect()} == {2}
 
 
+def brute_proximity(docs, items, window, terms, slop):
+    """Every place of a window's rarest term in turn, by plain lists."""
+    count = collections.Counter(w for _, t in docs for w in words(t))
+    out = set()
+    for item, text in items:
+        own = words(text)
+        size = min(window, len(own))
+        for s in range(len(own) - size + 1):
+            part = own[s:s + size]
+            rare = sorted(range(size), key=lambda o: (count[part[o]], o))[:terms]
+            if not own or not all(count[w] for w in part):
+                continue
+            for doc, t in docs:
+                w = words(t)
+                for p in (p for p, x in enumerate(w) if x == part[rare[0]]):
+                    if all(any(0 <= q < len(w) and w[q] == part[o] for q in range(p - rare[0] + o - slop, p - rare[0] + o + slop + 1)) for o in rare[1:]):
+                        out.add((doc, item, p - rare[0]))
+    return out
+
+
+@pytest.mark.parametrize("slop", [0, 2])
+def test_proximity_equals_brute_force(spark, slop):
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(40)))) for i in range(60)] + [(60, None), (61, "")]
+    items = [(i, " ".join(rng.choice("abcdefghz") for _ in range(rng.choice([0, 1, 3, 6, 8])))) for i in range(12)]
+    got = pi.proximity_matches(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=5, slop=slop)
+    # ties of rarity have no order by term: a place in the window decides
+    assert {(r.k1, r.item_id, r.start) for r in got.collect()} == brute_proximity(texts, items, 5, 3, slop)
+
+
+def test_one_word_repeated_without_end(spark):
+    """No pair of a document's places and an item's places is formed."""
+    def run(n, m):
+        docs = [(1, "w " * n), (2, "w " * (m - 1) + "x " + "w " * 12), (3, "w " * 9), (4, "x w " * 20)]
+        items = [(1, "w " * m), (2, "w x " * m)]
+        got = pi.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+        return docs, items, sorted(repr((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)) for r in got.collect())
+    docs, items, got = run(60, 25)
+    assert got == brute_contamination(docs, items)
+    assert f"(1, 1000000, 1000000, 1, '{hashlib.sha256(b'1').hexdigest()}', True)" in run(1_000_000, 3000)[2]
+
+
 # ------------------------------------------------------------ op 7
 
 def edits(a, b):
