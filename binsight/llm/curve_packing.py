@@ -5,14 +5,13 @@ dimensions and gets the Hilbert index of its cell.  Documents are range-sorted
 by that index, concatenated in this order and cut into sequences, so that
 neighbours along the curve share sequences.
 
-One shuffle moves each text once: the range of a row is computed from bounds
-over (Hilbert key, tie-break hash), so thousands of copies with one key still
-spread over ranges.  The bounds, and the centre and scale of the projection,
-come from a bounded random sample (``sample_rows`` documents); they steer
-locality and balance only -- every document is packed whatever the sample
-says.  Within a range, whole sequences of ``length`` tokens are filled without
-gaps; the rest of a range (under ``length`` tokens) is cut into sequences whose
-lengths are powers of two, so nothing is padded at all.
+One shuffle moves each text once.  A row's position is its Hilbert key followed by
+the first bits of a tie-break hash, so thousands of copies with one key still spread
+over ranges.  The projected points of all rows are stored; centre and scale are their
+means and deviations, and the range bounds come from the bytes of all rows per
+position prefix (``bounds_of``).  Within a range, whole sequences of ``length`` tokens
+are filled without gaps; the rest of a range (under ``length`` tokens) is cut into
+sequences whose lengths are powers of two, so nothing is padded at all.
 
 Token ids are those of the ``tokenizers`` file.  Texts of plain Latin characters
 are encoded with the same vocabulary as byte ranks (several times faster, same
@@ -37,9 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binsight.llm.common import hashed_vectors, ship, slices
+from binsight.llm.common import hashed_vectors, ship, slices, written
 
 BUCKETS, DIMS, BITS = 256, 4, 12
+#: bits of the tie-break hash in a position, and of a position (never negative as a long)
+TIE_BITS = 15
+POSITION_BITS = DIMS * BITS + TIE_BITS
+#: bits by which a heavy position prefix grows at a time
+STEP = 4
 _SEED = 7
 
 
@@ -85,6 +89,37 @@ def curve_keys(points: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.
     return hilbert_index(np.minimum(((1 << BITS) / (1 + np.exp(-1.7 * z))).astype(np.int64), (1 << BITS) - 1))
 
 
+def positions(key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Places of rows in the order they are packed in."""
+    return (key << TIE_BITS) | (tie.astype(np.uint64) >> np.uint64(64 - TIE_BITS)).astype(np.int64)
+
+
+def bounds_of(placed: DataFrame, n_ranges: int) -> list[int]:
+    """First positions of the second and later ranges of ``placed`` (pos, weight), all
+    rows counted.  Weights are summed by position prefix; a prefix of over a quarter
+    of a range is cut finer until none is left or the position ends, so no step brings
+    more than 64 sums per range to the driver."""
+    bits = min(POSITION_BITS, max(8, (16 * n_ranges).bit_length()))
+    leaves, rows, limit, total = [], placed, None, 0
+    while True:
+        shift = POSITION_BITS - bits
+        sums = [(r.cell << shift, r.w) for r in rows.groupBy(F.shiftright("pos", shift).alias("cell")).agg(F.sum("weight").alias("w")).collect()]
+        if limit is None:
+            total = sum(w for _, w in sums)
+            limit = total / (4 * n_ranges)
+        heavy = [(p,) for p, w in sums if w > limit and shift]
+        leaves += [(p, w) for p, w in sums if not (w > limit and shift)]
+        if not heavy:
+            break
+        cells = placed.sparkSession.createDataFrame(heavy, "cell long")
+        rows = placed.join(cells, F.shiftleft(F.shiftright("pos", shift), shift) == F.col("cell"), "left_semi")
+        bits = min(POSITION_BITS, bits + STEP)
+    leaves.sort()
+    end = np.cumsum([w for _, w in leaves])
+    at = np.searchsorted(end, total * np.arange(1, n_ranges) / n_ranges) + 1
+    return sorted({leaves[i][0] for i in at if i < len(leaves)})
+
+
 # ------------------------------------------------------------ token ids
 
 #: printable ASCII, tab, line feed, carriage return and Latin letters: here both libraries share every character class
@@ -169,7 +204,7 @@ class Packer:
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, separator: int = 0,
-         ranges: int | None = None, sample_rows: int = 20_000) -> DataFrame:
+         ranges: int | None = None) -> DataFrame:
     """Pieces of all documents in sequences of at most ``length`` tokens: doc_id,
     start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
@@ -185,29 +220,24 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column("tie"), size.cast(pa.int64()), *(pa.array(p[:, i]) for i in range(DIMS))],
                                              names=["tie", "size", *(f"x{i}" for i in range(DIMS))])
 
-    total = docs.count()
-    share = min(1.0, sample_rows / max(total, 1))
-    # the hash decides, so a recomputed task samples the same rows
-    part = rows if share == 1.0 else rows.where(F.pmod(F.xxhash64("tie"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = part.mapInArrow(points, "tie long, size long, " + ", ".join(f"x{i} double" for i in range(DIMS))).toPandas()
-    x = sample[[f"x{i}" for i in range(DIMS)]].to_numpy()
-    centre = x.mean(axis=0) if len(x) else np.zeros(DIMS)
-    scale = np.maximum(x.std(axis=0), 1e-9) if len(x) else np.ones(DIMS)
-    bounds = []
-    if len(x):
-        key = curve_keys(x, centre, scale)
-        order = np.lexsort((sample["tie"].to_numpy(), key))
-        weight = np.cumsum(sample["size"].to_numpy()[order] + 500)
-        at = order[np.searchsorted(weight, weight[-1] * np.arange(1, n_ranges) / n_ranges)]
-        bounds = sorted(set(zip(key[at].tolist(), sample["tie"].to_numpy()[at].tolist(), strict=True)))
+    axes = [f"x{i}" for i in range(DIMS)]
+    stored = written(rows.mapInArrow(points, "tie long, size long, " + ", ".join(f"{x} double" for x in axes)))
+    found = stored.agg(*(F.avg(x) for x in axes), *(F.stddev_pop(x) for x in axes)).first()
+    centre = np.array([v or 0.0 for v in found[:DIMS]])
+    scale = np.maximum([v or 0.0 for v in found[DIMS:]], 1e-9)
+
+    def weigh(batches):
+        for batch in batches:
+            key = curve_keys(np.stack([batch.column(x).to_numpy() for x in axes], axis=1), centre, scale)
+            yield pa.RecordBatch.from_arrays([pa.array(positions(key, batch.column("tie").to_numpy())), pa.array(batch.column("size").to_numpy() + 500)],
+                                             names=["pos", "weight"])
+
+    bounds = np.array(bounds_of(written(stored.mapInArrow(weigh, "pos long, weight long")), n_ranges), dtype=np.int64)
 
     def place(batches):
-        b_key, b_tie = np.array([b[0] for b in bounds], dtype=np.int64), np.array([b[1] for b in bounds], dtype=np.int64)
         for batch in slices(batches, 2 << 20):
             key = curve_keys(projected([b.as_py() for b in batch.column("body")]), centre, scale)
-            tie = batch.column("tie").to_numpy()
-            first, last = np.searchsorted(b_key, key, "left"), np.searchsorted(b_key, key, "right")
-            rid = np.array([a + np.searchsorted(b_tie[a:z], t, "left") for a, z, t in zip(first, last, tie, strict=True)], dtype=np.int32)
+            rid = np.searchsorted(bounds, positions(key, batch.column("tie").to_numpy()), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), batch.column("body"), pa.array(key), pa.array(rid)],
                                              names=["doc_id", "tie", "body", "key", "rid"])
 

@@ -117,13 +117,13 @@ def check_packing(rows, texts, length=1024):
     assert set(docs) == set(texts)
 
 
-@pytest.mark.parametrize("ranges,sample", [(1, 100), (5, 100), (5, 4)])
-def test_pieces_cover_every_document(spark, edge_docs, edge_rows, ranges, sample):
+@pytest.mark.parametrize("ranges", [1, 5, 40])
+def test_pieces_cover_every_document(spark, edge_docs, edge_rows, ranges):
     library = tokenizers.Tokenizer.from_file(BYTE)
     texts = {}
     for i, t in edge_rows:
         texts.setdefault(i, []).append(np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4"))
-    check_packing(cp.pack(edge_docs, BYTE, ranges=ranges, sample_rows=sample).collect(), texts)
+    check_packing(cp.pack(edge_docs, BYTE, ranges=ranges).collect(), texts)
 
 
 def test_packing_of_an_empty_table_and_of_many_copies(spark, edge_docs):
@@ -134,6 +134,30 @@ def test_packing_of_an_empty_table_and_of_many_copies(spark, edge_docs):
     assert len({r.doc_id for r in rows}) == 500
 
 
+def test_range_bounds_balance_all_rows(spark):
+    """No sample: ranges hold about the same weight, hot positions and hot prefixes included."""
+    rng = random.Random(6)
+    top = 1 << cp.POSITION_BITS
+    rows = [(rng.randrange(top), 10) for _ in range(3000)] + [(top // 3 + rng.randrange(1 << 20), 10) for _ in range(3000)]       # a third under one prefix
+    rows += [(top - 1, 1)] * 5 + [(0, 1)]
+    df = spark.createDataFrame(rows, "pos long, weight long")
+    bounds = np.array(cp.bounds_of(df, 7))
+    share = np.bincount(np.searchsorted(bounds, [p for p, _ in rows], "right"), [w for _, w in rows])
+    assert len(bounds) == 6 and share.max() < 1.3 * share.mean() and share.min() > 0.7 * share.mean()
+    hot = spark.createDataFrame([(5, 1000)] * 400 + rows, "pos long, weight long")
+    bounds = cp.bounds_of(hot, 7)
+    share = np.bincount(np.searchsorted(bounds, [5] * 400 + [p for p, _ in rows], "right"), [1000] * 400 + [w for _, w in rows])
+    assert share[0] <= 410_000 and bounds == sorted(set(bounds))        # one position is one range at most
+    assert cp.bounds_of(df.limit(0), 7) == []
+
+
+def test_positions_keep_the_order_of_keys():
+    key = np.array([0, 1, 1, (1 << cp.DIMS * cp.BITS) - 1])
+    tie = np.array([-1, 3, -3, 2 ** 62], dtype=np.int64)
+    at = cp.positions(key, tie)
+    assert (at >= 0).all() and (at >> cp.TIE_BITS == key).all() and at[1] < at[2] and at.max() < 1 << cp.POSITION_BITS
+
+
 def test_neighbours_on_the_curve_share_sequences(spark, vocabulary):
     """Two kinds of text, interleaved by id: sequences hold mostly one kind."""
     rng = random.Random(1)
