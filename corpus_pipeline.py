@@ -5,29 +5,28 @@ over all rows its predecessor kept.
    ambiguous go;
 2. quality classifier: documents that op10 predicts as 0 (score below its
    ``THRESHOLD``) go;
-3. MinHash near-dedup: the smallest id of each group stays;
+3. MinHash near-dedup: the row with the smallest id of each group stays;
 4. benchmark decontamination: documents with a hit word go;
 5. packing: what is left becomes sequences of tokens.
 
 Stages 1 to 4 return the columns of ``documents``.  A row with a null id is a
 document of its own; rows that share id and text are one document, different
-texts under one id are documents of their own, of which the smallest text comes
-first.  Empty input gives empty output at every stage.
+texts under one id are documents of their own, of which the one with the smallest
+text hash comes first.  Empty input gives empty output at every stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from binsight.llm import additive_quality, curve_packing, language_codes, minmax_dedup, phrase_index
-from binsight.llm.common import cut, table
+from binsight.llm.common import cut, table, written
 
 #: words of a shingle in near-dedup, as in op9
 SHINGLE = 4
 #: column names of the stages' own; none of the documents' columns is called so
-_OWN = "__stage_value"
+_OWN, _FIRST = "__stage_value", "__stage_first"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,32 +40,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.withColumn(_OWN, additive_quality.scorer(model, "text")).where(F.col(_OWN) >= additive_quality.THRESHOLD).select(docs.columns)
 
 
-def _near_dedup_of_rows(docs: DataFrame) -> DataFrame:
-    """Distinct (id, text) are documents, numbered in their order."""
-    k1, k2 = phrase_index.row_key("doc_id", "text")
-    keyed = docs.where("doc_id is not null").withColumn(_OWN, F.struct(k1.alias("k1"), k2.alias("k2")))
-    numbered = cut(keyed.select("doc_id", "text", _OWN).dropDuplicates([_OWN]).orderBy("doc_id", F.col("text").asc_nulls_first(), _OWN)
-                   .select("text", _OWN, F.monotonically_increasing_id().alias("row")))
-    kept = minmax_dedup.near_duplicates(numbered, "row", k=SHINGLE).where("kept").select(F.col("doc_id").alias("row"))
-    stay = numbered.join(kept, "row").select(_OWN)
-    first = W.partitionBy(_OWN).orderBy(*(F.col(c).cast("string") for c in docs.columns))
-    one = keyed.join(stay, _OWN, "left_semi").withColumn(f"{_OWN}_n", F.row_number().over(first)).where(F.col(f"{_OWN}_n") == 1)
-    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
-
-
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias(_OWN))
-    if not texts.groupBy("doc_id").agg(F.min(_OWN).alias("a"), F.max(_OWN).alias("b")).where("a <> b").isEmpty():
-        return _near_dedup_of_rows(docs)
-    found = cut(minmax_dedup.near_duplicates(docs, k=SHINGLE).select("doc_id", "kept"))
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    first = W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), *(F.col(c).cast("string") for c in docs.columns))
-    one = (kept.join(again, "doc_id", "left_semi").withColumn(_OWN, F.row_number().over(first)).where(F.col(_OWN) == 1))
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+    _, text_hash = phrase_index.row_key("doc_id", "text")
+    # all that decides between rows of a group, smallest first
+    first = F.struct(F.col("doc_id").cast("long").alias("id"), text_hash.alias("text"), F.col("text").isNotNull().alias("given"),
+                     F.xxhash64(*(F.col(c).cast("string") for c in docs.columns)).alias("all"))
+    rows = written(docs.where("doc_id is not null").withColumn(_FIRST, first).withColumn(_OWN, F.monotonically_increasing_id()))
+    found = minmax_dedup.near_duplicates(rows, _OWN, k=SHINGLE).select(F.col("doc_id").alias(_OWN), "n_shingles", "component_id")
+    # rows without words are linked with nothing: only the same id and text make one document of them
+    linked = F.col("n_shingles") > 0
+    stay = (rows.select(_OWN, _FIRST).join(found, _OWN)
+            .groupBy(linked.alias("linked"), F.when(linked, F.col("component_id")).otherwise(F.col(f"{_FIRST}.id")).alias("of"),
+                     F.when(~linked, F.col(f"{_FIRST}.text")).alias("text"))
+            .agg(F.min(F.struct(_FIRST, _OWN)).alias("first")).select(F.col(f"first.{_OWN}").alias(_OWN)))
+    return rows.join(stay, _OWN, "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
