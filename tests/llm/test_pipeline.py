@@ -107,6 +107,33 @@ def test_texts_under_one_id_are_documents_of_their_own(spark, vocabulary):
     assert got == collections.Counter([(3, a), (7, b), (9, c), (None, a), (None, a), (11, None)])          # a null text is an empty one
 
 
+def test_rows_of_repeated_ids_equal_brute_force(spark, vocabulary):
+    """Ids at random: groups are those of the rows, one row of the smallest id stays in each."""
+    rng = random.Random(33)
+    rows, base = [], []
+    for g in range(25):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([2, 30, 60]))]
+        for _ in range(rng.choice([1, 2, 5])):
+            own = list(base)
+            if rng.random() < .4:
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            rows.append((rng.randrange(40), " ".join(own)))
+    rows += [(5, ""), (5, None), (5, " "), (6, ""), (6, ""), *rows[:7]]
+    groups = brute_documents([(n, t) for n, (_, t) in enumerate(rows)])
+    members = collections.defaultdict(list)
+    for n, (size, c) in groups.items():
+        members[c if size else (rows[n][0], rows[n][1] or "")].append(n)
+    docs = spark.createDataFrame([(i, t, "xx", None, None) for i, t in rows], COLUMNS)
+    got = collections.Counter((r.doc_id, r.text) for r in cp.near_dedup(spark, docs, "").collect())
+    left = collections.Counter(got)
+    for own in members.values():
+        least = min(rows[n][0] for n in own)
+        kept = {rows[n] for n in own if rows[n][0] == least} & set(left)
+        assert len(kept) == 1, own
+        left -= collections.Counter(kept)
+    assert not left
+
+
 def test_run_applies_all_stages(spark, data):
     folder = data[0]
     docs = spark.read.parquet(f"{folder}/documents.parquet")
