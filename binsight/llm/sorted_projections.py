@@ -16,8 +16,9 @@ members of other components, in blocks of bounded size.
 Direct links are then counted, not listed.  All vectors within half the
 threshold's angle of their component's mean direction are linked with one
 another for certain (triangle inequality on the sphere), so for them the count
-is the size of that ball; only vectors outside it are compared one by one with
-the members of their component.  A large group of copies so costs a sum.
+is the size of that ball; only vectors outside it are compared with the members of
+their component, in blocks of bounded size that return counts.  A large group of
+copies so costs a sum.
 
 Neighbours at the threshold agree on one bit with ``1 - angle / pi``, so they
 share a cell with that to the power of ``bits``; the number of passes holds the
@@ -305,20 +306,43 @@ def _inside(cosine: float):
     return run
 
 
-def _linked(threshold: float):
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            near = np.zeros(b.num_rows, dtype=bool)
-            for own in _by_size(b.column("v")).values():
-                take = pa.array(own)
-                near[own] = (unit(_stack(b.column("v").take(take))) * unit(_stack(b.column("w").take(take)))).sum(axis=1) >= threshold
-            at = pa.array(np.flatnonzero(near))
-            yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in ("a", "b", "inside")], names=["a", "b", "inside"])
+def _counts(threshold: float):
+    """Links of one block of vectors outside their component's ball with one block of all
+    its vectors, counted at the outer end and, where it lies inside, at the other."""
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        names, at = np.unique(block.column("vec_id").to_numpy(), return_inverse=True)
+        side, inside = block.column("outer").to_numpy(zero_copy_only=False), block.column("inside").to_numpy(zero_copy_only=False)
+        x = unit(_stack(block.column("v")))
+        outer, all_ = np.flatnonzero(side), np.flatnonzero(~side)
+        found = [np.zeros(0, dtype=np.int64)]
+        for s in range(0, len(outer), _BLOCK):
+            a, b = np.nonzero(x[outer[s:s + _BLOCK]] @ x[all_].T >= threshold)
+            a, b = outer[s:s + _BLOCK][a], all_[b]
+            found.append(((at[a] * len(names) + at[b]) * 2 + inside[b])[at[a] != at[b]])
+        pair, within = np.divmod(np.unique(np.concatenate(found)), 2)         # repeated rows count once
+        a, b = np.divmod(pair, max(len(names), 1))
+        c = np.bincount(np.concatenate([a, b[within == 1]]), minlength=len(names))
+        keep = np.flatnonzero(c)
+        return pa.table({"vec_id": pa.array(names[keep], pa.int64()), "c": pa.array(c[keep], pa.int64())})
     return run
 
 
+def _outer_links(members: DataFrame, threshold: float) -> DataFrame:
+    """(vec_id, c): links with at least one end outside a ball, counted in blocks of
+    about ``_CELL_ROWS`` vectors; an id's rows share a block."""
+    blocks = lambda n: F.ceil(n / _CELL_ROWS).cast("long")
+    sizes = (members.groupBy("component").agg(F.count_if(~F.col("inside")).alias("o"), F.count("*").alias("n")).where("o > 0")
+             .select(fresh("component"), blocks(F.col("o")).alias("out"), blocks(F.col("n")).alias("whole")))
+    i, j = (F.pmod(F.xxhash64("vec_id"), F.col(n)) for n in ("out", "whole"))
+    as_any = F.transform(_upto("out"), lambda x: F.struct(x.alias("i"), j.alias("j"), F.lit(False).alias("outer")))
+    as_outer = F.transform(_upto("whole"), lambda x: F.struct(i.alias("i"), x.alias("j"), F.lit(True).alias("outer")))
+    cells = (members.join(sizes, "component")
+             .withColumn("cell", F.explode(F.when(F.col("inside"), as_any).otherwise(F.concat(as_any, as_outer))))
+             .select("component", "cell.i", "cell.j", "cell.outer", "vec_id", "v", "inside"))
+    return cells.groupBy("component", "i", "j").applyInArrow(_counts(threshold), "vec_id long, c long")
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
                     threshold: float = 0.93, window: int = 64, miss: float = 1e-4, passes: int | None = None) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
@@ -334,14 +358,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     members = cut(members.join(cut(centres), "component").select("component", "vec_id", "v", "centre")
                   .mapInArrow(_inside(half), "component long, vec_id long, v binary, inside boolean"))
     ball = cut(members.where("inside").groupBy("component").agg(F.countDistinct("vec_id").alias("size")))
-    out = members.where("not inside").select("component", F.col("vec_id").alias("a"), "v")
-    pairs = (out.join(members.select("component", F.col("vec_id").alias("b"), F.col("v").alias("w"), "inside"), "component")
-             .where("a <> b").select("a", "b", "v", "w", "inside").mapInArrow(_linked(threshold), "a long, b long, inside boolean").distinct())
-    pairs = cut(pairs)
-    single = (pairs.select(F.col("a").alias("vec_id")).unionByName(pairs.where("inside").select(F.col("b").alias("vec_id")))
-              .groupBy("vec_id").agg(F.count("*").alias("c")))
     in_ball = members.where("inside").select("vec_id", "component").distinct().join(ball, "component").select("vec_id", (F.col("size") - 1).alias("c"))
-    counts = single.unionByName(in_ball).groupBy("vec_id").agg(F.sum("c").alias("c"))
+    counts = _outer_links(members, threshold).unionByName(in_ball).groupBy("vec_id").agg(F.sum("c").alias("c"))
     per_id = groups.withColumnRenamed("id", "vec_id").join(counts, "vec_id", "left")
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
     return own.join(per_id, "vec_id", "left").select(

@@ -221,6 +221,18 @@ def test_a_large_group_of_copies_is_counted_without_pairs(spark):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
 
 
+@pytest.mark.parametrize("n,size", [(500, 64), (3000, 1024)])
+def test_an_arc_of_vectors_is_counted_in_blocks(spark, monkeypatch, n, size):
+    """One long component, nearly all of it outside the ball: links are those within the angle."""
+    monkeypatch.setattr(sp, "_CELL_ROWS", size)
+    step = 5.0 / n
+    rows = [(i, [math.cos(i * step), math.sin(i * step), 0.0, 0.0], 1) for i in range(n)]
+    got = sp.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    reach = int(math.acos(0.93) / step)
+    assert {r.vec_id: r.n_links for r in got} == {i: min(i, reach) + min(n - 1 - i, reach) for i in range(n)}
+    assert {r.component_id for r in got} == {0}
+
+
 def test_vector_edge_rows(spark, clashes):
     e = [1.0, 2.0, 3.0]
     rows = [(1, e, 1), (2, [2.0, 4.0, 6.0], 1), (3, e, None), (4, None, 1), (5, [], 1), (6, [0.0, 0.0, 0.0], 1), (7, [1.0, None, 3.0], 1), (8, [float("nan"), 2.0, 3.0], 1),
