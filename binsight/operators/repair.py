@@ -41,10 +41,11 @@ def clock_repair(df: DataFrame, cutoff, keys=("idcomune", "codicestazione"), seq
     compared with the previous station's last), the three classes are a
     UNION, so a record can be emitted twice (class 1 and class 0/2), the island
     counter runs over all stations and includes such twins as peers, and ``nuovadataora`` uses the
-    global LAG.  Twins are ordered by class (the original order is arbitrary).
+    global LAG.  Twins are ordered by class (the original order is arbitrary).  ``only``
+    is applied after the steps that cross stations.
     """
     if literal:
-        out = _clock_repair_literal(df, cutoff, list(keys), seq, ts, restart_gap_seconds, min_id, valid)
+        out = _clock_repair_literal(df, cutoff, list(keys), seq, ts, restart_gap_seconds, min_id, valid, only or {})
         for c, v in (only or {}).items():
             out = out.filter(F.col(c) == v)
         return out
@@ -101,48 +102,53 @@ def clock_repair(df: DataFrame, cutoff, keys=("idcomune", "codicestazione"), seq
              .drop("__pr", "__pts", "__pdelta", "__pnuova", "__first2", "__possum"))
 
 
-def _clock_repair_literal(df, cutoff, keys, seq, ts, restart_gap_seconds, min_id, valid):
+def _clock_repair_literal(df, cutoff, keys, seq, ts, restart_gap_seconds, min_id, valid, only):
     x = df if valid is None else df.filter(valid)
     cut = as_ts(cutoff)
     x = x.withColumn("__side", F.when(F.col(ts) > cut, 1).when(F.col(ts) < cut, -1).otherwise(0))
-    order = [*keys, seq]
-    # global LAG, global per-side LAG (as last time seen on the side), and the
-    # island counter -- all on one range partitioning in (keys, seq) order
-    g1 = Sequence(x, order=order).apply([
+    # global LAG and global per-side LAG (as last time seen on the side); this and
+    # the next step are on one range partitioning in (keys, seq) order
+    g1 = Sequence(x, order=[*keys, seq]).apply([
         Lag("__prev_ts", ts),
         Running("__prev_pos", F.when(F.col("__side") == 1, F.col(ts)), "last_nonnull", exclusive=True),
-        Running("__prev_neg", F.when(F.col("__side") == -1, F.col(ts)), "last_nonnull", exclusive=True)])
+        Running("__prev_neg", F.when(F.col("__side") == -1, F.col(ts)), "last_nonnull", exclusive=True)], whole=True)
     prev_side = F.when(F.col("__side") == 1, F.col("__prev_pos")).when(F.col("__side") == -1, F.col("__prev_neg"))
-    d_all = micros_between(ts, "__prev_ts")
-    d_side = micros_between(F.col(ts), prev_side)
-    in_scope = F.lit(True) if min_id is None else (F.col(seq) > min_id)
-    # island counter per record = the original running COUNT whose frame
-    # includes a record's twin rows as peers
-    g1 = g1.apply([Running("conteggio", F.when((d_all < 0) & in_scope, F.lit(1)), "count")])
-    rec = (g1.df.withColumn("__d_all", d_all).withColumn("__d_side", d_side)
-               .withColumn("__classes", F.filter(F.array(
-                   F.when(F.col("__d_all") < 0, F.lit(1)),
-                   F.when((F.col("__side") == 1) & (F.col("__d_side") > 0), F.lit(0)),
-                   F.when((F.col("__side") == -1) & (F.col("__d_side") > 0), F.lit(2))), lambda c: c.isNotNull()))
-               .filter((F.size("__classes") > 0) & in_scope))
-    rows = (rec.withColumn("riavvio", F.explode("__classes"))
+    rec = g1.df.withColumn("__d_all", micros_between(ts, "__prev_ts")).withColumn("__d_side", micros_between(F.col(ts), prev_side))
+    if min_id is not None:
+        rec = rec.filter(F.col(seq) > min_id)
+    jump = F.col("__d_all") < 0
+    step = F.when(F.col("__d_side") > 0, F.when(F.col("__side") == 1, 0).when(F.col("__side") == -1, 2))
+    classes = (F.when(jump & step.isNotNull(), F.array(F.lit(1), step)).when(jump, F.array(F.lit(1)))
+                .when(step.isNotNull(), F.array(step)))
+    rows = (rec.withColumn("riavvio", F.explode(classes))
                .withColumn("delta_dataora", F.when(F.col("riavvio") == 1, F.col("__d_all")).otherwise(F.col("__d_side")))
                .withColumn("flag", F.col("riavvio") == 1)
-               .drop("__classes", "__d_all", "__d_side", "__prev_ts", "__prev_pos", "__prev_neg", "__side"))
-    g = g1._with(rows, more_order=["riavvio"])
-    g = g.apply([Lag("__gpr", "riavvio", group=[]), Lag("__gpts", ts, group=[]),
-                 Lag("__gpdelta", "delta_dataora", group=[]), Lag("__pr", "riavvio", group=keys)])
-    nuova = (F.when((F.col("riavvio") == 1) & (F.col("__gpr") == 0), F.col("__gpts") + interval_seconds(restart_gap_seconds))
-              .when((F.col("riavvio") == 2) & (F.col("__gpr") == 1), F.col("__gpts") - interval_micros(F.col("__gpdelta"))))
-    g = g._with(g.df.withColumn("nuovadataora", nuova.cast("timestamp_ntz")))
+               .withColumn("__jump_next", jump & (F.col("riavvio") == 0))
+               .drop("__d_all", "__d_side", "__prev_ts", "__prev_pos", "__prev_neg", "__side"))
+    key = F.struct(*[F.col(k) for k in keys])
+    g = g1._with(rows, more_order=["riavvio"]).apply([
+        Lag("__prev", F.struct(F.col("riavvio").alias("r"), F.col(ts).alias("t"), F.col("delta_dataora").alias("d"), key.alias("k")), group=[]),
+        Running("conteggio", F.when(F.col("flag"), F.lit(1)), "count")], whole=True)
+    nuova = (F.when((F.col("riavvio") == 1) & (F.col("__prev.r") == 0), F.col("__prev.t") + interval_seconds(restart_gap_seconds))
+              .when((F.col("riavvio") == 2) & (F.col("__prev.r") == 1), F.col("__prev.t") - interval_micros(F.col("__prev.d"))))
+    # the original running COUNT has a record's twin rows as peers: a class-0 row
+    # counts the jump of its twin, which is next to it
+    z = (g.df.withColumn("nuovadataora", nuova.cast("timestamp_ntz"))
+             .withColumn("conteggio", F.col("conteggio") + F.when(F.col("__jump_next"), 1).otherwise(0))
+             .withColumn("__pr", F.when(F.col("__prev.k").eqNullSafe(key), F.col("__prev.r")))
+             .drop("__prev", "__jump_next"))
+    # what follows stays within an island, so within a station
+    for c, v in only.items():
+        if c in keys:
+            z = z.filter(F.col(c) == v)
     island = [*keys, "conteggio"]
     first2 = F.when(F.col("riavvio") == 2, F.struct(F.col(seq).alias("s"), F.col("nuovadataora").alias("v")))
-    g = g.apply([Lag("__pnuova", "nuovadataora", group=island),
-                 Running("__first2", first2, "first_nonnull", group=island),
-                 Running("__possum", F.when(F.col("delta_dataora") > 0, F.col("delta_dataora")), "sum", group=island)])
-    z = g.result()
+    z = g._with(z).apply([
+        Lag("__pnuova", "nuovadataora", group=island),
+        Running("__first2", first2, "first_nonnull", group=island),
+        Running("__possum", F.when(F.col("delta_dataora") > 0, F.col("delta_dataora")), "sum", group=island)], whole=True).result()
     nuova2 = (F.when((F.col("riavvio") == 2) & (F.col("__pr") == 1), F.col("__pnuova") + interval_micros(F.col("delta_dataora")))
                .when((F.col("riavvio") == 2) & (F.col("__pr") == 2), F.col("__first2.v") + interval_micros(F.col("__possum"))))
     return (z.withColumn("nuovadataora2", nuova2.cast("timestamp_ntz")).withColumn("idn", F.col(seq))
              .withColumn("delta_dataora", F.col("delta_dataora") / 1_000_000.0)
-             .drop("__gpr", "__gpts", "__gpdelta", "__pr", "__pnuova", "__first2", "__possum"))
+             .drop("__pr", "__pnuova", "__first2", "__possum"))

@@ -90,6 +90,14 @@ def test_range_id_is_a_search_of_the_bounds(spark):
         assert got == {i: sum(b <= i for b in bounds) for i in range(-2, 40)}
 
 
+@pytest.mark.parametrize("n", [2, 7, 65])
+def test_sequence_ranges_are_those_of_range_id(spark, n):
+    df = spark.range(5000).select(F.when(F.col("id") % 11 > 0, F.col("id") * 7919 % 409).alias("a"), "id")
+    got = Sequence(df, order=["a", "id"], partitions=n).df.withColumn("b", range_bounds(df, ["a", "id"], n))
+    assert got.count() == 5000 and got.filter(F.col(RP) != range_id("b", F.struct("a", "id"), n)).count() == 0
+    assert got.select(RP).distinct().count() == n
+
+
 def test_equal_keys_and_no_rows(spark):
     same = spark.range(3000).select(F.lit(1).alias("a"), F.lit(2).alias("b"))
     assert Sequence(same, order=["a", "b"], partitions=5).row_number("n").result().agg(F.max("n")).first()[0] == 3000

@@ -176,6 +176,74 @@ def test_clock_repair_sums_whole_microseconds(spark):
     assert clock_repair(_deposits(spark, [(1, 2, 1, t0, d)]), cutoff="2016-12-31", only={"idcomune": 3}).count() == 0
 
 
+def test_literal_clock_repair_shuffles_its_rows_twice(spark):
+    """All rows once, whatever columns they have, and the station's rows once:
+    the summary and the result of a step share one exchange."""
+    df = spark.range(400).selectExpr("id", "cast(id % 3 as int) as idcomune", "cast(id % 4 as int) as codicestazione", "cast(id as string) as codicetag",
+                                     "timestamp_ntz'2016-12-01' + make_dt_interval(id * 7919 % 101) as dataora")
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for only in (None, {"idcomune": 2, "codicestazione": 1}):
+            plan = clock_repair(df, cutoff="2016-12-31", literal=True, only=only)._jdf.queryExecution().executedPlan().toString()
+            deals = [x.lstrip(" :+-") for x in plan.splitlines() if "direct_shuffle_partition_id" in x]
+            assert sum(x.startswith("Exchange") for x in deals) == 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+
+
+def _literal_by_hand(rows, cut, min_id, only):
+    us = lambda a, b: None if a is None or b is None else round((a - b) / dt.timedelta(microseconds=1))
+    before, at_side, jumps, found = None, {}, 0, []
+    for i, c, st, t, _ in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        side = 0 if t is None or t == cut else 1 if t > cut else -1
+        d_all, d_side = us(t, before), us(t, at_side.get(side)) if side else None
+        before = t
+        if side:
+            at_side[side] = t
+        if i <= min_id:
+            continue
+        jump = d_all is not None and d_all < 0
+        jumps += jump
+        kinds = [1] * jump + [1 - side] * (d_side is not None and d_side > 0)
+        found += [(c, st, i, t, k, d_all if k == 1 else d_side, jumps) for k in sorted(kinds)]
+    out, last, rebuilt, first2, total = {}, None, {}, {}, {}
+    for c, st, i, t, k, d, n in found:
+        pk, pt, pd, pst = last or (None, None, None, None)
+        new = pt + dt.timedelta(seconds=30) if (k, pk) == (1, 0) else pt - dt.timedelta(microseconds=pd) if (k, pk) == (2, 1) else None
+        island, same = (c, st, n), pst == (c, st)
+        if k == 2:
+            first2.setdefault(island, new)
+        total[island] = total.get(island, 0) + max(d, 0)
+        base = (rebuilt.get(island), d) if same and (k, pk) == (2, 1) else (first2.get(island), total[island]) if same and (k, pk) == (2, 2) else (None, 0)
+        new2 = base[0] + dt.timedelta(microseconds=base[1]) if base[0] else None
+        rebuilt[island], last = new, (k, t, d, (c, st))
+        if not only or (c, st) == only:
+            out[i, k] = (c, st, t, d / 1e6, k == 1, n, new, new2)
+    return out
+
+
+def test_literal_clock_repair_by_hand(spark):
+    """Twin rows, jumps across stations, rows at the cutoff and without a time, one
+    station and all, a smallest id."""
+    rng, cut = random.Random(51), dt.datetime(2016, 12, 31)
+    for n, parts, min_id, only in ((150, "3", None, None), (250, "9", 60, (2, 1))):
+        rows = []
+        for i in range(1, n + 1):
+            t = cut + dt.timedelta(seconds=rng.choice([-3600, -60, 0, 60]) + (rng.randrange(120) if i % 9 else 0), microseconds=rng.choice([0, 250_001]))
+            rows.append((i, rng.randrange(1, 4), rng.randrange(3), None if i % 37 == 0 else cut if i % 23 == 0 else t, None))
+        was = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            out = clock_repair(_deposits(spark, rows).repartition(3), cutoff="2016-12-31", literal=True, min_id=min_id,
+                               only=only and dict(zip(("idcomune", "codicestazione"), only))).collect()
+            got = {(r.idn, r.riavvio): (r.idcomune, r.codicestazione, r.dataora, r.delta_dataora, r.flag, r.conteggio, r.nuovadataora, r.nuovadataora2)
+                   for r in out}
+            assert len(got) == len(out) and got == _literal_by_hand(rows, cut, min_id or 0, only)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_active_inactive(spark):
     from binsight.operators.totals import active_inactive
     dim = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "id int, tag string")
