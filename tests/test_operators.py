@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from binsight.operators.matching import interval_match
@@ -36,6 +37,30 @@ def test_interval_match_equals_naive(spark):
         assert got == exp, (lo, hi)
 
 
+@pytest.mark.parametrize("lo, hi, split", [(0, 120, 1), (-10, 0, 1), (-300, 45, 4), (-0.75, 0.5, 1), (7, 7, 1), (0, 1000, 3)])
+def test_interval_match_first_is_the_earliest_pair(spark, lo, hi, split):
+    """Repeated left rows stay, repeated right rows count once, NULL keys and times match nothing."""
+    rnd = random.Random(11)
+    base = dt.datetime(2024, 1, 1)
+    some = lambda: base + dt.timedelta(seconds=rnd.randint(0, 400), milliseconds=rnd.choice([0, 0, 250, 999]))
+    left = [(i, rnd.choice([0, 1, 2, None]), some()) for i in range(150)]
+    left += left[:9] + [(500, 0, None)]
+    right = [(j, rnd.choice([0, 1, 1, None]), some()) for j in range(90)]
+    right += [(j + 1000, k, ts) for j, k, ts in right[:30]] + right[:5] + [(2000, 0, None)]
+    L = spark.createDataFrame(left, "lid int, lk int, lt timestamp_ntz")
+    R = spark.createDataFrame(right, "rid int, rk int, rt timestamp_ntz")
+    got = interval_match(L, R, ["lk"], ["rk"], "lt", "rt", lo, hi, split=split, first=True)
+    assert got.columns == [*L.columns, *R.columns]
+    want = []
+    for a, ka, ta in left:
+        near = [(tb, b) for b, kb, tb in right if None not in (ka, kb, ta, tb) and ka == kb
+                and ta + dt.timedelta(seconds=lo) <= tb <= ta + dt.timedelta(seconds=hi)]
+        if near:
+            at = min(near)[0]
+            want.append((a, ka, ta, min(b for tb, b in near if tb == at), ka, at))
+    assert want and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_exact_duplicates_lists_ids_numerically(spark):
     df = spark.createDataFrame([(10, "a"), (9, "a"), (100, "a"), (5, "b")], "id long, k string")
     r = exact_duplicates(df, ["k"], "id").collect()

@@ -1,6 +1,7 @@
 """Reports on hand-made fixture rows that hit the documented traps."""
 
 import datetime as dt
+import random
 
 from binsight.plans import deposits as D
 from binsight.plans import events as E
@@ -179,6 +180,92 @@ def test_wrong_bin_simultaneous_deposits_at_two_stations(spark):
     assert literal == ["Alfa 4"]            # DISTINCT ON without the station keeps one of the two
 
 
+def _wrong_bins(deposits, events, bins, start, end, before, after, window):
+    """R19 by all pairs of openings, closings and deposits; of a cycle's candidates the
+    smallest matching input counts, then a closing that reports it."""
+    s = lambda x: dt.timedelta(seconds=x)
+
+    def reported(note):
+        try:
+            return int(note) if note is not None and 1 <= len(note.encode()) <= 3 else None
+        except ValueError:
+            return None
+    found = {}
+    for station in {b[1] for b in bins}:
+        inputs = {b[3] for b in bins if b[1] == station} - {None}
+        closes = sorted({(e[4], e[5]) for e in events if e[2] == station and e[3] == "CHIUSURA" and e[4] >= start},
+                        key=lambda e: (e[0], e[1] is not None, e[1] or ""))[:-1]
+        opens = [(e[4], e[5]) for e in events if e[2] == station and e[3] == "APERTURA" and start.date() <= e[4].date() <= end.date()]
+        cycles = {}
+        for a, note in opens:
+            for b, note2 in closes:
+                if a <= b <= a + s(window):
+                    for x in {reported(note), reported(note2)} & inputs:
+                        rank = (x, reported(note2) != x)
+                        cycles[a, b] = min(cycles.get((a, b), rank), rank)
+        first = {}
+        for d in deposits:
+            for x in {b[3] for b in bins if b[1] == station and b[2] == d[5]} if d[2] == station and start <= d[3] <= end else ():
+                for (a, b), (on, wrong) in cycles.items():
+                    if on == x and d[3] - s(before) <= a <= d[3] <= b <= d[3] + s(after):
+                        first[d[3]] = min(first.get(d[3], (b + s(9e6),)), (a, b, d[5], wrong))
+        for *_, tipo, wrong in first.values():
+            if wrong:
+                found[station, tipo] = found.get((station, tipo), 0) + 1
+    return sorted((f"Alfa {st}", "Cassonetto " + {3: "PLASTICA", 4: "ORGANICO"}[tipo], n) for (st, tipo), n in found.items())
+
+
+def test_wrong_bin_equals_all_pairs(spark):
+    """Stations of every density: whole and broken seconds, several events at one time,
+    notes that are no bin, too long, no number or NULL, waste types with two bins."""
+    rnd = random.Random(19)
+    base, deposits, events, bins = T(2024, 1, 5, 10), [], [], []
+    notes = ["0", "1", "2", "3", "7", " 1", "12", "-1", "1234", "x", "", None]
+    for st in range(40):
+        span, micros = rnd.choice([30, 200, 600]), rnd.choice([0, 0, 500000, 123456])
+        when = lambda: base + dt.timedelta(seconds=rnd.randint(0, span), microseconds=rnd.choice([0, micros]))  # noqa: B023, E731
+        own = rnd.choice([notes[:4], notes[1:4], notes])
+        for i in range(rnd.choice([3, 12, 40])):
+            events += [(0, 1, st, "APERTURA", when(), rnd.choice(own)), (0, 1, st, "CHIUSURA", when(), rnd.choice(own))]
+            deposits.append((0, 1, st, when(), 1.0, rnd.choice([3, 4, 5]), rnd.randint(0, 1)))
+        events += rnd.sample(events, 3)
+        bins += [(1, st, w, x) for w in (3, 4) for x in rnd.sample([0, 1, 2, 3, 12, None], rnd.choice([1, 1, 2]))]
+    events += [(0, 1, None, "CHIUSURA", base, "1"), (0, 1, 2, "APERTURA", T(2024, 1, 4, 23, 59, 59), "1")]
+    t = _bin_tables(spark, deposits, events, bins)
+    for before, after, window in ((10, 120, 120), (60, 20, 45), (2.5, 30, 300)):
+        got = sorted(map(tuple, D.wrong_bin(t, "2024-01-05", "2024-01-06", before, after, window).collect()))
+        want = _wrong_bins(deposits, events, bins, T(2024, 1, 5), T(2024, 1, 6), before, after, window)
+        assert len(want) > 5 and got == want
+
+
+def _most_rows(plan) -> int:
+    """The most rows any node of an executed plan made."""
+    kind, found = plan.getClass().getSimpleName(), plan.metrics().get("numOutputRows")
+    below = ([plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec")
+             else [plan.children().apply(i) for i in range(plan.children().size())])
+    return max([found.get().value() if found.isDefined() else 0, *map(_most_rows, below)])
+
+
+def test_wrong_bin_makes_no_row_per_opening_and_closing(spark):
+    """One station, 800 openings and 800 closings within 100 seconds: 320,000 pairs."""
+    d0 = T(2024, 1, 5, 10)
+    at = lambda i, n: d0 + dt.timedelta(microseconds=100_000_000 * i // n)
+    events = [(i, 1, 4, "APERTURA", at(i, 800), "2") for i in range(800)] + [(i, 1, 4, "CHIUSURA", at(i, 801), "7") for i in range(801)]
+    deposits = [(i, 1, 4, at(i, 200), 1.0, 3, 0) for i in range(200)]
+    report = D.wrong_bin(_bin_tables(spark, deposits, events, [(1, 4, 3, 2)]), "2024-01-05", "2024-01-06")
+    assert [r.numeroanomalie for r in report.collect()] == [200]
+    assert _most_rows(report._jdf.queryExecution().executedPlan()) < 10_000
+
+
+def test_wrong_bin_of_several_closings_at_one_time_any_may_report_the_bin(spark):
+    d0, s = T(2024, 1, 5, 10), dt.timedelta(seconds=1)
+    late = (9, 1, 4, "CHIUSURA", d0 + 3600 * s, "7")
+    for notes, wrong in ((["7", "2"], []), (["2", None], []), (["7", "8"], [1])):
+        events = [(1, 1, 4, "APERTURA", d0 - 5 * s, "2"), late] + [(2, 1, 4, "CHIUSURA", d0 + 30 * s, x) for x in notes]
+        t = _bin_tables(spark, [(1, 1, 4, d0, 1.0, 3, 0)], events, [(1, 4, 3, 2)])
+        assert [r.numeroanomalie for r in D.wrong_bin(t, "2024-01-05", "2024-01-06").collect()] == wrong
+
+
 def test_repeat_deposits_weight_difference_edge(spark):
     rows = [(1, 1, 2, "T1", T(2024, 1, 5, 8, 0), 10.0, 3, 0), (2, 1, 2, "T1", T(2024, 1, 5, 8, 1), 10.999, 3, 0),
             (3, 1, 2, "T1", T(2024, 1, 5, 8, 2), 11.999, 3, 0), (4, 1, 3, "T2", T(2024, 1, 5, 8, 3), 5.0, 3, 0),
